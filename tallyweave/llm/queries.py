@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import linededup, rendezvous, simhash
+from tallyweave.llm import htmltext, linededup, mpegaudio, rendezvous, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(_table(spark, sf_dir, "pages"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous.shard(_table(spark, sf_dir, "documents"))
 
@@ -23,7 +27,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op5_sharding, op7_simhash, op8_line_dedup)}
+def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mpegaudio.digests(mpegaudio.to_media(_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op4_html_text, op5_sharding, op7_simhash, op8_line_dedup, op9_mpeg_audio)}
 
 ORACLES = {
     "op8_line_dedup": """
