@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import htmltext, linededup, mpegaudio, rendezvous, simhash
+from tallyweave.llm import htmltext, langid, linededup, mpegaudio, rendezvous, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +31,11 @@ def op9_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpegaudio.digests(mpegaudio.to_media(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op4_html_text, op5_sharding, op7_simhash, op8_line_dedup, op9_mpeg_audio)}
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predictions(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op4_html_text, op5_sharding, op7_simhash, op8_line_dedup, op9_mpeg_audio, op10_language_id)}
 
 ORACLES = {
     "op8_line_dedup": """
