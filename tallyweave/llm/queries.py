@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import htmltext, langid, linededup, mpegaudio, rendezvous, simhash
+from tallyweave.llm import htmltext, langid, linededup, mpegaudio, rendezvous, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_table(spark, sf_dir, "pages"))
 
@@ -35,7 +39,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_html_text, op5_sharding, op7_simhash, op8_line_dedup, op9_mpeg_audio, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op4_html_text, op5_sharding, op7_simhash, op8_line_dedup, op9_mpeg_audio, op10_language_id)}
 
 ORACLES = {
     "op8_line_dedup": """
