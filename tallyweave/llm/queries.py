@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import htmltext, langid, linededup, mpegaudio, rendezvous, simhash, toxicity
+from tallyweave.llm import htmltext, langid, linededup, mpegaudio, rendezvous, sentencepieces, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepieces.digests(_table(spark, sf_dir, "documents"), sentencepieces.Pieces.load())
+
+
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(_table(spark, sf_dir, "pages"))
 
@@ -39,7 +43,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op4_html_text, op5_sharding, op7_simhash, op8_line_dedup, op9_mpeg_audio, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_sentencepiece, op4_html_text, op5_sharding, op7_simhash, op8_line_dedup, op9_mpeg_audio, op10_language_id)}
 
 ORACLES = {
     "op8_line_dedup": """
