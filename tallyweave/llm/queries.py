@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyweave.llm import htmltext, langid, linededup, mpegaudio, rendezvous, sentencepieces, simhash, toxicity
+from tallyweave.llm import htmltext, langid, linededup, mpegaudio, rendezvous, sentencepieces, simhash, tokencounts, toxicity
+from tallyweave.llm.common import shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +29,25 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rendezvous.shard(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four commits: all documents are counted; words without letter and digit cease to count, which
+    revises the documents that have some; further copies of a text go; and the revision is sent once more."""
+    docs = _table(spark, sf_dir, "documents")
+    rollup = tokencounts.Rollup(spark, shared_path(spark, "token-counts"))
+    text = F.col("text")
+    rollup.commit("1-load", tokencounts.counts(docs, {"words-1": tokencounts.words(text), "bytes-1": tokencounts.octets(text)}))
+    changed = docs.where(tokencounts.words(text) != tokencounts.clean_words(text))
+    revision = tokencounts.counts(changed, {"words-1": tokencounts.clean_words(text)}, seq=1)
+    rollup.commit("2-revise", revision)
+    # texts are told apart by a digest: narrow rows, and the least id of each digest is combined before the shuffle
+    keyed = docs.select("doc_id", "source", "lang", F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"))
+    first = keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
+    copies = keyed.join(first, "digest").where("doc_id > first_id")
+    rollup.commit("3-dedup", tokencounts.counts(copies, {"words-1": F.lit(None).cast("long"), "bytes-1": F.lit(None).cast("long")}, "delete", 2))
+    rollup.commit("2-revise", revision)
+    return rollup.totals()
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -43,9 +64,20 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_sentencepiece, op4_html_text, op5_sharding, op7_simhash, op8_line_dedup, op9_mpeg_audio, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_sentencepiece, op4_html_text, op5_sharding, op6_token_counts, op7_simhash, op8_line_dedup, op9_mpeg_audio, op10_language_id)}
 
 ORACLES = {
+    "op6_token_counts": r"""
+        WITH kept AS (
+            SELECT *, row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY doc_id) AS nth FROM documents
+        ), counted AS (
+            SELECT source, lang, 'bytes-1' AS tokenizer, coalesce(strlen(text), 0) AS n FROM kept WHERE nth = 1
+            UNION ALL
+            SELECT source, lang, 'words-1',
+                len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: regexp_matches(w, '[\p{L}\p{N}]')))
+            FROM kept WHERE nth = 1
+        )
+        SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM counted GROUP BY ALL""",
     "op8_line_dedup": """
         WITH lines AS (
             SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS ord
