@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import htmltext, langid, linededup, mpegaudio, rendezvous, sentencepieces, simhash, tokencounts, toxicity
+from tallyweave.llm import decontam, htmltext, langid, linededup, mpegaudio, rendezvous, sentencepieces, simhash, tokencounts, toxicity
 from tallyweave.llm.common import shared_path
 
 
@@ -17,6 +17,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.digests(_table(spark, sf_dir, "documents"), sentencepieces.Pieces.load())
 
@@ -64,7 +68,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_sentencepiece, op4_html_text, op5_sharding, op6_token_counts, op7_simhash, op8_line_dedup, op9_mpeg_audio, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_sentencepiece, op4_html_text, op5_sharding, op6_token_counts, op7_simhash, op8_line_dedup, op9_mpeg_audio, op10_language_id)}
 
 ORACLES = {
     "op6_token_counts": r"""
