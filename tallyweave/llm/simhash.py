@@ -5,8 +5,9 @@ distance of two embeddings never exceeds the Hamming distance of the fingerprint
 as a thermometer of two bits, so that distance is the bit count of one XOR.
 
 Grid range-join: the 32 axes form seven bands. A distance of at most four breaks at most four bands, so two
-fingerprints within reach agree in all the counts of three bands at least: they share one of 35 grid cells. Rows of a
-cell are linked along the cell (each with its first and its previous row), which is linear in a dense cell; the links
+fingerprints within reach agree in three bands at least, in their counts and, by the same argument, in the bits
+themselves: they share one of 35 grid cells. Cells by counts alone number some 2^19 a grid and fill up by chance in a
+large corpus, so a cell is told by the bits too, which makes 2^27 of them and loses nothing. Rows of a cell are linked along the cell (each with its first and its previous row), which is linear in a dense cell; the links
 give labels. Only rows of a cell with unlike labels still have to be compared, and one of two such rows differs from
 the first row's label, so just those rows are joined to their cell. No cap is needed and no link between components is
 lost. Every link is verified on the exact Hamming distance after the Manhattan bound.
@@ -76,13 +77,14 @@ def _cells(fps: DataFrame) -> DataFrame:
     masks = [reduce(lambda m, s: m | 3 << 2 * int(s), band, 0) for band in axes]
     chosen = [reduce(int.__or__, c) for c in combinations(masks, BANDS - MAX_BITS)]
     signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
-    cells = F.array(*(F.struct(F.lit(i).cast("short").alias("grid"), F.col("emb").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(signed)))
-    return fps.withColumn("emb", _embedding(F.col("fp"))).select("*", F.inline(cells))
+    cells = F.array(*(F.struct(F.lit(i).cast("short").alias("grid"), F.col("fp").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(signed)))
+    return fps.select("*", F.inline(cells))
 
 
-def _near(a: str, b: str) -> Column:
-    bound = F.bit_count(_embedding(F.col(a)).bitwiseXOR(_embedding(F.col(b)))) <= MAX_BITS
-    return bound & (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS)
+def _near(a: Column, b: Column) -> Column:
+    """The Manhattan distance of the embeddings, then the Hamming distance, are within MAX_BITS."""
+    bound = F.bit_count(_embedding(a).bitwiseXOR(_embedding(b))) <= MAX_BITS
+    return bound & (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)
 
 
 def near_links(fps: DataFrame) -> DataFrame:
@@ -96,9 +98,7 @@ def near_links(fps: DataFrame) -> DataFrame:
         _cells(fps.select("fp"))
         .select("fp", F.lag("fp").over(by_cell).alias("prev"), F.first("fp").over(by_cell).alias("head"))
         .where("prev IS NOT NULL")
-        .select("fp", F.explode(F.array_distinct(F.array("prev", "head"))).alias("other"))
-        .where(_near("fp", "other"))
-        .select(F.col("fp").alias("u"), F.col("other").alias("v"))
+        .select(F.col("fp").alias("u"), F.explode(F.filter(F.array_distinct(F.array("prev", "head")), lambda x: _near(F.col("fp"), x))).alias("v"))
         .distinct()
     )
     along = cut(along)
@@ -115,7 +115,7 @@ def near_links(fps: DataFrame) -> DataFrame:
     across = (
         mixed.where("label <> head")
         .join(other, ["grid", "cell"])
-        .where((F.col("label") != F.col("v_label")) & _near("fp", "v"))
+        .where((F.col("label") != F.col("v_label")) & _near(F.col("fp"), F.col("v")))
         .select(F.col("fp").alias("u"), "v")
         .distinct()
     )
