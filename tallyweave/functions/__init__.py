@@ -1 +1 @@
-"""tallyweave.functions"""
+"""Column builders: scalar rules and fuzzy scores."""

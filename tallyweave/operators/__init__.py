@@ -1 +1 @@
-"""tallyweave.operators"""
+"""Dataflow operators: DataFrames in, DataFrames out."""

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tallyweave.plans import domain, matching, reports  # noqa: F401
+from tallyweave.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
