@@ -207,7 +207,7 @@ def jn_split(v: Views):
     return split.find(anchors.select(F.col("invoice_id").alias("anchor_id"), F.col("value").alias("amount"), F.col("invoice_date").alias("day")), parts)
 
 
-@query("SELECT txn_id, CASE WHEN status = 'settled' THEN 'settled' ELSE 'settled' END AS status, amount + CASE WHEN account = 'amex' THEN 1 ELSE 0 END AS amount, coalesce(category, CASE WHEN account = 'amex' THEN 'late' END) AS category, booking_date FROM transactions")
+@query("SELECT txn_id, 'settled' AS status, amount + CASE WHEN account = 'amex' THEN 1 ELSE 0 END AS amount, coalesce(category, CASE WHEN account = 'amex' THEN 'late' END) AS category, booking_date FROM transactions")
 def sink_txn_upsert(v: Views):
     """A batch that settles every row, corrects the card's amounts and proposes categories and later booking dates."""
     amex = F.col("account") == "amex"

@@ -1 +1 @@
-"""tallyweave.streaming"""
+"""Incremental ingest with Structured Streaming."""
