@@ -31,6 +31,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def fresh(name: str) -> str:
+    """A column name that no user's table has."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there; a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)

@@ -21,13 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import arrow_pass
+from tallyweave.llm.common import arrow_pass, fresh
 
 N = 3
 #: Share of an item's n-grams, the rarest first, that are seeds.
 RARE_SHARE = 0.75
 #: Least share of the worth of an item's seeds that a stretch must hold to be aligned.
-MIN_SEEDS = 0.2
+MIN_SEEDS = 0.12
 #: Alignments with this share of a full match's score are leaks.
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -211,7 +211,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
 
     score is the alignment's score over that of a full match, MIN_SCORE to 1; first_word and end_word bound the copy,
     counted in words of the document. Null and empty texts and items of fewer than N words have no row; a null doc_id
-    is kept. Items with equal texts each have their rows.
+    is kept. Items with equal texts each have their rows. A copy so edited that it holds hardly a run of N words of the
+    item has no stretch to align and isn't found.
     """
     found = None
     for items in _blocks(benchmark, text, item_id, block_words):
@@ -233,5 +234,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs without a copy of a benchmark item. Rows of one doc_id go together."""
-    bad = leaks(docs, benchmark, text, doc_id).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col(doc_id) == F.col("_bad"), "left_anti")
+    name = fresh("bad")
+    bad = leaks(docs, benchmark, text, doc_id).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col(name)), "left_anti")

@@ -1,8 +1,8 @@
 """Main text of HTML pages by line-block distribution.
 
 Markup is stripped into lines, one for each block element. Lines inside boilerplate elements (menus, headers, footers,
-sidebars, notices, adverts, forms, comments) and lines made of links carry no text length; scripts and styles make no
-line. Text lengths are summed over a sliding window of lines. A region begins where the sums surge and ends where they
+sidebars, notices, adverts, forms, comments) leave one line without length; lines made of links have no length either;
+scripts and styles make no line. Text lengths are summed over a sliding window of lines. A region begins where the sums surge and ends where they
 dive; its text is kept. Where the page marks its article, only lines inside it have a length.
 """
 
@@ -60,7 +60,7 @@ def _kind(name: str, attrs: str) -> str:
 
 
 def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """((text, length, in the article) of every line; whether the article is marked). Boilerplate lines have length 0."""
+    """((text, length, in the article) of every line; whether the article is marked). Boilerplate is a line ''."""
     page = _COMMENT.sub("", _RAW.sub(" ", page))
     out: list[tuple[str, int, bool]] = []
     stack: list[tuple[str, str]] = []
@@ -71,8 +71,8 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
-        if text:
-            out.append((text, 0 if skips or linked > LINK_SHARE * len(text) else len(text), mains > 0))
+        if text and not skips:
+            out.append((text, 0 if linked > LINK_SHARE * len(text) else len(text), mains > 0))
         linked = 0
 
     for tag in _TAG.finditer(page):
@@ -101,8 +101,8 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             kind = _kind(name, tag[3] or tag[6] or "")
             if name == "header" and mains and not skips:
                 kind = ""  # an article's own header holds its title
-            if kind == "skip" and not skips:
-                out.append(("", 0, False))
+            if kind == "skip" and not skips and out and out[-1][0]:
+                out.append(("", 0, mains > 0))  # one line stands for boilerplate, however much there is
             stack.append((name, kind))
             links += name == "a"
             skips += kind == "skip"
@@ -114,15 +114,18 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     return out, marked
 
 
-def regions(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """[surge, dive) of each region: from a window that surges back to its first line with text, on to a window without any."""
+def regions(lengths: list[int], window: int = WINDOW, all_surge: bool = False) -> list[tuple[int, int]]:
+    """[surge, dive) of each region: from a window that surges back to its first line with text, on to a window without any.
+
+    With all_surge any text is a surge.
+    """
     n = len(lengths)
     total, sums = sum(lengths[: window - 1]), []
     for i in range(n):
         total += lengths[i + window - 1] if i + window - 1 < n else 0
         sums.append(total)
         total -= lengths[i]
-    surge = min(SURGE_CHARS, SURGE_SHARE * max(sums, default=0))
+    surge = min(1 if all_surge else SURGE_CHARS, SURGE_SHARE * max(sums, default=0))
     found, i = [], 0
     while i < n:
         if not sums[i]:
@@ -143,7 +146,7 @@ def main_text(page: str | None) -> str:
     """The article's blocks, joined by one space; '' for a null or empty page or one without text."""
     found, marked = lines(page or "")
     lengths = [n if inside or not marked else 0 for _, n, inside in found]
-    spans = regions(lengths)
+    spans = regions(lengths, all_surge=marked)
     sizes = [sum(lengths[a:b]) for a, b in spans]
     keep = [s for s, size in zip(spans, sizes, strict=True) if marked or size >= REGION_SHARE * max(sizes)]
     return " ".join(found[k][0] for a, b in keep for k in range(a, b) if lengths[k])

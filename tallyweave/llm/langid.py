@@ -207,6 +207,12 @@ def predictions(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id:
 
 def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of docs whose text has a language: some letter, and a score of min_score or more for the likeliest one."""
-    names = docs.columns
-    found = identify(docs.withColumn("_text", F.col(text)), train(docs, text, lang, doc_id), "_text")
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*(F.col(f"`{n}`") for n in names))
+    at_text = docs.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, text, lang, doc_id))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [shared.value.predict(t) for t in b.column(at_text).to_pylist()]
+            yield b.filter(pa.array([y != UNDETERMINED and s >= min_score for y, s in found], pa.bool_()))
+
+    return arrow_pass(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))

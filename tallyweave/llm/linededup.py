@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import arrow_pass, cut, shared_path
+from tallyweave.llm.common import arrow_pass, cut, fresh, shared_path
 
 MIN_CHARS = 10
 SPACE = " \t\n\x0b\x0c\r"
@@ -242,8 +242,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sha
     for k, block in enumerate(_blocks(index, n_shards, per_block)):
         part = _probed(spark.read.parquet(path).where(F.col("block") == k), spark.sparkContext.broadcast(block))
         lost = part if lost is None else lost.union(part)
-    lost = lost.groupBy("i").agg(F.collect_set("hash").alias("_lost"))
-    joined = docs.withColumn("_i", F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID))).join(lost, F.col("_i") == F.col("i"), "left").select(*(F.col(f"`{n}`") for n in names), "_lost")
+    key, gone = fresh("i"), fresh("lost")
+    lost = lost.groupBy(F.col("i").alias(key)).agg(F.collect_set("hash").alias(gone))
+    joined = docs.join(lost, F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) == F.col(key), "left").select(*(F.col(f"`{n}`") for n in names), gone)
 
     def by_list(b: pa.RecordBatch, lines: list[list[str]]) -> list[bool]:
         gone = [set(np.array(x or [], np.int64).view(np.uint64).tolist()) for x in b.column(len(names)).to_pylist()]

@@ -108,16 +108,20 @@ def vbr_table(frame: bytes, side: int, protected: bool) -> dict | None:
 
 
 def frames(data: bytes, start: int, end: int) -> Iterator[tuple[int, tuple]]:
-    """(offset, header) of each frame; bytes that are no frame are skipped."""
-    at, trusted = start, False
+    """(offset, header) of each frame; bytes that are no frame are skipped.
+
+    A frame is followed by another header or the end, or follows a frame of its own version, layer and sample rate.
+    """
+    at, kind = start, None
     while at + 4 <= end:
         h = header(data[at : at + 4])
         after = at + h[0] if h else 0
-        if h and after <= end and (trusted or after + 4 > end or header(data[after : after + 4])):
+        own = (data[at + 1] >> 1, data[at + 2] >> 2 & 3)
+        if h and after <= end and (kind == own or after + 4 > end or header(data[after : after + 4])):
             yield at, h
-            at, trusted = after, True
+            at, kind = after, own
             continue
-        at, trusted = data.find(b"\xff", at + 1, end), False
+        at, kind = data.find(b"\xff", at + 1, end), None
         if at < 0:
             return
 

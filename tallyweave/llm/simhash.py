@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyweave.llm.common import arrow_pass, components, cut
+from tallyweave.llm.common import arrow_pass, components, cut, fresh
 
 WIDTH = 4
 MAX_BITS = 4
@@ -142,4 +142,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of docs that are the first of their component; of rows with equal doc_id all stay."""
     found = near_duplicates(docs, text, doc_id).where("doc_id = component_id OR component_id IS NULL")
-    return docs.join(found.select(F.col("doc_id").alias("_kept")).distinct(), F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
+    kept = fresh("kept")
+    return docs.join(found.select(F.col("doc_id").alias(kept)).distinct(), F.col(doc_id).eqNullSafe(F.col(kept)), "left_semi")

@@ -206,7 +206,8 @@ def _sample(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, sample_r
     rates = {y: min(1.0, sample_rows / n[y]) if n.get(y) else 1.0 for y in (0, 1)}
     some = thinned(known, F.col("_id"), F.when(F.col("toxic") == 1, rates[1]).otherwise(rates[0]))
     # about two times sample_rows ids: a size that doesn't grow with the input
-    return docs.join(F.broadcast(some), F.col(doc_id) == F.col("_id")).select(F.col(text).alias("text"), "toxic"), rates
+    rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text"))
+    return rows.join(F.broadcast(some), F.col("_doc") == F.col("_id")).select("text", "toxic"), rates
 
 
 def feature_weights(sample: DataFrame, lm: np.ndarray) -> dict[str, float]:
