@@ -67,7 +67,7 @@ def plain_ratio(a, b):
 def test_token_set_ratio_equals_a_plain_one(spark):
     r = random.Random(1)
     word = lambda: "".join(r.choices("ABC", k=r.randint(1, 4)))
-    pairs = [(" ".join(word() for _ in range(r.randint(0, 4))), " ".join(word() for _ in range(r.randint(0, 4)))) for _ in range(300)]
+    pairs = [(" ".join(word() for _ in range(r.randint(0, 4))), " ".join(word() for _ in range(r.randint(0, 4)))) for _ in range(300)] + [("ABCA" * 20, "BCAB" * 17), ("A" * 63, "AB" * 31), ("AB" * 31, "A" * 63)]
     df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fuzzy.token_set_ratio(F.col("a"), F.col("b")).alias("x"))
     assert all(row["x"] == pytest.approx(plain_ratio(row["a"], row["b"])) for row in df.collect())
 
