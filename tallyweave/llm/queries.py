@@ -71,6 +71,24 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_sentencepiece, op4_html_text, op5_sharding, op6_token_counts, op7_simhash, op8_line_dedup, op9_mpeg_audio, op10_language_id)}
 
 ORACLES = {
+    "op5_sharding": """
+        WITH RECURSIVE steps AS (
+            SELECT i, i AS c, 0 AS k FROM range(256) r(i)
+            UNION ALL
+            SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
+        ), crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8), sized AS (
+            SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+                xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+                    lambda a, b: xor(a >> 8, t[xor(a % 256, b) + 1])), 4294967295) AS text_crc32
+            FROM documents, crc
+        ), placed AS (
+            SELECT *, CAST((SELECT arg_max(s, (substr(md5(doc_id || ':' || s), 1, 13), -s)) FROM range(16) r(s)) AS INTEGER) AS shard,
+                CAST((SELECT arg_max(s, (substr(md5(doc_id || ':' || s), 1, 13), -s)) FROM range(17) r(s)) AS INTEGER) AS grown_shard,
+                CAST('0x' || substr(md5(doc_id || ':' || text_crc32 || ':' || size), 1, 8) AS BIGINT) % 1024 AS piece
+            FROM sized
+        )
+        SELECT doc_id, size, text_crc32, 'key' AS law, shard,
+            row_number() OVER (PARTITION BY shard ORDER BY piece, doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM placed""",
     "op6_token_counts": r"""
         WITH kept AS (
             SELECT *, row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY doc_id) AS nth FROM documents

@@ -52,7 +52,9 @@ def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, doc_id: s
         F.lit("key").alias("law"),
         shard_of(key, weights).alias("shard"),
         shard_of(key, more).alias("grown_shard"),
-    ).withColumn("piece", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(pieces)).cast("int"))
+    )
+    mixed = F.md5(F.concat_ws(":", F.coalesce(key, F.lit("")), "text_crc32", "size").cast("binary"))
+    rows = rows.withColumn("piece", F.pmod(F.conv(F.substring(mixed, 1, 8), 16, 10).cast("bigint"), F.lit(pieces)).cast("int"))
     rows = cut(rows)  # a few dozen bytes a row; the texts are read once
     # at most shards * pieces rows, whatever the input: small enough to broadcast
     counts = rows.groupBy("shard", "piece").agg(F.count("*").alias("n"))
