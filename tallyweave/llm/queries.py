@@ -46,7 +46,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     # texts are told apart by a digest: narrow rows, and the least id of each digest is combined before the shuffle
     keyed = docs.select("doc_id", "source", "lang", F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"))
     first = keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
-    copies = keyed.join(first, "digest").where("doc_id > first_id")
+    # by id and not by digest: a text with very many copies is no hot key
+    copies = keyed.join(first, F.col("doc_id") == F.col("first_id"), "left_anti")
     rollup.commit("3-dedup", tokencounts.counts(copies, {"words-1": F.lit(None).cast("long"), "bytes-1": F.lit(None).cast("long")}, "delete", 2))
     rollup.commit("2-revise", revision)
     return rollup.totals()
