@@ -2,7 +2,7 @@
 
 1. language_id keeps documents whose text has a language (operator 10).
 2. line_dedup takes lines out that an earlier document holds (operator 8); n_chars follows the text.
-3. near_dedup keeps the first document of each group of near copies (operator 7).
+3. near_dedup keeps the first document of each group of near copies: five-word shingles of similarity 0.8 or more.
 4. decontaminate takes documents out that hold a copy of a benchmark item (operator 2).
 5. sentencepiece encodes what is left, decodes it again and returns a digest of both (operator 3).
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import decontam, langid, linededup, sentencepieces, simhash
+from tallyweave.llm import decontam, langid, linededup, nearcopies, sentencepieces
 from tallyweave.llm.common import shared_path
 
 
@@ -26,7 +26,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs)
+    return nearcopies.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
