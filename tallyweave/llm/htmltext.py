@@ -3,7 +3,8 @@
 Markup is stripped into lines, one for each block element. Lines inside boilerplate elements (menus, headers, footers,
 sidebars, notices, adverts, forms, comments) leave one line without length; lines made of links have no length either;
 scripts and styles make no line. Text lengths are summed over a sliding window of lines. A region begins where the sums surge and ends where they
-dive; its text is kept. Where the page marks its article, only lines inside it have a length.
+dive; every line in it is kept. Where the page marks its article, all lines inside it are kept. An article whose only
+marks stand inside wrappers with boilerplate names (a page's layout) is kept too.
 """
 
 from __future__ import annotations
@@ -23,55 +24,71 @@ WINDOW = 3
 #: A window with so many characters is a surge, or one with this share of the page's fullest window.
 SURGE_CHARS = 80
 SURGE_SHARE = 0.2
-#: Besides the fullest region, a region with this share of its characters is kept.
-REGION_SHARE = 0.1
 #: A line with more than this share of its characters inside links has no text length.
 LINK_SHARE = 0.6
 
 # fixed values: element names and name parts of HTML pages
 BLOCKS = set("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE = set("nav header footer aside form menu button select option dialog noscript template iframe object svg canvas label fieldset figcaption head title".split())
+BOILERPLATE = set("nav header footer aside form menu button select option dialog noscript template iframe object svg canvas label fieldset head title".split())
 RAW = "script|style|noscript|template|iframe|textarea|svg|canvas|object|xmp"
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumb\w*|pagination|pager|sidebar|side|widget\w*|footer|foot|header|masthead|topbar|toolbar|cookie\w*|consent|notice\w*|gdpr|popup|modal|newsletter|subscribe|signup|login|search\w*|form|comment\w*|disqus|respons\w*|replies|reply|related|recommend\w*|share|sharing|social|copyright|legal|disclaimer|skip)(?=$|[\s_-])",
     re.I,
 )
+#: Names of what surrounds or heads an article, and the latter's wider form inside one.
+LAYOUT = re.compile(r"(?<!\S)(?:has|with|without|no)[-_][^\s]+|(?<!\S)(?:article|post|entry|story|content)[-_]header(?!\S)", re.I)
+HEADING = re.compile(r"(?<!\S)[^\s]+[-_]header(?!\S)", re.I)
+#: Boilerplate that has articles of its own, so that <article> inside isn't the page's.
+OTHERS = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|promo\w*|sponsor\w*|widget\w*|comment\w*|disqus|respons\w*|replies|reply|related|recommend\w*)(?=$|[\s_-])", re.I)
 ROLES = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu\w*)\b", re.I)
 ARTICLE_NAMES = re.compile(r"\b(?:itemprop\s*=\s*[\"']?articleBody|role\s*=\s*[\"']?(?:main|article))\b", re.I)
 
-_RAW = re.compile(rf"<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_COMMENT = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>", re.S)
+#: Comments and raw elements, whichever begins first; only svg may close itself.
+_CUT = re.compile(rf"(?P<comment><!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>)|<svg\b[^>]*/>|<({RAW})\b[^>]*>.*?(?:</\2\s*>|\Z)", re.I | re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?>[^\"'>]+|\"[^\"]*\"|'[^']*'|[\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)")
 _LABEL = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 
 
-def _kind(name: str, attrs: str) -> str:
-    """'skip' for boilerplate elements, 'main' for those that mark the article, else ''."""
+def _kind(name: str, attrs: str, inside: bool = False) -> str:
+    """'skip' for boilerplate elements, 'name' for those by a name alone, 'main' for those that mark the article, else ''."""
     if name in ("article", "main") or (attrs and ARTICLE_NAMES.search(attrs)):
         return "main"
     if name in BOILERPLATE:
         return "skip"
     if attrs and name not in ("html", "body"):
-        if any(NAMES.search(a or b or c) for a, b, c in _LABEL.findall(attrs)) or ROLES.search(attrs) or _HIDDEN.search(attrs):
+        if ROLES.search(attrs) or _HIDDEN.search(attrs):
             return "skip"
+        labels = [LAYOUT.sub("", a or b or c) for a, b, c in _LABEL.findall(attrs)]
+        if inside:
+            labels = [HEADING.sub("", x) for x in labels]
+        if any(NAMES.search(x) for x in labels):
+            return "skip" if any(OTHERS.search(x) for x in labels) else "name"
     return ""
 
 
 def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     """((text, length, in the article) of every line; whether the article is marked). Boilerplate is a line ''."""
-    page = _COMMENT.sub("", _RAW.sub(" ", page))
+    page = _CUT.sub(lambda m: "" if m["comment"] else " ", page)
+    out, marked, wrapped = _lines(page, False)
+    if wrapped and not marked:  # the article's wrapper has a boilerplate name
+        out, marked, _ = _lines(page, True)
+    return out, marked
+
+
+def _lines(page: str, reopen: bool) -> tuple[list[tuple[str, int, bool]], bool, bool]:
+    """lines, and whether an article stands inside wrappers of boilerplate names; with reopen it ends their skipping."""
     out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[tuple[str, str, int]] = []
     parts: list[str] = []
-    linked, links, skips, mains, marked, start = 0, 0, 0, 0, False, 0
+    linked, links, skips, named, mains, marked, wrapped, start = 0, 0, 0, 0, 0, False, False, 0
 
     def close_line() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
-        if text and not skips:
+        if text and not skips + named:
             out.append((text, 0 if linked > LINK_SHARE * len(text) else len(text), mains > 0))
         linked = 0
 
@@ -88,44 +105,47 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
         if tag[1] or tag[4]:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
             # an end tag inside an article or boilerplate element doesn't end what stands around that element
-            if depth is None or (name in ("p", "b", "i", "a", "span", "li") and any(k for _, k in stack[depth + 1 :])):
+            if depth is None or (name in ("p", "b", "i", "a", "span", "li") and any(k for _, k, _ in stack[depth + 1 :])):
                 continue
-            for other, kind in stack[depth:]:
+            for other, kind, held in stack[depth:]:
                 links -= other == "a"
+                named += held - (kind == "name")
                 skips -= kind == "skip"
                 mains -= kind == "main"
             del stack[depth:]
         elif name not in VOID:
             if name in ("p", "li", "option", "td", "tr", "dt", "dd") and stack and stack[-1][0] == name and not stack[-1][1]:
                 stack.pop()  # such elements end where the next one begins
-            kind = _kind(name, tag[3] or tag[6] or "")
-            if name == "header" and mains and not skips:
+            kind, held = _kind(name, tag[3] or tag[6] or "", mains > 0), 0
+            if kind == "main" and named and not skips:
+                wrapped = True
+                if reopen:
+                    held, named = named, 0
+            if name == "header" and mains and not skips + named:
                 kind = ""  # an article's own header holds its title
-            if kind == "skip" and not skips and out and out[-1][0]:
+            if kind in ("skip", "name") and not skips + named and out and out[-1][0]:
                 out.append(("", 0, mains > 0))  # one line stands for boilerplate, however much there is
-            stack.append((name, kind))
+            stack.append((name, kind, held))
             links += name == "a"
             skips += kind == "skip"
+            named += kind == "name"
             mains += kind == "main"
-            marked |= kind == "main" and not skips
+            marked |= kind == "main" and not skips + named
     parts.append(page[start:])
     linked += len(page[start:].strip()) if links else 0
     close_line()
-    return out, marked
-
+    return out, marked, wrapped
 
-def regions(lengths: list[int], window: int = WINDOW, all_surge: bool = False) -> list[tuple[int, int]]:
-    """[surge, dive) of each region: from a window that surges back to its first line with text, on to a window without any.
 
-    With all_surge any text is a surge.
-    """
+def regions(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
+    """[surge, dive) of each region: from a window that surges back to its first line with text, on to a window without any."""
     n = len(lengths)
     total, sums = sum(lengths[: window - 1]), []
     for i in range(n):
         total += lengths[i + window - 1] if i + window - 1 < n else 0
         sums.append(total)
         total -= lengths[i]
-    surge = min(1 if all_surge else SURGE_CHARS, SURGE_SHARE * max(sums, default=0))
+    surge = min(SURGE_CHARS, SURGE_SHARE * max(sums, default=0))
     found, i = [], 0
     while i < n:
         if not sums[i]:
@@ -145,11 +165,9 @@ def regions(lengths: list[int], window: int = WINDOW, all_surge: bool = False) -
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by one space; '' for a null or empty page or one without text."""
     found, marked = lines(page or "")
-    lengths = [n if inside or not marked else 0 for _, n, inside in found]
-    spans = regions(lengths, all_surge=marked)
-    sizes = [sum(lengths[a:b]) for a, b in spans]
-    keep = [s for s, size in zip(spans, sizes, strict=True) if marked or size >= REGION_SHARE * max(sizes)]
-    return " ".join(found[k][0] for a, b in keep for k in range(a, b) if lengths[k])
+    if marked:
+        return " ".join(text for text, _, inside in found if text and inside)
+    return " ".join(found[k][0] for a, b in regions([n for _, n, _ in found]) for k in range(a, b) if found[k][0])
 
 
 def extract(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -23,6 +23,28 @@ def test_pages(page, text):
     assert H.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div class='content has-sidebar'><article><p>{P}</p></article></div>", P),
+        (f"<div class='content has-sidebar'><p>{P}</p></div>", P),
+        (f"<div class='search-results'><main><p>{P}</p><div class=share>Tweet</div></main></div><p>After it all.</p>", P),
+        (f"<div id=form-page><p>Say it.</p><article><p>{P}</p></article></div>", P),
+        (f"<article><p>{P}</p></article><div class=sidebar><article>Teaser</article></div><div class=comments><article>Me too</article></div>", P),
+        (f"<article><div class='article-header'><h1>Title</h1></div><p>{P}</p></article>", f"Title {P}"),
+        (f"<article><h2><a href=x>All of it a link</a></h2><p>{P}</p><p><a href=y>{P}</a></p></article>", f"All of it a link {P} {P}"),
+        (f"<p>{P}</p><p><a href=y>Read this too</a></p><p>{P}</p>", f"{P} Read this too {P}"),
+        (f"<article><p>{P}</p><figure><img src=x><figcaption>A view.</figcaption></figure></article>", f"{P} A view."),
+        (f"<p>{P}</p><!-- <script> --><p>Still here.</p>", f"{P} Still here."),
+        (f"<script>var a = '<!--';</script><p>{P}</p>", P),
+        (f"<p>{P}</p><svg width=1 /><p>Still here.</p>", f"{P} Still here."),
+        (f"<p>{P}</p>" * 20 + "<nav>x</nav><div class=ad>y</div><ul><li><a href=1>1</a><li><a href=2>2</a><li><a href=3>3</a></ul>" + f"<p>{P}</p>", " ".join([P] * 21)),
+    ],
+)
+def test_article_text_is_not_dropped(page, text):
+    assert H.main_text(page) == text
+
+
 def test_long_and_broken_pages_are_linear():
     page = "<div title=\"x" + "<p a='" * 20000 + P
     assert isinstance(H.main_text(page), str)
