@@ -3,7 +3,8 @@
 Language model: character trigrams counted over every document, interpolated with bigrams and single characters.
 Channel: a written symbol may stand for a letter (leetspeak), for nothing (filler), or for one or two of a repeated
 letter; letters written apart may form words. The readings of a token make a lattice, and a Viterbi decode under the
-language model picks one. A token of letters alone without a letter three times in a row has one reading: itself.
+language model picks one; filler may part words too, so a token as it stands is one of its paths. A token of letters
+alone without a letter three times in a row has one reading: itself.
 
 Scoring: each restored word has features (itself and its beginnings). A feature's weight is the lower confidence bound
 of its log odds between toxic and clean documents; it needs documents of SUPPORT different contents, so that copies of
@@ -45,11 +46,12 @@ OTHER = CLASSES - 1
 CODE = {c: k + 1 for k, c in enumerate(ALPHABET)}
 
 # log costs of the channel, and what each emitted letter gains so that leaving letters out doesn't pay by itself
-GAIN, SUBSTITUTE, DROP_SYMBOL, DROP_DIGIT, DROP_EDGE, DOUBLE, SINGLE, WILD, EDGE, BREAK = 3.0, -0.5, -6.0, -7.0, -2.0, -1.0, -0.7, -3.5, -3.0, -8.0
+GAIN, SUBSTITUTE, DROP_SYMBOL, DROP_DIGIT, DROP_EDGE, DOUBLE, SINGLE, WILD, EDGE, BREAK, PART = 3.0, -0.5, -6.0, -7.0, -2.0, -1.0, -0.7, -3.5, -3.0, -8.0, 2.0
 
 _WORDS = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_APART = re.compile(r"(?<!\S)[^\W_](?:[ \t.\-_*~]{1,2}[^\W_]){3,}(?![^\W_])")
+_GAP = re.compile(r"[\s.\-_*~]+")
+_APART = re.compile(r"(?<!\S)(?:[^\W_]|[@$!|+€£(<¡])(?:[\s.\-_*~]+(?:[^\W_]|[@$!|+€£(<¡])){2,}(?![^\W_])")
 _TAIL = ".,;:!?\"'()[]{}<>%&#*$~^`…»”’|"
 _HEAD = "\"'([{<#%&*~^`«“‘¿"
 
@@ -119,6 +121,8 @@ def _readings(run: str, first: bool, last: bool, letters: dict[str, float]) -> l
         out += [(x, WILD) for x in letters]
     if c in " \t":
         out += [(" ", 0.0 if n > 1 else BREAK)]
+    elif not c.isalnum() and c not in LEET and c != "*" and not first and not last:
+        out += [(" ", PART)]
     return out
 
 
@@ -154,12 +158,17 @@ def restore_token(token: str, lm: np.ndarray) -> list[str]:
     core = token.rstrip(_TAIL).lstrip(_HEAD)
     if not core:
         return []
-    triple = _TRIPLE.search(core)
-    if core.isalpha() and not triple:
+    if core.isalpha() and not _TRIPLE.search(core):
         return [core]
-    if triple or ("*" in core or any(c in LEET for c in core)) and any(c.isalpha() for c in core):
-        return _WORDS.findall(decode(core, lm))
-    return _WORDS.findall(core)
+    return _WORDS.findall(decode(core, lm)) if any(c.isalpha() for c in core) else []
+
+
+def join_apart(stretch: str, lm: np.ndarray) -> str:
+    """The reading of letters written apart; gaps wider than the narrowest part words. One without a letter stays."""
+    if not any(c.isalpha() for c in stretch):
+        return stretch
+    least = min(len(g) for g in _GAP.findall(stretch))
+    return decode(_GAP.sub(lambda g: " " if len(g[0]) == least else "  ", stretch), lm)
 
 
 @dataclass
@@ -178,7 +187,7 @@ class Restorer:
 
     def apart(self, low: str) -> list[str]:
         """Words of the stretches of letters written apart."""
-        return [w for m in _APART.finditer(low) for w in _WORDS.findall(decode(re.sub(r"[.\-_*~]", " ", m[0]), self.lm))]
+        return [w for m in _APART.finditer(low) for w in _WORDS.findall(join_apart(m[0], self.lm))]
 
     def words(self, text: str | None) -> set[str]:
         """The different words of the restored text."""
@@ -189,7 +198,7 @@ class Restorer:
     def text(self, text: str | None) -> str:
         """The restored text: words parted by one space, stretches of letters written apart in place."""
         low = (text or "").lower()
-        low = _APART.sub(lambda m: decode(re.sub(r"[.\-_*~]", " ", m[0]), self.lm), low)
+        low = _APART.sub(lambda m: join_apart(m[0], self.lm), low)
         return " ".join(w for t in low.split() for w in self.token(t))
 
 

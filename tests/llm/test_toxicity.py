@@ -91,3 +91,15 @@ def test_odd_and_empty_tables(spark, corpus):
     model = T.train(*corpus)
     out = {r["doc_id"]: r for r in T.score(odd_documents(spark), model, restored=True).collect()}
     assert out[2]["restored_text"] == "" and out[1]["restored_text"].startswith("hello world")
+
+
+def test_disguises_reach_the_language_model():
+    text = " ".join(["you stupid idiot", "the idiot was stupid", "what an asshole", "they die", "a well known plan and good book", "tell all of them"] * 50)
+    x = np.append(0, T.encode(text).astype(np.int64))
+    n = np.bincount(x[:-2] * T.CLASSES**2 + x[1:-1] * T.CLASSES + x[2:], minlength=T.CLASSES**3)
+    restorer = T.Restorer(T.log_probabilities(n.reshape((T.CLASSES,) * 3)))
+    for disguised, plain in [
+        ("id-iot", "idiot"), ("st.up.id", "stupid"), ("stu_pid", "stupid"), ("i d ! o t", "idiot"), ("a $ $ h o l e", "asshole"), ("d i e", "die"),
+        ("i   d   i   o   t", "idiot"), ("i\nd\ni\no\nt", "idiot"), ("well-known", "well known"), ("good book", "good book"), ("tell all", "tell all"),
+    ]:
+        assert restorer.text(disguised) == plain and set(plain.split()) <= restorer.words(disguised), disguised
