@@ -1,10 +1,13 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element. Lines inside boilerplate elements (menus, headers, footers,
-sidebars, notices, adverts, forms, comments) leave one line without length; lines made of links have no length either;
-scripts and styles make no line. Text lengths are summed over a sliding window of lines. A region begins where the sums surge and ends where they
-dive; every line in it is kept. Where the page marks its article, all lines inside it are kept. An article whose only
-marks stand inside wrappers with boilerplate names (a page's layout) is kept too.
+Markup is stripped into lines, one for each block of text; where containers end or begin, blank lines stand between
+them. A line's length is the number of its characters outside links. Hints only weigh lines and move boundaries: a line
+of a menu, header, footer, sidebar, notice, advert, form or comment weighs nothing, and an article's own marks widen a
+region to the article's ends.
+
+The lengths are summed over a sliding window of lines. A region surges where the sums leave zero, if its fullest window
+is worth it, and dives where they are back at zero; the text between these points is kept. What stands outside is
+dropped because of the sums, whatever its element is.
 """
 
 from __future__ import annotations
@@ -12,6 +15,8 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import accumulate, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,75 +32,125 @@ SURGE_SHARE = 0.2
 #: A line with more than this share of its characters inside links has no text length.
 LINK_SHARE = 0.6
 
-# fixed values: element names and name parts of HTML pages
-BLOCKS = set("address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead title tr ul".split())
-VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE = set("nav header footer aside form menu button select option dialog noscript template iframe object svg canvas label fieldset head title".split())
+# fixed values: element names of HTML
+BLOCKS = frozenset(
+    """
+    address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption
+    figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select
+    summary table tbody td tfoot th thead title tr ul
+    """.split()
+)
+CONTAINERS = frozenset("article aside body details dialog div dl fieldset footer form header main menu nav ol section table ul".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+BOILERPLATE = frozenset("aside button canvas dialog fieldset footer head header iframe label menu nav noscript object option select svg template title".split())
 RAW = "script|style|noscript|template|iframe|textarea|svg|canvas|object|xmp"
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|adsense|banner|promo\w*|sponsor\w*|nav\w*|menu\w*|breadcrumb\w*|pagination|pager|sidebar|side|widget\w*|footer|foot|header|masthead|topbar|toolbar|cookie\w*|consent|notice\w*|gdpr|popup|modal|newsletter|subscribe|signup|login|search\w*|form|comment\w*|disqus|respons\w*|replies|reply|related|recommend\w*|share|sharing|social|copyright|legal|disclaimer|skip)(?=$|[\s_-])",
-    re.I,
+#: Elements that a block cannot stand in, so their end tag never closes what stands around a boundary.
+NARROW = frozenset("a b i li p span".split())
+#: Elements that end where the next of their kind begins.
+SELF_ENDING = frozenset("dd dt li option p td tr".split())
+
+# fixed values: words of class names and ids, which are split at '-' and '_'
+NAMES = frozenset(
+    """
+    adsense banner breadcrumb breadcrumbs consent cookie cookies copyright disclaimer footer form gdpr header legal login
+    masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion search
+    share sharing sidebar signup skip social subscribe toolbar topbar widget widgets
+    """.split()
 )
-#: Names of what surrounds or heads an article, and the latter's wider form inside one.
-LAYOUT = re.compile(r"(?<!\S)(?:has|with|without|no)[-_][^\s]+|(?<!\S)(?:article|post|entry|story|content)[-_]header(?!\S)", re.I)
-HEADING = re.compile(r"(?<!\S)[^\s]+[-_]header(?!\S)", re.I)
-#: Boilerplate that has articles of its own, so that <article> inside isn't the page's.
-OTHERS = re.compile(r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|promo\w*|sponsor\w*|widget\w*|comment\w*|disqus|respons\w*|replies|reply|related|recommend\w*)(?=$|[\s_-])", re.I)
-ROLES = re.compile(r"\brole\s*=\s*[\"']?(?:navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu\w*)\b", re.I)
-ARTICLE_NAMES = re.compile(r"\b(?:itemprop\s*=\s*[\"']?articleBody|role\s*=\s*[\"']?(?:main|article))\b", re.I)
+#: Of these, which may hold articles of their own, so that an article inside isn't the page's.
+OTHERS = frozenset("ad ads adv advert adverts advertisement comment comments disqus recommended related replies reply respond responses sponsor sponsored".split())
+#: From such a word on, a name tells what the page around is like.
+ABOUT = frozenset("has with without no is not show hide".split())
+#: Words before '-header' that name an article's own head.
+OWN_HEAD = frozenset("article post entry story content page section".split())
+ROLES = frozenset("alert banner complementary contentinfo dialog menu menubar navigation search".split())
 
 #: Comments and raw elements, whichever begins first; only svg may close itself.
-_CUT = re.compile(rf"(?P<comment><!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>)|<svg\b[^>]*/>|<({RAW})\b[^>]*>.*?(?:</\2\s*>|\Z)", re.I | re.S)
+_CUT = re.compile(rf"(?P<comment><!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>)|<svg(?=[\s/>])[^>]*/>|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\2\s*>|\Z)", re.I | re.S)
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?>[^\"'>]+|\"[^\"]*\"|'[^']*'|[\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)")
-_LABEL = re.compile(r"\b(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTR = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+
+#: What an element does to the lines inside: nothing, weighs them zero for sure, or by its name alone, or marks the article.
+PLAIN, ZERO, NAMED, MAIN = range(4)
 
 
-def _kind(name: str, attrs: str, inside: bool = False) -> str:
-    """'skip' for boilerplate elements, 'name' for those by a name alone, 'main' for those that mark the article, else ''."""
-    if name in ("article", "main") or (attrs and ARTICLE_NAMES.search(attrs)):
-        return "main"
+@dataclass
+class Line:
+    text: str
+    length: int  #: characters outside links, or 0 where links are most of them
+    hard: bool  #: inside boilerplate whatever stands around it
+    soft: bool  #: inside an element, around the article, that only a name tells
+    article: int  #: number of the outermost article mark around it, or 0
+
+
+def _named(label: str, inside: bool) -> int:
+    """What a class attribute or an id says of an element."""
+    found = PLAIN
+    for name in label.lower().split():
+        words = list(takewhile(lambda w: w not in ABOUT, filter(None, re.split(r"[-_]+", name))))
+        if len(words) > 1 and words[-1] == "header" and (inside or words[0] in OWN_HEAD):
+            continue
+        if not OTHERS.isdisjoint(words):
+            return ZERO
+        if not NAMES.isdisjoint(words):
+            found = NAMED
+    return found
+
+
+def _kind(name: str, attrs: str, inside: bool) -> int:
+    """What an element is; inside says whether an article is open around it."""
+    if name in ("article", "main"):
+        return MAIN
     if name in BOILERPLATE:
-        return "skip"
-    if attrs and name not in ("html", "body"):
-        if ROLES.search(attrs) or _HIDDEN.search(attrs):
-            return "skip"
-        labels = [LAYOUT.sub("", a or b or c) for a, b, c in _LABEL.findall(attrs)]
-        if inside:
-            labels = [HEADING.sub("", x) for x in labels]
-        if any(NAMES.search(x) for x in labels):
-            return "skip" if any(OTHERS.search(x) for x in labels) else "name"
-    return ""
-
-
-def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """((text, length, in the article) of every line; whether the article is marked). Boilerplate is a line ''."""
-    page = _CUT.sub(lambda m: "" if m["comment"] else " ", page)
-    out, marked, wrapped = _lines(page, False)
-    if wrapped and not marked:  # the article's wrapper has a boilerplate name
-        out, marked, _ = _lines(page, True)
-    return out, marked
+        return PLAIN if name == "header" and inside else ZERO
+    found = NAMED if name == "form" else PLAIN
+    if not attrs or name in ("html", "body"):
+        return found
+    for key, *values in _ATTR.findall(attrs):
+        key, value = key.lower(), values[0] or values[1] or values[2]
+        if key == "role" and value.lower() in ("main", "article") or key == "itemprop" and value == "articleBody":
+            return MAIN
+        if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _NO_DISPLAY.search(value):
+            return ZERO
+        if key == "role" and value.lower() in ROLES:
+            return ZERO
+        if key in ("class", "id"):
+            found = found if (said := _named(value, inside)) == PLAIN else ZERO if ZERO in (said, found) else said
+    return found
 
 
-def _lines(page: str, reopen: bool) -> tuple[list[tuple[str, int, bool]], bool, bool]:
-    """lines, and whether an article stands inside wrappers of boilerplate names; with reopen it ends their skipping."""
-    out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, str, int]] = []
+def lines(page: str) -> list[Line]:
+    """Every block of text of the page in order, with blank lines (text '') where containers end or begin."""
+    page = _CUT.sub(lambda m: "" if m["comment"] else " ", page)
+    out: list[Line] = []
+    stack: list[tuple[str, int, int]] = []  # name, kind, NAMED elements open outside of an article mark
+    places: dict[str, list[int]] = {}  # where each name stands in the stack
+    kinds: list[int] = []  # places in the stack that aren't PLAIN
     parts: list[str] = []
-    linked, links, skips, named, mains, marked, wrapped, start = 0, 0, 0, 0, 0, False, False, 0
+    linked = links = zeros = named = around = mains = articles = gap = start = 0
 
-    def close_line() -> None:
+    def add(piece: str) -> None:
         nonlocal linked
-        text = " ".join(entities.unescape("".join(parts)).split())
+        piece = entities.unescape(piece)
+        parts.append(piece)
+        linked += len("".join(piece.split())) if links else 0
+
+    def close_line() -> None:
+        nonlocal linked, gap
+        words = "".join(parts).split()
         parts.clear()
-        if text and not skips + named:
-            out.append((text, 0 if linked > LINK_SHARE * len(text) else len(text), mains > 0))
+        if words:
+            text = " ".join(words)
+            out.extend([Line("", 0, False, False, 0)] * min(gap, WINDOW))
+            gap = 0
+            length = 0 if linked > LINK_SHARE * sum(map(len, words)) else len(text)
+            out.append(Line(text, length, zeros > 0 or (mains > 0 and named > 0), (around if mains else named) > 0, articles if mains else 0))
         linked = 0
 
     for tag in _TAG.finditer(page):
         if tag.start() > start:
-            parts.append(piece := page[start : tag.start()])
-            linked += len(piece.strip()) if links else 0
+            add(page[start : tag.start()])
         start = tag.end()
         name = (tag[2] or tag[5] or "").lower()
         if not name:
@@ -103,71 +158,110 @@ def _lines(page: str, reopen: bool) -> tuple[list[tuple[str, int, bool]], bool,
         if name in BLOCKS:
             close_line()
         if tag[1] or tag[4]:
-            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            # an end tag inside an article or boilerplate element doesn't end what stands around that element
-            if depth is None or (name in ("p", "b", "i", "a", "span", "li") and any(k for _, k, _ in stack[depth + 1 :])):
+            if not (own := places.get(name)) or (name in NARROW and kinds and kinds[-1] > own[-1]):
                 continue
-            for other, kind, held in stack[depth:]:
+            for _ in range(len(stack) - own[-1]):
+                other, kind, held = stack.pop()
+                places[other].pop()
+                if kind != PLAIN:
+                    kinds.pop()
                 links -= other == "a"
-                named += held - (kind == "name")
-                skips -= kind == "skip"
-                mains -= kind == "main"
-            del stack[depth:]
+                zeros -= kind == ZERO
+                mains -= kind == MAIN
+                if kind == MAIN and not mains:
+                    named, around = held, 0
+                named -= kind == NAMED
+                gap += WINDOW if kind == MAIN else other in CONTAINERS
         elif name not in VOID:
-            if name in ("p", "li", "option", "td", "tr", "dt", "dd") and stack and stack[-1][0] == name and not stack[-1][1]:
-                stack.pop()  # such elements end where the next one begins
-            kind, held = _kind(name, tag[3] or tag[6] or "", mains > 0), 0
-            if kind == "main" and named and not skips:
-                wrapped = True
-                if reopen:
-                    held, named = named, 0
-            if name == "header" and mains and not skips + named:
-                kind = ""  # an article's own header holds its title
-            if kind in ("skip", "name") and not skips + named and out and out[-1][0]:
-                out.append(("", 0, mains > 0))  # one line stands for boilerplate, however much there is
-            stack.append((name, kind, held))
+            if name in SELF_ENDING and stack and stack[-1][0] == name and stack[-1][1] == PLAIN:
+                stack.pop()
+                places[name].pop()
+            kind = _kind(name, tag[3] or tag[6] or "", mains > 0)
+            places.setdefault(name, []).append(len(stack))
+            if kind != PLAIN:
+                kinds.append(len(stack))
+            stack.append((name, kind, named))
             links += name == "a"
-            skips += kind == "skip"
-            named += kind == "name"
-            mains += kind == "main"
-            marked |= kind == "main" and not skips + named
-    parts.append(page[start:])
-    linked += len(page[start:].strip()) if links else 0
+            zeros += kind == ZERO
+            named += kind == NAMED
+            if kind == MAIN:
+                if not mains:
+                    around, named, articles = named, 0, articles + 1
+                mains += 1
+            gap += WINDOW if kind == MAIN else name in CONTAINERS
+    add(page[start:])
     close_line()
-    return out, marked, wrapped
-
-
-def regions(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
-    """[surge, dive) of each region: from a window that surges back to its first line with text, on to a window without any."""
-    n = len(lengths)
-    total, sums = sum(lengths[: window - 1]), []
-    for i in range(n):
-        total += lengths[i + window - 1] if i + window - 1 < n else 0
-        sums.append(total)
-        total -= lengths[i]
-    surge = min(SURGE_CHARS, SURGE_SHARE * max(sums, default=0))
-    found, i = [], 0
-    while i < n:
-        if not sums[i]:
-            i += 1
-            continue
-        end = i
-        while end < n and sums[end]:
-            end += 1
-        if max(sums[i:end]) >= surge > 0:
-            first = next(k for k in range(i, end) if lengths[k])
-            last = next(k for k in range(end - 1, i - 1, -1) if lengths[k])
-            found.append((first, last + 1))
+    return out
+
+
+def _sums(lengths: list[int], window: int = WINDOW) -> list[int]:
+    """Of each line the summed lengths of the window that begins there."""
+    ends = [0, *accumulate(lengths)]
+    return [ends[min(i + window, len(lengths))] - ends[i] for i in range(len(lengths))]
+
+
+def _surge(full: int) -> float:
+    """The least sum that is a surge where the fullest window has `full` characters."""
+    return min(SURGE_CHARS, SURGE_SHARE * full)
+
+
+def weigh(found: list[Line]) -> tuple[list[int], list[bool]]:
+    """(length that each line weighs, which lines an article mark holds).
+
+    Names are only believed where what is left beside them is a surge: they don't weigh on an article that is marked
+    nowhere else, nor on a page of which they hold the text.
+    """
+    plain = [not (x.hard or x.soft) for x in found]
+    bare = [not x.hard for x in found]
+    if not any(p and x.article for p, x in zip(plain, found, strict=True)):
+        if any(b and x.article for b, x in zip(bare, found, strict=True)):
+            plain = [b and (x.article > 0 or not x.soft) for b, x in zip(bare, found, strict=True)]
+        else:
+            left, all_ = (max(_sums([x.length * o for x, o in zip(found, some, strict=True)]), default=0) for some in (plain, bare))
+            plain = plain if left >= _surge(all_) > 0 else bare
+    return [x.length * p for x, p in zip(found, plain, strict=True)], [x.article > 0 and p for x, p in zip(found, plain, strict=True)]
+
+
+def regions(lengths: list[int], marked: list[bool] | None = None, window: int = WINDOW) -> list[tuple[int, int]]:
+    """[surge, dive) of each region, from its first line with length to its last one.
+
+    A region is a longest run of windows whose sums aren't zero, if its fullest window has SURGE_CHARS or SURGE_SHARE of
+    the page's fullest. Where some lines with length are marked, only windows that begin with such a line count.
+    """
+    sums = _sums(lengths, window)
+    if marked and any(n and m for n, m in zip(lengths, marked, strict=True)):
+        worth = [s if n and m else 0 for s, n, m in zip(sums, lengths, marked, strict=True)]
+    else:
+        worth = sums
+    surge, found, i = _surge(max(worth, default=0)), [], 0
+    while i < len(sums):
+        end = i + 1
+        if sums[i]:
+            while end < len(sums) and sums[end]:
+                end += 1
+            if max(worth[i:end]) >= surge:
+                first = next(k for k in range(i, end) if lengths[k])
+                last = next(k for k in range(end - 1, i - 1, -1) if lengths[k])
+                found.append((first, last + 1))
         i = end
     return found
 
 
+def kept(found: list[Line]) -> list[int]:
+    """Places of the lines between surge and dive; a region in a marked article reaches to that article's ends."""
+    lengths, marked = weigh(found)
+    spans = regions(lengths, marked)
+    touched = {found[k].article for a, b in spans for k in range(a, b) if marked[k]}
+    if touched:
+        ends = {n: [k for k, x in enumerate(found) if marked[k] and x.article == n] for n in touched}
+        spans = sorted((own[0], own[-1] + 1) for own in ends.values())
+    return [k for a, b in spans for k in range(a, b) if found[k].text and (lengths[k] or not (found[k].hard or found[k].soft) or marked[k])]
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by one space; '' for a null or empty page or one without text."""
-    found, marked = lines(page or "")
-    if marked:
-        return " ".join(text for text, _, inside in found if text and inside)
-    return " ".join(found[k][0] for a, b in regions([n for _, n, _ in found]) for k in range(a, b) if found[k][0])
+    found = lines(page or "")
+    return " ".join(found[k].text for k in kept(found))
 
 
 def extract(pages: DataFrame, html: str = "html", keys: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -1,6 +1,12 @@
 from __future__ import annotations
 
+import re
+import time
+
+import pandas as pd
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tallyweave.llm import htmltext as H
 
@@ -45,10 +51,80 @@ def test_article_text_is_not_dropped(page, text):
     assert H.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div style='overflow:hidden'><p>{P}</p></div>", P),
+        (f"<div class='overflow-hidden'><article><p>{P}</p></article></div>", P),
+        (f"<div class='page no-sidebar'><p>{P}</p></div>", P),
+        (f"<div class='side-by-side'><p>{P}</p></div>", P),
+        (f"<div class='content-with-sidebar menu-open'><p>{P}</p></div><p>And this.</p>", f"{P} And this."),
+        (f"<style-guide><p>{P}</p></style-guide><object-card>And this one.</object-card>", f"{P} And this one."),
+        (f"<form id=page><main><p>{P}</p><form><label>Mail</label></form></main></form>", P),
+        (f"<article><p>{P}</p>" + "<p><a href=x>Read this</a></p>" * 5 + "<p>End.</p></article>", " ".join([P, *["Read this"] * 5, "End."])),
+        ("<article><p>Short.</p></article><div><p>" + P * 9 + "</p></div>", "Short."),
+        (f"<div><p>{P}</p></div></div><div><div><p>&copy; us</p></div></div>", P),
+        (f"<p>{P}</p><p style='display:none'>No</p><p hidden>No</p><p aria-hidden=true>No</p>", P),
+        (f"<p>R&<b>amp;D {P}</b></p>", f"R&amp;D {P}"),
+        (f"<div class='user-comments-list'><p>{P}</p></div>", ""),
+    ],
+)
+def test_layout_words_and_odd_names(page, text):
+    assert H.main_text(page) == text
+
+
 def test_long_and_broken_pages_are_linear():
     page = "<div title=\"x" + "<p a='" * 20000 + P
     assert isinstance(H.main_text(page), str)
     assert H.main_text("<article>" + f"<p>{P}</p>" * 5000 + "</article>") == " ".join([P] * 5000)
+    H.main_text("<p>warm</p>")
+    began = time.process_time()
+    H.main_text("<div>" * 8000 + "</span>" * 8000 + P)
+    H.main_text("<article>" + "<div><p>" * 8000 + "</i></p>" * 8000 + P)
+    assert time.process_time() - began < 1.5
+
+
+def _bare_pages():
+    """Pages of the test tables without the marks of their articles."""
+    return [re.sub("</?article>", "", x) for x in pd.read_parquet("/root/testdata/sf0.01/pages.parquet")["html"].dropna()]
+
+
+def test_the_distribution_alone_decides():
+    """All lines between surge and dive, with no look at elements or names, are the text of pages that mark no article."""
+    for page, bare in zip(pd.read_parquet("/root/testdata/sf0.01/pages.parquet")["html"].dropna(), _bare_pages(), strict=True):
+        found = H.lines(bare)
+        lengths, marked = H.weigh(found)
+        spans = H.regions(lengths)
+        inside = {k for a, b in spans for k in range(a, b)}
+        assert not any(marked) and any(x.text and k not in inside for k, x in enumerate(found))
+        assert " ".join(found[k].text for k in sorted(inside) if found[k].text) == H.main_text(bare) == H.main_text(page)
+
+
+def test_without_the_distribution_menus_come_through():
+    assert all(" ".join(x.text for x in H.lines(page) if x.text) != H.main_text(page) for page in _bare_pages())
+
+
+def _plain_regions(lengths, window=H.WINDOW):
+    """The rule of surge and dive word by word: of every pair of lines, whether a region runs from one to the other."""
+    n = len(lengths)
+    total = lambda i: sum(lengths[i : i + window])
+    least = min(H.SURGE_CHARS, H.SURGE_SHARE * max(map(total, range(n)), default=0))
+    out = []
+    for a in range(n):
+        for b in range(a, n):
+            quiet_before = all(not lengths[k] for k in range(max(0, a - window), a))
+            quiet_after = not total(b + 1)
+            running = all(total(k) for k in range(a, b))
+            fullest = max(map(total, range(max(0, a - window + 1), b + 1)))
+            if lengths[a] and lengths[b] and quiet_before and quiet_after and running and fullest >= least:
+                out.append((a, b + 1))
+    return out
+
+
+@settings(deadline=None, max_examples=400)
+@given(st.lists(st.sampled_from([0, 0, 0, 0, 1, 7, 30, 90, 400]), max_size=24))
+def test_regions_against_the_plain_rule(lengths):
+    assert H.regions(lengths) == _plain_regions(lengths)
 
 
 def test_tables(spark):
@@ -58,6 +134,11 @@ def test_tables(spark):
     assert H.extract(pages.limit(0)).count() == 0
 
 
+def test_clashing_columns_and_repeated_pages(spark):
+    pages = spark.createDataFrame([(1, "u", f"<p>{P}</p>", "x", 5), (1, "u", f"<p>{P}</p>", "x", 5)], "page_id long, url string, html string, text string, n_chars long")
+    assert [(r["text"], r["n_chars"]) for r in H.extract(pages).collect()] == [(P, len(P))] * 2
+
+
 def test_regions_surge_and_dive():
     assert H.regions([0, 0, 90, 0, 50, 0, 0, 0, 5, 0]) == [(2, 5)]
     assert H.regions([]) == [] and H.regions([0, 0]) == []
