@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch. Texts reach 100 kB, so the default of 10,000 rows would not bound a worker's memory.
 BATCH_ROWS = 512
 HELD_OUT_REMAINDER = 1
+#: A key with more than one in so many of the rows is frequent.
+HOT = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,11 +61,23 @@ def thinned(df: DataFrame, key: Column, rate: Column | float) -> DataFrame:
     return df.where(u < rate)
 
 
-def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+def join_facts(rows: DataFrame, facts: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows joined with facts on key, which facts hold once; `size` says how many of the `total` rows have a key.
+
+    Keys with more than one in HOT of the rows number at most HOT, so their facts are broadcast, and no task gets all
+    the rows of a frequent key; the others are joined by key. Both inputs are read twice.
+    """
+    hot = F.broadcast(facts.where(F.col(size) > total / HOT))
+    rest = rows.join(hot.select(key), key, "left_anti").join(facts.where(F.col(size) <= total / HOT), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node in links (u, v): root is the smallest node reachable from it.
 
-    Alternates large-star and small-star contraction. Each round groups by a node and keeps a minimum (combined
-    before the shuffle), so a hub with very many neighbours is split like any skewed join. Self-links are ignored.
+    Alternates large-star and small-star contraction until nothing changes, which takes some log(nodes) rounds. Each
+    round groups by a node and keeps a minimum (combined before the shuffle), so a hub with very many neighbours is
+    split like any skewed join. Self-links and links with a null are ignored.
     """
     edges = cut(
         links.where("u IS NOT NULL AND v IS NOT NULL AND u <> v")
@@ -74,10 +88,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
 
-    before = state(edges)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
+    before, after = None, state(edges)
+    while after[0] and after != before:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")).withColumn("m", F.least("m", "n"))
         large = both.join(low, F.col("u") == F.col("n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -88,10 +100,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
             .union(small.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        after = state(edges)
-        if after == before:
-            break
-        before = after
+        before, after = after, state(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

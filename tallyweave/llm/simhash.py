@@ -4,13 +4,12 @@ A fingerprint's 64 bits form 32 segments of two bits; its embedding is the bit c
 distance of two embeddings never exceeds the Hamming distance of the fingerprints. Each count (0, 1 or 2) is written
 as a thermometer of two bits, so that distance is the bit count of one XOR.
 
-Grid range-join: the 32 axes form seven bands. A distance of at most four breaks at most four bands, so two
-fingerprints within reach agree in three bands at least, in their counts and, by the same argument, in the bits
-themselves: they share one of 35 grid cells. Cells by counts alone number some 2^19 a grid and fill up by chance in a
-large corpus, so a cell is told by the bits too, which makes 2^27 of them and loses nothing. Rows of a cell are linked along the cell (each with its first and its previous row), which is linear in a dense cell; the links
-give labels. Only rows of a cell with unlike labels still have to be compared, and one of two such rows differs from
-the first row's label, so just those rows are joined to their cell. No cap is needed and no link between components is
-lost. Every link is verified on the exact Hamming distance after the Manhattan bound.
+Grid range-join: the 32 axes form bands. A distance of at most four breaks at most four of them, so the counts of two
+fingerprints within reach agree in all the other bands: the fingerprints share a cell of one of the grids, each of which
+takes the counts of all bands but four. There are eight bands at least, and more as the number of fingerprints grows, so
+that a cell holds hardly any strangers. Pairs of a cell (see `cells`) are first held to the Manhattan distance of their
+whole embeddings, which turns most strangers away, then verified on the exact Hamming distance. No link between
+components is lost.
 """
 
 from __future__ import annotations
@@ -24,14 +23,19 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tallyweave.llm.common import arrow_pass, components, cut, fresh
+from tallyweave.llm import cells
+from tallyweave.llm.common import arrow_pass, components, cut, fresh, join_facts
 
 WIDTH = 4
 MAX_BITS = 4
 SEED = 42
-BANDS = 7
+SEGMENTS = 32
+#: Chance that two random segments of two bits have the same count.
+SAME = 3 / 8
+#: Bands are added until a cell holds so many strangers on average, or MOST_BANDS are reached.
+STRANGERS = 0.25
+LEAST_BANDS, MOST_BANDS = 8, 12
 
 
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
@@ -71,55 +75,40 @@ def _embedding(fp: Column) -> Column:
     return low.bitwiseOR(high).bitwiseOR(F.shiftleft(low.bitwiseAND(high), 1))
 
 
-def _cells(fps: DataFrame) -> DataFrame:
-    """One row for each fingerprint and grid cell that holds it."""
-    axes = np.array_split(np.arange(32), BANDS)
+def bands_for(n: int) -> int:
+    """The bands for n different fingerprints: eight up to 1.6 million, nine up to 9.8 million, and so on."""
+    return next((b for b in range(LEAST_BANDS, MOST_BANDS) if n * SAME ** (SEGMENTS * (b - MAX_BITS) / b) <= STRANGERS), MOST_BANDS)
+
+
+def grid_cells(fps: DataFrame, bands: int) -> DataFrame:
+    """(cell, fp): one row for each fingerprint and grid, told by the counts of all bands but MAX_BITS."""
+    axes = np.array_split(np.arange(SEGMENTS), bands)
     masks = [reduce(lambda m, s: m | 3 << 2 * int(s), band, 0) for band in axes]
-    chosen = [reduce(int.__or__, c) for c in combinations(masks, BANDS - MAX_BITS)]
-    signed = [m - (1 << 64) if m >> 63 else m for m in chosen]
-    cells = F.array(*(F.struct(F.lit(i).cast("short").alias("grid"), F.col("fp").bitwiseAND(F.lit(m)).alias("cell")) for i, m in enumerate(signed)))
-    return fps.select("*", F.inline(cells))
+    grids = [reduce(int.__or__, c) for c in combinations(masks, bands - MAX_BITS)]
+    signed = F.array(*(F.lit(m - (1 << 64) if m >> 63 else m) for m in grids))
+    spread = fps.select("fp", _embedding(F.col("fp")).alias("counts"), F.posexplode(signed).alias("grid", "mask"))
+    return spread.select(F.xxhash64("grid", F.col("counts").bitwiseAND(F.col("mask"))).alias("cell"), "fp")
+
+
+def within_bound(pairs: DataFrame) -> DataFrame:
+    """The different pairs (u, v) whose embeddings are at most MAX_BITS apart."""
+    return pairs.where(F.bit_count(_embedding(F.col("u")).bitwiseXOR(_embedding(F.col("v")))) <= MAX_BITS).distinct()
 
 
-def _near(a: Column, b: Column) -> Column:
-    """The Manhattan distance of the embeddings, then the Hamming distance, are within MAX_BITS."""
-    bound = F.bit_count(_embedding(a).bitwiseXOR(_embedding(b))) <= MAX_BITS
-    return bound & (F.bit_count(a.bitwiseXOR(b)) <= MAX_BITS)
+def verified(pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) of fingerprints that are at most MAX_BITS apart."""
+    return pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= MAX_BITS)
 
 
-def near_links(fps: DataFrame) -> DataFrame:
+def near_links(fps: DataFrame, n: int | None = None) -> DataFrame:
     """Links (u, v) between distinct fingerprints that join the same components as all pairs within MAX_BITS do.
 
-    fps: column fp, no value twice. The result holds at most two links a cell row plus one for each pair that is
-    within reach and yet unlike in label, not all pairs of a dense cluster.
+    fps: column fp, no value twice; n of them. The result holds at most two links a cell row plus one for each pair that
+    is within reach and yet unlike in label, not all pairs of a dense cluster.
     """
-    by_cell = Window.partitionBy("grid", "cell").orderBy("fp")
-    along = (
-        _cells(fps.select("fp"))
-        .select("fp", F.lag("fp").over(by_cell).alias("prev"), F.first("fp").over(by_cell).alias("head"))
-        .where("prev IS NOT NULL")
-        .select(F.col("fp").alias("u"), F.explode(F.filter(F.array_distinct(F.array("prev", "head")), lambda x: _near(F.col("fp"), x))).alias("v"))
-        .distinct()
-    )
-    along = cut(along)
-    roots = components(along)
-    labelled = fps.select("fp").join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("label"))
-    whole = Window.partitionBy("grid", "cell")
-    mixed = cut(
-        _cells(labelled)
-        .select("grid", "cell", "fp", "label", F.first("label").over(by_cell).alias("head"), F.min("label").over(whole).alias("lo"), F.max("label").over(whole).alias("hi"))
-        .where("lo <> hi")
-        .select("grid", "cell", "fp", "label", "head")
-    )
-    other = mixed.select("grid", "cell", F.col("fp").alias("v"), F.col("label").alias("v_label"))
-    across = (
-        mixed.where("label <> head")
-        .join(other, ["grid", "cell"])
-        .where((F.col("label") != F.col("v_label")) & _near(F.col("fp"), F.col("v")))
-        .select(F.col("fp").alias("u"), "v")
-        .distinct()
-    )
-    return along.union(across)
+    shared = cells.in_company(grid_cells(fps.select("fp"), bands_for(fps.count() if n is None else n)))
+    links = cut(verified(within_bound(cells.along(shared))))
+    return links.union(verified(within_bound(cells.across(shared, components(links)))))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
@@ -130,11 +119,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """
     rows = cut(fingerprints(docs, text, doc_id, width))
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_same")))
-    roots = components(near_links(classes))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n_same", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = cut(rooted.join(least, "root").select(F.col("fp").alias("class_fp"), "component_id", "n_same"))
-    return rows.join(named, F.col("fp") == F.col("class_fp")).select(
+    n, n_rows = classes.agg(F.count("*"), F.coalesce(F.sum("n_same"), F.lit(0))).first()
+    roots = components(near_links(classes, n))
+    rooted = cut(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n_same", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_root"))
+    named = cut(join_facts(rooted, least, "root", "n_root", n).select("fp", "component_id", "n_same"))
+    return join_facts(rows, named, "fp", "n_same", n_rows).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_same"
     )
 
