@@ -1,12 +1,14 @@
 """Near copies by the exact overlap of word shingles: the corpus pipeline's deduplication.
 
-Two texts are near copies where their sets of five-word shingles have a Jaccard similarity of 0.8 or more. A simhash
-radius doesn't reach that: such pairs lie some ten bits apart, and bands for so many broken bits hold hardly a bit each.
+Two texts are near copies where their sets of five-word shingles have a Jaccard similarity of 0.8 or more. Candidates
+come from two signatures of the set:
 
-Candidates: 128 least shingle hashes in 32 bands of four. Texts of similarity 0.8 share no band with probability
-(1 - 0.8^4)^32, which is 5e-8, and less above. Rows of a cell are linked along it (each with its first and its previous
-row), the links that hold give labels, and only rows of a cell with unlike labels are compared further, as in
-`simhash`. Every link is verified on the shingle sets themselves, so no text goes that isn't a near copy.
+* its SimHash fingerprint: fingerprints within four bits of each other, by the grid range-join of `simhash`;
+* 128 least shingle hashes in 32 bands of four, since texts of similarity 0.8 lie some ten bits apart, which no grid of
+  64 bits reaches. Such texts share no band with probability (1 - 0.8^4)^32, which is 5e-8, and less above.
+
+Pairs that share a band are found as `cells` says. Every link is verified on the shingle sets themselves, so no text
+goes that isn't a near copy.
 """
 
 from __future__ import annotations
@@ -18,9 +20,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tallyweave.llm.common import arrow_pass, components, cut, fresh
+from tallyweave.llm import cells, simhash
+from tallyweave.llm.common import arrow_pass, components, cut, fresh, join_facts
 
 WIDTH = 5
 #: Least similarity as a fraction of whole numbers, so that the comparison is exact.
@@ -30,19 +32,13 @@ BANDS, ROWS = 32, 4
 _FACTORS, _TERMS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
-    """Hashes of the different shingles of `width` words, in order; a shorter text is one shingle, a wordless one none."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= width:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    digest = xxhash.xxh64_intdigest
-    pairs = zip((ends - sizes)[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)
-    return np.unique(np.fromiter((digest(joined[i:j], SEED) for i, j in pairs), np.uint64, len(words) - width + 1))
+def shingles(text: str | None, width: int = WIDTH) -> tuple[np.ndarray, int]:
+    """(hashes of the different shingles of `width` words, in order; the fingerprint of all of them).
+
+    A shorter text is one shingle, a wordless one none.
+    """
+    hashes = simhash.shingle_hashes(text, width)
+    return np.unique(hashes), simhash.majority(hashes)
 
 
 def _digest(found: np.ndarray) -> int:
@@ -69,15 +65,16 @@ def near(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sets(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
-    """(doc_id, fp, cells) of every row; fp tells shingle sets apart."""
+    """(doc_id, fp, bits, bands) of every row; fp tells shingle sets apart, bits is the fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingles(t, width) for t in b.column(1).to_pylist()]
-            cols = [pa.array(map(_digest, found), pa.int64()), pa.array(map(_cells, found), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *cols], ["doc_id", "fp", "cells"])
+            bits = np.array([f for _, f in found], np.uint64).view(np.int64)
+            cols = [pa.array([_digest(s) for s, _ in found], pa.int64()), pa.array(bits), pa.array([_cells(s) for s, _ in found], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *cols], ["doc_id", "fp", "bits", "bands"])
 
-    return arrow_pass(docs.select(F.col(doc_id).cast("long"), F.col(text)), run, "doc_id long, fp long, cells array<long>")
+    return arrow_pass(docs.select(F.col(doc_id).cast("long"), F.col(text)), run, "doc_id long, fp long, bits long, bands array<long>")
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
@@ -87,7 +84,8 @@ def _contents(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, width:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [(fp, s.tobytes()) for t, fp in zip(*(c.to_pylist() for c in b.columns), strict=True) if _digest(s := shingles(t, width)) == fp]
+            sets = ((fp, shingles(t, width)[0]) for t, fp in zip(*(c.to_pylist() for c in b.columns), strict=True))
+            found = [(fp, s.tobytes()) for fp, s in sets if _digest(s) == fp]
             yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["fp", "content"])
 
     return arrow_pass(rows, run, "fp long, content binary").dropDuplicates(["fp"])  # rows may share their id
@@ -106,50 +104,42 @@ def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
     return arrow_pass(pairs.join(a, "u").join(b, "v").select("u", "v", "u_set", "v_set"), run, "u long, v long")
 
 
+def _by_fingerprint(classes: DataFrame) -> DataFrame:
+    """Pairs (u, v) of classes with equal fingerprints or with fingerprints that near_links links."""
+    firsts = cut(classes.groupBy("bits").agg(F.min("fp").alias("head"), F.count("*").alias("n")))
+    n, n_classes = firsts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    same = join_facts(classes.select("fp", "bits"), firsts, "bits", "n", n_classes).select(F.col("fp").alias("u"), F.col("head").alias("v"))
+    links = simhash.near_links(firsts.select(F.col("bits").alias("fp")), n)
+    a, b = (firsts.select(F.col("bits").alias(x), F.col("head").alias(f"{x}_head")) for x in "uv")
+    return same.union(links.join(a, "u").join(b, "v").select("u_head", "v_head")).where("u <> v")
+
+
 def _links(docs: DataFrame, classes: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
-    """Links (u, v) between classes that join the same components as all near copies that share a cell do."""
-    by_cell, whole = Window.partitionBy("cell").orderBy("fp"), Window.partitionBy("cell")
-    shared = cut(
-        classes.select("fp", F.explode("cells").alias("cell"))
-        .select("cell", "fp", F.lag("fp").over(by_cell).alias("prev"), F.first("fp").over(by_cell).alias("head"), F.count("*").over(whole).alias("n"))
-        .where("n > 1")
-        .select("cell", "fp", "prev", "head")
-    )
-    wanted = classes.join(shared.select("fp").distinct(), "fp", "left_semi").select("fp", "first_id")
-    contents = cut(_contents(docs, wanted, text, doc_id, width))
-    tried = cut(shared.where("prev IS NOT NULL").select(F.col("fp").alias("u"), F.explode(F.array_distinct(F.array("prev", "head"))).alias("v")).distinct())
-    along = cut(_verified(tried, contents))
-    roots = components(along)
-    labelled = shared.select("cell", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("cell", "fp", F.coalesce("root", "fp").alias("label"))
-    mixed = cut(
-        labelled.select("cell", "fp", "label", F.first("label").over(by_cell).alias("head"), F.min("label").over(whole).alias("lo"), F.max("label").over(whole).alias("hi"))
-        .where("lo <> hi")
-        .select("cell", "fp", "label", "head")
-    )
-    other = mixed.select("cell", F.col("fp").alias("v"), F.col("label").alias("v_label"))
-    pairs = (
-        mixed.where("label <> head")
-        .join(other, "cell")
-        .where("label <> v_label")
-        .select(F.greatest("fp", "v").alias("u"), F.least("fp", "v").alias("v"))
-        .distinct()
-        .join(tried, ["u", "v"], "left_anti")
-    )
-    return along.union(_verified(pairs, contents))
+    """Links (u, v) between classes that join the same components as all near copies with a common band do."""
+    shared = cells.in_company(classes.select(F.explode("bands").alias("cell"), "fp"))
+    ordered = lambda pairs: pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    tried = cut(ordered(cells.along(shared).union(_by_fingerprint(classes))))
+    met = tried.select(F.explode(F.array("u", "v")).alias("fp")).union(shared.select("fp")).distinct()
+    contents = cut(_contents(docs, classes.join(met, "fp", "left_semi").select("fp", "first_id"), text, doc_id, width))
+    links = cut(_verified(tried, contents))
+    more = ordered(cells.across(shared, components(links))).join(tried, ["u", "v"], "left_anti")
+    return links.union(_verified(more, contents))
 
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """(doc_id, component_id) of every row: the smallest doc_id that a chain of near copies reaches.
 
-    Rows of equal doc_id stay separate. A null doc_id is never the smallest unless all are null.
+    Rows of equal doc_id stay separate. A null doc_id is never the smallest unless all are null. Null and wordless texts
+    are copies of one another.
     """
     rows = cut(_sets(docs, text, doc_id, width))
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.first("cells").alias("cells")))
+    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_same"), F.min("bits").alias("bits"), F.first("bands").alias("bands")))
+    n, n_rows = classes.agg(F.count("*"), F.coalesce(F.sum("n_same"), F.lit(0))).first()
     roots = components(_links(docs, classes, text, doc_id, width))
-    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = cut(rooted.join(least, "root").select(F.col("fp").alias("class_fp"), "component_id"))
-    return rows.join(named, F.col("fp") == F.col("class_fp")).select("doc_id", "component_id")
+    rooted = cut(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n_same", F.coalesce("root", "fp").alias("root")))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_root"))
+    named = cut(join_facts(rooted, least, "root", "n_root", n).select("fp", "component_id", "n_same"))
+    return join_facts(rows.select("doc_id", "fp"), named, "fp", "n_same", n_rows).select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:

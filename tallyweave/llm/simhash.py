@@ -38,25 +38,35 @@ STRANGERS = 0.25
 LEAST_BANDS, MOST_BANDS = 8, 12
 
 
-def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    """Unsigned 64-bit fingerprint of the text's shingles of `width` words, repeats included; 0 without a word."""
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the text's shingles of `width` words, repeats included; a shorter text is one shingle, a wordless one none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[i:j], SEED) for i, j in zip((ends - sizes)[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)]
+    spans = zip((ends - sizes)[: 1 - width].tolist(), ends[width - 1 :].tolist(), strict=True)
+    return np.fromiter((digest(joined[i:j], SEED) for i, j in spans), np.uint64, len(words) - width + 1)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint: the bits that more than half of the hashes have set; 0 without a hash."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):
-        octets = np.array(hashes[at : at + 65536], "<u8").view(np.uint8).reshape(-1, 8)
+        octets = hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(octets, axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * ones > len(hashes), bitorder="little").tobytes(), "little")
 
 
+def fingerprint(text: str | None, width: int = WIDTH) -> int:
+    """Unsigned 64-bit fingerprint of the text's shingles of `width` words, repeats included; 0 without a word."""
+    return majority(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
     """(doc_id, fp) of every row; fp is the fingerprint as a signed long. Null or wordless texts have fp 0."""
 
