@@ -7,12 +7,16 @@ come from two signatures of the set:
 * 128 least shingle hashes in 32 bands of four, since texts of similarity 0.8 lie some ten bits apart, which no grid of
   64 bits reaches. Such texts share no band with probability (1 - 0.8^4)^32, which is 5e-8, and less above.
 
-Pairs that share a band are found as `cells` says. Every link is verified on the shingle sets themselves, so no text
-goes that isn't a near copy.
+Pairs that share a band are found as `cells` says. Of the rows that still have company of another label, shingles that no
+other such row has bound the size of a partner: with `own` of them, a set of n shingles overlaps another one by n - own
+at most, and to be four fifths of both together the other set can't have more than 1.25 n - 2.25 own. So rows meet only
+rows of a size in reach, which spares copies with many edits the comparison with a whole group. Every link is verified
+on the shingle sets themselves, so no text goes that isn't a near copy.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +33,8 @@ WIDTH = 5
 SHARED, OF = 4, 5
 SEED = 42
 BANDS, ROWS = 32, 4
+#: Sizes of sets are told apart by steps of five per cent.
+STEP = math.log(1.05)
 _FACTORS, _TERMS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -78,17 +84,17 @@ def _sets(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
-    """(fp, content) of the wanted (fp, first_id): the set's hashes as bytes, of one row of each."""
+    """(fp, content) of the wanted (fp, first_id): the set's hashes in order, of one row of each."""
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
     rows = rows.join(wanted, F.col("_id").eqNullSafe(F.col("first_id"))).select("_text", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = ((fp, shingles(t, width)[0]) for t, fp in zip(*(c.to_pylist() for c in b.columns), strict=True))
-            found = [(fp, s.tobytes()) for fp, s in sets if _digest(s) == fp]
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["fp", "content"])
+            found = [(fp, s.view(np.int64)) for fp, s in sets if _digest(s) == fp]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64()))], ["fp", "content"])
 
-    return arrow_pass(rows, run, "fp long, content binary").dropDuplicates(["fp"])  # rows may share their id
+    return arrow_pass(rows, run, "fp long, content array<long>").dropDuplicates(["fp"])  # rows may share their id
 
 
 def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
@@ -97,8 +103,7 @@ def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (c.to_pylist() for c in batch.columns[2:])
-            hold = [near(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)) for s, t in zip(x, y, strict=True)]
+            hold = [near(x.values.to_numpy(), y.values.to_numpy()) for x, y in zip(*batch.columns[2:], strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["u", "v"]).filter(pa.array(hold, pa.bool_()))
 
     return arrow_pass(pairs.join(a, "u").join(b, "v").select("u", "v", "u_set", "v_set"), run, "u long, v long")
@@ -114,16 +119,34 @@ def _by_fingerprint(classes: DataFrame) -> DataFrame:
     return same.union(links.join(a, "u").join(b, "v").select("u_head", "v_head")).where("u <> v")
 
 
+def _reach(rows: DataFrame, contents: DataFrame) -> DataFrame:
+    """rows with n, their number of shingles, and most, the largest number of a partner."""
+    mine = contents.join(rows.select("fp").distinct(), "fp", "left_semi")
+    own = mine.select("fp", F.explode("content").alias("shingle")).groupBy("shingle").agg(F.min("fp").alias("fp"), F.count("*").alias("rows"))
+    own = own.where("rows = 1").groupBy("fp").agg(F.count("*").alias("own"))
+    sizes = mine.select("fp", F.size("content").alias("n")).join(own, "fp", "left").select("fp", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    most = F.floor((F.col("n") * OF - F.col("own") * (SHARED + OF)) / SHARED).cast("int")
+    return cut(rows.join(sizes.select("fp", "n", most.alias("most")), "fp"))
+
+
 def _links(docs: DataFrame, classes: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
     """Links (u, v) between classes that join the same components as all near copies with a common band do."""
     shared = cells.in_company(classes.select(F.explode("bands").alias("cell"), "fp"))
     ordered = lambda pairs: pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    tried = cut(ordered(cells.along(shared).union(_by_fingerprint(classes))))
+    # another order in each cell, so that a row meets other rows in each
+    tried = cut(ordered(cells.along(shared, F.xxhash64("cell", "fp")).union(_by_fingerprint(classes))))
     met = tried.select(F.explode(F.array("u", "v")).alias("fp")).union(shared.select("fp")).distinct()
     contents = cut(_contents(docs, classes.join(met, "fp", "left_semi").select("fp", "first_id"), text, doc_id, width))
     links = cut(_verified(tried, contents))
-    more = ordered(cells.across(shared, components(links))).join(tried, ["u", "v"], "left_anti")
-    return links.union(_verified(more, contents))
+    more = cut(ordered(cells.to_hubs(cells.labelled(shared, components(links)), links)).join(tried, ["u", "v"], "left_anti"))
+    links, tried = cut(links.union(_verified(more, contents))), tried.union(more)
+    rows = _reach(cells.mixed(cells.labelled(shared, components(links))), contents)
+    place = lambda n: F.floor(F.log(n) / STEP).cast("int")
+    # a partner has n * SHARED / OF shingles at least and `most` at most; none has more than its own partners' bound
+    least = F.ceil(F.col("n") * SHARED / OF)
+    reach = F.when(least <= F.col("most"), F.sequence(place(least), place(F.col("most")))).otherwise(F.array().cast("array<int>"))
+    pairs = cells.across(rows, reach, place(F.greatest("n", F.lit(1))))
+    return links.union(_verified(ordered(pairs).join(tried, ["u", "v"], "left_anti"), contents))
 
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:

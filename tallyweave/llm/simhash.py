@@ -117,8 +117,9 @@ def near_links(fps: DataFrame, n: int | None = None) -> DataFrame:
     is within reach and yet unlike in label, not all pairs of a dense cluster.
     """
     shared = cells.in_company(grid_cells(fps.select("fp"), bands_for(fps.count() if n is None else n)))
-    links = cut(verified(within_bound(cells.along(shared))))
-    return links.union(verified(within_bound(cells.across(shared, components(links)))))
+    links = cut(verified(within_bound(cells.along(shared, F.col("fp")))))
+    rows = cells.mixed(cells.labelled(shared, components(links)))
+    return links.union(verified(within_bound(cells.across(rows))))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:

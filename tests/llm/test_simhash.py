@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
 from tallyweave.llm import cells, simhash
 from tallyweave.llm.common import components
@@ -87,7 +88,7 @@ def test_the_manhattan_bound_turns_strangers_away(spark):
     # strangers that agree with another one in the counts of half the segments: bits swapped inside segments
     fps = {f ^ (r.getrandbits(32) << 32) for f in some for _ in range(4)} | {f ^ 1 << r.randrange(64) for f in some} | set(some)
     shared = cells.in_company(simhash.grid_cells(spark.createDataFrame([(_signed(f),) for f in fps], "fp long"), 8))
-    pairs = cells.along(shared).distinct()
+    pairs = cells.along(shared, F.col("fp")).distinct()
     bound, links = simhash.within_bound(pairs), simhash.verified(pairs)
     assert pairs.count() > 1.3 * bound.count() > 1.3 * links.count() > 300
     assert links.exceptAll(simhash.verified(bound)).count() == 0
