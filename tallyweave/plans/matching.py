@@ -64,7 +64,9 @@ def billed(v: Views) -> DataFrame:
 
 
 def decisions(v: Views) -> DataFrame:
-    return match.decide(billed(v), match.candidates(billed(v), v.transactions), v.hints)
+    invoices = billed(v)
+    names = match.name_scores(invoices, v.transactions)
+    return match.decide(invoices, match.contenders(invoices, v.transactions, names), v.hints)
 
 
 @query("SELECT invoice_id, txn_id FROM pairs", more=PAIRS.rstrip(",").rpartition("names AS")[0].rstrip().rstrip(","))
@@ -87,7 +89,7 @@ def mt_threshold(v: Views):
 
 @query("SELECT invoice_id, txn_id, total, currency_score = 1 AS same_currency, CAST(days AS BIGINT) AS days FROM totals WHERE total >= 0.70", more=SCORES)
 def sc_total(v: Views):
-    rows = match.scored(match.candidates(billed(v), v.transactions)).where("total >= 0.70")
+    rows = match.matches(billed(v), v.transactions, "0.70")
     return rows.select("invoice_id", "txn_id", "total", (F.col("currency_score") == 1).alias("same_currency"), F.col("days").cast("bigint").alias("days"))
 
 
