@@ -5,12 +5,14 @@ All stay inside Catalyst. Casts that may fail are try_casts, so a malformed valu
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: vocabularies and patterns that results depend on
 CATEGORIES = ("software_saas", "travel", "meals_entertainment", "hardware_office", "professional_services", "advertising", "utilities", "other")
 CURRENCIES = ("GBP", "USD", "EUR", "AUD", "CAD", "CHF", "JPY", "SEK", "NOK", "DKK", "PLN", "SGD", "HKD", "NZD", "ZAR", "AED", "CNY", "INR", "BRL", "MXN", "THB", "KRW")
+#: The narrow list that money is held to.
+STRICT_CURRENCIES = ("GBP", "USD", "EUR", "CAD", "AUD", "CHF", "JPY", "NZD", "SEK", "NOK", "DKK", "PLN")
 CITIES = ("LONDON", "MANCHESTER", "BRISTOL", "EDINBURGH", "GLASGOW", "BIRMINGHAM", "LEEDS", "LIVERPOOL", "CARDIFF", "BELFAST", "OXFORD", "CAMBRIDGE", "BRIGHTON", "READING", "YORK")
 FEES = r"\b(CONVERSION\s+FEE|FOREIGN\s+TRANSACTION\s+FEE|FX\s+FEE|WIRE\s+FEE|SWIFT\s+FEE|MEMBERSHIP\s+FEE)\b"
 TRANSFERS = r"\b(AMEX\s+PAYMENT|AMERICAN\s+EXPRESS|CARD\s+(PMT|REPAYMENT)|DD\s+AMEX|CARD\s+PAYMENT\s+TO\s+AMEX|STRIPE\s+PAYOUT|WISE\s+TRANSFER|MONZO\s+TRANSFER|INTERNAL\s+TRANSFER)\b"
@@ -28,11 +30,18 @@ GATED_HOSTS = (
     "dashboard.heroku.com", "vercel.com", "railway.app", "easyjet.com", "www.easyjet.com", "thetrainline.com", "www.thetrainline.com", "booking.thetrainline.com", "webflow.com", "www.webflow.com",
 )
 GATED_SUFFIX = ".webflow.com"
-_URL = r"https?://[^\s<>\"']"
 URL_PATTERNS = (
-    _URL + r"+\.pdf\b", r"https?://pay\.stripe\.com/[^\s<>\"']+", r"https?://invoice\.stripe\.com/[^\s<>\"']+", _URL + r"*paddle[^\s<>\"']+/invoice[^\s<>\"']*", r"https?://platform\.openai\.com/[^\s<>\"']*billing[^\s<>\"']*",
-    _URL + r"*\.zoom\.us/[^\s<>\"']*invoice[^\s<>\"']*", _URL + r"*\.zoom\.us/[^\s<>\"']*billing[^\s<>\"']*", r"https?://dashboard\.heroku\.com/[^\s<>\"']*invoice[^\s<>\"']*", r"https?://vercel\.com/[^\s<>\"']*billing[^\s<>\"']*", r"https?://railway\.app/[^\s<>\"']*billing[^\s<>\"']*",
-)
+    r"https?://[^\s<>\"']+\.pdf\b",
+    r"https?://pay\.stripe\.com/[^\s<>\"']+",
+    r"https?://invoice\.stripe\.com/[^\s<>\"']+",
+    r"https?://[^\s<>\"']*paddle[^\s<>\"']+/invoice[^\s<>\"']*",
+    r"https?://platform\.openai\.com/[^\s<>\"']*billing[^\s<>\"']*",
+    r"https?://[^\s<>\"']*\.zoom\.us/[^\s<>\"']*invoice[^\s<>\"']*",
+    r"https?://[^\s<>\"']*\.zoom\.us/[^\s<>\"']*billing[^\s<>\"']*",
+    r"https?://dashboard\.heroku\.com/[^\s<>\"']*invoice[^\s<>\"']*",
+    r"https?://vercel\.com/[^\s<>\"']*billing[^\s<>\"']*",
+    r"https?://railway\.app/[^\s<>\"']*billing[^\s<>\"']*",
+)
 FISCAL_FIRST_MONTH = 3
 VENDOR_SLUG, NUMBER_SLUG = 60, 64
 LOW_NUMBER_CONFIDENCE = 0.70
@@ -130,6 +139,21 @@ def label_bounds(label: str) -> tuple[str, str]:
     return date(y, FISCAL_FIRST_MONTH, 1).isoformat(), (date(y + 1, FISCAL_FIRST_MONTH, 1) - timedelta(days=1)).isoformat()
 
 
+def fiscal_years(spark: SparkSession, first: str, last: str) -> DataFrame:
+    """(label, days) of the fiscal years from one label to another; raises where the first is after the last."""
+    starts = [label_bounds(x)[0] for x in (first, last)]
+    if starts[0] > starts[1]:
+        raise ValueError(f"{first} is after {last}")
+    years = F.sequence(*(F.lit(x).cast("date") for x in starts), F.expr("INTERVAL 1 YEAR"))
+    rows = spark.range(1).select(F.explode(years).alias("day"))
+    return rows.select(fiscal_year(F.col("day")).alias("label"), F.datediff(F.add_months("day", 12), "day").alias("days"))
+
+
+def london_to_utc(local: Column) -> Column:
+    """London time without a zone as UTC time without a zone."""
+    return F.convert_timezone(F.lit("Europe/London"), F.lit("UTC"), local)
+
+
 def london_date(ts: Column) -> Column:
     return F.to_date(F.from_utc_timestamp(ts, "Europe/London"))
 
@@ -139,6 +163,11 @@ def money(c: Column) -> Column:
     return F.round(c.try_cast("decimal(20,4)"), 2).cast("decimal(18,2)")
 
 
+def money_text(c: Column) -> Column:
+    """The canonical text of an amount: two decimals half up, no separators; null where it is no number."""
+    return money(c).cast("string")
+
+
 def rate(c: Column) -> Column:
     """Six decimals, half up; null unless above zero."""
     r = F.round(c.try_cast("decimal(20,8)"), 6).cast("decimal(18,6)")

@@ -56,9 +56,8 @@ def sanitise(rows: DataFrame) -> DataFrame:
     return rows.withColumn("overall_confidence", F.least(*(F.col(f"conf_{f}") for f in CRITICAL)))
 
 
-def escalations(rows: DataFrame) -> Column:
+def escalations() -> Column:
     """Why a checked result should be extracted anew; empty if it needn't."""
-    del rows
     amounts = F.lit(True)
     for f in AMOUNTS:
         amounts = amounts & F.col(f).isNotNull()

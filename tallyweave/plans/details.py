@@ -66,7 +66,6 @@ scalar("fn_domain_sql", "emails", "msg_id", lambda: S.domain_first(C("from_addr"
 scalar("fn_html_text", "pages", "page_id", lambda: F.md5(S.html_text(C("html"))), "md5(trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')))")
 scalar("fn_urls", "pages", "page_id", lambda: F.array_join(S.invoice_urls(F.concat(C("html"), F.lit(" "), F.regexp_replace("url", r"/\w+/", "/billing/"), F.lit(".pdf). ")), C("url")), " "),
        "regexp_replace(regexp_extract(regexp_replace(url, '/\\w+/', '/billing/') || '.pdf). ', '(?i)https?://[^\\s<>\"'']+\\.pdf\\b', 0), '[.,;:)]+$', '')")
-scalar("fn_provider", "pages", "page_id", lambda: S.provider(F.regexp_replace("url", r"://[^/?#]+", "://accounts.webflow.com")), "'login_gated'")
 REDACTED = "text"
 for _p, _r in S.SECRETS:
     REDACTED = f"regexp_replace({REDACTED}, '{_p}', '{_r.replace('$1', chr(92) + '1').replace('$2', chr(92) + '2')}', 'g')"
@@ -122,16 +121,7 @@ def va_sanitise(v: Views):
     || CASE WHEN c0 = 'EUR' AND vat_amount IS NOT NULL AND gross IS NOT NULL THEN ',arithmetic' ELSE '' END || CASE WHEN category = 'travel' THEN ',date_window' ELSE '' END AS reasons FROM checked""", more=_VALID)
 def va_escalation(v: Views):
     done = inv.sanitise(extracted(v))
-    return done.select("invoice_id", F.array_join(inv.escalations(done), ",").alias("reasons"))
-
-
-@query("""SELECT invoice_id, CASE WHEN n = 1 THEN 'created' WHEN first_gross = amount_gross THEN 'duplicate_resend' ELSE 'corrected_invoice' END AS decision,
-    CASE WHEN n > 1 AND first_gross <> amount_gross THEN invoice_number || '-corrected-' || substr(sha256(invoice_id), 1, 6) ELSE invoice_number END AS filed_number
-    FROM (SELECT *, row_number() OVER w AS n, first_value(amount_gross) OVER w AS first_gross FROM invoices WINDOW w AS (PARTITION BY vendor_id, invoice_number ORDER BY invoice_date, invoice_id))""")
-def sink_invoice_file(v: Views):
-    incoming = v.invoices.select("invoice_id", "vendor_id", C("invoice_number").alias("number"), C("amount_gross").alias("gross"), C("invoice_date").alias("received_at"))
-    none = v.invoices.where("invoice_id IS NULL").select("vendor_id", "invoice_number", "amount_gross", "invoice_id")
-    return inv.file(incoming, none)
+    return done.select("invoice_id", F.array_join(inv.escalations(), ",").alias("reasons"))
 
 
 # --- feeds: raw rows are made from the ledger and parsed back ---
@@ -229,59 +219,6 @@ def src_dmarc(v: Views):
 # --- keyed updates ---
 
 
-@query("SELECT msg_id, CASE WHEN outcome IN ('error', 'no_attachment') AND dismissed_at IS NULL THEN NULL ELSE outcome END AS outcome, CASE WHEN outcome IN ('error', 'no_attachment') AND dismissed_at IS NULL THEN NULL ELSE error_code END AS error_code FROM emails")
-def sink_retry_errors(v: Views):
-    again = C("outcome").isin("error", "no_attachment") & C("dismissed_at").isNull()
-    return v.emails.select("msg_id", F.when(~F.coalesce(again, F.lit(False)), C("outcome")).alias("outcome"), F.when(~F.coalesce(again, F.lit(False)), C("error_code")).alias("error_code"))
-
-
-@query("SELECT msg_id, coalesce(outcome, 'pending') AS outcome FROM emails UNION ALL SELECT 'new-' || msg_id, 'pending' FROM emails WHERE outcome = 'neither'")
-def sink_email_ignore(v: Views):
-    """Incoming messages are inserted unless their id is known."""
-    old = v.emails.select("msg_id", F.coalesce("outcome", F.lit("pending")).alias("outcome"))
-    incoming = v.emails.select("msg_id").union(v.emails.where("outcome = 'neither'").select(F.concat(F.lit("new-"), "msg_id")))
-    fresh = incoming.distinct().join(old, "msg_id", "left_anti").select("msg_id", F.lit("pending").alias("outcome"))
-    return old.unionByName(fresh)
-
-
-@query("SELECT CASE WHEN outcome = 'neither' THEN 'new' WHEN processed_at IS NULL THEN 'skipped' ELSE 'updated' END AS what, count(*) AS n FROM emails GROUP BY 1")
-def sink_email_rescan(v: Views):
-    known = v.emails.where("outcome IS NULL OR outcome <> 'neither'").select("msg_id", C("processed_at").alias("_done"), F.lit(True).alias("_known"))
-    seen = v.emails.select("msg_id").join(known, "msg_id", "left")
-    return seen.select(F.when(C("_known").isNull(), "new").when(C("_done").isNull(), "skipped").otherwise("updated").alias("what")).groupBy("what").agg(F.count("*").alias("n"))
-
-
-@query("SELECT source, CAST(max(day) AS DATE) AS mark FROM (SELECT account AS source, booking_date AS day FROM transactions UNION ALL SELECT 'amex', DATE '2005-01-01' UNION ALL SELECT 'cash', NULL) GROUP BY source")
-def sink_watermark(v: Views):
-    """Marks merged by source; a null mark keeps the old one."""
-    old = v.transactions.groupBy(C("account").alias("source")).agg(F.max("booking_date").alias("mark"))
-    new = v.spark.createDataFrame([("amex", "2005-01-01"), ("wise-GBP", None), ("cash", None)], "source string, mark string").select("source", C("mark").cast("date").alias("mark"))
-    return merge(old, new, ["source"], {"mark": F.coalesce("new.mark", "old.mark")}, [F.desc("mark")])
-
-
-@query("SELECT source, CAST(CASE WHEN source = 'ms365' THEN 1 ELSE n + 1 END AS BIGINT) AS retry_count FROM (SELECT domain AS source, count(*) AS n FROM feedback GROUP BY domain UNION ALL SELECT 'ms365', 0)")
-def sink_reauth(v: Views):
-    old = v.feedback.groupBy(C("domain").alias("source")).agg(F.count("*").alias("retry_count"))
-    new = old.select("source", F.lit(1).cast("bigint").alias("retry_count")).union(v.spark.createDataFrame([("ms365", 1)], "source string, retry_count bigint"))
-    return merge(old, new, ["source"], {"retry_count": C("old.retry_count") + 1}, [F.desc("retry_count")])
-
-
-@query("SELECT run_id, CASE WHEN status = 'running' AND started_at < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 1 HOUR THEN 'interrupted' WHEN status = 'running' THEN 'cancelled' ELSE status END AS status FROM runs")
-def sink_run_stale(v: Views):
-    """Runs of more than an hour are interrupted; the others that still run are cancelled."""
-    old = C("started_at") < F.lit("2024-01-30 12:00:00").cast("timestamp") - F.expr("INTERVAL 1 HOUR")
-    running = C("status") == "running"
-    return v.runs.select("run_id", F.when(running & old, "interrupted").when(running, "cancelled").otherwise(C("status")).alias("status"))
-
-
-@query("SELECT vendor_id, canonical_name FROM vendors UNION ALL SELECT 'new-' || vendor_id, canonical_name FROM vendors WHERE starts_with(canonical_name, 'red')")
-def sink_vendor_get_or_create(v: Views):
-    old = v.vendors.select("vendor_id", "canonical_name")
-    seen = old.unionByName(old.where("canonical_name LIKE 'red%'").select(F.concat(F.lit("new-"), "vendor_id").alias("vendor_id"), "canonical_name"))
-    first = seen.groupBy("vendor_id").agg(F.min("canonical_name").alias("canonical_name"))
-    return old.unionByName(first.join(old, "vendor_id", "left_anti"))
-
-
 @query("SELECT row_id, invoice_id, txn_id, amount_gross_gbp AS allocated FROM recon LEFT JOIN invoices USING (invoice_id) WHERE state IN ('auto_matched', 'suggested', 'user_verified', 'user_overridden')")
 def sink_link_upsert(v: Views):
     """Links of rows that have a match, merged twice: the null-safe key finds the row again."""
@@ -289,23 +226,6 @@ def sink_link_upsert(v: Views):
     return merge(links, links, ["row_id", "invoice_id", "txn_id"], {"allocated": "new"}, [F.desc("allocated")])
 
 
-@query("SELECT msg_id, CASE WHEN outcome = 'error' THEN TIMESTAMP '2024-02-01 00:00:00' ELSE dismissed_at END AS dismissed_at FROM emails")
-def sink_dismiss(v: Views):
-    return v.emails.select("msg_id", F.when(C("outcome") == "error", F.lit("2024-02-01").cast("timestamp")).otherwise(C("dismissed_at")).alias("dismissed_at"))
-
-
-@query("SELECT domain FROM blocked UNION SELECT lower(split_part(from_addr, '@', 2)) FROM emails WHERE outcome = 'neither'")
-def sink_block_domain(v: Views):
-    return v.blocked.union(v.emails.where("outcome = 'neither'").select(S.domain(C("from_addr")))).distinct()
-
-
-@query("SELECT invoice_id, CASE WHEN deleted_reason IS NULL AND category = 'travel' THEN DATE '2002-01-01' ELSE last_exported_at END AS last_exported_at FROM invoices")
-def sink_mark_exported(v: Views):
-    chosen = v.invoices.where("category = 'travel'").select("invoice_id", F.lit(True).alias("_chosen"))
-    rows = v.invoices.join(chosen, "invoice_id", "left")
-    return rows.select("invoice_id", F.when(C("deleted_reason").isNull() & C("_chosen"), F.lit("2002-01-01").cast("date")).otherwise(C("last_exported_at")).alias("last_exported_at"))
-
-
 @query("SELECT page_id, regexp_matches(url, '^https://') AND NOT contains(split_part(split_part(url, '://', 2), '/', 1), '@') AS ok FROM pages")
 def sink_source_url(v: Views):
     part = lambda p: F.try_parse_url("url", F.lit(p))
@@ -329,9 +249,3 @@ def sm_watermark(v: Views):
     """Daily counts of the days that the watermark has passed."""
     s = ingest.table_stream(v.spark, v.dir, "events").withColumn("ts", C("ts").cast("timestamp"))
     return ingest.drain(ingest.windowed_counts(s, "ts", "event_type"))
-
-
-@query("SELECT status, count(*) AS n FROM (SELECT CASE WHEN pending_txn_id IS NULL THEN 'no_pending' WHEN settled_txn_id IS NULL THEN 'pending' ELSE 'merged' END AS status FROM resolved) GROUP BY status",
-       more="resolved AS (SELECT auth_id, min(txn_id) FILTER (WHERE kind = 'pending') AS pending_txn_id, min(txn_id) FILTER (WHERE kind = 'settled') AS settled_txn_id FROM auths GROUP BY auth_id)")
-def pend_record(v: Views):
-    return pending.resolve(v.auths).groupBy(C("outcome").alias("status")).agg(F.count("*").alias("n"))

@@ -189,11 +189,6 @@ def pend_settle(v: Views):
     return pending.superseded(pending.resolve(v.auths))
 
 
-@query("SELECT auth_id, pending_txn_id FROM resolved WHERE settled_txn_id IS NULL AND first_seen < DATE '2000-01-01' - 14", more=RESOLVED)
-def pend_stale(v: Views):
-    return pending.stale(pending.resolve(v.auths), "2000-01-01").select("auth_id", "pending_txn_id")
-
-
 SPLIT = f"""anchors AS (SELECT invoice_id AS anchor_id, CAST(x.value AS DECIMAL(18,2)) AS target, invoice_date AS day FROM invoices JOIN (SELECT 'm' || event_id AS msg_id, value FROM events) x ON x.msg_id = source_msg_id WHERE invoice_date BETWEEN DATE '{FY_START}' AND DATE '{FY_END}'),
     parts AS (SELECT msg_id AS row_id, value AS v, CAST(DATE '1998-03-01' + CAST(k % 365 AS INTEGER) AS DATE) AS d FROM emails WHERE value > 0),
     pool AS (SELECT anchor_id, target, row_id, v, d, (-v, d, row_id) AS p FROM anchors JOIN parts ON d BETWEEN day - 7 AND day + 7 WHERE v <= target + 0.50),

@@ -308,13 +308,6 @@ def ag_llm_cost(v: Views):
     return v.emails.where("outcome IS NOT NULL").groupBy("outcome").agg(F.count("*").alias("calls"), F.sum(tokens).alias("tokens"), F.sum(cost).cast("decimal(38,4)").alias("cost"))
 
 
-@query("SELECT msg_id, CAST(sum(value) OVER (PARTITION BY CAST(received_at AS DATE) ORDER BY received_at, msg_id) AS DECIMAL(38,2)) AS spent FROM emails")
-def ag_budget(v: Views):
-    """Running spend of each day's run."""
-    w = Window.partitionBy(F.to_date("received_at")).orderBy("received_at", "msg_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return v.emails.select("msg_id", F.sum("value").over(w).cast(CENTS).alias("spent"))
-
-
 @query("SELECT operation, run_id, status FROM (SELECT *, row_number() OVER (PARTITION BY operation ORDER BY started_at DESC, run_id) AS n FROM runs WHERE status <> 'running') WHERE n = 1")
 def wn_latest_run(v: Views):
     """max_by combines before the shuffle, so an operation with most of the runs is no burden."""
@@ -373,15 +366,6 @@ def st_running_first(v: Views):
 _CELL = "CASE WHEN regexp_matches(x, '^[=+\\-@]') THEN '''' || x ELSE x END"
 
 
-@query(f"SELECT row_id, state, CAST(match_score AS VARCHAR) AS score, coalesce(invoice_number, '') AS invoice_number, coalesce(CAST(invoice_date AS VARCHAR), '') AS invoice_date, CASE WHEN state = 'user_verified' THEN 'TRUE' ELSE 'FALSE' END AS verified, CASE WHEN state = 'user_personal' THEN 'TRUE' ELSE 'FALSE' END AS personal, CASE WHEN state = 'user_ignore' THEN 'TRUE' ELSE 'FALSE' END AS ignored, coalesce(description_raw, '') AS description, CASE WHEN t.amount < 0 THEN '''' || t.amount ELSE coalesce(CAST(t.amount AS VARCHAR), '') END AS amount FROM recon r LEFT JOIN invoices i USING (invoice_id) LEFT JOIN transactions t ON t.txn_id = r.txn_id WHERE fiscal_year = '{FY}' ORDER BY updated_at DESC, row_id")
-def rp_reconciliation(v: Views):
-    """Cells of the reconciliation tab, made safe for a sheet."""
-    rows = v.recon.where(F.col("fiscal_year") == FY).join(v.invoices.drop("k"), "invoice_id", "left").join(v.transactions.select("txn_id", "description_raw", "amount"), "txn_id", "left")
-    flag = lambda s: S.flag_cell(F.col("state") == s)
-    cells = rows.orderBy(F.desc("updated_at"), "row_id")
-    return cells.select("row_id", "state", F.col("match_score").cast("string").alias("score"), S.sheet_cell(F.col("invoice_number")).alias("invoice_number"), S.sheet_cell(F.col("invoice_date")).alias("invoice_date"), flag("user_verified").alias("verified"), flag("user_personal").alias("personal"), flag("user_ignore").alias("ignored"), S.sheet_cell(F.col("description_raw")).alias("description"), S.sheet_cell(F.col("amount")).alias("amount"))
-
-
 @query(f"SELECT invoice_id, canonical_name, invoice_number, invoice_date, currency, amount_gross, category FROM invoices LEFT JOIN vendors USING (vendor_id) WHERE deleted_reason IS NULL AND invoice_date {SPAN} AND invoice_id NOT IN (SELECT invoice_id FROM recon WHERE state <> 'unmatched')")
 def rp_unmatched_inv(v: Views):
     open_ = v.invoices.where(live() & in_year("invoice_date")).join(v.recon.where("state <> 'unmatched'"), "invoice_id", "left_anti")

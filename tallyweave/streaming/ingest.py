@@ -16,13 +16,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir, which driver and executors share; a temporary folder where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new path in spark.checkpoint.dir, which driver and executors share; on one machine a temporary folder may do."""
+    conf = spark.sparkContext.getConf()
+    root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{(root or tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def each_source(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """((source, outcome) of every source, the rows of those that could be read).
+
+    Each source is counted by itself, so that one that fails is named, as 'error:' and the kind of error, and the others
+    go on with 'ok:' and their rows.
+    """
+    outcomes, rows = [], {}
+    for name, read in sources.items():
+        try:
+            found = read()
+            outcomes.append((name, f"ok:{found.count()}"))
+            rows[name] = found
+        except Exception as error:  # whatever a source does, it doesn't stop the others
+            outcomes.append((name, f"error:{type(error).__name__}"))
+    return spark.createDataFrame(outcomes, "source string, outcome string"), rows
+
+
 def table_stream(spark: SparkSession, sf_dir: str, table: str, files: int = 4) -> DataFrame:
     """A table's Parquet file or folder as a stream, a few files a batch."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
