@@ -29,6 +29,8 @@ CALIBRATION = 5
 MIN_SCORE = 0.5
 UNDETERMINED = "und"
 EPOCHS = 3
+#: Languages of which there are fewer documents than one in so many aren't learned, so there are at most so many labels.
+MOST_LABELS = 1000
 # FTRL-proximal: learning rate alpha / (beta + sqrt(sum of squared gradients)), penalties l1 and l2
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.05
 
@@ -37,7 +39,7 @@ ALPHA, BETA, L1, L2 = 2.0, 1.0, 0.02, 0.05
 def _folds() -> np.ndarray:
     """Code point of each letter's lower case, 32 for what is no letter."""
     out = np.full(0x110000, 32, np.uint32)
-    for c in range(0x30000):
+    for c in range(0x110000):
         x = chr(c)
         if x.isalpha():
             out[c] = ord(low) if len(low := x.lower()) == 1 else c
@@ -150,11 +152,18 @@ def fit_temperature(logits: list[np.ndarray], ys: list[int]) -> float:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model from the rows that are not held out and have a language. Without such rows it has no labels."""
+    """A model from the rows that are not held out and have a language. Without such rows it has no labels.
+
+    Rows with a null id count as not held out; repeated rows count as often as they occur, in the document frequencies
+    and in the sample, where rows of one id are taken together or not at all. Null texts and texts without a letter
+    teach nothing. Languages with less than one in MOST_LABELS of the rows are left out.
+    """
     known = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull()).select(F.col(doc_id).cast("string").alias("i"), F.col(text).alias("t"), F.col(lang).alias("y"))
     df = document_frequencies(known, "t")
     idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0
-    by = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    sizes = known.groupBy("y").agg(F.count("*").alias("n"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    by = {r["y"]: r["n"] for r in sizes.where(F.col("n") * MOST_LABELS >= total).collect()}  # MOST_LABELS rows at most
     labels = sorted(by)
     if not labels:
         return Model([], idf, np.zeros((BUCKETS, 0)))
@@ -165,14 +174,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
         for b in batches:
             xs = [counts(t) for t in b.column(0).to_pylist()]
             at = [None if x is None else x[0].astype("<u2").tobytes() for x in xs]
-            n = [None if x is None else np.minimum(x[1], 0xFFFF).astype("<u2").tobytes() for x in xs]
+            n = [None if x is None else x[1].astype("<u4").tobytes() for x in xs]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(n, pa.binary()), b.column(1), b.column(2)], ["at", "n", "y", "c"])
 
     part = F.pmod(F.xxhash64(F.lit("calibrate"), "i"), F.lit(CALIBRATION)) == 0
     sample = thinned(known, F.col("i"), rates[F.col("y")]).select("t", "y", part.alias("c"))
     xs, ys, zs, zy = [], [], [], []
     for r in arrow_pass(sample, run, "at binary, n binary, y string, c boolean").where("at IS NOT NULL").collect():  # sample_rows, give or take
-        at, n = np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<u2")
+        at, n = np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<u4")
         x = (1 + np.log(n)) * idf[at]
         (zs if r["c"] else xs).append((at, x / np.sqrt(x @ x)))
         (zy if r["c"] else ys).append(labels.index(r["y"]))
@@ -199,20 +208,30 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def predictions(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row, by a model trained on the rows that are not held out."""
+    """(doc_id, held_out, lang_pred, score) of every row, by a model trained on the rows that are not held out.
+
+    Null texts and texts without a letter are UNDETERMINED with score 0. Equal texts have equal predictions; rows of
+    one id stay separate.
+    """
     model = train(docs, text, lang, doc_id)
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
     return identify(rows, model).drop("text")
 
 
-def keep_identified(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", min_score: float = MIN_SCORE) -> DataFrame:
-    """The rows of docs whose text has a language: some letter, and a score of min_score or more for the likeliest one."""
-    at_text = docs.columns.index(text)
+def keep_identified(
+    docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", min_score: float = MIN_SCORE, wanted: tuple[str, ...] | None = None
+) -> DataFrame:
+    """The rows of docs whose text has a language, one of the wanted ones if they are given: some letter, and a score of
+    min_score or more for the likeliest language. Where `lang` is null it becomes that language; other columns stay."""
+    names, at_text, at_lang = docs.columns, docs.columns.index(text), docs.columns.index(lang)
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, text, lang, doc_id))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shared.value.predict(t) for t in b.column(at_text).to_pylist()]
-            yield b.filter(pa.array([y != UNDETERMINED and s >= min_score for y, s in found], pa.bool_()))
+            cols = list(b.columns)
+            cols[at_lang] = pa.array([y if was is None else was for was, (y, _) in zip(cols[at_lang].to_pylist(), found, strict=True)], pa.string())
+            fine = [y != UNDETERMINED and s >= min_score and (wanted is None or y in wanted) for y, s in found]
+            yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(fine, pa.bool_()))
 
     return arrow_pass(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))

@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -67,22 +68,56 @@ def _syncsafe(four: bytes) -> int:
     return four[0] << 21 | four[1] << 14 | four[2] << 7 | four[3]
 
 
+def _resynchronised(data: bytes) -> bytes:
+    """data without the zero bytes that unsynchronisation puts after each 0xFF."""
+    return data.replace(b"\xff\x00", b"\xff")
+
+
+def _text(value: bytes) -> str:
+    kind = {0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(value[0], "utf-8")
+    return value[1:].decode(kind, "replace").rstrip("\0")
+
+
+def _tag_frames(body: bytes, version: int, flags: int) -> Iterator[tuple[str, bytes]]:
+    """(name, content) of the frames of an ID3v2 tag body; damaged rests are left out.
+
+    Unsynchronisation, extended headers, data length indicators and the three-letter names of version 2 are handled;
+    compressed and encrypted frames are skipped.
+    """
+    if flags & 0x80 and version < 4:
+        body = _resynchronised(body)
+    at, wide = 0, 3 if version == 2 else 4
+    if flags & 0x40 and version > 2 and len(body) >= 4:
+        at = _syncsafe(body[:4]) if version == 4 else 4 + int.from_bytes(body[:4], "big")
+    while at + (6 if wide == 3 else 10) <= len(body) and body[at] != 0:
+        name, size = body[at : at + wide].decode("latin-1"), body[at + wide : at + 2 * wide]
+        size = _syncsafe(size) if version == 4 else int.from_bytes(size, "big")
+        marks = 0 if wide == 3 else body[at + 9]
+        at += 6 if wide == 3 else 10
+        content = body[at : at + size]
+        at += size
+        if version == 4:
+            if marks & 0x0C:
+                continue
+            content = content[4:] if marks & 1 else content
+            content = _resynchronised(content) if marks & 2 or flags & 0x80 else content
+        elif marks & 0xC0:
+            continue
+        yield name, content
+
+
 def tags(data: bytes) -> tuple[dict[str, str], int, int]:
     """(text frames and ID3v1 fields, first byte after the leading tags, first byte of the trailing one)."""
     found: dict[str, str] = {}
     start, end = 0, len(data)
     while data[start : start + 3] == b"ID3" and start + 10 <= len(data):
-        body = start + 10
+        body, version, flags = start + 10, data[start + 3], data[start + 5]
         stop = min(len(data), body + _syncsafe(data[start + 6 : body]))
-        version, at = data[start + 3], body
-        while version in (3, 4) and at + 10 <= stop and data[at] != 0:
-            size = _syncsafe(data[at + 4 : at + 8]) if version == 4 else int.from_bytes(data[at + 4 : at + 8], "big")
-            name, value = data[at : at + 4].decode("latin-1"), data[at + 10 : min(stop, at + 10 + size)]
-            if name[0] == "T" and value:
-                kind = {0: "latin-1", 1: "utf-16", 2: "utf-16-be"}.get(value[0], "utf-8")
-                found[name] = value[1:].decode(kind, "replace").rstrip("\0")
-            at += 10 + size
-        start = stop + (10 if data[start + 5] & 0x10 else 0)
+        if version in (2, 3, 4):
+            for name, value in _tag_frames(data[body:stop], version, flags):
+                if name[0] == "T" and value:
+                    found[name] = _text(value)
+        start = stop + (10 if flags & 0x10 else 0)
     if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         for name, a, b in (("title", 3, 33), ("artist", 33, 63), ("album", 63, 93), ("year", 93, 97)):
@@ -130,17 +165,18 @@ def parse(data: bytes | None) -> dict:
     """What a stream holds. Null, empty and foreign bytes have no frames and no duration."""
     data = data or b""
     found, start, end = tags(data)
-    offsets, samples, hz, kbps, bad, checked, table = [], 0, 0, 0, 0, 0, None
+    offsets, samples, hz, kbps, bad, checked, table, by_rate = [], 0, 0, 0, 0, 0, None, Counter()
     for at, (size, n, rate, k, side, protected) in frames(data, start, end):
         if not offsets and table is None and (table := vbr_table(data[at : at + size], side, protected)):
             continue
         offsets.append(at)
         samples, hz, kbps = samples + n, rate, kbps + k
+        by_rate[rate] += n
         if protected and side:
             checked += 1
             bad += crc16(data[at + 2 : at + 4] + data[at + 6 : at + 6 + side]) != int.from_bytes(data[at + 4 : at + 6], "big")
     return {
-        "tags": found, "n_frames": len(offsets), "samples": samples, "sample_rate": hz, "duration_ms": samples * 1000 / hz if hz else 0.0,
+        "tags": found, "n_frames": len(offsets), "samples": samples, "sample_rate": hz, "duration_ms": sum(n * 1000 / rate for rate, n in by_rate.items()) or 0.0,
         "mean_kbps": kbps / len(offsets) if offsets else 0.0, "vbr_kind": table and table["kind"], "vbr_frames": table and table.get("frames"),
         "toc": (table or {}).get("toc", []), "crc_checked": checked, "crc_failed": bad, "offsets": offsets,
     }
@@ -237,26 +273,44 @@ def probe(media: DataFrame, column: str = "media") -> DataFrame:
     return arrow_pass(media.select(*(F.col(f"`{f.name}`") for f in kept), F.col(f"`{column}`")), run, schema)
 
 
+DIGESTS = (
+    "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, "
+    "n_frames long, duration_ms double, offsets array<long>, error string"
+)
+
+
+def digest(data: bytes | None, n_bytes: int | None) -> tuple:
+    """The columns of DIGESTS for one medium. Null or damaged media have an error, and null where nothing can be read."""
+    if data is None:
+        return (n_bytes, *[None] * 9, "no media")
+    info = parse(data)
+    offsets, whole = info["offsets"], (len(data), hashlib.sha256(data).hexdigest())
+    try:
+        payload = demux(data, info)
+    except (ValueError, struct.error) as error:
+        return (n_bytes, None, None, None, *whole, None, info["n_frames"], info["duration_ms"], offsets, str(error))
+    all_offsets = hashlib.sha256(struct.pack(f">{len(offsets)}Q", *offsets)).hexdigest()[:16]
+    half = seek(info, info["duration_ms"] / 2)
+    feature = f"{info['n_frames']}:{info['samples']}:{info['sample_rate']}:{info['mean_kbps']:.3f}:{info['crc_failed']}:{half}:{all_offsets}"
+    tail = zlib.crc32(payload[-TAIL:])
+    return (n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), tail, *whole, feature, info["n_frames"], info["duration_ms"], offsets, None)
+
+
 def digests(media: DataFrame) -> DataFrame:
-    """Of every row of to_media: the stored form and what is read back from it.
+    """(doc_id, ...) of every row of to_media: the stored form and what is read back from it, as DIGESTS says.
 
-    feature: frames, samples, sample rate, mean bitrate, failed checksums, the offset halfway and a digest of all offsets.
+    feature: frames, samples, sample rate, mean bitrate, failed checksums, the offset halfway and a digest of all
+    offsets. duration_ms is exact, offsets are those of all frames. A medium that is null, or whose chunks are missing or
+    damaged, has an error and doesn't stop the others; foreign bytes have no chunk, so their payload is empty.
     """
+    names = ["doc_id", *(f.split()[0] for f in DIGESTS.split(", "))]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for i, n, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                info = parse(data)
-                payload = demux(data, info)
-                offsets = hashlib.sha256(struct.pack(f">{len(info['offsets'])}Q", *info["offsets"])).hexdigest()[:16]
-                feature = f"{info['n_frames']}:{info['samples']}:{info['sample_rate']}:{info['mean_kbps']:.3f}:{info['crc_failed']}:{seek(info, info['duration_ms'] / 2)}:{offsets}"
-                out.append((i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(data), hashlib.sha256(data).hexdigest(), feature, info["n_frames"], info["duration_ms"]))
-            cols = list(zip(*out, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols[1:], kinds, strict=True))], names)
-
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "duration_ms"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64()]
+            out = [digest(data, n) for n, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            cols = list(zip(*out, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
+
     kind = media.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, duration_ms double"
-    return arrow_pass(media.select("doc_id", "n_bytes", "media"), run, schema)
+    return arrow_pass(media.select("doc_id", "n_bytes", "media"), run, f"doc_id {kind}, {DIGESTS}")

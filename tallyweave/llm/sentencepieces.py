@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding with a unigram model.
 
-Pieces and their order come from a public model file. Unigram log scores follow Zipf's law over that order: the piece of
-rank r has probability in proportion to 1 / r, so nothing is trained. A text is marked (a space becomes U+2581, one
+Pieces and their order come from a public model file, which holds no unigram scores; none are fitted, as tokenizers are
+not trained here. Unigram log scores follow Zipf's law over that order: the piece of rank r has probability in
+proportion to 1 / r. A text is marked (a space becomes U+2581, one
 stands in front), and the best segmentation is found by Viterbi over a double-array trie of the pieces' UTF-8 bytes.
 A character that no piece covers costs the least score less UNKNOWN_PENALTY and becomes byte pieces. Decoding turns
 pieces and bytes back into the very text.
@@ -218,8 +219,11 @@ class Encoder:
         units = [_UNITS.findall(" " + t) if t else [] for t in texts]
         new = list({u for own in units for u in own} - self.memo.keys())
         if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list({u for own in units for u in own})
+            # those remembered first are mostly the frequent ones: the others go
+            late = list(self.memo)[len(self.memo) // 4 :]
+            for u in late:
+                del self.memo[u]
+            new = list({u for own in units for u in own} - self.memo.keys())
         plain = [u for u in new if u != MARK]
         marked = [u.replace(" ", MARK).encode("utf-8", "surrogatepass") for u in plain]
         for u, ids in zip(plain, self.pieces.segment(marked), strict=True):
@@ -259,8 +263,9 @@ def decode(docs: DataFrame, pieces: Pieces, ids: str = "piece_ids") -> DataFrame
 def digests(docs: DataFrame, pieces: Pieces, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Of every row: how it is encoded and whether decoding gives the text again.
 
-    (doc_id, n_pieces, n_byte_pieces, log_score, ids_crc32, decoded_sha256, round_trip). log_score leaves byte pieces
-    out. A null text counts as ''.
+    (doc_id, piece_ids, n_pieces, n_byte_pieces, log_score, ids_crc32, decoded_sha256, round_trip): the encoded corpus,
+    and what decoding the ids gives. log_score leaves byte pieces out. A null text counts as '' and has no ids; equal
+    texts have equal ids, and repeated rows stay.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces)
 
@@ -269,15 +274,15 @@ def digests(docs: DataFrame, pieces: Pieces, text: str = "text", doc_id: str = "
         encoder, scores = Encoder(p), np.where(np.isfinite(p.scores), p.scores, 0.0)
         for b in batches:
             texts = b.column(1).to_pylist()
-            cols: list[list] = [[], [], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], [], []]
             for t, ids in zip(texts, encoder.encode(texts), strict=True):
                 decoded = p.decode(ids.tolist())
-                row = (len(ids), int(p.is_byte[ids].sum()), round(float(scores[ids].sum()), 6), zlib.crc32(ids.astype("<i4").tobytes()), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest(), decoded == (t or ""))
+                row = (ids, len(ids), int(p.is_byte[ids].sum()), round(float(scores[ids].sum()), 6), zlib.crc32(ids.astype("<i4").tobytes()), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest(), decoded == (t or ""))
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_pieces", "n_byte_pieces", "log_score", "ids_crc32", "decoded_sha256", "round_trip"])
+            kinds = [pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "piece_ids", "n_pieces", "n_byte_pieces", "log_score", "ids_crc32", "decoded_sha256", "round_trip"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return arrow_pass(rows, run, f"doc_id {kind}, n_pieces long, n_byte_pieces long, log_score double, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return arrow_pass(rows, run, f"doc_id {kind}, piece_ids array<int>, n_pieces long, n_byte_pieces long, log_score double, ids_crc32 long, decoded_sha256 string, round_trip boolean")

@@ -66,3 +66,72 @@ def test_odd_and_empty_tables(spark):
     assert L.predictions(no_documents(spark)).count() == 0
     unlabelled = docs.selectExpr("doc_id", "text", "cast(null as string) as lang")
     assert {r["lang_pred"] for r in L.predictions(unlabelled).collect()} == {"und"}
+
+
+def test_against_a_plain_twin():
+    """N-grams, TF-IDF, FTRL and the softmax, written with dictionaries and loops over single features."""
+    import math
+
+    texts = ["the cat and the dog", "der Hund und die Katze", "The THE the 12 dogs!", "die und der, das", "x", "eine Katze", "a dog is a dog"]
+    ys = [0, 1, 0, 1, 0, 1, 0]
+
+    def grams(text: str) -> dict[int, int]:
+        clean = " ".join("".join(c.lower() if c.isalpha() else " " for c in text).split())
+        codes, out = [ord(c) for c in f" {clean} "], {}
+        for n in range(1, 5):
+            for at in range(len(codes) - n + 1):
+                h = 0
+                for c in codes[at : at + n]:
+                    h = (h ^ c) * 0x9E3779B1 & 0xFFFFFFFF
+                    h ^= h >> 15
+                f = (h ^ (n * 0x85EBCA6B & 0xFFFFFFFF)) >> 17
+                out[f] = out.get(f, 0) + 1
+        return out
+
+    bags = [grams(t) for t in texts]
+    for t, bag in zip(texts, bags, strict=True):
+        at, n = L.counts(t)
+        assert dict(zip(at.tolist(), n.tolist(), strict=True)) == bag
+    idf = {f: math.log((1 + len(bags)) / (1 + sum(f in b for b in bags))) + 1 for f in range(L.BUCKETS)}
+    vectors = []
+    for bag in bags:
+        raw = {f: (1 + math.log(n)) * idf[f] for f, n in bag.items()}
+        norm = math.sqrt(sum(v * v for v in raw.values()))
+        vectors.append({f: v / norm for f, v in raw.items()})
+    z, q = {}, {}
+
+    def weight(f: int, k: int) -> float:
+        a, b = z.get((f, k), 0.0), q.get((f, k), 0.0)
+        return 0.0 if abs(a) <= L.L1 else -(a - math.copysign(L.L1, a)) / ((L.BETA + math.sqrt(b)) / L.ALPHA + L.L2)
+
+    order = np.random.default_rng(7)
+    for _ in range(L.EPOCHS):
+        for i in order.permutation(len(vectors)):
+            w = {(f, k): weight(f, k) for f in vectors[i] for k in (0, 1)}
+            score = [sum(v * w[f, k] for f, v in vectors[i].items()) for k in (0, 1)]
+            total = sum(math.exp(s) for s in score)
+            for f, v in vectors[i].items():
+                for k in (0, 1):
+                    g = v * (math.exp(score[k]) / total - (ys[i] == k))
+                    was = q.get((f, k), 0.0)
+                    z[f, k] = z.get((f, k), 0.0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) / L.ALPHA * w[f, k]
+                    q[f, k] = was + g * g
+    dense = np.array([idf[f] for f in range(L.BUCKETS)])
+    fitted = L.ftrl([L.vector(t, dense) for t in texts], ys, 2)
+    for f in {f for bag in bags for f in bag}:
+        assert np.allclose(fitted[f], [weight(f, 0), weight(f, 1)], atol=1e-9)
+    assert (fitted == 0).mean() > 0.9
+
+
+def test_all_planes_have_letters(spark):
+    assert L.counts("\U00031350") is not None and L.counts("\U0001f600") is None
+
+
+def test_stage_fills_languages_and_takes_only_the_wanted(spark):
+    r = __import__("random").Random(1)
+    words = {"en": "the and of to in is that for with on".split(), "de": "der die und das ist nicht mit auf ein zu".split()}
+    rows = [(i, " ".join(r.choices(words[y], k=20)), y if i % 5 else None, "s", 1, "kept", 0.5) for i in range(400) for y in (("en", "de")[i % 2],)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double")
+    kept = L.keep_identified(docs).collect()
+    assert len(kept) == 400 and all(x["lang"] == ("en", "de")[x["doc_id"] % 2] and x["lang_pred"] == "kept" and x["score"] == 0.5 for x in kept)
+    assert {x["doc_id"] % 2 for x in L.keep_identified(docs, wanted=("de",)).collect()} == {1}

@@ -35,11 +35,35 @@ def test_equals_brute_force(spark, sizes):
 
 
 def test_minimal_perfect_hash_is_one():
-    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64))
+    keys = np.random.default_rng(1).integers(0, 1 << 63, (5000, 2)).astype(np.uint64)
+    keys[:100, 0] = keys[100:200, 0]  # pairs that share one of their hashes
+    keys[200:300, 1] = keys[300:400, 1]
     sizes, bits, order = L.build_levels(keys)
     assert sorted(order) == list(range(len(keys))) and bits.sum() == len(keys) and sizes.sum() == len(bits)
 
 
+def test_keys_that_share_a_hash_are_told_apart(spark):
+    """Index and probes on the arrays themselves: one hash equal, the other not."""
+    r = np.random.default_rng(2)
+    both = r.integers(0, 1 << 63, (400, 2)).astype(np.uint64)
+    both[:100, 0] = both[100:200, 0]
+    rows = [(*map(int, k.view(np.int64)), n, 2) for n, k in enumerate(both)]
+    index = L.build_index(spark.createDataFrame(rows, "hash long, print long, owner long, n_docs long"), 3)
+    held = L.Index.join([x.asDict() for x in index.collect()], 3)
+    found = held.probe(both)
+    assert held.owners[found].tolist() == list(range(400))
+    others = both.copy()
+    others[:, 1] += np.uint64(1)
+    assert (held.probe(others) == -1).all()
+
+
+def test_a_hot_line_is_dealt_over_groups(spark, monkeypatch):
+    monkeypatch.setattr(L, "GROUP_ROWS", 16)
+    docs = [(i, f"this line is in all of them\nand this one in some {i % 7}") for i in range(200)]
+    rows = L.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string"), shard_keys=4, block_keys=2).collect()
+    assert {x["doc_id"]: (x["n_lines"], x["n_dropped"], x["kept_sha256"]) for x in rows} == plain(docs)
+
+
 def test_odd_and_empty_tables(spark):
     rows = L.dedup_lines(odd_documents(spark)).collect()
     assert len(rows) == 10

@@ -46,7 +46,7 @@ def test_a_batch_that_failed_halfway_counts_for_nothing_and_can_be_repeated(spar
     r = rollup(spark)
     rows = spark.createDataFrame([("upsert", 0, 1, "a", "en", "t", 5)], CHANGES)
     r.commit("one", rows)
-    rows.selectExpr("doc_id", "source", "lang", "tokenizer", "1L as n_docs", "99L as n_tokens").write.parquet(f"{r.path}/ledger/batch=two")
+    rows.selectExpr("doc_id", "source", "lang", "tokenizer", "1L as n_docs", "99L as n_tokens").write.parquet(f"{r.path}/attempts/dead/ledger")
     assert totals(r) == {("a", "en", "t"): (1, 5)}
     assert r.commit("two", spark.createDataFrame([("upsert", 0, 1, "a", "de", "t", 7)], CHANGES))
     assert totals(r) == {("a", "de", "t"): (1, 7)}
@@ -54,6 +54,57 @@ def test_a_batch_that_failed_halfway_counts_for_nothing_and_can_be_repeated(spar
         r.commit("../x", rows)
 
 
+def test_two_writers_at_a_time(spark, monkeypatch):
+    """Each writer's first attempt is overtaken by another commit between reading and publishing."""
+    r = rollup(spark)
+    one = lambda n: spark.createDataFrame([("upsert", 0, 1, "a", "en", "t", n)], CHANGES)
+    r.commit("first", one(5))
+    publish, other = T.Rollup._publish, [("other", 7), ("same", 9)]
+
+    def slow(self, number, entry):
+        if entry["batch"] == "mine" and other:
+            batch, n = other.pop(0)
+            assert T.Rollup(spark, r.path).commit(batch, one(n))
+        return publish(self, number, entry)
+
+    monkeypatch.setattr(T.Rollup, "_publish", slow)
+    assert r.commit("mine", one(11)) and r.committed() == ["first", "other", "same", "mine"]
+    assert totals(r) == {("a", "en", "t"): (1, 11)}
+    # the very batch that another writer commits meanwhile counts once
+    other[:] = [("mine2", 3)]
+    monkeypatch.setattr(T.Rollup, "_publish", lambda self, number, entry: publish(self, number, entry) if entry["batch"] != "late" else False)
+    monkeypatch.setattr(T, "MOST_TRIES", 2)
+    with pytest.raises(RuntimeError):
+        r.commit("late", one(1))
+    assert totals(r) == {("a", "en", "t"): (1, 11)}
+
+
+def test_the_same_batch_from_two_writers_counts_once(spark, monkeypatch):
+    r = rollup(spark)
+    rows = spark.createDataFrame([("upsert", 0, 1, "a", "en", "t", 5)], CHANGES)
+    publish, first = T.Rollup._publish, [True]
+
+    def slow(self, number, entry):
+        if first:
+            first.clear()
+            assert T.Rollup(spark, r.path).commit("b", rows)
+        return publish(self, number, entry)
+
+    monkeypatch.setattr(T.Rollup, "_publish", slow)
+    assert not r.commit("b", rows)
+    assert totals(r) == {("a", "en", "t"): (1, 5)} and r.committed() == ["b"]
+
+
+def test_snapshots_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(T, "SNAPSHOT_EVERY", 2)
+    r = rollup(spark)
+    for n in range(5):
+        r.commit(f"b{n}", spark.createDataFrame([("upsert", 0, n % 2, "a", "en", "t", n), ("delete" if n == 3 else "upsert", 0, 9, "b", "en", "t", 1)], CHANGES))
+    assert totals(r) == {("a", "en", "t"): (2, 7), ("b", "en", "t"): (1, 1)}
+    assert {(x["doc_id"], x["n_tokens"]) for x in r.current().collect()} == {(0, 4), (1, 3), (9, 1)}
+    assert len(r.log()) > len(r.committed()) == 5 and r.log()[-1]["start"] > 1
+
+
 def test_odd_and_empty_tables(spark):
     from pyspark.sql import functions as F
 
