@@ -12,6 +12,8 @@ pass runs over pieces of PIECE rows at most, give or take, of a cell.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,10 +24,16 @@ from tallyweave.llm.common import cut
 PIECE = 4096
 
 
-def in_company(cells: DataFrame) -> DataFrame:
-    """(cell, fp, head, n): the rows of cells (cell, fp) that hold several; head is one of them, n how many."""
-    heads = cells.groupBy("cell").agg(F.min("fp").alias("head"), F.count("*").alias("n")).where("n > 1")
-    return cut(cells.join(heads, "cell").select("cell", "fp", "head", "n"))
+def in_company(cells: DataFrame, apart: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """(cell, fp, head, n): the rows of cells (cell, fp) that hold several; head is one of them, n how many.
+
+    Most cells with company hold two strangers. Where `apart` says of these two that they are no pair, the cell goes: its
+    least and its largest row are known when its rows are counted, so no join has to make the pair.
+    """
+    counted = cells.groupBy("cell").agg(F.min("fp").alias("head"), F.max("fp").alias("last"), F.count("*").alias("n")).where("n > 1")
+    if apart is not None:
+        counted = counted.where(~((F.col("n") == 2) & apart(F.col("head"), F.col("last"))))
+    return cut(cells.join(counted.drop("last"), "cell").select("cell", "fp", "head", "n"))
 
 
 def along(shared: DataFrame, order: Column) -> DataFrame:

@@ -7,9 +7,9 @@ as a thermometer of two bits, so that distance is the bit count of one XOR.
 Grid range-join: the 32 axes form bands. A distance of at most four breaks at most four of them, so the counts of two
 fingerprints within reach agree in all the other bands: the fingerprints share a cell of one of the grids, each of which
 takes the counts of all bands but four. There are eight bands at least, and more as the number of fingerprints grows, so
-that a cell holds hardly any strangers. Pairs of a cell (see `cells`) are first held to the Manhattan distance of their
-whole embeddings, which turns most strangers away, then verified on the exact Hamming distance. No link between
-components is lost.
+that a cell holds hardly any strangers. The Manhattan distance of the whole embeddings turns away those it does: a cell
+of two rows further apart goes when its rows are counted, before any pair is made, and the pairs of fuller cells (see
+`cells`) are held to it before the exact Hamming distance verifies them. No link between components is lost.
 """
 
 from __future__ import annotations
@@ -100,9 +100,14 @@ def grid_cells(fps: DataFrame, bands: int) -> DataFrame:
     return spread.select(F.xxhash64("grid", F.col("counts").bitwiseAND(F.col("mask"))).alias("cell"), "fp")
 
 
+def apart(u: Column, v: Column) -> Column:
+    """The embeddings are more than MAX_BITS apart, and so the fingerprints are."""
+    return F.bit_count(_embedding(u).bitwiseXOR(_embedding(v))) > MAX_BITS
+
+
 def within_bound(pairs: DataFrame) -> DataFrame:
     """The different pairs (u, v) whose embeddings are at most MAX_BITS apart."""
-    return pairs.where(F.bit_count(_embedding(F.col("u")).bitwiseXOR(_embedding(F.col("v")))) <= MAX_BITS).distinct()
+    return pairs.where(~apart(F.col("u"), F.col("v"))).distinct()
 
 
 def verified(pairs: DataFrame) -> DataFrame:
@@ -116,7 +121,7 @@ def near_links(fps: DataFrame, n: int | None = None) -> DataFrame:
     fps: column fp, no value twice; n of them. The result holds at most two links a cell row plus one for each pair that
     is within reach and yet unlike in label, not all pairs of a dense cluster.
     """
-    shared = cells.in_company(grid_cells(fps.select("fp"), bands_for(fps.count() if n is None else n)))
+    shared = cells.in_company(grid_cells(fps.select("fp"), bands_for(fps.count() if n is None else n)), apart)
     links = cut(verified(within_bound(cells.along(shared, F.col("fp")))))
     rows = cells.mixed(cells.labelled(shared, components(links)))
     return links.union(verified(within_bound(cells.across(rows))))

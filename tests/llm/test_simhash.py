@@ -92,6 +92,11 @@ def test_the_manhattan_bound_turns_strangers_away(spark):
     bound, links = simhash.within_bound(pairs), simhash.verified(pairs)
     assert pairs.count() > 1.3 * bound.count() > 1.3 * links.count() > 300
     assert links.exceptAll(simhash.verified(bound)).count() == 0
+    fewer = cells.in_company(simhash.grid_cells(spark.createDataFrame([(_signed(f),) for f in fps], "fp long"), 8), simhash.apart)
+    assert links.exceptAll(simhash.verified(cells.along(fewer, F.col("fp")).distinct())).count() == 0
+    # cells of two strangers go before any pair is made
+    two = spark.createDataFrame([(_signed(x),) for f in some for x in (f, f ^ (r.getrandbits(32) << 32))], "fp long")
+    assert cells.in_company(simhash.grid_cells(two, 8)).count() > 20 * cells.in_company(simhash.grid_cells(two, 8), simhash.apart).count()
 
 
 def test_cells_are_told_by_counts_and_hold_all_pairs_within_reach(spark):
