@@ -10,19 +10,24 @@ from tallyweave.llm import linededup as L
 from tests.llm.helpers import no_documents, odd_documents
 
 
-def plain(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, str]]:
+def kept_lines(docs: list[tuple[int, str | None]]) -> list[tuple[int, int, list[str]]]:
+    """(id, number of lines, lines that no smaller id holds) of each document."""
     key = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x.strip(" \t\n\x0b\x0c\r"))
     owners: dict[str, set[int]] = {}
     for i, t in docs:
         for x in (t or "").split("\n"):
             if len(key(x)) >= 10:
                 owners.setdefault(key(x), set()).add(i)
-    out = {}
-    for i, t in docs:
-        lines = (t or "").split("\n")
-        kept = [x for x in lines if min(owners.get(key(x), {i})) >= i]
-        out[i] = (len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
-    return out
+    split = [(i, (t or "").split("\n")) for i, t in docs]
+    return [(i, len(lines), [x for x in lines if min(owners.get(key(x), {i})) >= i]) for i, lines in split]
+
+
+def plain_lines(docs: list[tuple[int, str | None]]) -> list[tuple[int, str]]:
+    return [(i, "\n".join(kept)) for i, _, kept in kept_lines(docs)]
+
+
+def plain(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int, str]]:
+    return {i: (n, n - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()) for i, n, kept in kept_lines(docs)}
 
 
 @pytest.mark.parametrize("sizes", [{}, {"shard_keys": 16, "block_keys": 32}])
