@@ -9,7 +9,7 @@ from tallyweave.functions import scalars as S
 from tallyweave.functions.fuzzy import scored_pairs, token_set_ratio
 from tallyweave.operators import clearing, fx, ledger, match, pending, split, state
 from tallyweave.operators.rangejoin import interval_join
-from tallyweave.plans.fixtures import FY_END, FY_START, Views
+from tallyweave.plans.fixtures import Views
 from tallyweave.plans.registry import query
 
 # Token-set ratio in SQL. names: pairs (a, b) of upper-case strings. The longest common subsequence runs over a recursive
@@ -189,19 +189,26 @@ def pend_settle(v: Views):
     return pending.superseded(pending.resolve(v.auths))
 
 
-SPLIT = f"""anchors AS (SELECT invoice_id AS anchor_id, CAST(x.value AS DECIMAL(18,2)) AS target, invoice_date AS day FROM invoices JOIN (SELECT 'm' || event_id AS msg_id, value FROM events) x ON x.msg_id = source_msg_id WHERE invoice_date BETWEEN DATE '{FY_START}' AND DATE '{FY_END}'),
-    parts AS (SELECT msg_id AS row_id, value AS v, CAST(DATE '1998-03-01' + CAST(k % 365 AS INTEGER) AS DATE) AS d FROM emails WHERE value > 0),
+SPLIT = """anchors AS (SELECT invoice_id AS anchor_id, CAST(x.value AS DECIMAL(18,2)) AS target, invoice_date AS day FROM invoices
+        JOIN (SELECT 'm' || event_id AS msg_id, value FROM events) x ON x.msg_id = source_msg_id),
+    parts AS (SELECT msg_id AS row_id, value AS v, CAST(DATE '1995-01-01' + CAST(k % 2400 AS INTEGER) AS DATE) AS d FROM emails WHERE value > 0),
     pool AS (SELECT anchor_id, target, row_id, v, d, (-v, d, row_id) AS p FROM anchors JOIN parts ON d BETWEEN day - 7 AND day + 7 WHERE v <= target + 0.50),
-    subsets AS (SELECT a.anchor_id, a.target, [a.row_id, b.row_id] AS ids, a.v + b.v AS total FROM pool a JOIN pool b ON a.anchor_id = b.anchor_id AND a.p < b.p WHERE abs(a.target - a.v - b.v) <= 0.50
-        UNION ALL SELECT a.anchor_id, a.target, [a.row_id, b.row_id, c.row_id], a.v + b.v + c.v FROM pool a JOIN pool b ON a.anchor_id = b.anchor_id AND a.p < b.p JOIN pool c ON c.anchor_id = a.anchor_id AND b.p < c.p WHERE abs(a.target - a.v - b.v - c.v) <= 0.50)"""
+    subsets AS (SELECT a.anchor_id, a.target, [a.row_id, b.row_id] AS ids, a.v + b.v AS total FROM pool a
+            JOIN pool b ON a.anchor_id = b.anchor_id AND a.p < b.p WHERE abs(a.target - a.v - b.v) <= 0.50
+        UNION ALL SELECT a.anchor_id, a.target, [a.row_id, b.row_id, c.row_id], a.v + b.v + c.v FROM pool a
+            JOIN pool b ON a.anchor_id = b.anchor_id AND a.p < b.p JOIN pool c ON c.anchor_id = a.anchor_id AND b.p < c.p
+            WHERE abs(a.target - a.v - b.v - c.v) <= 0.50)"""
 
 
-@query("SELECT anchor_id, ids, CAST(total AS DECIMAL(18,2)) AS total, CAST(target - total AS DECIMAL(18,2)) AS residual, abs(target - total) <= 0.01 AS auto FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY abs(target - total) <= 0.01 DESC, abs(target - total), len(ids), ids) AS n FROM subsets) WHERE n = 1", more=SPLIT)
+@query("""SELECT anchor_id, ids, CAST(total AS DECIMAL(18,2)) AS total, CAST(target - total AS DECIMAL(18,2)) AS residual, abs(target - total) <= 0.01 AS auto
+    FROM (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY abs(target - total) <= 0.01 DESC, abs(target - total), len(ids), ids) AS n FROM subsets)
+    WHERE n = 1""", more=SPLIT)
 def jn_split(v: Views):
-    """Invoices of one year paid in two or three parts; amounts come from the events, which are of like size."""
-    anchors = v.invoices.where(F.col("invoice_date").between(F.lit(FY_START).cast("date"), F.lit(FY_END).cast("date"))).join(v.emails.select("msg_id", "value"), F.col("source_msg_id") == F.col("msg_id"))
-    parts = v.emails.where("value > 0").select(F.col("msg_id").alias("row_id"), F.col("value").alias("amount"), F.date_add(F.lit("1998-03-01").cast("date"), (F.col("k") % 365).cast("int")).alias("day"))
-    return split.find(anchors.select(F.col("invoice_id").alias("anchor_id"), F.col("value").alias("amount"), F.col("invoice_date").alias("day")), parts)
+    """Invoices paid in two or three parts; amounts come from the events, which are of like size, spread over all years."""
+    anchors = v.invoices.join(v.emails.select("msg_id", "value"), F.col("source_msg_id") == F.col("msg_id"))
+    anchors = anchors.select(F.col("invoice_id").alias("anchor_id"), F.col("value").alias("amount"), F.col("invoice_date").alias("day"))
+    day = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("k") % 2400).cast("int"))
+    return split.find(anchors, v.emails.where("value > 0").select(F.col("msg_id").alias("row_id"), F.col("value").alias("amount"), day.alias("day")))
 
 
 @query("SELECT txn_id, 'settled' AS status, amount + CASE WHEN account = 'amex' THEN 1 ELSE 0 END AS amount, coalesce(category, CASE WHEN account = 'amex' THEN 'late' END) AS category, booking_date FROM transactions")
