@@ -9,11 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # fixed values: vocabularies and patterns that results depend on
-CATEGORIES = ("software_saas", "travel", "meals_entertainment", "hardware_office", "professional_services", "advertising", "utilities", "other")
-CURRENCIES = ("GBP", "USD", "EUR", "AUD", "CAD", "CHF", "JPY", "SEK", "NOK", "DKK", "PLN", "SGD", "HKD", "NZD", "ZAR", "AED", "CNY", "INR", "BRL", "MXN", "THB", "KRW")
+CATEGORIES = (
+    "software_saas", "travel", "meals_entertainment", "hardware_office", "professional_services", "advertising", "utilities", "other",
+)
+CURRENCIES = (
+    "GBP", "USD", "EUR", "AUD", "CAD", "CHF", "JPY", "SEK", "NOK", "DKK", "PLN", "SGD", "HKD", "NZD", "ZAR", "AED", "CNY", "INR", "BRL",
+    "MXN", "THB", "KRW",
+)
 #: The narrow list that money is held to.
 STRICT_CURRENCIES = ("GBP", "USD", "EUR", "CAD", "AUD", "CHF", "JPY", "NZD", "SEK", "NOK", "DKK", "PLN")
-CITIES = ("LONDON", "MANCHESTER", "BRISTOL", "EDINBURGH", "GLASGOW", "BIRMINGHAM", "LEEDS", "LIVERPOOL", "CARDIFF", "BELFAST", "OXFORD", "CAMBRIDGE", "BRIGHTON", "READING", "YORK")
+CITIES = (
+    "LONDON", "MANCHESTER", "BRISTOL", "EDINBURGH", "GLASGOW", "BIRMINGHAM", "LEEDS", "LIVERPOOL", "CARDIFF", "BELFAST", "OXFORD",
+    "CAMBRIDGE", "BRIGHTON", "READING", "YORK",
+)
 FEES = r"\b(CONVERSION\s+FEE|FOREIGN\s+TRANSACTION\s+FEE|FX\s+FEE|WIRE\s+FEE|SWIFT\s+FEE|MEMBERSHIP\s+FEE)\b"
 TRANSFERS = r"\b(AMEX\s+PAYMENT|AMERICAN\s+EXPRESS|CARD\s+(PMT|REPAYMENT)|DD\s+AMEX|CARD\s+PAYMENT\s+TO\s+AMEX|STRIPE\s+PAYOUT|WISE\s+TRANSFER|MONZO\s+TRANSFER|INTERNAL\s+TRANSFER)\b"
 SECRETS = (
@@ -76,7 +84,9 @@ def card_txn_id(reference: Column, account: Column, day: Column, description: Co
 
 
 def bank_txn_id(auth_id: Column, account: Column, day: Column, description: Column, amount: Column) -> Column:
-    return F.when(F.coalesce(auth_id, F.lit("")) != "", key16(account, auth_id)).otherwise(key16(account, F.date_format(day, "yyyy-MM-dd"), description, amount.cast("string")))
+    return F.when(F.coalesce(auth_id, F.lit("")) != "", key16(account, auth_id)).otherwise(
+        key16(account, F.date_format(day, "yyyy-MM-dd"), description, amount.cast("string"))
+    )
 
 
 def vendor_id(name: Column, domain: Column) -> Column:
@@ -235,12 +245,16 @@ def flag_cell(c: Column) -> Column:
 
 def html_text(c: Column) -> Column:
     """Markup replaced by spaces, the pieces joined by one space."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?s)<!--.*?-->", " "), "<[^>]*>", " "), r"\s+", " "))
+    return F.trim(
+        F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?s)<!--.*?-->", " "), "<[^>]*>", " "), r"\s+", " ")
+    )
 
 
 def invoice_urls(html: Column, text: Column, most: int = 5) -> Column:
     """Links that may lead to an invoice: by body, then by pattern, then in order; the first `most` different ones."""
-    found = [F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(f"(?i)({p})"), F.lit(1)) for body in (html, text) for p in URL_PATTERNS]
+    found = [
+        F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(f"(?i)({p})"), F.lit(1)) for body in (html, text) for p in URL_PATTERNS
+    ]
     return F.slice(F.array_distinct(F.transform(F.flatten(F.array(*found)), lambda u: F.regexp_replace(u, r"[.,;:)]+$", ""))), 1, most)
 
 

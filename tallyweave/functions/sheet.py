@@ -114,5 +114,7 @@ def cells(rows: DataFrame, tab: str) -> DataFrame:
 
 def rectangle(rows: DataFrame, tab: str) -> DataFrame:
     """(tab, header, cells): what is written to the tab, a row of headers and those of the cells, each with its width."""
-    head = rows.sparkSession.range(1).select(F.lit(tab).alias("tab"), F.lit(True).alias("header"), F.array(*(F.lit(h) for h, _ in TABS[tab])).alias("cells"))
+    head = rows.sparkSession.range(1).select(
+        F.lit(tab).alias("tab"), F.lit(True).alias("header"), F.array(*(F.lit(h) for h, _ in TABS[tab])).alias("cells"),
+    )
     return head.unionByName(rows.select(F.lit(tab).alias("tab"), F.lit(False).alias("header"), F.array(*_cells(rows, tab)).alias("cells")))

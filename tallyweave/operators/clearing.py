@@ -31,7 +31,9 @@ def clear(statements: DataFrame, ledger: DataFrame, tolerance: str = TOLERANCE)
     no_candidate or multiple_candidates.
     """
     near = near_transfers(statements, ledger, tolerance)
-    found = near.groupBy("msg_id").agg(F.count("*").alias("n"), F.min_by("txn_id", "txn_id").alias("txn"), F.min_by("delta", "txn_id").alias("d"))
+    found = near.groupBy("msg_id").agg(
+        F.count("*").alias("n"), F.min_by("txn_id", "txn_id").alias("txn"), F.min_by("delta", "txn_id").alias("d"),
+    )
     n = F.coalesce("n", F.lit(0))
     return statements.join(found, "msg_id", "left").select(
         "msg_id", F.when(n == 1, "matched").when(n == 0, "no_candidate").otherwise("multiple_candidates").alias("outcome"),
@@ -49,5 +51,7 @@ def apply(ledger: DataFrame, statements: DataFrame, tolerance: str = TOLERANCE)
     several = near.groupBy("msg_id").agg((F.count("*") > 1).alias("_several"))
     marks = near.join(several, "msg_id").groupBy("txn_id").agg(F.max("_several").alias("_unclear"))
     rows = ledger.join(marks, "txn_id", "left")
-    category = F.when(F.col("_unclear"), "transfer_unconfirmed").when(~F.col("_unclear"), F.coalesce("category", F.lit("amex_clearing"))).otherwise(F.col("category"))
+    category = F.when(F.col("_unclear"), "transfer_unconfirmed").when(
+        ~F.col("_unclear"), F.coalesce("category", F.lit("amex_clearing")),
+    ).otherwise(F.col("category"))
     return rows.withColumn("category", category).select(*ledger.columns)

@@ -23,7 +23,9 @@ def _amount(c: str) -> Column:
 def _reject(rows: DataFrame, field: str, bad: Column) -> DataFrame:
     """The field nulled and its confidence zeroed where bad."""
     mark = F.coalesce(bad, F.lit(False))
-    return rows.withColumns({field: F.when(~mark, F.col(field)), f"conf_{field}": F.when(mark, F.lit(0.0)).otherwise(F.col(f"conf_{field}"))})
+    return rows.withColumns(
+        {field: F.when(~mark, F.col(field)), f"conf_{field}": F.when(mark, F.lit(0.0)).otherwise(F.col(f"conf_{field}"))}
+    )
 
 
 def sanitise(rows: DataFrame) -> DataFrame:
@@ -52,7 +54,10 @@ def sanitise(rows: DataFrame) -> DataFrame:
     day = F.try_to_date("invoice_date", "yyyy-MM-dd")
     rows = _reject(rows, "invoice_date", F.col("invoice_date").isNotNull() & day.isNull())
     far = F.abs(F.datediff(day, "received_date")) > DATE_DAYS
-    rows = rows.withColumn("conf_invoice_date", F.when(F.coalesce(far, F.lit(False)), F.least("conf_invoice_date", F.lit(0.3))).otherwise(F.col("conf_invoice_date")))
+    rows = rows.withColumn(
+        "conf_invoice_date",
+        F.when(F.coalesce(far, F.lit(False)), F.least("conf_invoice_date", F.lit(0.3))).otherwise(F.col("conf_invoice_date")),
+    )
     return rows.withColumn("overall_confidence", F.least(*(F.col(f"conf_{f}") for f in CRITICAL)))
 
 
@@ -76,8 +81,12 @@ def file(incoming: DataFrame, filed: DataFrame) -> DataFrame:
     """
     order = Window.partitionBy("vendor_id", "number").orderBy("received_at", "invoice_id")
     old = filed.groupBy("vendor_id", F.col("invoice_number").alias("number")).agg(F.min_by("amount_gross", "invoice_id").alias("_gross"))
-    rows = incoming.join(old, ["vendor_id", "number"], "left").withColumns({"_n": F.row_number().over(order), "_first": F.first("gross").over(order)})
+    rows = incoming.join(old, ["vendor_id", "number"], "left").withColumns(
+        {"_n": F.row_number().over(order), "_first": F.first("gross").over(order)}
+    )
     standing = F.coalesce("_gross", F.when(F.col("_n") > 1, F.col("_first")))
     decision = F.when(standing.isNull(), "created").when(standing == F.col("gross"), "duplicate_resend").otherwise("corrected_invoice")
-    number = F.when(decision == "corrected_invoice", F.concat("number", F.lit("-corrected-"), F.substring(F.sha2("invoice_id", 256), 1, 6))).otherwise(F.col("number"))
+    number = F.when(
+        decision == "corrected_invoice", F.concat("number", F.lit("-corrected-"), F.substring(F.sha2("invoice_id", 256), 1, 6)),
+    ).otherwise(F.col("number"))
     return rows.select("invoice_id", decision.alias("decision"), number.alias("filed_number"))

@@ -47,13 +47,20 @@ def link_refunds(ledger: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> DataF
     Of rows of one day the smallest id counts. Each refund looks at its group's purchases through one ordered pass, not
     at all of them: a merchant with very many rows costs no more than its sort.
     """
-    rows = ledger.where("txn_type = 'refund' OR amount > 0").select("txn_id", "account", "description_canonical", "booking_date", "amount", "txn_type", "category")
+    rows = ledger.where("txn_type = 'refund' OR amount > 0").select(
+        "txn_id", "account", "description_canonical", "booking_date", "amount", "txn_type", "category",
+    )
     # the last purchase up to a row's day: its date and, by a descending id, the smallest id of that date
     seen = Window.partitionBy("account", "description_canonical").orderBy("booking_date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     day = F.max(F.when(F.col("amount") > 0, F.col("booking_date"))).over(seen)
     latest = rows.withColumn("_day", day)
     refunds = latest.where("txn_type = 'refund'")
     near = F.datediff("booking_date", "_day") <= lookback_days
-    first = rows.where("amount > 0").groupBy("account", "description_canonical", F.col("booking_date").alias("_day")).agg(F.min("txn_id").alias("purchase_id"))
+    first = rows.where("amount > 0").groupBy(
+        "account", "description_canonical", F.col("booking_date").alias("_day"),
+    ).agg(F.min("txn_id").alias("purchase_id"))
     found = refunds.withColumn("_day", F.when(near, F.col("_day"))).join(first, ["account", "description_canonical", "_day"], "left")
-    return found.select("txn_id", "purchase_id", F.when(F.col("purchase_id").isNull(), "orphan_refund").otherwise(F.coalesce("category", F.lit("refund_matched"))).alias("category"))
+    return found.select(
+        "txn_id", "purchase_id",
+        F.when(F.col("purchase_id").isNull(), "orphan_refund").otherwise(F.coalesce("category", F.lit("refund_matched"))).alias("category"),
+    )

@@ -43,7 +43,9 @@ def row_id(fiscal_year: Column, invoice: Column, txn: Column, kind: Column) -> C
 
 def history(before: Column, current: Column, after: Column, note: Column) -> Column:
     """before with a record of the change, if there is one."""
-    record = F.struct(current.alias("from"), after.alias("to"), F.lit("script").alias("trigger"), F.substring(note, 1, NOTE_CHARS).alias("note"))
+    record = F.struct(
+        current.alias("from"), after.alias("to"), F.lit("script").alias("trigger"), F.substring(note, 1, NOTE_CHARS).alias("note"),
+    )
     old = F.coalesce(before, F.array().cast(f"array<{RECORD}>"))
     return F.when(current == after, old).otherwise(F.concat(old, F.array(record)))
 
@@ -54,7 +56,10 @@ def upsert_rows(rows: DataFrame, decisions: DataFrame) -> DataFrame:
     kept = F.col("old.state").isin(*USER)
     return merge(
         rows, decisions, ["row_id"],
-        {"state": state, "txn_id": F.when(kept, F.col("old.txn_id")).otherwise(F.col("new.txn_id")), "match_score": "new", "match_reason": F.substring("new.match_reason", 1, REASON_CHARS)},
+        {
+            "state": state, "txn_id": F.when(kept, F.col("old.txn_id")).otherwise(F.col("new.txn_id")), "match_score": "new",
+            "match_reason": F.substring("new.match_reason", 1, REASON_CHARS),
+        },
         [F.desc("match_score"), F.asc("txn_id")],
     )
 

@@ -51,7 +51,9 @@ def rescan(emails: DataFrame, seen: DataFrame) -> DataFrame:
     done = F.col("old.processed_at").isNotNull()
     marked = emails.withColumn("what", F.lit(None).cast("string"))
     fresh = seen.withColumn("what", F.lit("new"))
-    rules: dict[str, Column | str] = {c: F.when(done, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")) for c in seen.columns if c != "msg_id"}
+    rules: dict[str, Column | str] = {
+        c: F.when(done, F.col(f"new.{c}")).otherwise(F.col(f"old.{c}")) for c in seen.columns if c != "msg_id"
+    }
     rules |= {c: F.when(~done, F.col(f"old.{c}")) for c in ("outcome", "processed_at")}
     rules["what"] = F.when(done, "updated").otherwise("skipped")
     order = [F.asc(c) for c in seen.columns if c != "msg_id"] or [F.asc("msg_id")]
@@ -82,7 +84,9 @@ def dismissal_feedback(emails: DataFrame, ids: DataFrame, reason: str) -> DataFr
     """The feedback rows (msg_id, feedback_type, feedback_value, from_addr, subject, sender_domain) of a dismissal."""
     chosen = _named(emails, "msg_id", ids).where("_hit")
     kind = F.lit("dismiss").alias("feedback_type")
-    return chosen.select("msg_id", kind, F.lit(reason).alias("feedback_value"), "from_addr", "subject", S.domain(F.col("from_addr")).alias("sender_domain"))
+    return chosen.select(
+        "msg_id", kind, F.lit(reason).alias("feedback_value"), "from_addr", "subject", S.domain(F.col("from_addr")).alias("sender_domain"),
+    )
 
 
 def block(blocked: DataFrame, senders: DataFrame) -> DataFrame:
@@ -158,8 +162,13 @@ def cancel(runs: DataFrame, ids: DataFrame | None = None) -> DataFrame:
 
 def begin_run(runs: DataFrame, run_id: str, operation: str, now: Column) -> DataFrame:
     """runs and a new one; stale runs of the same operation are interrupted first. A known id is left alone."""
-    new = runs.sparkSession.range(1).select(F.lit(run_id).alias("run_id"), F.lit(operation).alias("operation"), now.alias("started_at"), F.lit("running").alias("status"), F.lit("{}").alias("stats_json"))
-    return interrupt_stale(runs, now, operation).unionByName(new.join(runs.select("run_id"), "run_id", "left_anti"), allowMissingColumns=True)
+    new = runs.sparkSession.range(1).select(
+        F.lit(run_id).alias("run_id"), F.lit(operation).alias("operation"), now.alias("started_at"), F.lit("running").alias("status"),
+        F.lit("{}").alias("stats_json"),
+    )
+    return interrupt_stale(runs, now, operation).unionByName(
+        new.join(runs.select("run_id"), "run_id", "left_anti"), allowMissingColumns=True,
+    )
 
 
 def update_stats(runs: DataFrame, stats: DataFrame) -> DataFrame:
@@ -171,7 +180,9 @@ def update_stats(runs: DataFrame, stats: DataFrame) -> DataFrame:
 def complete_runs(runs: DataFrame, done: DataFrame, now: Column) -> DataFrame:
     """runs with the state and statistics of done (run_id, status, stats_json), ended now."""
     known = done.join(runs.select("run_id"), "run_id", "left_semi").withColumn("ended_at", now)
-    return merge(runs, known, ["run_id"], {"status": "new", "stats_json": "new", "ended_at": "new"}, [F.desc("status"), F.desc("stats_json")])
+    return merge(
+        runs, known, ["run_id"], {"status": "new", "stats_json": "new", "ended_at": "new"}, [F.desc("status"), F.desc("stats_json")],
+    )
 
 
 def spending(calls: DataFrame, run: str, order: list[str], cost: str, ceiling: str) -> DataFrame:

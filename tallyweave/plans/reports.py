@@ -29,7 +29,10 @@ def total(c: str) -> Column:
     return F.coalesce(F.sum(c), F.lit(0)).cast(CENTS)
 
 
-def filters(fy: str | None = None, vendor: str | None = None, category: str | None = None, search: str | None = None, exported: bool | None = None, first: str | None = None, last: str | None = None) -> Column:
+def filters(
+    fy: str | None = None, vendor: str | None = None, category: str | None = None, search: str | None = None,
+    exported: bool | None = None, first: str | None = None, last: str | None = None,
+) -> Column:
     """Live invoices (joined with vendors) under those conditions that are given."""
     conds = [live()]
     if fy:
@@ -71,14 +74,20 @@ def flt_email_fy(v: Views):
     return v.emails.where(F.to_date("received_at").between(F.lit(MAIL_START).cast("date"), F.lit(MAIL_END).cast("date"))).select("msg_id")
 
 
-@query("SELECT txn_id, txn_type, status FROM transactions WHERE txn_type NOT IN ('transfer') AND status <> 'reversed' AND account IN ('amex', 'wise-GBP')")
+@query("""SELECT txn_id, txn_type, status FROM transactions
+    WHERE txn_type NOT IN ('transfer') AND status <> 'reversed' AND account IN ('amex', 'wise-GBP')""")
 def flt_in_list(v: Views):
-    return v.transactions.where(~F.col("txn_type").isin("transfer") & (F.col("status") != "reversed") & F.col("account").isin("amex", "wise-GBP")).select("txn_id", "txn_type", "status")
+    return v.transactions.where(
+        ~F.col("txn_type").isin("transfer") & (F.col("status") != "reversed") & F.col("account").isin("amex", "wise-GBP")
+    ).select("txn_id", "txn_type", "status")
 
 
-@query("SELECT run_id, operation FROM runs WHERE operation NOT IN (SELECT operation FROM runs WHERE status = 'failed' AND ended_at IS NULL)")
+@query("""SELECT run_id, operation FROM runs WHERE operation NOT IN (SELECT operation FROM runs
+    WHERE status = 'failed' AND ended_at IS NULL)""")
 def flt_not_in_subq(v: Views):
-    return v.runs.join(v.runs.where("status = 'failed' AND ended_at IS NULL").select("operation").distinct(), "operation", "left_anti").select("run_id", "operation")
+    return v.runs.join(
+        v.runs.where("status = 'failed' AND ended_at IS NULL").select("operation").distinct(), "operation", "left_anti",
+    ).select("run_id", "operation")
 
 
 @query("SELECT invoice_id FROM invoices i WHERE EXISTS (SELECT 1 FROM recon r WHERE r.invoice_id = i.invoice_id AND r.state = 'suggested')")
@@ -96,9 +105,13 @@ def flt_like_infix(v: Views):
     return v.vendors.where(S.like_infix(F.col("canonical_name"), "Ring") | S.like_infix(F.col("domain"), "V12")).select("vendor_id")
 
 
-@query(f"SELECT invoice_id, canonical_name, category FROM invoices JOIN vendors USING (vendor_id) WHERE deleted_reason IS NULL AND invoice_date {SPAN} AND category = 'travel' AND last_exported_at IS NULL AND invoice_date >= DATE '1998-06-01' AND (starts_with(lower(canonical_name), 's') OR starts_with(lower(invoice_number), 's'))")
+@query(f"""SELECT invoice_id, canonical_name, category FROM invoices JOIN vendors USING (vendor_id)
+    WHERE deleted_reason IS NULL AND invoice_date {SPAN} AND category = 'travel' AND last_exported_at IS NULL
+    AND invoice_date >= DATE '1998-06-01' AND (starts_with(lower(canonical_name), 's') OR starts_with(lower(invoice_number), 's'))""")
 def flt_dynamic(v: Views):
-    return v.invoices.join(v.vendors, "vendor_id").where(filters(fy=FY, category="travel", exported=False, first="1998-06-01", search="S")).select("invoice_id", "canonical_name", "category")
+    return v.invoices.join(v.vendors, "vendor_id").where(
+        filters(fy=FY, category="travel", exported=False, first="1998-06-01", search="S")
+    ).select("invoice_id", "canonical_name", "category")
 
 
 @query("SELECT last_exported_at IS NOT NULL AS exported, count(*) AS n FROM invoices WHERE deleted_reason IS NULL GROUP BY 1")
@@ -106,9 +119,13 @@ def flt_null_flag(v: Views):
     return v.invoices.where(live()).groupBy(F.col("last_exported_at").isNotNull().alias("exported")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT invoice_id, vendor_id, invoice_number, invoice_date, currency, amount_gross, amount_gross_gbp, category, fx_error, last_exported_at, canonical_name FROM invoices LEFT JOIN vendors USING (vendor_id) WHERE deleted_reason IS NULL")
+@query("""SELECT invoice_id, vendor_id, invoice_number, invoice_date, currency, amount_gross, amount_gross_gbp, category, fx_error,
+    last_exported_at, canonical_name FROM invoices LEFT JOIN vendors USING (vendor_id) WHERE deleted_reason IS NULL""")
 def prj_list(v: Views):
-    cols = ("invoice_id", "vendor_id", "invoice_number", "invoice_date", "currency", "amount_gross", "amount_gross_gbp", "category", "fx_error", "last_exported_at", "canonical_name")
+    cols = (
+        "invoice_id", "vendor_id", "invoice_number", "invoice_date", "currency", "amount_gross", "amount_gross_gbp", "category",
+        "fx_error", "last_exported_at", "canonical_name",
+    )
     return v.invoices.join(v.vendors, "vendor_id", "left").where(live()).select(*cols)
 
 
@@ -119,24 +136,36 @@ def prj_detail(v: Views):
 
 @query("SELECT invoice_id, amount_gross FROM invoices WHERE invoice_id IN ('inv-8', 'inv-97', 'inv-100', 'inv-101', 'inv-102', 'inv-103')")
 def prj_by_ids(v: Views):
-    return v.invoices.where(F.col("invoice_id").isin("inv-8", "inv-97", "inv-100", "inv-101", "inv-102", "inv-103")).select("invoice_id", "amount_gross")
+    return v.invoices.where(
+        F.col("invoice_id").isin("inv-8", "inv-97", "inv-100", "inv-101", "inv-102", "inv-103")
+    ).select("invoice_id", "amount_gross")
 
 
-@query("SELECT msg_id, CASE WHEN domain IN (SELECT domain FROM blocked) THEN 'neither' ELSE outcome END AS outcome FROM (SELECT *, lower(split_part(from_addr, '@', 2)) AS domain FROM emails)")
+@query("""SELECT msg_id, CASE WHEN domain IN (SELECT domain FROM blocked) THEN 'neither' ELSE outcome END AS outcome
+    FROM (SELECT *, lower(split_part(from_addr, '@', 2)) AS domain FROM emails)""")
 def flt_blocked(v: Views):
     flagged = v.blocked.withColumn("_blocked", F.lit(True))
     e = v.emails.withColumn("domain", S.domain(F.col("from_addr"))).join(flagged, "domain", "left")
     return e.select("msg_id", F.when(F.col("_blocked"), "neither").otherwise(F.col("outcome")).alias("outcome"))
 
 
-@query("SELECT run_id, CASE WHEN starts_with(run_id, 'run-1') THEN 'ingest_email' WHEN starts_with(run_id, 'run-2') THEN 'ingest_invoice' ELSE operation END AS operation FROM runs")
+@query("""SELECT run_id, CASE WHEN starts_with(run_id, 'run-1') THEN 'ingest_email' WHEN starts_with(run_id,
+    'run-2') THEN 'ingest_invoice' ELSE operation END AS operation FROM runs""")
 def prj_case_backfill(v: Views):
-    return v.runs.select("run_id", F.when(F.col("run_id").startswith("run-1"), "ingest_email").when(F.col("run_id").startswith("run-2"), "ingest_invoice").otherwise(F.col("operation")).alias("operation"))
+    return v.runs.select(
+        "run_id",
+        F.when(F.col("run_id").startswith("run-1"), "ingest_email").when(
+            F.col("run_id").startswith("run-2"), "ingest_invoice",
+        ).otherwise(F.col("operation")).alias("operation"),
+    )
 
 
 @query("SELECT invoice_id, coalesce(amount_gross_gbp, amount_gross) AS amount, coalesce(nullif(fx_error, ''), '-') AS note FROM invoices")
 def prj_coalesce(v: Views):
-    return v.invoices.select("invoice_id", F.coalesce("amount_gross_gbp", "amount_gross").alias("amount"), F.coalesce(F.when(F.col("fx_error") != "", F.col("fx_error")), F.lit("-")).alias("note"))
+    return v.invoices.select(
+        "invoice_id", F.coalesce("amount_gross_gbp", "amount_gross").alias("amount"),
+        F.coalesce(F.when(F.col("fx_error") != "", F.col("fx_error")), F.lit("-")).alias("note"),
+    )
 
 
 # --- joins ---
@@ -157,12 +186,16 @@ def jn_vendor_inv_left(v: Views):
     return v.vendors.join(v.invoices, "vendor_id", "left").groupBy("vendor_id").agg(F.count("invoice_id").alias("n"))
 
 
-@query("SELECT row_id, state, i.invoice_number, t.description_raw FROM recon r LEFT JOIN invoices i USING (invoice_id) LEFT JOIN transactions t ON t.txn_id = r.txn_id")
+@query("""SELECT row_id, state, i.invoice_number, t.description_raw FROM recon r LEFT JOIN invoices i USING (invoice_id) LEFT
+    JOIN transactions t ON t.txn_id = r.txn_id""")
 def jn_recon_3way(v: Views):
-    return v.recon.join(v.invoices, "invoice_id", "left").join(v.transactions.select("txn_id", "description_raw"), "txn_id", "left").select("row_id", "state", "invoice_number", "description_raw")
+    return v.recon.join(v.invoices, "invoice_id", "left").join(
+        v.transactions.select("txn_id", "description_raw"), "txn_id", "left",
+    ).select("row_id", "state", "invoice_number", "description_raw")
 
 
-@query("SELECT invoice_id FROM invoices WHERE deleted_reason IS NULL AND invoice_id NOT IN (SELECT invoice_id FROM recon WHERE state <> 'unmatched')")
+@query("""SELECT invoice_id FROM invoices WHERE deleted_reason IS NULL AND invoice_id NOT IN (SELECT invoice_id FROM recon
+    WHERE state <> 'unmatched')""")
 def jn_unmatched_inv(v: Views):
     """Anti-join form: an invoice with several rows comes once."""
     return v.invoices.where(live()).join(v.recon.where("state <> 'unmatched'"), "invoice_id", "left_anti").select("invoice_id")
@@ -173,9 +206,12 @@ def jn_unmatched_txn(v: Views):
     return v.transactions.where("txn_type <> 'transfer'").join(v.recon, "txn_id", "left_anti").select("txn_id")
 
 
-@query("SELECT invoice_id, category FROM invoices WHERE invoice_id IN (SELECT invoice_id FROM recon WHERE state IN ('auto_matched', 'user_verified'))")
+@query("""SELECT invoice_id, category FROM invoices WHERE invoice_id IN (SELECT invoice_id FROM recon
+    WHERE state IN ('auto_matched', 'user_verified'))""")
 def jn_exists_state(v: Views):
-    return v.invoices.join(v.recon.where("state IN ('auto_matched', 'user_verified')"), "invoice_id", "left_semi").select("invoice_id", "category")
+    return v.invoices.join(
+        v.recon.where("state IN ('auto_matched', 'user_verified')"), "invoice_id", "left_semi",
+    ).select("invoice_id", "category")
 
 
 @query("SELECT invoice_id FROM invoices WHERE source_msg_id IN (SELECT msg_id FROM emails WHERE outcome = 'error')")
@@ -188,7 +224,8 @@ def jn_feedback(v: Views):
     return v.feedback.join(v.emails.select("msg_id", "subject"), "msg_id").select("msg_id", "value", "subject")
 
 
-@query("SELECT invoice_id, coalesce(n, 0) AS confirmed FROM invoices LEFT JOIN (SELECT vendor_id, CAST(sum(confirmed_count) AS BIGINT) AS n FROM hints GROUP BY 1) USING (vendor_id)")
+@query("""SELECT invoice_id, coalesce(n, 0) AS confirmed FROM invoices LEFT
+    JOIN (SELECT vendor_id, CAST(sum(confirmed_count) AS BIGINT) AS n FROM hints GROUP BY 1) USING (vendor_id)""")
 def jn_hints(v: Views):
     h = v.hints.groupBy("vendor_id").agg(F.sum("confirmed_count").alias("n"))
     return v.invoices.join(h, "vendor_id", "left").select("invoice_id", F.coalesce("n", F.lit(0)).alias("confirmed"))
@@ -199,18 +236,25 @@ def jn_txn_semi_readme(v: Views):
     return v.transactions.join(v.recon.where("txn_id IS NOT NULL"), "txn_id", "left_anti").select("txn_id")
 
 
-@query("SELECT a.invoice_id, b.invoice_id AS twin_id, CASE WHEN a.amount_gross = b.amount_gross THEN 'duplicate_resend' ELSE 'corrected_invoice' END AS kind FROM invoices a JOIN invoices b ON a.vendor_id = b.vendor_id AND a.invoice_number = b.invoice_number AND b.invoice_id < a.invoice_id WHERE a.deleted_reason IS NULL AND b.deleted_reason IS NULL")
+@query("""SELECT a.invoice_id, b.invoice_id AS twin_id, CASE WHEN a.amount_gross = b.amount_gross THEN 'duplicate_resend'
+    ELSE 'corrected_invoice' END AS kind FROM invoices a
+    JOIN invoices b ON a.vendor_id = b.vendor_id AND a.invoice_number = b.invoice_number AND b.invoice_id < a.invoice_id
+    WHERE a.deleted_reason IS NULL AND b.deleted_reason IS NULL""")
 def jn_dup_invoice(v: Views):
     rows = v.invoices.where(live()).select("invoice_id", "vendor_id", "invoice_number", "amount_gross")
     b = rows.select(F.col("invoice_id").alias("twin_id"), "vendor_id", "invoice_number", F.col("amount_gross").alias("twin_gross"))
     both = rows.join(b, ["vendor_id", "invoice_number"]).where("twin_id < invoice_id")
-    return both.select("invoice_id", "twin_id", F.when(F.col("amount_gross") == F.col("twin_gross"), "duplicate_resend").otherwise("corrected_invoice").alias("kind"))
+    return both.select(
+        "invoice_id", "twin_id",
+        F.when(F.col("amount_gross") == F.col("twin_gross"), "duplicate_resend").otherwise("corrected_invoice").alias("kind"),
+    )
 
 
 # --- aggregates, windows, sorts ---
 
 
-@query(f"SELECT count(*) AS n, {AS_CENTS.format('coalesce(sum(amount_gross_gbp), 0)')} AS total FROM invoices WHERE deleted_reason IS NULL AND invoice_date {SPAN}")
+@query(f"""SELECT count(*) AS n, {AS_CENTS.format('coalesce(sum(amount_gross_gbp), 0)')} AS total FROM invoices
+    WHERE deleted_reason IS NULL AND invoice_date {SPAN}""")
 def ag_totals(v: Views):
     return v.invoices.where(live() & in_year("invoice_date")).agg(F.count("*").alias("n"), total("amount_gross_gbp").alias("total"))
 
@@ -220,12 +264,17 @@ def ag_recon_status(v: Views):
     return v.recon.where(F.col("fiscal_year") == FY).groupBy("state").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT category, {AS_CENTS.format('sum(amount_gross_gbp)')} AS total FROM invoices WHERE deleted_reason IS NULL AND invoice_date {SPAN} GROUP BY category ORDER BY total DESC, category")
+@query(f"""SELECT category, {AS_CENTS.format('sum(amount_gross_gbp)')} AS total FROM invoices
+    WHERE deleted_reason IS NULL AND invoice_date {SPAN} GROUP BY category ORDER BY total DESC, category""")
 def ag_category(v: Views):
-    return v.invoices.where(live() & in_year("invoice_date")).groupBy("category").agg(F.sum("amount_gross_gbp").cast(CENTS).alias("total")).orderBy(F.desc("total"), "category")
+    return v.invoices.where(live() & in_year("invoice_date")).groupBy("category").agg(
+        F.sum("amount_gross_gbp").cast(CENTS).alias("total")
+    ).orderBy(F.desc("total"), "category")
 
 
-TOP = f"SELECT vendor_id, min(canonical_name) AS name, {AS_CENTS.format('sum(amount_gross_gbp)')} AS total FROM invoices JOIN vendors USING (vendor_id) WHERE deleted_reason IS NULL AND invoice_date {SPAN} GROUP BY vendor_id ORDER BY total DESC NULLS LAST, vendor_id LIMIT 5"
+TOP = f"""SELECT vendor_id, min(canonical_name) AS name, {AS_CENTS.format('sum(amount_gross_gbp)')} AS total FROM invoices
+    JOIN vendors USING (vendor_id) WHERE deleted_reason IS NULL AND invoice_date {SPAN} GROUP BY vendor_id
+    ORDER BY total DESC NULLS LAST, vendor_id LIMIT 5"""
 
 
 @query(TOP)
@@ -236,41 +285,65 @@ def ag_top_vendors(v: Views):
     return named.orderBy(F.desc_nulls_last("total"), "vendor_id").limit(5)
 
 
-@query(f"SELECT count(*) AS n FROM emails WHERE processed_at IS NULL AND CAST(received_at AS DATE) BETWEEN DATE '{MAIL_START}' AND DATE '{MAIL_END}'")
+@query(f"""SELECT count(*) AS n FROM emails
+    WHERE processed_at IS NULL AND CAST(received_at AS DATE) BETWEEN DATE '{MAIL_START}' AND DATE '{MAIL_END}'""")
 def ag_pending_emails(v: Views):
-    return v.emails.where(F.col("processed_at").isNull() & F.to_date("received_at").between(F.lit(MAIL_START).cast("date"), F.lit(MAIL_END).cast("date"))).agg(F.count("*").alias("n"))
+    return v.emails.where(
+        F.col("processed_at").isNull() & F.to_date("received_at").between(F.lit(MAIL_START).cast("date"), F.lit(MAIL_END).cast("date"))
+    ).agg(F.count("*").alias("n"))
 
 
 @query(
     f"""SELECT (SELECT count(*) FROM invoices WHERE deleted_reason IS NULL AND invoice_date {SPAN}) AS invoice_count,
-    (SELECT {AS_CENTS.format('coalesce(sum(amount_gross_gbp), 0)')} FROM invoices WHERE deleted_reason IS NULL AND invoice_date {SPAN}) AS total_spend,
-    (SELECT '[' || string_agg('{{"state":"' || state || '","n":' || n || '}}', ',' ORDER BY state) || ']' FROM (SELECT state, count(*) AS n FROM recon WHERE fiscal_year = '{FY}' GROUP BY state)) AS recon_json,
-    (SELECT '[' || string_agg('{{"vendor_id":"' || vendor_id || '","total":' || total || '}}', ',' ORDER BY total DESC, vendor_id) || ']' FROM ({TOP})) AS vendors_json,
+    (SELECT {AS_CENTS.format('coalesce(sum(amount_gross_gbp), 0)')} FROM invoices
+        WHERE deleted_reason IS NULL AND invoice_date {SPAN}) AS total_spend,
+    (SELECT '[' || string_agg('{{"state":"' || state || '","n":' || n || '}}', ',' ORDER BY state) || ']'
+        FROM (SELECT state, count(*) AS n FROM recon WHERE fiscal_year = '{FY}' GROUP BY state)) AS recon_json,
+    (SELECT '[' || string_agg('{{"vendor_id":"' || vendor_id || '","total":' || total || '}}', ',' ORDER BY total DESC, vendor_id) || ']'
+        FROM ({TOP})) AS vendors_json,
     (SELECT count(*) FROM emails WHERE processed_at IS NULL) AS pending_emails"""
 )
 def ag_dashboard(v: Views):
     """One row: every part is aggregated to one row before the parts meet, so the cross joins have one row a side."""
     states = ag_recon_status(v).agg(F.to_json(F.array_sort(F.collect_list(F.struct("state", "n")))).alias("recon_json"))
     order = lambda a, b: F.when(a["total"] > b["total"], -1).when(a["total"] < b["total"], 1).when(a["vendor_id"] < b["vendor_id"], -1).otherwise(1)
-    top = ag_top_vendors(v).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("vendor_id", "total")), order), lambda x: x)).alias("vendors_json"))
+    top = ag_top_vendors(v).agg(
+        F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("vendor_id", "total")), order), lambda x: x)).alias("vendors_json")
+    )
     pending = v.emails.where("processed_at IS NULL").agg(F.count("*").alias("pending_emails"))
-    return ag_totals(v).select(F.col("n").alias("invoice_count"), F.col("total").alias("total_spend")).crossJoin(states).crossJoin(top).crossJoin(pending)
+    return ag_totals(v).select(
+        F.col("n").alias("invoice_count"), F.col("total").alias("total_spend"),
+    ).crossJoin(states).crossJoin(top).crossJoin(pending)
 
 
-@query("SELECT category, '[' || string_agg('\"' || invoice_id || '\"', ',' ORDER BY invoice_id) || ']' AS ids FROM invoices WHERE fx_error IS NOT NULL GROUP BY category")
+@query("""SELECT category, '[' || string_agg('"' || invoice_id || '"', ',' ORDER BY invoice_id) || ']' AS ids FROM invoices
+    WHERE fx_error IS NOT NULL GROUP BY category""")
 def ag_json_group(v: Views):
-    return v.invoices.where("fx_error IS NOT NULL").groupBy("category").agg(F.to_json(F.array_sort(F.collect_list("invoice_id"))).alias("ids"))
+    return v.invoices.where("fx_error IS NOT NULL").groupBy("category").agg(
+        F.to_json(F.array_sort(F.collect_list("invoice_id"))).alias("ids")
+    )
 
 
 @query("SELECT count(*) AS n, min(invoice_date) AS first_day, max(invoice_date) AS last_day FROM invoices WHERE deleted_reason IS NULL")
 def ag_coverage(v: Views):
-    return v.invoices.where(live()).agg(F.count("*").alias("n"), F.min("invoice_date").alias("first_day"), F.max("invoice_date").alias("last_day"))
+    return v.invoices.where(live()).agg(
+        F.count("*").alias("n"), F.min("invoice_date").alias("first_day"), F.max("invoice_date").alias("last_day"),
+    )
 
 
-@query(f"SELECT vendor_id, canonical_name, count(invoice_id) AS invoice_count, {AS_CENTS.format('coalesce(sum(CASE WHEN currency = ' + chr(39) + 'GBP' + chr(39) + ' THEN amount_gross END), 0)')} AS gbp_total, max(invoice_date) AS last_day, count(CASE WHEN deleted_reason IS NULL THEN invoice_id END) AS live_count FROM vendors LEFT JOIN invoices USING (vendor_id) GROUP BY vendor_id, canonical_name")
+@query(f"""SELECT vendor_id, canonical_name, count(invoice_id) AS invoice_count,
+    {AS_CENTS.format('coalesce(sum(CASE WHEN currency = ' + chr(39) + 'GBP' + chr(39) + ' THEN amount_gross END), 0)')} AS gbp_total,
+    max(invoice_date) AS last_day, count(CASE WHEN deleted_reason IS NULL THEN invoice_id END) AS live_count FROM vendors LEFT
+    JOIN invoices USING (vendor_id) GROUP BY vendor_id, canonical_name""")
 def ag_vendor_list(v: Views):
-    sums = v.invoices.groupBy("vendor_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("currency") == "GBP", F.col("amount_gross"))).alias("s"), F.max("invoice_date").alias("last_day"), F.count(F.when(live(), 1)).alias("l"))
-    return v.vendors.join(sums, "vendor_id", "left").select("vendor_id", "canonical_name", F.coalesce("n", F.lit(0)).alias("invoice_count"), F.coalesce("s", F.lit(0)).cast(CENTS).alias("gbp_total"), "last_day", F.coalesce("l", F.lit(0)).alias("live_count"))
+    sums = v.invoices.groupBy("vendor_id").agg(
+        F.count("*").alias("n"), F.sum(F.when(F.col("currency") == "GBP", F.col("amount_gross"))).alias("s"),
+        F.max("invoice_date").alias("last_day"), F.count(F.when(live(), 1)).alias("l"),
+    )
+    return v.vendors.join(sums, "vendor_id", "left").select(
+        "vendor_id", "canonical_name", F.coalesce("n", F.lit(0)).alias("invoice_count"),
+        F.coalesce("s", F.lit(0)).cast(CENTS).alias("gbp_total"), "last_day", F.coalesce("l", F.lit(0)).alias("live_count"),
+    )
 
 
 @query("SELECT DISTINCT category FROM invoices WHERE deleted_reason IS NULL ORDER BY category")
@@ -278,9 +351,13 @@ def ag_distinct_cat(v: Views):
     return v.invoices.where(live()).select("category").distinct().orderBy("category")
 
 
-@query("SELECT count(*) AS invoices, count(fx_error) AS fx_errors, count(CASE WHEN last_exported_at IS NULL THEN 1 END) AS unexported FROM invoices WHERE deleted_reason IS NULL")
+@query("""SELECT count(*) AS invoices, count(fx_error) AS fx_errors, count(CASE WHEN last_exported_at IS NULL THEN 1 END) AS unexported
+    FROM invoices WHERE deleted_reason IS NULL""")
 def ag_counts(v: Views):
-    return v.invoices.where(live()).agg(F.count("*").alias("invoices"), F.count("fx_error").alias("fx_errors"), F.count(F.when(F.col("last_exported_at").isNull(), 1)).alias("unexported"))
+    return v.invoices.where(live()).agg(
+        F.count("*").alias("invoices"), F.count("fx_error").alias("fx_errors"),
+        F.count(F.when(F.col("last_exported_at").isNull(), 1)).alias("unexported"),
+    )
 
 
 @query("SELECT max(CAST(received_at AS DATE)) AS last_day FROM emails")
@@ -293,31 +370,48 @@ def ag_hint_sum(v: Views):
     return v.hints.groupBy("vendor_id").agg(F.coalesce(F.sum("confirmed_count"), F.lit(0)).alias("confirmed"))
 
 
-@query("SELECT count(*) AS seen, count(CASE WHEN outcome = 'invoice' THEN 1 END) AS invoices, count(CASE WHEN outcome = 'receipt' THEN 1 END) AS receipts, count(CASE WHEN outcome = 'error' THEN 1 END) AS errors, count(CASE WHEN processed_at IS NULL THEN 1 END) AS pending FROM emails")
+@query("""SELECT count(*) AS seen, count(CASE WHEN outcome = 'invoice' THEN 1 END) AS invoices, count(CASE
+    WHEN outcome = 'receipt' THEN 1 END) AS receipts, count(CASE WHEN outcome = 'error' THEN 1 END) AS errors, count(CASE
+    WHEN processed_at IS NULL THEN 1 END) AS pending FROM emails""")
 def ag_process_stats(v: Views):
     n = lambda o: F.count(F.when(F.col("outcome") == o, 1))
-    return v.emails.agg(F.count("*").alias("seen"), n("invoice").alias("invoices"), n("receipt").alias("receipts"), n("error").alias("errors"), F.count(F.when(F.col("processed_at").isNull(), 1)).alias("pending"))
+    return v.emails.agg(
+        F.count("*").alias("seen"), n("invoice").alias("invoices"), n("receipt").alias("receipts"), n("error").alias("errors"),
+        F.count(F.when(F.col("processed_at").isNull(), 1)).alias("pending"),
+    )
 
 
-@query("SELECT outcome, count(*) AS calls, CAST(sum(k % 4000) AS BIGINT) AS tokens, CAST(sum(CAST(round_even(CAST(((k % 4000) * CASE WHEN outcome = 'invoice' THEN 3.00 ELSE 0.80 END) * 0.79 AS DECIMAL(18,4)) / 1000000.0, 4) AS DECIMAL(12,4))) AS DECIMAL(38,4)) AS cost FROM emails WHERE outcome IS NOT NULL GROUP BY outcome")
+@query("""SELECT outcome, count(*) AS calls, CAST(sum(k % 4000) AS BIGINT) AS tokens, CAST(sum(CAST(round_even(CAST(((k % 4000) * CASE
+    WHEN outcome = 'invoice' THEN 3.00 ELSE 0.80 END) * 0.79 AS DECIMAL(18,4)) / 1000000.0,
+    4) AS DECIMAL(12,4))) AS DECIMAL(38,4)) AS cost FROM emails WHERE outcome IS NOT NULL GROUP BY outcome""")
 def ag_llm_cost(v: Views):
     """Each call's cost is rounded half to even to four decimals, then the costs are summed."""
     price = F.when(F.col("outcome") == "invoice", F.lit("3.00")).otherwise(F.lit("0.80")).cast("decimal(4,2)")
     tokens = F.col("k") % 4000
-    cost = F.bround((tokens.cast("decimal(12,0)") * price * F.lit("0.79").cast("decimal(3,2)")).cast("decimal(18,4)").cast("decimal(28,10)") / 1000000, 4).cast("decimal(12,4)")
-    return v.emails.where("outcome IS NOT NULL").groupBy("outcome").agg(F.count("*").alias("calls"), F.sum(tokens).alias("tokens"), F.sum(cost).cast("decimal(38,4)").alias("cost"))
+    cost = F.bround(
+        (tokens.cast("decimal(12,0)") * price * F.lit("0.79").cast("decimal(3,2)")).cast("decimal(18,4)").cast("decimal(28,10)") / 1000000,
+        4,
+    ).cast("decimal(12,4)")
+    return v.emails.where("outcome IS NOT NULL").groupBy("outcome").agg(
+        F.count("*").alias("calls"), F.sum(tokens).alias("tokens"), F.sum(cost).cast("decimal(38,4)").alias("cost"),
+    )
 
 
-@query("SELECT operation, run_id, status FROM (SELECT *, row_number() OVER (PARTITION BY operation ORDER BY started_at DESC, run_id) AS n FROM runs WHERE status <> 'running') WHERE n = 1")
+@query("""SELECT operation, run_id, status FROM (SELECT *, row_number() OVER (PARTITION BY operation
+    ORDER BY started_at DESC, run_id) AS n FROM runs WHERE status <> 'running') WHERE n = 1""")
 def wn_latest_run(v: Views):
     """max_by combines before the shuffle, so an operation with most of the runs is no burden."""
-    last = v.runs.where("status <> 'running'").groupBy("operation").agg(F.min_by(F.struct("run_id", "status"), F.struct(-F.unix_micros("started_at"), "run_id")).alias("r"))
+    last = v.runs.where("status <> 'running'").groupBy("operation").agg(
+        F.min_by(F.struct("run_id", "status"), F.struct(-F.unix_micros("started_at"), "run_id")).alias("r")
+    )
     return last.select("operation", "r.run_id", "r.status")
 
 
 @query("SELECT txn_id, row_number() OVER (PARTITION BY account, booking_date ORDER BY k) - 1 AS ordinal FROM transactions")
 def wn_ordinal(v: Views):
-    return v.transactions.select("txn_id", (F.row_number().over(Window.partitionBy("account", "booking_date").orderBy("k")) - 1).cast("bigint").alias("ordinal"))
+    return v.transactions.select(
+        "txn_id", (F.row_number().over(Window.partitionBy("account", "booking_date").orderBy("k")) - 1).cast("bigint").alias("ordinal"),
+    )
 
 
 @query("SELECT vendor_id, arg_min(invoice_id, k) AS invoice_id FROM invoices GROUP BY vendor_id")
@@ -335,15 +429,19 @@ def tk_limit(v: Views):
     return v.invoices.select("invoice_id", "invoice_date").orderBy(F.desc("invoice_date"), "invoice_id").limit(50)
 
 
-@query("(SELECT msg_id, value FROM feedback WHERE value = 'negative' ORDER BY created_at DESC, msg_id LIMIT 5) UNION ALL (SELECT msg_id, value FROM feedback WHERE value = 'positive' ORDER BY created_at DESC, msg_id LIMIT 5)")
+@query("""(SELECT msg_id, value FROM feedback WHERE value = 'negative' ORDER BY created_at DESC, msg_id LIMIT 5)
+    UNION ALL (SELECT msg_id, value FROM feedback WHERE value = 'positive' ORDER BY created_at DESC, msg_id LIMIT 5)""")
 def tk_feedback(v: Views):
     last = lambda x: v.feedback.where(F.col("value") == x).orderBy(F.desc("created_at"), "msg_id").limit(5)
     return last("negative").unionByName(last("positive")).select("msg_id", "value")
 
 
-@query("SELECT run_id, ended_at FROM runs WHERE status IN ('ok', 'partial') AND ended_at IS NOT NULL ORDER BY ended_at DESC, run_id LIMIT 1")
+@query("""SELECT run_id, ended_at FROM runs WHERE status IN ('ok', 'partial') AND ended_at IS NOT NULL
+    ORDER BY ended_at DESC, run_id LIMIT 1""")
 def tk_last_ok(v: Views):
-    return v.runs.where("status IN ('ok', 'partial') AND ended_at IS NOT NULL").select("run_id", "ended_at").orderBy(F.desc("ended_at"), "run_id").limit(1)
+    return v.runs.where(
+        "status IN ('ok', 'partial') AND ended_at IS NOT NULL"
+    ).select("run_id", "ended_at").orderBy(F.desc("ended_at"), "run_id").limit(1)
 
 
 @query("SELECT run_id, status FROM runs WHERE status = 'running' UNION ALL SELECT run_id, status FROM runs WHERE status = 'failed'")
@@ -352,13 +450,19 @@ def st_union_all(v: Views):
 
 
 @query("""SELECT s.operation, coalesce(CASE WHEN r.operation IS NOT NULL THEN 'running' END, l.status, 'never') AS status
-    FROM (VALUES ('ingest_email'), ('ingest_invoice'), ('reconcile')) s(operation) LEFT JOIN (SELECT DISTINCT operation FROM runs WHERE status = 'running') r USING (operation)
-    LEFT JOIN (SELECT operation, arg_max(status, (started_at, run_id)) AS status FROM runs WHERE status <> 'running' GROUP BY 1) l ON l.operation = s.operation""")
+    FROM (VALUES ('ingest_email'), ('ingest_invoice'), ('reconcile')) s(operation) LEFT JOIN (SELECT DISTINCT operation FROM runs
+    WHERE status = 'running') r USING (operation)
+    LEFT JOIN (SELECT operation, arg_max(status, (started_at, run_id)) AS status FROM runs WHERE status <> 'running'
+    GROUP BY 1) l ON l.operation = s.operation""")
 def st_running_first(v: Views):
     spine = v.spark.createDataFrame([("ingest_email",), ("ingest_invoice",), ("reconcile",)], "operation string")
     running = v.runs.where("status = 'running'").select("operation", F.lit("running").alias("_running")).distinct()
-    latest = v.runs.where("status <> 'running'").groupBy("operation").agg(F.max_by("status", F.struct("started_at", "run_id")).alias("_last"))
-    return spine.join(running, "operation", "left").join(latest, "operation", "left").select("operation", F.coalesce("_running", "_last", F.lit("never")).alias("status"))
+    latest = v.runs.where("status <> 'running'").groupBy("operation").agg(
+        F.max_by("status", F.struct("started_at", "run_id")).alias("_last")
+    )
+    return spine.join(running, "operation", "left").join(latest, "operation", "left").select(
+        "operation", F.coalesce("_running", "_last", F.lit("never")).alias("status"),
+    )
 
 
 # --- report tabs ---
@@ -366,41 +470,58 @@ def st_running_first(v: Views):
 _CELL = "CASE WHEN regexp_matches(x, '^[=+\\-@]') THEN '''' || x ELSE x END"
 
 
-@query(f"SELECT invoice_id, canonical_name, invoice_number, invoice_date, currency, amount_gross, category FROM invoices LEFT JOIN vendors USING (vendor_id) WHERE deleted_reason IS NULL AND invoice_date {SPAN} AND invoice_id NOT IN (SELECT invoice_id FROM recon WHERE state <> 'unmatched')")
+@query(f"""SELECT invoice_id, canonical_name, invoice_number, invoice_date, currency, amount_gross, category FROM invoices LEFT
+    JOIN vendors USING (vendor_id) WHERE deleted_reason IS NULL AND invoice_date {SPAN} AND invoice_id NOT IN (SELECT invoice_id
+    FROM recon WHERE state <> 'unmatched')""")
 def rp_unmatched_inv(v: Views):
     open_ = v.invoices.where(live() & in_year("invoice_date")).join(v.recon.where("state <> 'unmatched'"), "invoice_id", "left_anti")
-    return open_.join(v.vendors, "vendor_id", "left").select("invoice_id", "canonical_name", "invoice_number", "invoice_date", "currency", "amount_gross", "category")
+    return open_.join(v.vendors, "vendor_id", "left").select(
+        "invoice_id", "canonical_name", "invoice_number", "invoice_date", "currency", "amount_gross", "category",
+    )
 
 
-@query(f"SELECT txn_id, booking_date, account, description_raw, currency, amount, amount_gbp, txn_type, category FROM transactions t WHERE booking_date {SPAN} AND txn_type <> 'transfer' AND NOT EXISTS (SELECT 1 FROM recon r WHERE r.txn_id = t.txn_id)")
+@query(f"""SELECT txn_id, booking_date, account, description_raw, currency, amount, amount_gbp, txn_type, category FROM transactions t
+    WHERE booking_date {SPAN} AND txn_type <> 'transfer' AND NOT EXISTS (SELECT 1 FROM recon r WHERE r.txn_id = t.txn_id)""")
 def rp_unmatched_txn(v: Views):
     rows = v.transactions.where(in_year("booking_date")).where("txn_type <> 'transfer'").join(v.recon, "txn_id", "left_anti")
     return rows.select("txn_id", "booking_date", "account", "description_raw", "currency", "amount", "amount_gbp", "txn_type", "category")
 
 
-@query("SELECT txn_id, booking_date, description_raw, currency, amount, amount_gbp, invoice_id FROM transactions t LEFT JOIN (SELECT txn_id AS rt, min(invoice_id) AS invoice_id FROM recon WHERE txn_id IS NOT NULL GROUP BY 1) ON rt = txn_id WHERE txn_type = 'income'")
+@query("""SELECT txn_id, booking_date, description_raw, currency, amount, amount_gbp, invoice_id FROM transactions t LEFT
+    JOIN (SELECT txn_id AS rt, min(invoice_id) AS invoice_id FROM recon WHERE txn_id IS NOT NULL GROUP BY 1) ON rt = txn_id
+    WHERE txn_type = 'income'""")
 def rp_sales(v: Views):
     linked = v.recon.where("txn_id IS NOT NULL").groupBy("txn_id").agg(F.min("invoice_id").alias("invoice_id"))
-    return v.transactions.where("txn_type = 'income'").join(linked, "txn_id", "left").select("txn_id", "booking_date", "description_raw", "currency", "amount", "amount_gbp", "invoice_id")
+    return v.transactions.where("txn_type = 'income'").join(linked, "txn_id", "left").select(
+        "txn_id", "booking_date", "description_raw", "currency", "amount", "amount_gbp", "invoice_id",
+    )
 
 
-@query("SELECT run_id, operation, started_at, ended_at, status, CAST(date_diff('second', started_at, ended_at) AS BIGINT) AS seconds FROM runs")
+@query("""SELECT run_id, operation, started_at, ended_at, status, CAST(date_diff('second', started_at, ended_at) AS BIGINT) AS seconds
+    FROM runs""")
 def rp_run_status(v: Views):
-    return v.runs.select("run_id", "operation", "started_at", "ended_at", "status", F.timestamp_diff("SECOND", F.col("started_at"), F.col("ended_at")).alias("seconds"))
+    return v.runs.select(
+        "run_id", "operation", "started_at", "ended_at", "status",
+        F.timestamp_diff("SECOND", F.col("started_at"), F.col("ended_at")).alias("seconds"),
+    )
 
 
-@query("SELECT msg_id, outcome, received_at FROM emails WHERE outcome IN ('error', 'no_attachment', 'needs_manual_download') AND dismissed_at IS NULL ORDER BY received_at DESC, msg_id LIMIT 50")
+@query("""SELECT msg_id, outcome, received_at FROM emails
+    WHERE outcome IN ('error', 'no_attachment', 'needs_manual_download') AND dismissed_at IS NULL
+    ORDER BY received_at DESC, msg_id LIMIT 50""")
 def rp_pending_actions(v: Views):
     rows = v.emails.where(F.col("outcome").isin("error", "no_attachment", "needs_manual_download") & F.col("dismissed_at").isNull())
     return rows.select("msg_id", "outcome", "received_at").orderBy(F.desc("received_at"), "msg_id").limit(50)
 
 
-@query("SELECT invoice_id, currency, fx_error FROM invoices WHERE deleted_reason IS NULL AND fx_error IS NOT NULL ORDER BY invoice_date DESC, invoice_id LIMIT 50")
+@query("""SELECT invoice_id, currency, fx_error FROM invoices WHERE deleted_reason IS NULL AND fx_error IS NOT NULL
+    ORDER BY invoice_date DESC, invoice_id LIMIT 50""")
 def rp_fx_errors(v: Views):
     return v.invoices.where(live() & F.col("fx_error").isNotNull()).orderBy(F.desc("invoice_date"), "invoice_id").select("invoice_id", "currency", "fx_error").limit(50)
 
 
-@query("SELECT invoice_id, category FROM invoices WHERE deleted_reason IS NULL AND source_msg_id IN (SELECT msg_id FROM emails WHERE outcome = 'error') ORDER BY invoice_date DESC, invoice_id LIMIT 500")
+@query("""SELECT invoice_id, category FROM invoices WHERE deleted_reason IS NULL AND source_msg_id IN (SELECT msg_id FROM emails
+    WHERE outcome = 'error') ORDER BY invoice_date DESC, invoice_id LIMIT 500""")
 def rp_exception_invoices(v: Views):
     bad = v.invoices.where(live()).join(v.emails.where("outcome = 'error'"), F.col("source_msg_id") == F.col("msg_id"), "left_semi")
     return bad.orderBy(F.desc("invoice_date"), "invoice_id").select("invoice_id", "category").limit(500)
@@ -411,17 +532,28 @@ def rp_runs_list(v: Views):
     return v.runs.where("operation = 'ingest_email'").orderBy(F.desc("started_at"), "run_id").select("run_id", "operation", "status").limit(10)
 
 
-@query("SELECT operation, max(CASE WHEN status IN ('ok', 'partial') THEN ended_at END) AS last_ok, CASE WHEN max(CASE WHEN status IN ('ok', 'partial') THEN ended_at END) >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 36 HOUR THEN 'ok' WHEN max(CASE WHEN status IN ('ok', 'partial') THEN ended_at END) >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 72 HOUR THEN 'warn' ELSE 'error' END AS health FROM runs GROUP BY operation")
+@query("""SELECT operation, max(CASE WHEN status IN ('ok', 'partial') THEN ended_at END) AS last_ok, CASE WHEN max(CASE
+    WHEN status IN ('ok', 'partial') THEN ended_at END) >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 36 HOUR THEN 'ok' WHEN max(CASE
+    WHEN status IN ('ok', 'partial') THEN ended_at END) >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 72 HOUR THEN 'warn'
+    ELSE 'error' END AS health FROM runs GROUP BY operation""")
 def rp_health(v: Views):
     """Age of each operation's last success at a given time: warned of after 36 hours, an error after 72."""
     now = F.lit("2024-01-30 12:00:00").cast("timestamp")
     last = v.runs.groupBy("operation").agg(F.max(F.when(F.col("status").isin("ok", "partial"), F.col("ended_at"))).alias("last_ok"))
-    return last.withColumn("health", F.when(F.col("last_ok") >= now - F.expr("INTERVAL 36 HOURS"), "ok").when(F.col("last_ok") >= now - F.expr("INTERVAL 72 HOURS"), "warn").otherwise("error"))
+    return last.withColumn(
+        "health",
+        F.when(F.col("last_ok") >= now - F.expr("INTERVAL 36 HOURS"), "ok").when(
+            F.col("last_ok") >= now - F.expr("INTERVAL 72 HOURS"), "warn",
+        ).otherwise("error"),
+    )
 
 
-@query(f"SELECT strftime(invoice_date, '%Y-%m') AS month, count(*) AS n, {AS_CENTS.format('sum(amount_gross)')} AS total FROM invoices WHERE deleted_reason IS NULL GROUP BY 1")
+@query(f"""SELECT strftime(invoice_date, '%Y-%m') AS month, count(*) AS n, {AS_CENTS.format('sum(amount_gross)')} AS total FROM invoices
+    WHERE deleted_reason IS NULL GROUP BY 1""")
 def rp_readme(v: Views):
-    return v.invoices.where(live()).groupBy(S.year_month(F.col("invoice_date")).alias("month")).agg(F.count("*").alias("n"), F.sum("amount_gross").cast(CENTS).alias("total"))
+    return v.invoices.where(live()).groupBy(S.year_month(F.col("invoice_date")).alias("month")).agg(
+        F.count("*").alias("n"), F.sum("amount_gross").cast(CENTS).alias("total"),
+    )
 
 
 @query("SELECT domain, value, count(*) AS n FROM feedback GROUP BY domain, value")

@@ -27,7 +27,8 @@ def at(text: str = NOW):
 AGAIN = "outcome IN ('error', 'no_attachment') AND dismissed_at IS NULL"
 
 
-@query(f"""SELECT msg_id, CASE WHEN {AGAIN} THEN NULL ELSE outcome END AS outcome, CASE WHEN {AGAIN} THEN NULL ELSE error_code END AS error_code,
+@query(f"""SELECT msg_id, CASE WHEN {AGAIN} THEN NULL ELSE outcome END AS outcome, CASE WHEN {AGAIN} THEN NULL
+    ELSE error_code END AS error_code,
     CASE WHEN {AGAIN} THEN NULL ELSE processed_at END AS processed_at FROM emails""")
 def sink_retry_errors(v: Views):
     return updates.retry_errors(v.emails).select("msg_id", "outcome", "error_code", "processed_at")
@@ -59,16 +60,21 @@ def sink_email_reset(v: Views):
     mail = v.emails.withColumn("source", F.when(C("k") % 5 == 0, "upload").otherwise("error"))
     marks = v.emails.where("outcome IS NOT NULL").select(C("outcome").alias("source")).distinct()
     invoices, mail, marks = updates.reset(v.invoices, mail, marks, "error")
-    rows = mail.select(F.lit("email").alias("kind"), C("msg_id").alias("id")).unionByName(marks.select(F.lit("mark").alias("kind"), C("source").alias("id")))
+    rows = mail.select(F.lit("email").alias("kind"), C("msg_id").alias("id")).unionByName(
+        marks.select(F.lit("mark").alias("kind"), C("source").alias("id"))
+    )
     return rows.unionByName(invoices.select(F.lit("invoice").alias("kind"), C("invoice_id").alias("id")))
 
 
-@query(f"""SELECT msg_id, CASE WHEN k % 4 = 0 THEN 'error' ELSE outcome END AS outcome, CASE WHEN k % 4 = 0 THEN 'E7' ELSE error_code END AS error_code,
+@query(f"""SELECT msg_id, CASE WHEN k % 4 = 0 THEN 'error' ELSE outcome END AS outcome, CASE WHEN k % 4 = 0 THEN 'E7'
+    ELSE error_code END AS error_code,
     CASE WHEN k % 4 = 0 THEN 'no answer from <email> for ' || k END AS error_message,
     CASE WHEN k % 4 = 0 THEN TIMESTAMP '{NOW}' ELSE processed_at END AS processed_at FROM emails""")
 def sink_email_outcome(v: Views):
     """Every fourth message fails with a message that names its sender, as does one that isn't known."""
-    failed = v.emails.where("k % 4 = 0").select("msg_id", F.concat(F.lit("no answer from "), "from_addr", F.lit(" for "), "k").alias("error_message"))
+    failed = v.emails.where("k % 4 = 0").select(
+        "msg_id", F.concat(F.lit("no answer from "), "from_addr", F.lit(" for "), "k").alias("error_message"),
+    )
     failed = failed.union(v.spark.createDataFrame([("unknown", "x")], "msg_id string, error_message string"))
     outcomes = failed.select("msg_id", F.lit("error").alias("outcome"), F.lit("E7").alias("error_code"), "error_message")
     mail = v.emails.withColumn("error_message", F.lit(None).cast("string"))
@@ -83,7 +89,8 @@ def sink_dismiss(v: Views):
     return done.select("msg_id", "dismissed_at", "dismissed_reason")
 
 
-@query("""SELECT msg_id, 'dismiss' AS feedback_type, 'not_invoice' AS feedback_value, from_addr, subject, lower(split_part(from_addr, '@', 2)) AS sender_domain
+@query("""SELECT msg_id, 'dismiss' AS feedback_type, 'not_invoice' AS feedback_value, from_addr, subject, lower(split_part(from_addr,
+    '@', 2)) AS sender_domain
     FROM emails WHERE outcome = 'neither'""")
 def sink_dismiss_feedback(v: Views):
     return updates.dismissal_feedback(v.emails, v.emails.where("outcome = 'neither'").select("msg_id"), "not_invoice")
@@ -105,7 +112,8 @@ def sink_vendor_get_or_create(v: Views):
     return updates.get_or_create(old, old.unionByName(new))
 
 
-@query("""SELECT invoice_id, CASE WHEN deleted_reason IS NULL AND category = 'travel' THEN DATE '2002-01-01' ELSE last_exported_at END AS last_exported_at
+@query("""SELECT invoice_id, CASE WHEN deleted_reason IS NULL AND category = 'travel' THEN DATE '2002-01-01'
+    ELSE last_exported_at END AS last_exported_at
     FROM invoices""")
 def sink_mark_exported(v: Views):
     chosen = v.invoices.where("category = 'travel'").select("invoice_id")
@@ -116,16 +124,22 @@ FILED = """filed AS (SELECT vendor_id, invoice_number, arg_min(amount_gross, inv
         WHERE k % 3 = 0 AND deleted_reason IS NULL GROUP BY vendor_id, invoice_number),
     incoming AS (SELECT *, row_number() OVER w AS n, first_value(amount_gross) OVER w AS first_gross FROM invoices
         WHERE k % 3 <> 0 WINDOW w AS (PARTITION BY vendor_id, invoice_number ORDER BY invoice_date, invoice_id)),
-    standing AS (SELECT i.*, coalesce(f.gross, CASE WHEN n > 1 THEN first_gross END) AS was FROM incoming i LEFT JOIN filed f USING (vendor_id, invoice_number)),
-    decided AS (SELECT *, CASE WHEN was IS NULL THEN 'created' WHEN was = amount_gross THEN 'duplicate_resend' ELSE 'corrected_invoice' END AS decision,
-        CASE WHEN was <> amount_gross THEN invoice_number || '-corrected-' || substr(sha256(invoice_id), 1, 6) ELSE invoice_number END AS filed_number FROM standing)"""
+    standing AS (SELECT i.*, coalesce(f.gross, CASE WHEN n > 1 THEN first_gross END) AS was FROM incoming i LEFT
+    JOIN filed f USING (vendor_id, invoice_number)),
+    decided AS (SELECT *, CASE WHEN was IS NULL THEN 'created' WHEN was = amount_gross THEN 'duplicate_resend'
+    ELSE 'corrected_invoice' END AS decision,
+        CASE WHEN was <> amount_gross THEN invoice_number || '-corrected-' || substr(sha256(invoice_id), 1, 6)
+    ELSE invoice_number END AS filed_number FROM standing)"""
 
 
 def _filing(v: Views) -> tuple[DataFrame, DataFrame]:
     """(invoices on file, decisions on the others): every third invoice is on file, and its vendor sends it again."""
     filed = v.invoices.where("k % 3 = 0")
     incoming = v.invoices.where("k % 3 <> 0")
-    asked = incoming.select("invoice_id", "vendor_id", C("invoice_number").alias("number"), C("amount_gross").alias("gross"), C("invoice_date").alias("received_at"))
+    asked = incoming.select(
+        "invoice_id", "vendor_id", C("invoice_number").alias("number"), C("amount_gross").alias("gross"),
+        C("invoice_date").alias("received_at"),
+    )
     return filed, inv.file(asked, filed.where("deleted_reason IS NULL"))
 
 
@@ -143,7 +157,8 @@ def sink_invoice_row(v: Views):
     return updates.append_filed(filed, v.emails, new, at())[0].select("invoice_id", "invoice_number", "amount_gross")
 
 
-@query(f"""SELECT msg_id, CASE WHEN hit THEN 'invoice' ELSE outcome END AS outcome, CASE WHEN hit THEN TIMESTAMP '{NOW}' ELSE processed_at END AS processed_at
+@query(f"""SELECT msg_id, CASE WHEN hit THEN 'invoice' ELSE outcome END AS outcome, CASE WHEN hit THEN TIMESTAMP '{NOW}'
+    ELSE processed_at END AS processed_at
     FROM (SELECT *, msg_id IN (SELECT source_msg_id FROM invoices WHERE k % 3 <> 0) AS hit FROM emails)""")
 def sink_invoice_mail(v: Views):
     """The mail that brought them, resends included."""
@@ -152,7 +167,8 @@ def sink_invoice_mail(v: Views):
     return updates.append_filed(filed, v.emails, new, at())[1].select("msg_id", "outcome", "processed_at")
 
 
-@query("""SELECT day, from_ccy, CAST(CASE WHEN from_ccy = 'USD' AND date_diff('day', DATE '1970-01-01', day) % 2 = 0 THEN rate + 0.1 ELSE rate END AS DECIMAL(18,6)) AS rate
+@query("""SELECT day, from_ccy, CAST(CASE WHEN from_ccy = 'USD' AND date_diff('day', DATE '1970-01-01', day) % 2 = 0 THEN rate + 0.1
+    ELSE rate END AS DECIMAL(18,6)) AS rate
     FROM fx_rates UNION ALL SELECT DATE '2030-01-01', 'USD', 0.5""")
 def sink_fx_store(v: Views):
     """Rates of even days are fetched anew, and that of a day without one."""
@@ -176,7 +192,8 @@ def sink_watermark(v: Views):
 
 
 @query("""SELECT source, CAST(CASE WHEN source = 'ms365' THEN 1 ELSE n + 1 END AS BIGINT) AS retry_count
-    FROM (SELECT domain AS source, count(*) AS n FROM feedback GROUP BY domain UNION ALL SELECT 'ms365', 0) WHERE source NOT IN (SELECT domain FROM blocked)""")
+    FROM (SELECT domain AS source, count(*) AS n FROM feedback GROUP BY domain UNION ALL SELECT 'ms365', 0)
+    WHERE source NOT IN (SELECT domain FROM blocked)""")
 def sink_reauth(v: Views):
     """All sources and a new one fail once more; then some work again."""
     old = v.feedback.groupBy(C("domain").alias("source")).agg(F.count("*").alias("retry_count"))
@@ -187,7 +204,8 @@ def sink_reauth(v: Views):
 LATE = "TIMESTAMP '2024-01-30 12:00:00'"
 
 
-@query(f"""SELECT run_id, CASE WHEN status = 'running' AND started_at < {LATE} - INTERVAL 1 HOUR THEN 'interrupted' ELSE status END AS status FROM runs""")
+@query(f"""SELECT run_id, CASE WHEN status = 'running' AND started_at < {LATE} - INTERVAL 1 HOUR THEN 'interrupted'
+    ELSE status END AS status FROM runs""")
 def sink_run_stale(v: Views):
     """Runs of more than an hour are interrupted."""
     return updates.interrupt_stale(v.runs, at("2024-01-30 12:00:00")).select("run_id", "status")
@@ -198,7 +216,8 @@ def sink_run_cancel(v: Views):
     return updates.cancel(v.runs, v.runs.where("operation = 'other'").select("run_id")).select("run_id", "status")
 
 
-@query(f"""SELECT run_id, operation, CASE WHEN status = 'running' AND operation = 'ingest_email' AND started_at < {LATE} - INTERVAL 1 HOUR THEN 'interrupted' ELSE status END AS status
+@query(f"""SELECT run_id, operation, CASE WHEN status = 'running' AND operation = 'ingest_email'
+    AND started_at < {LATE} - INTERVAL 1 HOUR THEN 'interrupted' ELSE status END AS status
     FROM runs UNION ALL SELECT 'email-1', 'ingest_email', 'running'""")
 def sink_run_begin(v: Views):
     """A run begins, twice under one name; stale ones of its operation are interrupted."""
@@ -214,14 +233,16 @@ def sink_run_update(v: Views):
     return updates.update_stats(runs, stats).select("run_id", "status", "stats_json")
 
 
-@query(f"SELECT run_id, CASE WHEN status = 'running' THEN 'partial' ELSE status END AS status, CASE WHEN status = 'running' THEN {LATE} ELSE ended_at END AS ended_at FROM runs")
+@query(f"""SELECT run_id, CASE WHEN status = 'running' THEN 'partial' ELSE status END AS status, CASE WHEN status = 'running' THEN {LATE}
+    ELSE ended_at END AS ended_at FROM runs""")
 def sink_run_complete(v: Views):
     runs = v.runs.withColumn("stats_json", F.lit("{}"))
     done = runs.where("status = 'running'").select("run_id", F.lit("partial").alias("status"), F.lit('{"seen": 2}').alias("stats_json"))
     return updates.complete_runs(runs, done, at("2024-01-30 12:00:00")).select("run_id", "status", "ended_at")
 
 
-@query("SELECT account AS source, 'ok:' || count(*) AS outcome FROM transactions GROUP BY account UNION ALL SELECT 'lost', 'error:AnalysisException'")
+@query("""SELECT account AS source, 'ok:' || count(*) AS outcome FROM transactions GROUP BY account
+    UNION ALL SELECT 'lost', 'error:AnalysisException'""")
 def sm_partial(v: Views):
     """A source without a file fails; the others are read nevertheless."""
     of = lambda name: lambda: v.transactions.where(C("account") == name)
@@ -240,19 +261,25 @@ def ag_budget(v: Views):
 # --- clearing and pending rows in the ledger ---
 
 
-@query("""SELECT txn_id, CASE WHEN unclear THEN 'transfer_unconfirmed' WHEN NOT unclear THEN coalesce(category, 'amex_clearing') ELSE category END AS category
-    FROM transactions LEFT JOIN (SELECT txn_id, max(n > 1) AS unclear FROM (SELECT txn_id, count(*) OVER (PARTITION BY msg_id) AS n FROM statements s JOIN transactions t
-        ON txn_type = 'transfer' AND (account LIKE 'wise%' OR account LIKE 'monzo%') AND booking_date BETWEEN close_date + 1 AND close_date + 35
+@query("""SELECT txn_id, CASE WHEN unclear THEN 'transfer_unconfirmed' WHEN NOT unclear THEN coalesce(category, 'amex_clearing')
+    ELSE category END AS category
+    FROM transactions LEFT JOIN (SELECT txn_id, max(n > 1) AS unclear FROM (SELECT txn_id, count(*) OVER (PARTITION BY msg_id) AS n
+    FROM statements s JOIN transactions t
+        ON txn_type = 'transfer' AND (account LIKE 'wise%' OR account LIKE 'monzo%') AND booking_date BETWEEN close_date + 1
+    AND close_date + 35
         AND abs(abs(amount) - billed) <= 0.50) GROUP BY txn_id) m USING (txn_id)""")
 def clr_apply(v: Views):
     return clearing.apply(v.transactions, v.statements).select("txn_id", "category")
 
 
-@query("""SELECT auth_id, txn_id, day, CASE WHEN NOT known AND seen = first THEN 'recorded' WHEN txn_id = registered THEN 'already_known' ELSE 'ambiguous' END AS outcome
-    FROM (SELECT s.auth_id, s.txn_id, s.day, row(s.day, s.txn_id) AS seen, min(row(s.day, s.txn_id)) OVER w AS first, l.pending IS NOT NULL AS known,
+@query("""SELECT auth_id, txn_id, day, CASE WHEN NOT known AND seen = first THEN 'recorded' WHEN txn_id = registered THEN 'already_known'
+    ELSE 'ambiguous' END AS outcome
+    FROM (SELECT s.auth_id, s.txn_id, s.day, row(s.day, s.txn_id) AS seen, min(row(s.day, s.txn_id)) OVER w AS first,
+    l.pending IS NOT NULL AS known,
             coalesce(l.pending, first_value(s.txn_id) OVER (PARTITION BY s.auth_id ORDER BY s.day, s.txn_id)) AS registered
         FROM (SELECT auth_id, txn_id, seen + unnest([0, 1]) AS day FROM auths WHERE kind = 'pending') s
-        LEFT JOIN (SELECT auth_id, min(txn_id) AS pending FROM auths WHERE k % 7 = 0 GROUP BY 1) l USING (auth_id) WINDOW w AS (PARTITION BY s.auth_id))""")
+        LEFT JOIN (SELECT auth_id, min(txn_id) AS pending FROM auths WHERE k % 7 = 0
+    GROUP BY 1) l USING (auth_id) WINDOW w AS (PARTITION BY s.auth_id))""")
 def pend_record(v: Views):
     """Every pending row is seen on two days; some authorisations are known."""
     links = v.auths.where("k % 7 = 0").groupBy("auth_id").agg(F.min("txn_id").alias("pending_txn_id"))
@@ -261,10 +288,12 @@ def pend_record(v: Views):
 
 
 RESOLVED = """resolved AS (SELECT auth_id, arg_min(txn_id, (seen, txn_id)) FILTER (WHERE kind = 'pending') AS pending_txn_id,
-    arg_min(txn_id, (seen, txn_id)) FILTER (WHERE kind = 'settled') AS settled_txn_id, min(seen) FILTER (WHERE kind = 'pending') AS first_seen FROM auths GROUP BY auth_id)"""
+    arg_min(txn_id, (seen, txn_id)) FILTER (WHERE kind = 'settled') AS settled_txn_id, min(seen)
+    FILTER (WHERE kind = 'pending') AS first_seen FROM auths GROUP BY auth_id)"""
 
 
-@query("""SELECT txn_id, CASE WHEN status <> 'reversed' AND txn_id IN (SELECT pending_txn_id FROM resolved WHERE settled_txn_id IS NULL AND first_seen < DATE '2000-01-01' - 14)
+@query("""SELECT txn_id, CASE WHEN status <> 'reversed' AND txn_id IN (SELECT pending_txn_id FROM resolved
+    WHERE settled_txn_id IS NULL AND first_seen < DATE '2000-01-01' - 14)
     THEN 'pending_stale' ELSE category END AS category FROM transactions""", more=RESOLVED)
 def pend_stale(v: Views):
     live = C("status") != "reversed"
@@ -298,25 +327,40 @@ SQL_TABS = {
         f"recon r LEFT JOIN invoices i USING (invoice_id) LEFT JOIN vendors n ON n.vendor_id = i.vendor_id LEFT JOIN transactions t ON t.txn_id = r.txn_id WHERE fiscal_year = '{FY}'",
     ),
     "unmatched_invoices": (
-        [cell(c) for c in ("invoice_id", "canonical_name", "invoice_number", "invoice_date", "currency", "amount_gross", "category")] + ["''"],
-        f"invoices LEFT JOIN vendors USING (vendor_id) WHERE deleted_reason IS NULL AND invoice_date {SPAN} AND invoice_id NOT IN (SELECT invoice_id FROM recon WHERE state <> 'unmatched')",
+        [
+            cell(c) for c in ("invoice_id", "canonical_name", "invoice_number", "invoice_date", "currency", "amount_gross", "category")
+        ] + ["''"],
+        f"""invoices LEFT JOIN vendors USING (vendor_id)
+            WHERE deleted_reason IS NULL AND invoice_date {SPAN} AND invoice_id NOT IN (SELECT invoice_id FROM recon
+            WHERE state <> 'unmatched')""",
     ),
     "unmatched_transactions": (
-        [cell(c) for c in ("txn_id", "booking_date", "account", "description_raw", "currency", "amount", "amount_gbp", "txn_type", "category")],
-        f"transactions t WHERE booking_date {SPAN} AND txn_type <> 'transfer' AND NOT EXISTS (SELECT 1 FROM recon r WHERE r.txn_id = t.txn_id)",
+        [cell(c) for c in (
+            "txn_id", "booking_date", "account", "description_raw", "currency", "amount", "amount_gbp", "txn_type", "category",
+        )],
+        f"""transactions t WHERE booking_date {SPAN} AND txn_type <> 'transfer' AND NOT EXISTS (SELECT 1 FROM recon r
+            WHERE r.txn_id = t.txn_id)""",
     ),
     "exceptions": (
         ["kind", cell("subject"), cell("amount"), moment("detected_at"), cell("detail"), "action_needed"],
-        """(SELECT 'email_error' AS kind, subject, value AS amount, received_at AS detected_at, error_code AS detail, 'retry or dismiss' AS action_needed
+        """(SELECT 'email_error' AS kind, subject, value AS amount, received_at AS detected_at, error_code AS detail,
+            'retry or dismiss' AS action_needed
                 FROM emails WHERE outcome = 'error' AND dismissed_at IS NULL
-            UNION ALL SELECT 'fx_error', invoice_number, amount_gross, CAST(invoice_date AS TIMESTAMP), fx_error, 'set a rate' FROM invoices WHERE deleted_reason IS NULL AND fx_error IS NOT NULL
-            UNION ALL SELECT 'orphan_refund', description_raw, amount, CAST(booking_date AS TIMESTAMP), account, 'link a purchase' FROM transactions t WHERE txn_type = 'refund'
-                AND NOT EXISTS (SELECT 1 FROM transactions p WHERE p.account = t.account AND p.description_canonical = t.description_canonical AND p.amount > 0
+            UNION ALL SELECT 'fx_error', invoice_number, amount_gross, CAST(invoice_date AS TIMESTAMP), fx_error, 'set a rate'
+            FROM invoices WHERE deleted_reason IS NULL AND fx_error IS NOT NULL
+            UNION ALL SELECT 'orphan_refund', description_raw, amount, CAST(booking_date AS TIMESTAMP), account, 'link a purchase'
+            FROM transactions t WHERE txn_type = 'refund'
+                AND NOT EXISTS (SELECT 1 FROM transactions p
+            WHERE p.account = t.account AND p.description_canonical = t.description_canonical AND p.amount > 0
                     AND p.booking_date BETWEEN t.booking_date - 180 AND t.booking_date))""",
     ),
     "sales": (
-        [cell("txn_id"), cell("booking_date"), cell("description_raw"), cell("currency"), cell("amount"), cell("amount_gbp"), cell("invoice_id"), "''"],
-        "transactions t LEFT JOIN (SELECT txn_id AS rt, min(invoice_id) AS invoice_id FROM recon WHERE txn_id IS NOT NULL GROUP BY 1) ON rt = txn_id WHERE txn_type = 'income'",
+        [
+            cell("txn_id"), cell("booking_date"), cell("description_raw"), cell("currency"), cell("amount"), cell("amount_gbp"),
+            cell("invoice_id"), "''",
+        ],
+        """transactions t LEFT JOIN (SELECT txn_id AS rt, min(invoice_id) AS invoice_id FROM recon WHERE txn_id IS NOT NULL
+            GROUP BY 1) ON rt = txn_id WHERE txn_type = 'income'""",
     ),
     "run_status": ([cell("run_id"), moment("started_at"), moment("ended_at"), cell("status"), "''", "''", "''", "''"], "runs"),
 }
@@ -331,20 +375,41 @@ def tabs(v: Views) -> dict[str, DataFrame]:
     txns = v.transactions.select("txn_id", "booking_date", "account", C("description_raw").alias("description"))
     recon = v.recon.where(C("fiscal_year") == FY).join(v.invoices.drop("k"), "invoice_id", "left").join(names, "vendor_id", "left").join(txns, "txn_id", "left")
     state = lambda s: C("state") == s
-    recon = recon.withColumns({"score": C("match_score"), "amount_gbp": C("amount_gross_gbp"), "verified": state("user_verified"), "personal": state("user_personal"), "ignored": state("user_ignore")})
-    open_ = v.invoices.where(live() & in_year("invoice_date")).join(v.recon.where("state <> 'unmatched'"), "invoice_id", "left_anti").join(names, "vendor_id", "left")
+    recon = recon.withColumns(
+        {
+            "score": C("match_score"), "amount_gbp": C("amount_gross_gbp"), "verified": state("user_verified"),
+            "personal": state("user_personal"), "ignored": state("user_ignore"),
+        }
+    )
+    open_ = v.invoices.where(live() & in_year("invoice_date")).join(
+        v.recon.where("state <> 'unmatched'"), "invoice_id", "left_anti",
+    ).join(names, "vendor_id", "left")
     free = v.transactions.where(in_year("booking_date")).where("txn_type <> 'transfer'").join(v.recon, "txn_id", "left_anti").withColumn("description", C("description_raw"))
     linked = v.recon.where("txn_id IS NOT NULL").groupBy("txn_id").agg(F.min("invoice_id").alias("matched_invoice"))
     sales = v.transactions.where("txn_type = 'income'").join(linked, "txn_id", "left")
-    sales = sales.select(C("txn_id").alias("row_id"), C("booking_date").alias("date"), C("description_raw").alias("counterparty"), "currency", "amount", "amount_gbp", "matched_invoice")
+    sales = sales.select(
+        C("txn_id").alias("row_id"), C("booking_date").alias("date"), C("description_raw").alias("counterparty"), "currency", "amount",
+        "amount_gbp", "matched_invoice",
+    )
     orphans = link_refunds(v.transactions).where("purchase_id IS NULL").select("txn_id").join(v.transactions, "txn_id")
 
     def trouble(rows: DataFrame, kind: str, subject: str, amount: str, day: str, detail: str, action: str) -> DataFrame:
-        return rows.select(F.lit(kind).alias("kind"), C(subject).alias("subject"), C(amount).alias("amount"), C(day).cast("timestamp").alias("detected_at"), C(detail).alias("detail"), F.lit(action).alias("action_needed"))
+        return rows.select(
+            F.lit(kind).alias("kind"), C(subject).alias("subject"), C(amount).alias("amount"),
+            C(day).cast("timestamp").alias("detected_at"), C(detail).alias("detail"), F.lit(action).alias("action_needed"),
+        )
 
     exceptions = (
-        trouble(v.emails.where("outcome = 'error' AND dismissed_at IS NULL"), "email_error", "subject", "value", "received_at", "error_code", "retry or dismiss")
-        .unionByName(trouble(v.invoices.where(live() & C("fx_error").isNotNull()), "fx_error", "invoice_number", "amount_gross", "invoice_date", "fx_error", "set a rate"))
+        trouble(
+            v.emails.where("outcome = 'error' AND dismissed_at IS NULL"), "email_error", "subject", "value", "received_at", "error_code",
+            "retry or dismiss",
+        )
+        .unionByName(
+            trouble(
+                v.invoices.where(live() & C("fx_error").isNotNull()), "fx_error", "invoice_number", "amount_gross", "invoice_date",
+                "fx_error", "set a rate",
+            )
+        )
         .unionByName(trouble(orphans, "orphan_refund", "description_raw", "amount", "booking_date", "account", "link a purchase"))
     )
     return {
@@ -389,12 +454,15 @@ def sink_sheet_rect(v: Views):
 
 
 @query(f"""SELECT o_orderkey, currency IN {S.STRICT_CURRENCIES} AS strict, currency IN {S.CURRENCIES} AS wide
-    FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'GBP' WHEN 1 THEN 'SGD' WHEN 2 THEN 'PLN' ELSE 'XAU' END AS currency FROM orders)""")
+    FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'GBP' WHEN 1 THEN 'SGD' WHEN 2 THEN 'PLN' ELSE 'XAU' END AS currency
+    FROM orders)""")
 def fn_ccy_strict(v: Views):
     """The narrow list of currencies for money beside the wide one for extracted fields."""
     ccy = F.element_at(F.array(*map(F.lit, ("GBP", "SGD", "PLN", "XAU"))), (C("o_orderkey") % 4 + 1).cast("int"))
     rows = v.table("orders").select("o_orderkey", ccy.alias("currency"))
-    return rows.select("o_orderkey", C("currency").isin(*S.STRICT_CURRENCIES).alias("strict"), C("currency").isin(*S.CURRENCIES).alias("wide"))
+    return rows.select(
+        "o_orderkey", C("currency").isin(*S.STRICT_CURRENCIES).alias("strict"), C("currency").isin(*S.CURRENCIES).alias("wide"),
+    )
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS text FROM lineitem")
@@ -402,7 +470,8 @@ def fn_money_str(v: Views):
     return v.table("lineitem").select("l_orderkey", "l_linenumber", S.money_text(C("l_extendedprice").cast("string")).alias("text"))
 
 
-@query("""SELECT 'FY-' || y || '-' || lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0') AS label, CAST(date_diff('day', make_date(y, 3, 1), make_date(y + 1, 3, 1)) AS INTEGER) AS days
+@query("""SELECT 'FY-' || y || '-' || lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0') AS label, CAST(date_diff('day', make_date(y, 3, 1),
+    make_date(y + 1, 3, 1)) AS INTEGER) AS days
     FROM range(1994, 2003) r(y)""")
 def fn_fy_iter(v: Views):
     """The fiscal years from one label to another, with their days."""
@@ -416,12 +485,18 @@ def fn_utc(v: Views):
     return v.table("orders").select("o_orderkey", S.london_to_utc(local).alias("at"))
 
 
-@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'stripe' WHEN 1 THEN 'paddle' WHEN 2 THEN 'login_gated' WHEN 3 THEN 'unknown' ELSE 'generic' END AS value FROM pages""")
+@query("""SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'stripe' WHEN 1 THEN 'paddle' WHEN 2 THEN 'login_gated' WHEN 3 THEN 'unknown'
+    ELSE 'generic' END AS value FROM pages""")
 def fn_provider(v: Views):
     """Hosts of each kind in turn, and an address without one."""
     hosts = F.array(*map(F.lit, ("https://PAY.stripe.com", "https://vendors.paddle.com", "https://accounts.webflow.com", "", None)))
     host = F.get(hosts, (C("page_id") % 5).cast("int"))
-    return v.table("pages").select("page_id", S.provider(F.when(host.isNull(), C("url")).when(host == "", F.lit("no address")).otherwise(F.concat(host, F.lit("/invoice/1")))).alias("value"))
+    return v.table("pages").select(
+        "page_id",
+        S.provider(
+            F.when(host.isNull(), C("url")).when(host == "", F.lit("no address")).otherwise(F.concat(host, F.lit("/invoice/1")))
+        ).alias("value"),
+    )
 
 
 def sample(name: str, sql: str, plan) -> None:
@@ -429,17 +504,31 @@ def sample(name: str, sql: str, plan) -> None:
 
 
 sample("rp_readme_month", f"SELECT invoice_id, amount_gross, invoice_date FROM invoices WHERE invoice_date >= DATE '{FY_START}'",
-       lambda v: v.invoices.where(C("invoice_date") >= F.lit(FY_START).cast("date")).select("invoice_id", "amount_gross", "invoice_date"))
-sample("rp_readme_unmatched", "SELECT booking_date, description_raw, amount_gbp FROM transactions WHERE txn_id NOT IN (SELECT txn_id FROM recon WHERE txn_id IS NOT NULL)",
-       lambda v: v.transactions.join(v.recon.select("txn_id"), "txn_id", "left_anti").select("booking_date", "description_raw", "amount_gbp"))
+       lambda v: v.invoices.where(
+           C("invoice_date") >= F.lit(FY_START).cast("date")
+       ).select("invoice_id", "amount_gross", "invoice_date"))
+sample("rp_readme_unmatched", """SELECT booking_date, description_raw, amount_gbp FROM transactions WHERE txn_id NOT IN (SELECT txn_id
+    FROM recon WHERE txn_id IS NOT NULL)""",
+       lambda v: v.transactions.join(
+           v.recon.select("txn_id"), "txn_id", "left_anti",
+       ).select("booking_date", "description_raw", "amount_gbp"))
 sample("rp_readme_errors", "SELECT msg_id, error_code FROM emails WHERE outcome = 'error'",
        lambda v: v.emails.where("outcome = 'error'").select("msg_id", "error_code"))
-sample("rp_readme_expenses", f"SELECT CAST(sum(amount_gbp) AS DECIMAL(38,2)) AS total FROM transactions WHERE txn_type = 'purchase' AND booking_date >= DATE '{FY_START}'",
-       lambda v: v.transactions.where((C("txn_type") == "purchase") & (C("booking_date") >= F.lit(FY_START).cast("date"))).agg(F.sum("amount_gbp").cast("decimal(38,2)").alias("total")))
-sample("rp_readme_vendors", "SELECT v.vendor_id, min(canonical_name) AS canonical_name, count(invoice_id) AS n FROM vendors v LEFT JOIN invoices i ON i.vendor_id = v.vendor_id GROUP BY v.vendor_id",
-       lambda v: v.vendors.join(v.invoices.groupBy("vendor_id").agg(F.count("*").alias("n")), "vendor_id", "left").select("vendor_id", "canonical_name", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
-sample("rp_readme_vendor", "SELECT invoice_date, amount_gross, currency FROM invoices WHERE vendor_id IN (SELECT vendor_id FROM vendors WHERE contains(canonical_name, 'red'))",
-       lambda v: v.invoices.join(v.vendors.where(C("canonical_name").contains("red")), "vendor_id", "left_semi").select("invoice_date", "amount_gross", "currency"))
+sample("rp_readme_expenses", f"""SELECT CAST(sum(amount_gbp) AS DECIMAL(38,2)) AS total FROM transactions
+    WHERE txn_type = 'purchase' AND booking_date >= DATE '{FY_START}'""",
+       lambda v: v.transactions.where(
+           (C("txn_type") == "purchase") & (C("booking_date") >= F.lit(FY_START).cast("date"))
+       ).agg(F.sum("amount_gbp").cast("decimal(38,2)").alias("total")))
+sample("rp_readme_vendors", """SELECT v.vendor_id, min(canonical_name) AS canonical_name, count(invoice_id) AS n FROM vendors v LEFT
+    JOIN invoices i ON i.vendor_id = v.vendor_id GROUP BY v.vendor_id""",
+       lambda v: v.vendors.join(v.invoices.groupBy("vendor_id").agg(F.count("*").alias("n")), "vendor_id", "left").select(
+           "vendor_id", "canonical_name", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
+       ))
+sample("rp_readme_vendor", """SELECT invoice_date, amount_gross, currency FROM invoices WHERE vendor_id IN (SELECT vendor_id FROM vendors
+    WHERE contains(canonical_name, 'red'))""",
+       lambda v: v.invoices.join(
+           v.vendors.where(C("canonical_name").contains("red")), "vendor_id", "left_semi",
+       ).select("invoice_date", "amount_gross", "currency"))
 sample("rp_directives_recent", "SELECT run_id, started_at, status FROM runs ORDER BY started_at DESC, run_id LIMIT 5",
        lambda v: v.runs.orderBy(F.desc("started_at"), "run_id").select("run_id", "started_at", "status").limit(5))
 sample("rp_directives_running", "SELECT run_id, operation, started_at FROM runs WHERE status = 'running'",
@@ -457,4 +546,7 @@ def rp_runs_running(v: Views):
     k = F.substring("run_id", 5, 20).cast("bigint")
     json = F.concat(F.lit('{"seen": '), k % 90, F.when(k % 6 == 0, "").otherwise("}"))
     rows = v.runs.where("status = 'running'").withColumn("stats_json", json)
-    return rows.select("run_id", "operation", "started_at", "ended_at", "status", F.try_variant_get(F.try_parse_json("stats_json"), "$.seen", "bigint").alias("seen"))
+    return rows.select(
+        "run_id", "operation", "started_at", "ended_at", "status",
+        F.try_variant_get(F.try_parse_json("stats_json"), "$.seen", "bigint").alias("seen"),
+    )

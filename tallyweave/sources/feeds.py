@@ -9,7 +9,10 @@ from pyspark.sql.window import Window
 from tallyweave.functions import scalars as S
 
 # fixed values: headers, schemas and phrases of the feeds
-CARD_COLUMNS = ("Date", "Description", "Amount", "Extended Details", "Appears On Your Statement As", "Address", "Town/City", "Postcode", "Country", "Reference", "Category")
+CARD_COLUMNS = (
+    "Date", "Description", "Amount", "Extended Details", "Appears On Your Statement As", "Address", "Town/City", "Postcode", "Country",
+    "Reference", "Category",
+)
 FILE_BYTES, FILE_ROWS = 10 * 1024 * 1024, 10_000
 WISE = "type string, date string, amount struct<value:string,currency:string>, referenceNumber string, id string, details struct<description:string>, description string, status string"
 MONZO = "id string, amount bigint, currency string, created string, settled string, decline_reason string, merchant struct<name:string>, counterparty struct<name:string>, description string, notes string, category string"
@@ -31,18 +34,33 @@ def read_card_csv(spark: SparkSession, path: str) -> DataFrame:
     """
     schema = ", ".join(f"`{c}` string" for c in CARD_COLUMNS)
     raw = spark.read.schema(schema).options(header=True, enforceSchema=False, mode="FAILFAST", multiLine=True, escape='"').csv(path)
-    size = F.when(F.col("_metadata.file_size") > FILE_BYTES, F.raise_error(F.concat(F.lit("file too large: "), F.col("_metadata.file_path"))).cast("bigint")).otherwise(0)
+    size = F.when(
+        F.col("_metadata.file_size") > FILE_BYTES,
+        F.raise_error(F.concat(F.lit("file too large: "), F.col("_metadata.file_path"))).cast("bigint"),
+    ).otherwise(0)
     return raw.select("*", F.col("_metadata.file_path").alias("file"), (F.monotonically_increasing_id() + size).alias("line"))
 
 
 def parse_card(raw: DataFrame) -> DataFrame:
     """Ledger rows of the card. Rows without date, description or amount go; ordinals count by file and date, in file order."""
     text = lambda c: S.clean_text(F.col(c))
-    rows = raw.where((F.trim(F.coalesce("Date", F.lit(""))) != "") & (text("Description") != "") & (F.trim(F.coalesce("Amount", F.lit(""))) != ""))
-    rows = rows.select("file", "line", S.parse_date(F.col("Date")).alias("booking_date"), text("Description").alias("description_raw"), S.parse_amount(F.col("Amount")).alias("amount"), text("Reference").alias("reference"), text("Category").alias("category_hint"))
+    rows = raw.where(
+        (F.trim(F.coalesce("Date", F.lit(""))) != "") & (text("Description") != "") & (F.trim(F.coalesce("Amount", F.lit(""))) != "")
+    )
+    rows = rows.select(
+        "file", "line", S.parse_date(F.col("Date")).alias("booking_date"), text("Description").alias("description_raw"),
+        S.parse_amount(F.col("Amount")).alias("amount"), text("Reference").alias("reference"), text("Category").alias("category_hint"),
+    )
     ordinal = F.row_number().over(Window.partitionBy("file", "booking_date").orderBy("line")) - 1
-    rows = rows.withColumns({"description_canonical": S.canonical_description(F.col("description_raw")), "ordinal": ordinal, "account": F.lit("amex"), "currency": F.lit("GBP")})
-    key = S.card_txn_id(F.col("reference"), F.col("account"), F.col("booking_date"), F.col("description_canonical"), F.col("amount"), F.col("ordinal"))
+    rows = rows.withColumns(
+        {
+            "description_canonical": S.canonical_description(F.col("description_raw")), "ordinal": ordinal, "account": F.lit("amex"),
+            "currency": F.lit("GBP"),
+        }
+    )
+    key = S.card_txn_id(
+        F.col("reference"), F.col("account"), F.col("booking_date"), F.col("description_canonical"), F.col("amount"), F.col("ordinal"),
+    )
     return rows.withColumn("txn_id", key)
 
 
@@ -60,7 +78,10 @@ def parse_wise(lines: DataFrame, value: str = "value") -> DataFrame:
         S.canonical_description(text).alias("description_canonical"), F.col("amount.currency").alias("currency"), S.money(F.col("amount.value")).alias("amount"),
     )
     rows = rows.where("booking_date IS NOT NULL AND amount IS NOT NULL")
-    return rows.withColumn("txn_id", S.bank_txn_id(F.col("auth_id"), F.col("account"), F.col("booking_date"), F.col("description_canonical"), F.col("amount")))
+    return rows.withColumn(
+        "txn_id",
+        S.bank_txn_id(F.col("auth_id"), F.col("account"), F.col("booking_date"), F.col("description_canonical"), F.col("amount")),
+    )
 
 
 def parse_monzo(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -71,7 +92,9 @@ def parse_monzo(lines: DataFrame, value: str = "value") -> DataFrame:
     account = F.concat(F.lit("monzo-"), "currency")
     return j.select(
         S.key16(account, F.col("id")).alias("txn_id"), account.alias("account"), F.to_date(F.to_timestamp("created")).alias("booking_date"), text.alias("description_raw"), S.canonical_description(text).alias("description_canonical"),
-        "currency", (F.col("amount").cast("decimal(18,0)") / 100).cast("decimal(18,2)").alias("amount"), F.when(F.coalesce("settled", F.lit("")) == "", "pending").otherwise("settled").alias("status"),
+        "currency", (F.col("amount").cast("decimal(18,0)") / 100).cast("decimal(18,2)").alias("amount"), F.when(
+            F.coalesce("settled", F.lit("")) == "", "pending",
+        ).otherwise("settled").alias("status"),
     )
 
 
@@ -88,7 +111,9 @@ def parse_mail(lines: DataFrame, value: str = "value") -> DataFrame:
     html = F.lower("body.contentType") == "html"
     rows = j.select(
         F.col("id").alias("msg_id"), "subject", F.lower("from.emailAddress.address").alias("from_addr"), F.to_timestamp("receivedDateTime").alias("received_at"), F.col("hasAttachments").alias("has_attachments"),
-        F.when(html, F.col("body.content")).alias("html"), F.when(~F.coalesce(html, F.lit(False)), F.coalesce("body.content", "bodyPreview")).alias("text"),
+        F.when(html, F.col("body.content")).alias("html"), F.when(
+            ~F.coalesce(html, F.lit(False)), F.coalesce("body.content", "bodyPreview"),
+        ).alias("text"),
     ).where("received_at IS NOT NULL")
     kept = [c for c in rows.columns if c != "msg_id"]
     return rows.groupBy("msg_id").agg(F.max_by(F.struct(*kept), F.struct("received_at", "subject")).alias("m")).select("msg_id", "m.*")
@@ -98,13 +123,18 @@ def attachments(messages: DataFrame) -> DataFrame:
     """File attachments of (msg_id, attachments array<struct<kind,name,contentType,content>>), decoded; PDFs are marked."""
     a = messages.select("msg_id", F.posexplode("attachments").alias("n", "a")).where("a.kind LIKE '%fileAttachment'")
     pdf = F.lower("a.contentType").contains("pdf") | F.lower("a.name").endswith(".pdf")
-    return a.select("msg_id", "n", F.col("a.name").alias("name"), F.unbase64("a.content").alias("content"), F.coalesce(pdf, F.lit(False)).alias("is_pdf"))
+    return a.select(
+        "msg_id", "n", F.col("a.name").alias("name"), F.unbase64("a.content").alias("content"),
+        F.coalesce(pdf, F.lit(False)).alias("is_pdf"),
+    )
 
 
 def email_kind(subject: Column, body: Column) -> Column:
     low = F.lower(body)
     notice = body.rlike(CHARGE) & (low.contains("you used your card") | low.contains("amount"))
-    return F.when(subject.rlike(STATEMENT) | F.substring(body, 1, 500).rlike(STATEMENT), "statement_closing").when(notice, "transaction_notification").otherwise("unrecognised")
+    return F.when(
+        subject.rlike(STATEMENT) | F.substring(body, 1, 500).rlike(STATEMENT), "statement_closing",
+    ).when(notice, "transaction_notification").otherwise("unrecognised")
 
 
 def _pounds(text: Column, pattern: str) -> Column:
@@ -117,14 +147,19 @@ def parse_notification(mails: DataFrame) -> DataFrame:
     merchant = F.upper(F.trim(part(MERCHANT)))
     return mails.select(
         "msg_id", _pounds(F.col("body"), CHARGE).alias("amount"), F.when(merchant == "", "UNKNOWN MERCHANT").otherwise(merchant).alias("merchant"),
-        F.coalesce(S.body_date(F.col("body")), "received_date").alias("posted_date"), F.when(part(APPROVAL) != "", F.upper(part(APPROVAL))).alias("approval_code"),
+        F.coalesce(S.body_date(F.col("body")), "received_date").alias("posted_date"), F.when(
+            part(APPROVAL) != "", F.upper(part(APPROVAL)),
+        ).alias("approval_code"),
     ).where("amount IS NOT NULL")
 
 
 def parse_statement(mails: DataFrame) -> DataFrame:
     """(msg_id, billed, close_date) of statement e-mails; the day of receipt stands in for a missing date."""
     closing = S.body_date(F.regexp_extract("body", CLOSING, 1))
-    return mails.select("msg_id", F.coalesce(_pounds(F.col("body"), BALANCE), _pounds(F.col("body"), CHARGE)).alias("billed"), F.coalesce(closing, "received_date").alias("close_date")).where("billed IS NOT NULL")
+    return mails.select(
+        "msg_id", F.coalesce(_pounds(F.col("body"), BALANCE), _pounds(F.col("body"), CHARGE)).alias("billed"),
+        F.coalesce(closing, "received_date").alias("close_date"),
+    ).where("billed IS NOT NULL")
 
 
 def dmarc_passed(header: Column) -> Column:
@@ -134,4 +169,6 @@ def dmarc_passed(header: Column) -> Column:
 def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     """(key, category) of a JSON object file; a malformed file has none."""
     whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", "map<string,string>"))).select(F.lower("key").alias("key"), F.col("value").alias("category"))
+    return whole.select(F.explode(F.from_json("value", "map<string,string>"))).select(
+        F.lower("key").alias("key"), F.col("value").alias("category"),
+    )

@@ -49,7 +49,9 @@ def table_stream(spark: SparkSession, sf_dir: str, table: str, files: int = 4) -
     return source.option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{table}.parquet*")
 
 
-def drain(stream: DataFrame, mode: str = "append", batch: Callable[[DataFrame, int], None] | None = None, checkpoint: str | None = None) -> DataFrame | None:
+def drain(
+    stream: DataFrame, mode: str = "append", batch: Callable[[DataFrame, int], None] | None = None, checkpoint: str | None = None,
+) -> DataFrame | None:
     """Run a stream over what is there, into a Parquet table or through a function of each batch; the table's rows."""
     spark = stream.sparkSession
     at = checkpoint or shared_path(spark, "stream-checkpoint")
@@ -69,10 +71,14 @@ def deduplicated(stream: DataFrame, key: str, time: str, late: str = "60 days")
 
 def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 day", late: str = "1 day") -> DataFrame:
     """Rows by window and key; a window is written once the watermark has passed it."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), key, "n")
+    return stream.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count("*").alias("n")).select(
+        F.col("window.start").alias("start"), key, "n",
+    )
 
 
-def upserts(path_of: Callable[[], str], put_path: Callable[[str], None], merge: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+def upserts(
+    path_of: Callable[[], str], put_path: Callable[[str], None], merge: Callable[[DataFrame, DataFrame], DataFrame],
+) -> Callable[[DataFrame, int], None]:
     """A batch function that merges into a table: the merged rows go to a new folder, then the pointer moves."""
 
     def run(rows: DataFrame, batch_id: int) -> None:
@@ -109,7 +115,12 @@ def pending_state(stream: DataFrame) -> DataFrame:
         state.update((*pending, *settled, several))
         outcome = "no_pending" if not pending[0] else "pending" if not settled[0] else "merged"
         first = pd.to_datetime(pending[0]).date() if pending[0] else None
-        yield pd.DataFrame({"auth_id": [key[0]], "pending_txn_id": [pending[1]], "settled_txn_id": [settled[1]], "ambiguous": [several], "first_seen": [first], "outcome": [outcome]})
+        yield pd.DataFrame(
+            {
+                "auth_id": [key[0]], "pending_txn_id": [pending[1]], "settled_txn_id": [settled[1]], "ambiguous": [several],
+                "first_seen": [first], "outcome": [outcome],
+            }
+        )
 
     held = "p_seen string, p_txn string, s_seen string, s_txn string, several boolean"
     return stream.groupBy("auth_id").applyInPandasWithState(update, PENDING, held, "update", GroupStateTimeout.NoTimeout)

@@ -21,13 +21,21 @@ def one(spark, expr, **values):
     return row.select(expr.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(("raw", "name"), [("STARBUCKS LONDON GB 12345", "STARBUCKS"), ("Netflix ABCD1234EF", "NETFLIX"), ("Kings Cross GB", "KINGS CROSS"), ("STARBUCKS COFFEE #12345", "STARBUCKS COFFEE #12345"), ("AMAZON MARKETPLACE", "AMAZON"), (None, None), ("", "")])
+@pytest.mark.parametrize(
+    ("raw", "name"),
+    [
+        ("STARBUCKS LONDON GB 12345", "STARBUCKS"), ("Netflix ABCD1234EF", "NETFLIX"), ("Kings Cross GB", "KINGS CROSS"),
+        ("STARBUCKS COFFEE #12345", "STARBUCKS COFFEE #12345"), ("AMAZON MARKETPLACE", "AMAZON"), (None, None), ("", ""),
+    ],
+)
 def test_canonical_descriptions(spark, raw, name):
     assert spark.createDataFrame([(raw,)], "c string").select(S.canonical_description(F.col("c")).alias("x")).first()["x"] == name
 
 
 def test_scalar_goldens(spark):
-    assert one(spark, S.fiscal_year(F.lit("2026-03-01").cast("date"))) == "FY-2026-27" and one(spark, S.fiscal_year(F.lit("2026-02-28").cast("date"))) == "FY-2025-26"
+    assert one(
+        spark, S.fiscal_year(F.lit("2026-03-01").cast("date")),
+    ) == "FY-2026-27" and one(spark, S.fiscal_year(F.lit("2026-02-28").cast("date"))) == "FY-2025-26"
     assert one(spark, S.fiscal_year(F.lit("1999-12-31").cast("date"))) == "FY-1999-00"
     assert S.label_bounds("FY-2023-24") == ("2023-03-01", "2024-02-29")
     for bad in ("FY-2023-25", "2023", "FY-23-24"):
@@ -39,11 +47,22 @@ def test_scalar_goldens(spark):
     assert one(spark, S.key16(F.lit("a"), F.lit("b"))) == hashlib.sha256(b"a\0b").hexdigest()[:16]
     assert str(one(spark, S.money(F.lit("1.005")))) == "1.01" and one(spark, S.money(F.lit("x"))) is None and one(spark, S.rate(F.lit("-1"))) is None
     assert [one(spark, S.parse_date(F.lit(d))) for d in ("1/4/2026", "2026-04-01", "01-04-2026", "x")] == [date(2026, 4, 1)] * 3 + [None]
-    assert one(spark, S.redact(F.lit("Bearer abc.d mail a@b.co u?token=1&x=2 pay.stripe.com/i/zz"))) == "Bearer <redacted> mail <email> u?token=<redacted>&x=2 pay.stripe.com/i/<token>"
+    assert one(
+        spark, S.redact(F.lit("Bearer abc.d mail a@b.co u?token=1&x=2 pay.stripe.com/i/zz")),
+    ) == "Bearer <redacted> mail <email> u?token=<redacted>&x=2 pay.stripe.com/i/<token>"
     assert one(spark, S.sheet_cell(F.lit("=1+1\x07"))) == "'=1+1" and one(spark, S.sheet_cell(F.lit(None).cast("string"))) == ""
     assert one(spark, S.domain(F.lit("a@b@C.io "))) == "c.io" and one(spark, S.domain_first(F.lit("a@b@C.io"))) == "b@c.io" and one(spark, S.domain(F.lit("none"))) is None
-    assert one(spark, S.invoice_urls(F.lit("<a href='https://x.io/a.pdf'>https://pay.stripe.com/i/1.</a>"), F.lit("https://x.io/a.pdf, https://z.io/b.PDF)"))) == ["https://x.io/a.pdf", "https://pay.stripe.com/i/1", "https://z.io/b.PDF"]
-    assert [one(spark, S.provider(F.lit(u))) for u in ("https://pay.stripe.com/i", "https://paddle.net", "https://a.webflow.com/x", "https://x.io", "::")] == ["stripe", "paddle", "login_gated", "generic", "unknown"]
+    assert one(
+        spark,
+        S.invoice_urls(
+            F.lit("<a href='https://x.io/a.pdf'>https://pay.stripe.com/i/1.</a>"), F.lit("https://x.io/a.pdf, https://z.io/b.PDF)"),
+        ),
+    ) == ["https://x.io/a.pdf", "https://pay.stripe.com/i/1", "https://z.io/b.PDF"]
+    assert [
+        one(spark, S.provider(F.lit(u))) for u in (
+            "https://pay.stripe.com/i", "https://paddle.net", "https://a.webflow.com/x", "https://x.io", "::",
+        )
+    ] == ["stripe", "paddle", "login_gated", "generic", "unknown"]
 
 
 def plain_ratio(a, b):
@@ -67,7 +86,9 @@ def plain_ratio(a, b):
 def test_token_set_ratio_equals_a_plain_one(spark):
     r = random.Random(1)
     word = lambda: "".join(r.choices("ABC", k=r.randint(1, 4)))
-    pairs = [(" ".join(word() for _ in range(r.randint(0, 4))), " ".join(word() for _ in range(r.randint(0, 4)))) for _ in range(300)] + [("ABCA" * 20, "BCAB" * 17), ("A" * 63, "AB" * 31), ("AB" * 31, "A" * 63)]
+    pairs = [
+        (" ".join(word() for _ in range(r.randint(0, 4))), " ".join(word() for _ in range(r.randint(0, 4)))) for _ in range(300)
+    ] + [("ABCA" * 20, "BCAB" * 17), ("A" * 63, "AB" * 31), ("AB" * 31, "A" * 63)]
     df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fuzzy.token_set_ratio(F.col("a"), F.col("b")).alias("x"))
     assert all(row["x"] == pytest.approx(plain_ratio(row["a"], row["b"])) for row in df.collect())
 
@@ -81,7 +102,10 @@ def test_interval_and_asof_joins_equal_brute_force(spark):
         got = sorted((x["i"], x["j"]) for x in rangejoin.interval_join(a, b, "d", "e", before, after).collect())
         assert got == sorted((i, j) for i, d in left for j, e in right if -before <= (e - d).days <= after)
     rates = {day(): n for n in range(40)}
-    got = rangejoin.asof_backward(a.withColumn("c", F.lit("x")), spark.createDataFrame([("x", d, n) for d, n in rates.items()], "c string, rd date, n int"), "d", "rd", "n", ["c"], 5, "rate")
+    got = rangejoin.asof_backward(
+        a.withColumn("c", F.lit("x")), spark.createDataFrame([("x", d, n) for d, n in rates.items()], "c string, rd date, n int"), "d",
+        "rd", "n", ["c"], 5, "rate",
+    )
     for row in got.collect():
         near = [d for d in rates if 0 <= (row["d"] - d).days <= 5]
         assert row["rate"] == (rates[max(near)] if near else None)
@@ -92,11 +116,17 @@ def money_frame(spark, rows, schema):
 
 
 def test_match_goldens(spark):
-    inv = spark.createDataFrame([("a", "v", "acme ltd", date(2026, 4, 10), "GBP", 480.0, 480.0), ("b", "v", "acme ltd", date(2020, 1, 1), "GBP", 5.0, 5.0)], "invoice_id string, vendor_id string, supplier string, invoice_date date, currency string, g double, p double")
+    inv = spark.createDataFrame(
+        [("a", "v", "acme ltd", date(2026, 4, 10), "GBP", 480.0, 480.0), ("b", "v", "acme ltd", date(2020, 1, 1), "GBP", 5.0, 5.0)],
+        "invoice_id string, vendor_id string, supplier string, invoice_date date, currency string, g double, p double",
+    )
     inv = inv.withColumns({"amount_gross": F.col("g").cast("decimal(18,2)"), "amount_gross_gbp": F.col("p").cast("decimal(18,2)")})
 
     def decide(day, amount, ccy="GBP", gbp=None, confirmed=5):
-        t = spark.createDataFrame([("t", "ACME LTD", day, ccy, amount, gbp or amount, "purchase", "settled")], "txn_id string, description_canonical string, booking_date date, currency string, a double, p double, txn_type string, status string")
+        t = spark.createDataFrame(
+            [("t", "ACME LTD", day, ccy, amount, gbp or amount, "purchase", "settled")],
+            "txn_id string, description_canonical string, booking_date date, currency string, a double, p double, txn_type string, status string",
+        )
         t = t.withColumns({"amount": F.col("a").cast("decimal(18,2)"), "amount_gbp": F.col("p").cast("decimal(18,2)")})
         hints = spark.createDataFrame([("v", confirmed)], "vendor_id string, confirmed_count long")
         return {r["invoice_id"]: r for r in match.decide(inv, match.candidates(inv, t), hints).collect()}
@@ -120,7 +150,11 @@ def test_split_equals_brute_force(spark):
     parts = [(f"p{i}", round(r.uniform(5, 60), 2), d0 + timedelta(days=r.randint(-9, 9))) for i in range(14)]
     anchors = [(f"a{i}", round(r.uniform(20, 120), 2), d0) for i in range(8)] + [("exact", parts[0][1] + parts[1][1], parts[0][2])]
     cast = lambda rows, names: spark.createDataFrame(rows, names).withColumn("amount", F.col("amount").cast("decimal(18,2)"))
-    got = {x["anchor_id"]: x for x in split.find(cast(anchors, "anchor_id string, amount double, day date"), cast(parts, "row_id string, amount double, day date")).collect()}
+    got = {
+        x["anchor_id"]: x for x in split.find(
+            cast(anchors, "anchor_id string, amount double, day date"), cast(parts, "row_id string, amount double, day date"),
+        ).collect()
+    }
     for name, target, day in anchors:
         pool = sorted((p for p in parts if abs((p[2] - day).days) <= 7 and p[1] <= target + 0.5), key=lambda p: (-p[1], p[2], p[0]))
         best = None
@@ -136,42 +170,81 @@ def test_split_equals_brute_force(spark):
 def test_states(spark):
     legal = set(state.legal())
     assert len(legal) == 52 and not any(a == "voided" for a, _, _ in legal) and ("user_verified", "new", "user") in legal and ("auto_matched", "user_verified", "script") not in legal
-    rows = spark.createDataFrame([("1", "FY", "i", "t", "user_verified", 1.0, "r")], "row_id string, fiscal_year string, invoice_id string, txn_id string, state string, match_score double, match_reason string")
-    new = spark.createDataFrame([("1", "FY", "i", "t9", "unmatched", 0.1, "x" * 600), ("2", "FY", "i", None, "unmatched", 0.0, "y")], rows.schema)
+    rows = spark.createDataFrame(
+        [("1", "FY", "i", "t", "user_verified", 1.0, "r")],
+        "row_id string, fiscal_year string, invoice_id string, txn_id string, state string, match_score double, match_reason string",
+    )
+    new = spark.createDataFrame(
+        [("1", "FY", "i", "t9", "unmatched", 0.1, "x" * 600), ("2", "FY", "i", None, "unmatched", 0.0, "y")], rows.schema,
+    )
     for _ in range(2):  # a rerun changes nothing
         rows = state.upsert_rows(rows, new)
     out = {r["row_id"]: r for r in rows.collect()}
-    assert (out["1"]["state"], out["1"]["txn_id"], len(out["1"]["match_reason"])) == ("user_verified", "t", 512) and out["2"]["state"] == "unmatched"
+    assert (
+        out["1"]["state"], out["1"]["txn_id"], len(out["1"]["match_reason"]),
+    ) == ("user_verified", "t", 512) and out["2"]["state"] == "unmatched"
 
 
 def test_pending_clearing_and_refunds(spark):
     d = date(2026, 1, 1)
-    seen = spark.createDataFrame([("a", "p1", "pending", d), ("a", "s1", "settled", d), ("b", "p2", "pending", d), ("b", "p3", "pending", d), ("c", "s2", "settled", d)], "auth_id string, txn_id string, kind string, seen date")
+    seen = spark.createDataFrame(
+        [
+            ("a", "p1", "pending", d), ("a", "s1", "settled", d), ("b", "p2", "pending", d), ("b", "p3", "pending", d),
+            ("c", "s2", "settled", d),
+        ],
+        "auth_id string, txn_id string, kind string, seen date",
+    )
     out = {r["auth_id"]: r for r in pending.resolve(seen).collect()}
-    assert (out["a"]["outcome"], out["b"]["outcome"], out["b"]["ambiguous"], out["c"]["outcome"]) == ("merged", "pending", True, "no_pending")
+    assert (
+        out["a"]["outcome"], out["b"]["outcome"], out["b"]["ambiguous"], out["c"]["outcome"],
+    ) == ("merged", "pending", True, "no_pending")
     assert pending.stale(pending.resolve(seen), "2026-01-15").count() == 0 and pending.stale(pending.resolve(seen), "2026-01-16").count() == 1
-    led = spark.createDataFrame([("d1", "wise-GBP", date(2026, 3, 26), 247.43, "transfer"), ("d2", "monzo-GBP", date(2026, 4, 29), -247.93, "transfer"), ("d3", "amex", date(2026, 3, 26), 247.43, "transfer")], "txn_id string, account string, booking_date date, a double, txn_type string").withColumn("amount", F.col("a").cast("decimal(18,2)"))
-    bill = spark.createDataFrame([("m", 247.43, date(2026, 3, 25)), ("n", 1.0, date(2026, 3, 25))], "msg_id string, b double, close_date date").withColumn("billed", F.col("b").cast("decimal(18,2)"))
+    led = spark.createDataFrame(
+        [
+            ("d1", "wise-GBP", date(2026, 3, 26), 247.43, "transfer"), ("d2", "monzo-GBP", date(2026, 4, 29), -247.93, "transfer"),
+            ("d3", "amex", date(2026, 3, 26), 247.43, "transfer"),
+        ],
+        "txn_id string, account string, booking_date date, a double, txn_type string",
+    ).withColumn("amount", F.col("a").cast("decimal(18,2)"))
+    bill = spark.createDataFrame(
+        [("m", 247.43, date(2026, 3, 25)), ("n", 1.0, date(2026, 3, 25))], "msg_id string, b double, close_date date",
+    ).withColumn("billed", F.col("b").cast("decimal(18,2)"))
     got = {r["msg_id"]: r for r in clearing.clear(bill, led).collect()}
     assert got["m"]["outcome"] == "multiple_candidates" and got["n"]["outcome"] == "no_candidate"
     assert {r["msg_id"]: r["debit_txn_id"] for r in clearing.clear(bill, led.where("txn_id <> 'd2'")).collect()}["m"] == "d1"
-    rows = [("r", "x", "S", date(2026, 6, 1), -5.0, "refund"), ("p", "x", "S", date(2026, 5, 1), 5.0, "purchase"), ("q", "x", "T", date(2025, 1, 1), 5.0, "purchase"), ("s", "x", "T", date(2026, 1, 1), -5.0, "refund")]
-    led = spark.createDataFrame(rows, "txn_id string, account string, description_canonical string, booking_date date, amount double, txn_type string").withColumn("category", F.lit(None).cast("string"))
-    assert {r["txn_id"]: (r["purchase_id"], r["category"]) for r in ledger.link_refunds(led).collect()} == {"r": ("p", "refund_matched"), "s": (None, "orphan_refund")}
+    rows = [
+        ("r", "x", "S", date(2026, 6, 1), -5.0, "refund"), ("p", "x", "S", date(2026, 5, 1), 5.0, "purchase"),
+        ("q", "x", "T", date(2025, 1, 1), 5.0, "purchase"), ("s", "x", "T", date(2026, 1, 1), -5.0, "refund"),
+    ]
+    led = spark.createDataFrame(
+        rows, "txn_id string, account string, description_canonical string, booking_date date, amount double, txn_type string",
+    ).withColumn("category", F.lit(None).cast("string"))
+    assert {
+        r["txn_id"]: (r["purchase_id"], r["category"]) for r in ledger.link_refunds(led).collect()
+    } == {"r": ("p", "refund_matched"), "s": (None, "orphan_refund")}
 
 
 def test_fx_goldens(spark):
-    rates = spark.createDataFrame([("USD", "GBP", date(2026, 4, 10), 0.794012)], "from_ccy string, to_ccy string, day date, r double").withColumn("rate", F.col("r").cast("decimal(18,6)"))
-    rows = spark.createDataFrame([(1, "USD", date(2026, 4, 12), 100.0), (2, "USD", date(2026, 4, 16), 100.0), (3, "GBP", date(2026, 4, 12), 7.0)], "i int, currency string, d date, a double").withColumn("amount", F.col("a").cast("decimal(18,2)"))
+    rates = spark.createDataFrame(
+        [("USD", "GBP", date(2026, 4, 10), 0.794012)], "from_ccy string, to_ccy string, day date, r double",
+    ).withColumn("rate", F.col("r").cast("decimal(18,6)"))
+    rows = spark.createDataFrame(
+        [(1, "USD", date(2026, 4, 12), 100.0), (2, "USD", date(2026, 4, 16), 100.0), (3, "GBP", date(2026, 4, 12), 7.0)],
+        "i int, currency string, d date, a double",
+    ).withColumn("amount", F.col("a").cast("decimal(18,2)"))
     out = {r["i"]: (str(r["amount_gbp"]), r["fx_missing"]) for r in fx.convert(rows, rates, "d").collect()}
     assert out == {1: ("79.40", False), 2: ("100.00", True), 3: ("7.00", False)}
 
 
 def test_card_csv_files(spark, tmp_path):
     header = ",".join(feeds.CARD_COLUMNS)
-    (tmp_path / "a.csv").write_text(f"{header}\n10/04/2026,STARBUCKS LONDON,4.50,,,,London,EC2A,GB,REF-001,Dining\n10/04/2026,\"Shop, \"\"x\"\"\",\"1,299.00\",,,,,,,,\n10/04/2026,\"Shop, \"\"x\"\"\",\"1,299.00\",,,,,,,,\n,No date,1.00,,,,,,,,\n")
+    (tmp_path / "a.csv").write_text(
+        f"{header}\n10/04/2026,STARBUCKS LONDON,4.50,,,,London,EC2A,GB,REF-001,Dining\n10/04/2026,\"Shop, \"\"x\"\"\",\"1,299.00\",,,,,,,,\n10/04/2026,\"Shop, \"\"x\"\"\",\"1,299.00\",,,,,,,,\n,No date,1.00,,,,,,,,\n"
+    )
     rows = feeds.parse_card(feeds.read_card_csv(spark, str(tmp_path / "a.csv"))).orderBy("line").collect()
-    assert [(r["description_canonical"], str(r["amount"]), r["ordinal"]) for r in rows] == [("STARBUCKS", "4.50", 0), ('SHOP, "X"', "1299.00", 1), ('SHOP, "X"', "1299.00", 2)]
+    assert [(r["description_canonical"], str(r["amount"]), r["ordinal"]) for r in rows] == [
+        ("STARBUCKS", "4.50", 0), ('SHOP, "X"', "1299.00", 1), ('SHOP, "X"', "1299.00", 2),
+    ]
     assert rows[0]["txn_id"] == hashlib.sha256(b"amex\0REF-001").hexdigest()[:16] and rows[1]["txn_id"] != rows[2]["txn_id"]
     (tmp_path / "bad.csv").write_text("Date,Amount\n1,2\n")
     with pytest.raises(Exception):  # noqa: B017
@@ -180,22 +253,48 @@ def test_card_csv_files(spark, tmp_path):
 
 
 def test_card_mails_and_overrides(spark, tmp_path):
-    m = spark.createDataFrame([("1", "You used your card for £4.50 at STARBUCKS LONDON on 10 Apr 2026. Approval code: ABC123", date(2026, 4, 11)), ("2", "no amount", date(2026, 4, 11))], "msg_id string, body string, received_date date")
+    m = spark.createDataFrame(
+        [
+            ("1", "You used your card for £4.50 at STARBUCKS LONDON on 10 Apr 2026. Approval code: ABC123", date(2026, 4, 11)),
+            ("2", "no amount", date(2026, 4, 11)),
+        ],
+        "msg_id string, body string, received_date date",
+    )
     row = feeds.parse_notification(m).collect()
-    assert [(str(r["amount"]), r["merchant"], r["posted_date"], r["approval_code"]) for r in row] == [("4.50", "STARBUCKS LONDON", date(2026, 4, 10), "ABC123")]
-    s = spark.createDataFrame([("1", "New balance: £2,447.63. Closing date: 2026-03-25", date(2026, 4, 1))], "msg_id string, body string, received_date date")
+    assert [
+        (str(r["amount"]), r["merchant"], r["posted_date"], r["approval_code"]) for r in row
+    ] == [("4.50", "STARBUCKS LONDON", date(2026, 4, 10), "ABC123")]
+    s = spark.createDataFrame(
+        [("1", "New balance: £2,447.63. Closing date: 2026-03-25", date(2026, 4, 1))], "msg_id string, body string, received_date date",
+    )
     assert [(str(r["billed"]), r["close_date"]) for r in feeds.parse_statement(s).collect()] == [("2447.63", date(2026, 3, 25))]
     (tmp_path / "o.json").write_text('{"Acme Ltd": "Travel", "x.io": "nonsense"}')
     over = feeds.read_overrides(spark, str(tmp_path / "o.json"))
-    rows = spark.createDataFrame([(1, "billing.stripe.com.", "Acme LTD", None), (2, "sub.x.com", "b", None), (3, "x.io", "c", "utilities"), (4, None, None, "bogus")], "i int, host string, name string, said string")
-    got = {r["i"]: (r["resolved_category"], r["category_source"], r["matched_key"]) for r in category.resolve(rows, "i", "host", "name", over, "said").collect()}
-    assert got == {1: ("travel", "override", "acme ltd"), 2: ("advertising", "domain_hint", "x.com"), 3: ("utilities", "llm", None), 4: ("other", "fallback", None)}
+    rows = spark.createDataFrame(
+        [
+            (1, "billing.stripe.com.", "Acme LTD", None), (2, "sub.x.com", "b", None), (3, "x.io", "c", "utilities"),
+            (4, None, None, "bogus"),
+        ],
+        "i int, host string, name string, said string",
+    )
+    got = {
+        r["i"]: (
+            r["resolved_category"], r["category_source"], r["matched_key"],
+        ) for r in category.resolve(rows, "i", "host", "name", over, "said").collect()
+    }
+    assert got == {
+        1: ("travel", "override", "acme ltd"), 2: ("advertising", "domain_hint", "x.com"), 3: ("utilities", "llm", None),
+        4: ("other", "fallback", None),
+    }
     (tmp_path / "broken.json").write_text("[1")
     assert feeds.read_overrides(spark, str(tmp_path / "broken.json")).count() == 0
 
 
 def test_filing_in_one_batch(spark):
-    rows = spark.createDataFrame([("a", "v", "1", 10.0, 1), ("b", "v", "1", 10.0, 2), ("c", "v", "1", 12.0, 3), ("d", "v", "2", 5.0, 1)], "invoice_id string, vendor_id string, number string, gross double, received_at int")
+    rows = spark.createDataFrame(
+        [("a", "v", "1", 10.0, 1), ("b", "v", "1", 10.0, 2), ("c", "v", "1", 12.0, 3), ("d", "v", "2", 5.0, 1)],
+        "invoice_id string, vendor_id string, number string, gross double, received_at int",
+    )
     filed = spark.createDataFrame([("z", "v", "2", 5.0)], "invoice_id string, vendor_id string, invoice_number string, amount_gross double")
     out = {r["invoice_id"]: r["decision"] for r in invoices.file(rows, filed).collect()}
     assert out == {"a": "created", "b": "duplicate_resend", "c": "corrected_invoice", "d": "duplicate_resend"}

@@ -10,8 +10,13 @@ from tallyweave.streaming import ingest
 
 def test_pending_state_over_two_runs_equals_the_batch(spark, tmp_path):
     schema = "auth_id string, txn_id string, kind string, seen date"
-    rows = [("a", "p1", "pending", "2026-01-02"), ("b", "p2", "pending", "2026-01-01"), ("b", "p3", "pending", "2026-01-03"), ("a", "s1", "settled", "2026-03-01"), ("c", "s2", "settled", "2026-01-01"), ("a", "p0", "pending", "2026-01-01")]
-    frame = lambda some: spark.createDataFrame(some, "auth_id string, txn_id string, kind string, seen string").withColumn("seen", F.col("seen").cast("date"))
+    rows = [
+        ("a", "p1", "pending", "2026-01-02"), ("b", "p2", "pending", "2026-01-01"), ("b", "p3", "pending", "2026-01-03"),
+        ("a", "s1", "settled", "2026-03-01"), ("c", "s2", "settled", "2026-01-01"), ("a", "p0", "pending", "2026-01-01"),
+    ]
+    frame = lambda some: spark.createDataFrame(
+        some, "auth_id string, txn_id string, kind string, seen string",
+    ).withColumn("seen", F.col("seen").cast("date"))
     inbox, last = str(tmp_path / "in"), {}
 
     def keep(batch, _):
@@ -21,7 +26,11 @@ def test_pending_state_over_two_runs_equals_the_batch(spark, tmp_path):
         frame(part).coalesce(1).write.mode("append").parquet(inbox)
         stream = spark.readStream.schema(schema).parquet(inbox)
         ingest.drain(ingest.pending_state(stream), "update", keep, str(tmp_path / "checkpoint"))
-    assert last == {r["auth_id"]: tuple(r) for r in pending.resolve(frame(rows)).select("auth_id", "pending_txn_id", "settled_txn_id", "ambiguous", "first_seen", "outcome").collect()}
+    assert last == {
+        r["auth_id"]: tuple(r) for r in pending.resolve(frame(rows)).select(
+            "auth_id", "pending_txn_id", "settled_txn_id", "ambiguous", "first_seen", "outcome",
+        ).collect()
+    }
 
 
 def test_upserts_by_batch(spark, tmp_path):
@@ -29,7 +38,9 @@ def test_upserts_by_batch(spark, tmp_path):
 
     table = {"path": str(tmp_path / "t0")}
     spark.createDataFrame([(1, "old")], "k int, v string").write.parquet(table["path"])
-    run = ingest.upserts(lambda: table["path"], lambda p: table.update(path=p), lambda old, new: merge(old, new, ["k"], {"v": "new"}, [F.asc("v")]))
+    run = ingest.upserts(
+        lambda: table["path"], lambda p: table.update(path=p), lambda old, new: merge(old, new, ["k"], {"v": "new"}, [F.asc("v")]),
+    )
     inbox = str(tmp_path / "in")
     for part in ([(1, "a"), (2, "b")], [(2, "c"), (2, "d")]):
         spark.createDataFrame(part, "k int, v string").coalesce(1).write.mode("append").parquet(inbox)
