@@ -46,7 +46,9 @@ def along(shared: DataFrame, order: Column) -> DataFrame:
 
 def labelled(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """(cell, fp, label) of shared; roots are (node, root) of the fps that have links."""
-    return shared.select("cell", "fp").join(roots, F.col("fp") == F.col("node"), "left").select("cell", "fp", F.coalesce("root", "fp").alias("label"))
+    return shared.select("cell", "fp").join(roots, F.col("fp") == F.col("node"), "left").select(
+        "cell", "fp", F.coalesce("root", "fp").alias("label"),
+    )
 
 
 def to_hubs(rows: DataFrame, links: DataFrame) -> DataFrame:
@@ -54,13 +56,17 @@ def to_hubs(rows: DataFrame, links: DataFrame) -> DataFrame:
     degree = links.select(F.explode(F.array("u", "v")).alias("hub")).groupBy("hub").agg(F.count("*").alias("n"))
     known = rows.join(degree, F.col("fp") == F.col("hub"))
     hubs = known.groupBy("cell").agg(F.max_by(F.struct("hub", "label"), F.struct("n", "hub")).alias("_hub"))
-    return rows.join(hubs, "cell").where(F.col("label") != F.col("_hub.label")).select(F.col("fp").alias("u"), F.col("_hub.hub").alias("v")).distinct()
+    return rows.join(hubs, "cell").where(F.col("label") != F.col("_hub.label")).select(
+        F.col("fp").alias("u"), F.col("_hub.hub").alias("v"),
+    ).distinct()
 
 
 def mixed(rows: DataFrame) -> DataFrame:
     """(cell, fp, label, major): the rows (cell, fp, label) of cells with several labels; major has the most rows."""
     sizes = rows.groupBy("cell", "label").agg(F.count("*").alias("n"))
-    unlike = sizes.groupBy("cell").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).where("labels > 1")
+    unlike = sizes.groupBy("cell").agg(
+        F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels"),
+    ).where("labels > 1")
     return cut(rows.join(unlike, "cell").select("cell", "fp", "label", "major"))
 
 

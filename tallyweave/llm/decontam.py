@@ -194,7 +194,9 @@ def frequencies(docs: DataFrame, items: Items, text: str = "text") -> tuple[np.n
 
 def _blocks(benchmark: DataFrame, text: str, item_id: str, block_words: int) -> Iterator[Items]:
     """Items in blocks that hold some block_words words; an item's block depends on its id alone."""
-    sized = benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t"))
+    sized = benchmark.where(F.col(item_id).isNotNull() & F.col(text).isNotNull()).select(
+        F.col(item_id).cast("long").alias("i"), F.col(text).alias("t"),
+    )
     total = sized.agg(F.sum(F.length("t"))).first()[0] or 0
     n = max(1, -(-total // (5 * block_words)))  # five characters a word at least, as a rule
     for k in range(n):
@@ -206,7 +208,10 @@ def _blocks(benchmark: DataFrame, text: str, item_id: str, block_words: int) ->
 SCHEMA = "doc_id long, item_id long, score double, first_word long, end_word long, n_seeds long"
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id",
+    block_words: int = BLOCK_WORDS,
+) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word, n_seeds) of every document and item that it holds a copy of.
 
     score is the alignment's score over that of a full match, MIN_SCORE to 1; first_word and end_word bound the copy,
@@ -222,10 +227,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
             for b in batches:
-                rows = [(d, own.ids[i], *rest) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i, *rest in own.leaks(t)]
+                rows = [
+                    (d, own.ids[i], *rest) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for i,
+                    *rest in own.leaks(t)
+                ]
                 cols = list(zip(*rows, strict=True)) or [()] * 6
                 kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")],
+                )
 
         part = arrow_pass(docs.select(F.col(doc_id).cast("long"), F.col(text)), run, SCHEMA)
         found = part if found is None else found.union(part)

@@ -42,7 +42,9 @@ BLOCKS = frozenset(
 )
 CONTAINERS = frozenset("article aside body details dialog div dl fieldset footer form header main menu nav ol section table ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILERPLATE = frozenset("aside button canvas dialog fieldset footer head header iframe label menu nav noscript object option select svg template title".split())
+BOILERPLATE = frozenset(
+    "aside button canvas dialog fieldset footer head header iframe label menu nav noscript object option select svg template title".split()
+)
 RAW = "script|style|noscript|template|iframe|textarea|svg|canvas|object|xmp"
 #: Elements that a block cannot stand in, so their end tag never closes what stands around a boundary.
 NARROW = frozenset("a b i li p span".split())
@@ -58,7 +60,9 @@ NAMES = frozenset(
     """.split()
 )
 #: Of these, which may hold articles of their own, so that an article inside isn't the page's.
-OTHERS = frozenset("ad ads adv advert adverts advertisement comment comments disqus recommended related replies reply respond responses sponsor sponsored".split())
+OTHERS = frozenset(
+    "ad ads adv advert adverts advertisement comment comments disqus recommended related replies reply respond responses sponsor sponsored".split()
+)
 #: From such a word on, a name tells what the page around is like.
 ABOUT = frozenset("has with without no is not show hide".split())
 #: Words before '-header' that name an article's own head.
@@ -66,8 +70,12 @@ OWN_HEAD = frozenset("article post entry story content page section".split())
 ROLES = frozenset("alert banner complementary contentinfo dialog menu menubar navigation search".split())
 
 #: Comments and raw elements, whichever begins first; only svg may close itself.
-_CUT = re.compile(rf"(?P<comment><!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>)|<svg(?=[\s/>])[^>]*/>|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\2\s*>|\Z)", re.I | re.S)
-_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?>[^\"'>]+|\"[^\"]*\"|'[^']*'|[\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)")
+_CUT = re.compile(
+    rf"(?P<comment><!--.*?(?:-->|\Z)|<!\[CDATA\[|\]\]>)|<svg(?=[\s/>])[^>]*/>|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\2\s*>|\Z)", re.I | re.S,
+)
+_TAG = re.compile(
+    r"<(/?)([a-zA-Z][^\s/>]*)((?>[^\"'>]+|\"[^\"]*\"|'[^']*'|[\"'])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)"
+)
 _ATTR = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
@@ -145,7 +153,9 @@ def lines(page: str) -> list[Line]:
             out.extend([Line("", 0, False, False, 0)] * min(gap, WINDOW))
             gap = 0
             length = 0 if linked > LINK_SHARE * sum(map(len, words)) else len(text)
-            out.append(Line(text, length, zeros > 0 or (mains > 0 and named > 0), (around if mains else named) > 0, articles if mains else 0))
+            out.append(
+                Line(text, length, zeros > 0 or (mains > 0 and named > 0), (around if mains else named) > 0, articles if mains else 0)
+            )
         linked = 0
 
     for tag in _TAG.finditer(page):

@@ -158,7 +158,9 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
     and in the sample, where rows of one id are taken together or not at all. Null texts and texts without a letter
     teach nothing. Languages with less than one in MOST_LABELS of the rows are left out.
     """
-    known = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull()).select(F.col(doc_id).cast("string").alias("i"), F.col(text).alias("t"), F.col(lang).alias("y"))
+    known = docs.where(~held_out(F.col(doc_id)) & F.col(lang).isNotNull()).select(
+        F.col(doc_id).cast("string").alias("i"), F.col(text).alias("t"), F.col(lang).alias("y"),
+    )
     df = document_frequencies(known, "t")
     idf = np.log((1.0 + df[-1]) / (1.0 + df[:-1])) + 1.0
     sizes = known.groupBy("y").agg(F.count("*").alias("n"))
@@ -175,12 +177,16 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str =
             xs = [counts(t) for t in b.column(0).to_pylist()]
             at = [None if x is None else x[0].astype("<u2").tobytes() for x in xs]
             n = [None if x is None else x[1].astype("<u4").tobytes() for x in xs]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.binary()), pa.array(n, pa.binary()), b.column(1), b.column(2)], ["at", "n", "y", "c"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at, pa.binary()), pa.array(n, pa.binary()), b.column(1), b.column(2)], ["at", "n", "y", "c"],
+            )
 
     part = F.pmod(F.xxhash64(F.lit("calibrate"), "i"), F.lit(CALIBRATION)) == 0
     sample = thinned(known, F.col("i"), rates[F.col("y")]).select("t", "y", part.alias("c"))
     xs, ys, zs, zy = [], [], [], []
-    for r in arrow_pass(sample, run, "at binary, n binary, y string, c boolean").where("at IS NOT NULL").collect():  # sample_rows, give or take
+    for r in arrow_pass(
+        sample, run, "at binary, n binary, y string, c boolean",
+    ).where("at IS NOT NULL").collect():  # sample_rows, give or take
         at, n = np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["n"], "<u4")
         x = (1 + np.log(n)) * idf[at]
         (zs if r["c"] else xs).append((at, x / np.sqrt(x @ x)))
@@ -200,7 +206,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for b in batches:
             found = [shared.value.predict(t) for t in b.column(at_text).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], [*names, "lang_pred", "score"]
+                [
+                    *b.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()),
+                ], [*names, "lang_pred", "score"]
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double"
@@ -230,7 +238,9 @@ def keep_identified(
         for b in batches:
             found = [shared.value.predict(t) for t in b.column(at_text).to_pylist()]
             cols = list(b.columns)
-            cols[at_lang] = pa.array([y if was is None else was for was, (y, _) in zip(cols[at_lang].to_pylist(), found, strict=True)], pa.string())
+            cols[at_lang] = pa.array(
+                [y if was is None else was for was, (y, _) in zip(cols[at_lang].to_pylist(), found, strict=True)], pa.string(),
+            )
             fine = [y != UNDETERMINED and s >= min_score and (wanted is None or y in wanted) for y, s in found]
             yield pa.RecordBatch.from_arrays(cols, names).filter(pa.array(fine, pa.bool_()))
 

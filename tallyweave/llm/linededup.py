@@ -105,7 +105,9 @@ class Index:
         bits = [np.unpackbits(np.frombuffer(r["bits"], np.uint8), count=int(x.sum())) for r, x in zip(shards, own, strict=True)]
         packed = np.packbits(np.concatenate(bits)) if bits else np.zeros(0, np.uint8)
         ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(packed), dtype=np.int64)]).astype(np.uint32)
-        of = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in shards]) if shards else np.zeros(0, kind)
+        of = lambda name, kind: np.concatenate(
+            [np.frombuffer(r[name], kind) for r in shards]
+        ) if shards else np.zeros(0, kind)
         return cls(place, sizes, bases, packed, ranks, of("prints", np.uint64), of("owners", np.int64), of("counts", np.uint32))
 
     def probe(self, keys: np.ndarray) -> np.ndarray:
@@ -199,7 +201,9 @@ def _rewrite(text: str | None, lost: list[bool]) -> tuple[str, int]:
     return "\n".join(x for x, gone in zip(lines, lost, strict=True) if not gone), sum(lost)
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shard_keys: int = SHARD_KEYS, block_keys: int = BLOCK_KEYS) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shard_keys: int = SHARD_KEYS, block_keys: int = BLOCK_KEYS,
+) -> DataFrame:
     """docs with `text` rewritten and the columns n_lines, n_dropped and kept_sha256 added (replacing such columns).
 
     A line whose key has MIN_CHARS code points or more and is found in two documents stays only in the smallest
@@ -213,7 +217,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sha
     n_shards = max(1, -(-n_keys // shard_keys))
     index = cut(build_index(keys, n_shards))
     names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_lines long, n_dropped long, kept_sha256 string"
+    schema = ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema
+    ) + ", n_lines long, n_dropped long, kept_sha256 string"
     at_text, at_id = names.index(text), names.index(doc_id)
 
     def rewritten(rows: DataFrame, lost_of) -> DataFrame:
@@ -231,7 +237,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sha
                 cols = [*b.columns[: len(names)]]
                 cols[at_text] = pa.array(kept, pa.string())
                 sha = [hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in kept]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array([x[2] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array(sha)], [*names, "n_lines", "n_dropped", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays(
+                    [*cols, pa.array([x[2] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array(sha)],
+                    [*names, "n_lines", "n_dropped", "kept_sha256"],
+                )
 
         return arrow_pass(rows, run, schema)
 
@@ -253,7 +262,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sha
     key, gone = fresh("i"), fresh("lost")
     lost = _probed(cut(_line_rows(docs, text, doc_id, n_shards)), index, n_shards)
     lost = lost.groupBy(F.col("i").alias(key)).agg(F.collect_list("digest").alias(gone))
-    joined = docs.join(lost, F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) == F.col(key), "left").select(*(F.col(f"`{n}`") for n in names), gone)
+    joined = docs.join(
+        lost, F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)) == F.col(key), "left",
+    ).select(*(F.col(f"`{n}`") for n in names), gone)
 
     def by_list(b: pa.RecordBatch, lines: list[list[str]]) -> list[bool]:
         gone = [set(x or []) for x in b.column(len(names)).to_pylist()]

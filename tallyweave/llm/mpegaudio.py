@@ -244,7 +244,9 @@ def to_media(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
         for b in batches:
             made = [text_payload(t) for t in b.column(1).to_pylist()]
             media = [mux(p, f"{n} bytes") for p, n in made]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for _, n in made], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), pa.array([n for _, n in made], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"],
+            )
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return arrow_pass(docs.select(F.col(doc_id).alias("doc_id"), F.col(text)), run, f"doc_id {kind}, n_bytes long, media binary")
@@ -261,7 +263,10 @@ def probe(media: DataFrame, column: str = "media") -> DataFrame:
     names = [f.split()[0] for f in INFO.split(", ")]
     media = media.drop(*names)
     kept = [f for f in media.schema if f.name != column]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.map_(pa.string(), pa.string())]
+    kinds = [
+        pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.string(), pa.int64(), pa.list_(pa.int32()), pa.int64(),
+        pa.int64(), pa.list_(pa.int64()), pa.map_(pa.string(), pa.string()),
+    ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -293,7 +298,10 @@ def digest(data: bytes | None, n_bytes: int | None) -> tuple:
     half = seek(info, info["duration_ms"] / 2)
     feature = f"{info['n_frames']}:{info['samples']}:{info['sample_rate']}:{info['mean_kbps']:.3f}:{info['crc_failed']}:{half}:{all_offsets}"
     tail = zlib.crc32(payload[-TAIL:])
-    return (n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), tail, *whole, feature, info["n_frames"], info["duration_ms"], offsets, None)
+    return (
+        n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), tail, *whole, feature, info["n_frames"], info["duration_ms"], offsets,
+        None,
+    )
 
 
 def digests(media: DataFrame) -> DataFrame:
@@ -304,7 +312,10 @@ def digests(media: DataFrame) -> DataFrame:
     damaged, has an error and doesn't stop the others; foreign bytes have no chunk, so their payload is empty.
     """
     names = ["doc_id", *(f.split()[0] for f in DIGESTS.split(", "))]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.string()]
+    kinds = [
+        pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.float64(),
+        pa.list_(pa.int64()), pa.string(),
+    ]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

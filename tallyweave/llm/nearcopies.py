@@ -78,7 +78,10 @@ def _sets(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
         for b in batches:
             found = [shingles(t, width) for t in b.column(1).to_pylist()]
             bits = np.array([f for _, f in found], np.uint64).view(np.int64)
-            cols = [pa.array([_digest(s) for s, _ in found], pa.int64()), pa.array(bits), pa.array([_cells(s) for s, _ in found], pa.list_(pa.int64()))]
+            cols = [
+                pa.array([_digest(s) for s, _ in found], pa.int64()), pa.array(bits),
+                pa.array([_cells(s) for s, _ in found], pa.list_(pa.int64())),
+            ]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *cols], ["doc_id", "fp", "bits", "bands"])
 
     return arrow_pass(docs.select(F.col(doc_id).cast("long"), F.col(text)), run, "doc_id long, fp long, bits long, bands array<long>")
@@ -93,7 +96,9 @@ def _contents(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, width:
         for b in batches:
             sets = ((fp, shingles(t, width)[0]) for t, fp in zip(*(c.to_pylist() for c in b.columns), strict=True))
             found = [(fp, s.view(np.int64)) for fp, s in sets if _digest(s) == fp]
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64()))], ["fp", "content"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f for f, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64()))], ["fp", "content"],
+            )
 
     return arrow_pass(rows, run, "fp long, content array<long>").dropDuplicates(["fp"])  # rows may share their id
 
@@ -123,9 +128,13 @@ def _by_fingerprint(classes: DataFrame) -> DataFrame:
 def _reach(rows: DataFrame, contents: DataFrame) -> DataFrame:
     """rows with n, their number of shingles, and most, the largest number of a partner."""
     mine = contents.join(rows.select("fp").distinct(), "fp", "left_semi")
-    own = mine.select("fp", F.explode("content").alias("shingle")).groupBy("shingle").agg(F.min("fp").alias("fp"), F.count("*").alias("rows"))
+    own = mine.select("fp", F.explode("content").alias("shingle")).groupBy("shingle").agg(
+        F.min("fp").alias("fp"), F.count("*").alias("rows"),
+    )
     own = own.where("rows = 1").groupBy("fp").agg(F.count("*").alias("own"))
-    sizes = mine.select("fp", F.size("content").alias("n")).join(own, "fp", "left").select("fp", "n", F.coalesce("own", F.lit(0)).alias("own"))
+    sizes = mine.select("fp", F.size("content").alias("n")).join(own, "fp", "left").select(
+        "fp", "n", F.coalesce("own", F.lit(0)).alias("own"),
+    )
     most = F.floor((F.col("n") * OF - F.col("own") * (SHARED + OF)) / SHARED).cast("int")
     return cut(rows.join(sizes.select("fp", "n", most.alias("most")), "fp"))
 
@@ -158,10 +167,16 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: i
     are copies of one another.
     """
     rows = cut(_sets(docs, text, doc_id, width))
-    classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_same"), F.min("bits").alias("bits"), F.first("bands").alias("bands")))
+    classes = cut(
+        rows.groupBy("fp").agg(
+            F.min("doc_id").alias("first_id"), F.count("*").alias("n_same"), F.min("bits").alias("bits"), F.first("bands").alias("bands"),
+        )
+    )
     n, n_rows = classes.agg(F.count("*"), F.coalesce(F.sum("n_same"), F.lit(0))).first()
     roots = components(_links(docs, classes, text, doc_id, width))
-    rooted = cut(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n_same", F.coalesce("root", "fp").alias("root")))
+    rooted = cut(
+        classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n_same", F.coalesce("root", "fp").alias("root"))
+    )
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_root"))
     named = cut(join_facts(rooted, least, "root", "n_root", n).select("fp", "component_id", "n_same"))
     return join_facts(rows.select("doc_id", "fp"), named, "fp", "n_same", n_rows).select("doc_id", "component_id")

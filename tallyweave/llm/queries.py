@@ -48,7 +48,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = keyed.groupBy("digest").agg(F.min("doc_id").alias("first_id"))
     # by id and not by digest: a text with very many copies is no hot key
     copies = keyed.join(first, F.col("doc_id") == F.col("first_id"), "left_anti")
-    rollup.commit("3-dedup", tokencounts.counts(copies, {"words-1": F.lit(None).cast("long"), "bytes-1": F.lit(None).cast("long")}, "delete", 2))
+    rollup.commit(
+        "3-dedup", tokencounts.counts(copies, {"words-1": F.lit(None).cast("long"), "bytes-1": F.lit(None).cast("long")}, "delete", 2),
+    )
     rollup.commit("2-revise", revision)
     return rollup.totals()
 
@@ -69,7 +71,12 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_decontamination, op3_sentencepiece, op4_html_text, op5_sharding, op6_token_counts, op7_simhash, op8_line_dedup, op9_mpeg_audio, op10_language_id)}
+QUERIES = {
+    f.__name__: f for f in (
+        op1_toxicity, op2_decontamination, op3_sentencepiece, op4_html_text, op5_sharding, op6_token_counts, op7_simhash, op8_line_dedup,
+        op9_mpeg_audio, op10_language_id,
+    )
+}
 
 ORACLES = {
     "op5_sharding": """
@@ -79,7 +86,8 @@ ORACLES = {
             SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM steps WHERE k < 8
         ), crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8), sized AS (
             SELECT doc_id, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
-                xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+                xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(coalesce(text, '')), '..'),
+        lambda x: CAST('0x' || x AS BIGINT))),
                     lambda a, b: xor(a >> 8, t[xor(a % 256, b) + 1])), 4294967295) AS text_crc32
             FROM documents, crc
         ), placed AS (

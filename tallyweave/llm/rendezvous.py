@@ -35,7 +35,9 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
     return -F.array_max(F.array(*entries))["low"]
 
 
-def shard(docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, doc_id: str = "doc_id", text: str = "text", pieces: int = PIECES) -> DataFrame:
+def shard(
+    docs: DataFrame, weights: Sequence[float] = (1.0,) * SHARDS, doc_id: str = "doc_id", text: str = "text", pieces: int = PIECES,
+) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row.
 
     grown_shard is the shard once one more of mean weight exists. Slots number a shard's rows from 0 without gaps:

@@ -242,7 +242,9 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(encoder.encode(b.column(at_text).to_pylist()), pa.list_(pa.int32()))], [*names, "piece_ids"])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array(encoder.encode(b.column(at_text).to_pylist()), pa.list_(pa.int32()))], [*names, "piece_ids"],
+            )
 
     return arrow_pass(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", piece_ids array<int>")
 
@@ -255,7 +257,9 @@ def decode(docs: DataFrame, pieces: Pieces, ids: str = "piece_ids") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([shared.value.decode(x or []) for x in b.column(at).to_pylist()], pa.string())], [*names, "decoded"])
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns, pa.array([shared.value.decode(x or []) for x in b.column(at).to_pylist()], pa.string())], [*names, "decoded"],
+            )
 
     return arrow_pass(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", decoded string")
 
@@ -277,12 +281,21 @@ def digests(docs: DataFrame, pieces: Pieces, text: str = "text", doc_id: str = "
             cols: list[list] = [[], [], [], [], [], [], []]
             for t, ids in zip(texts, encoder.encode(texts), strict=True):
                 decoded = p.decode(ids.tolist())
-                row = (ids, len(ids), int(p.is_byte[ids].sum()), round(float(scores[ids].sum()), 6), zlib.crc32(ids.astype("<i4").tobytes()), hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest(), decoded == (t or ""))
+                row = (
+                    ids, len(ids), int(p.is_byte[ids].sum()), round(float(scores[ids].sum()), 6), zlib.crc32(ids.astype("<i4").tobytes()),
+                    hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest(), decoded == (t or ""),
+                )
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             kinds = [pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "piece_ids", "n_pieces", "n_byte_pieces", "log_score", "ids_crc32", "decoded_sha256", "round_trip"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
+                ["doc_id", "piece_ids", "n_pieces", "n_byte_pieces", "log_score", "ids_crc32", "decoded_sha256", "round_trip"],
+            )
 
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return arrow_pass(rows, run, f"doc_id {kind}, piece_ids array<int>, n_pieces long, n_byte_pieces long, log_score double, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return arrow_pass(
+        rows, run,
+        f"doc_id {kind}, piece_ids array<int>, n_pieces long, n_byte_pieces long, log_score double, ids_crc32 long, decoded_sha256 string, round_trip boolean",
+    )

@@ -137,7 +137,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     classes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_same")))
     n, n_rows = classes.agg(F.count("*"), F.coalesce(F.sum("n_same"), F.lit(0))).first()
     roots = components(near_links(classes, n))
-    rooted = cut(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n_same", F.coalesce("root", "fp").alias("root")))
+    rooted = cut(
+        classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n_same", F.coalesce("root", "fp").alias("root"))
+    )
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n_root"))
     named = cut(join_facts(rooted, least, "root", "n_root", n).select("fp", "component_id", "n_same"))
     return join_facts(rows, named, "fp", "n_same", n_rows).select(

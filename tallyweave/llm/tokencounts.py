@@ -79,7 +79,9 @@ class Rollup:
         out = fs.create(draft, False)
         out.write(bytearray(json.dumps(entry | {"number": number}).encode()))
         out.close()
-        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.getFileSystem(self.spark._jsc.hadoopConfiguration()).getUri(), self.spark._jsc.hadoopConfiguration())
+        files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+            draft.getFileSystem(self.spark._jsc.hadoopConfiguration()).getUri(), self.spark._jsc.hadoopConfiguration(),
+        )
         options = self.spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
         try:
             files.rename(draft, jvm.org.apache.hadoop.fs.Path(f"{folder}/{number:08d}"), options)
@@ -96,7 +98,9 @@ class Rollup:
             log = [c for c in log if c["number"] >= log[-1]["start"]]
         if not log:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*(f"{self.path}/attempts/{c['attempt']}/{kind}" for c in log if kind == "ledger" or c["batch"]))
+        return self.spark.read.schema(schema).parquet(
+            *(f"{self.path}/attempts/{c['attempt']}/{kind}" for c in log if kind == "ledger" or c["batch"])
+        )
 
     def current(self, log: list[dict] | None = None, of: DataFrame | None = None) -> DataFrame:
         """(doc_id, source, lang, tokenizer, n_tokens) of every counted document, or of those that `of` has."""
@@ -108,7 +112,9 @@ class Rollup:
 
     def totals(self) -> DataFrame:
         """(source, lang, tokenizer, n_docs, n_tokens) of every group that has documents."""
-        sums = self._rows("delta", DELTA, self.log()).groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        sums = self._rows("delta", DELTA, self.log()).groupBy(*GROUP).agg(
+            F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"),
+        )
         return sums.where("n_docs <> 0")
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
@@ -146,10 +152,15 @@ class Rollup:
 
     def _attempt(self, changes: DataFrame, log: list[dict]) -> str:
         """Write the signed rows of changes against the counts of a log, and their sums; the attempt's name."""
-        last = Window.partitionBy("doc_id", "tokenizer").orderBy(F.desc("seq"), F.asc("op"), F.desc("n_tokens"), F.desc("source"), F.desc("lang"))
+        last = Window.partitionBy("doc_id", "tokenizer").orderBy(
+            F.desc("seq"), F.asc("op"), F.desc("n_tokens"), F.desc("source"), F.desc("lang"),
+        )
         new = (
             changes.where("doc_id IS NOT NULL AND tokenizer IS NOT NULL AND (op = 'delete' OR op = 'upsert' AND n_tokens IS NOT NULL)")
-            .select("op", F.col("doc_id").cast("long"), "source", "lang", "tokenizer", F.col("n_tokens").cast("long"), F.row_number().over(last).alias("_nth"))
+            .select(
+                "op", F.col("doc_id").cast("long"), "source", "lang", "tokenizer", F.col("n_tokens").cast("long"),
+                F.row_number().over(last).alias("_nth"),
+            )
             .where("_nth = 1")
         )
         attempt = uuid.uuid4().hex
@@ -159,11 +170,16 @@ class Rollup:
         both = new.join(old, ["doc_id", "tokenizer"], "left")
 
         def signed(sign: int, source: str, lang: str, n: str) -> Column:
-            return F.struct(F.col(source).alias("source"), F.col(lang).alias("lang"), F.lit(sign).cast("long").alias("n_docs"), (F.col(n) * sign).cast("long").alias("n_tokens"))
+            return F.struct(
+                F.col(source).alias("source"), F.col(lang).alias("lang"), F.lit(sign).cast("long").alias("n_docs"),
+                (F.col(n) * sign).cast("long").alias("n_tokens"),
+            )
 
         minus = F.when(F.col("was").isNotNull(), signed(-1, "was.source", "was.lang", "was.n_tokens"))
         plus = F.when(F.col("op") == "upsert", signed(1, "source", "lang", "n_tokens"))
-        rows = both.select("doc_id", "tokenizer", F.inline(F.array_compact(F.array(minus, plus)))).select("doc_id", *GROUP, "n_docs", "n_tokens")
+        rows = both.select(
+            "doc_id", "tokenizer", F.inline(F.array_compact(F.array(minus, plus))),
+        ).select("doc_id", *GROUP, "n_docs", "n_tokens")
         rows.write.parquet(f"{self.path}/attempts/{attempt}/ledger")
         kept = self.spark.read.schema(LEDGER).parquet(f"{self.path}/attempts/{attempt}/ledger")
         sums = kept.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
@@ -173,5 +189,9 @@ class Rollup:
 
 def counts(docs: DataFrame, tokenizers: dict[str, Column], op: str = "upsert", seq: int = 0) -> DataFrame:
     """Changes that give every row of docs its count under each tokenizer version."""
-    each = F.explode(F.array(*(F.struct(F.lit(name).alias("tokenizer"), n.alias("n_tokens")) for name, n in tokenizers.items()))).alias("_t")
-    return docs.select(F.lit(op).alias("op"), F.lit(seq).alias("seq"), "doc_id", "source", "lang", each).select("op", "seq", "doc_id", "source", "lang", "_t.tokenizer", "_t.n_tokens")
+    each = F.explode(
+        F.array(*(F.struct(F.lit(name).alias("tokenizer"), n.alias("n_tokens")) for name, n in tokenizers.items()))
+    ).alias("_t")
+    return docs.select(
+        F.lit(op).alias("op"), F.lit(seq).alias("seq"), "doc_id", "source", "lang", each,
+    ).select("op", "seq", "doc_id", "source", "lang", "_t.tokenizer", "_t.n_tokens")

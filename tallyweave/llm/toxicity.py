@@ -38,7 +38,10 @@ THRESHOLD = 0.7
 MEMO = 500_000
 
 # fixed values: letters that symbols stand for
-LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c", "¡": "i"}
+LEET = {
+    "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i",
+    "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "<": "c", "¡": "i",
+}
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàâäáãåçéèêëíìîïñóòôöõúùûüýßæøœ"
 #: Classes of the language model: 0 is the edge of a word, the last stands for letters outside the alphabet.
 CLASSES = 64
@@ -236,10 +239,14 @@ def feature_weights(sample: DataFrame, lm: np.ndarray) -> dict[str, float]:
                     x[1 - y] += 1
                     x[2] |= slot * y
             cols = list(zip(*seen.values(), strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], ["f", "t", "n", "mask"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(seen), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], ["f", "t", "n", "mask"],
+            )
 
     total = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    rows = arrow_pass(sample.select("text", "toxic"), run, "f string, t long, n long, mask long").groupBy("f").agg(F.sum("t").alias("t"), F.sum("n").alias("n"), F.bit_count(F.expr("bit_or(mask)")).alias("kinds"))
+    rows = arrow_pass(sample.select("text", "toxic"), run, "f string, t long, n long, mask long").groupBy("f").agg(
+        F.sum("t").alias("t"), F.sum("n").alias("n"), F.bit_count(F.expr("bit_or(mask)")).alias("kinds"),
+    )
     t, n = F.col("t") + 0.5, F.col("n") + 0.5
     odds = F.log(t / (total.get(1, 0) + 1.0)) - F.log(n / (total.get(0, 0) + 1.0)) - CAUTION * F.sqrt(1 / t + 1 / n)
     found = rows.where(F.col("kinds") >= SUPPORT).select("f", odds.alias("w")).where("w > 0")
@@ -335,9 +342,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
         weigher = Weigher(Restorer(shared.value[0]), shared.value[1])
         for b in batches:
             x = [weigher.document(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(pa.array([v[k] for v in x], pa.float64()) for k in range(3)), b.column(1)], ["a", "b", "c", "toxic"])
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array([v[k] for v in x], pa.float64()) for k in range(3)), b.column(1)], ["a", "b", "c", "toxic"],
+            )
 
-    rows = arrow_pass(sample.select("text", "toxic"), run, "a double, b double, c double, toxic int").collect()  # about two times sample_rows
+    rows = arrow_pass(
+        sample.select("text", "toxic"), run, "a double, b double, c double, toxic int",
+    ).collect()  # about two times sample_rows
     x = np.array([(r["a"], r["b"], r["c"]) for r in rows], float).reshape(-1, 3)
     y = np.array([r["toxic"] for r in rows], float)
     if not 0 < y.sum() < len(y):  # one class at most: nothing to tell apart
@@ -365,7 +376,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", restored: bool = Fa
             more = [pa.array([restorer.text(t) for t in texts], pa.string())] if restored else []
             yield pa.RecordBatch.from_arrays([*cols, *more], [*names, "score", "predicted", *["restored_text"] * restored])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, predicted int" + ", restored_text string" * restored
+    schema = ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema
+    ) + ", score double, predicted int" + ", restored_text string" * restored
     return arrow_pass(docs, run, schema)
 
 

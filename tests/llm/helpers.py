@@ -9,8 +9,12 @@ LONG = "the quick brown fox jumps over a lazy dog\n" * 5000
 def odd_documents(spark):
     """Nulls, empty and very long texts, repeated rows and ids, white space alone."""
     rows = [
-        (1, "Hello world, this is a line of text", "en", "a", 1), (2, None, "en", None, None), (3, "", None, "a", 0), (4, LONG, "en", "a", len(LONG)), (4, LONG, "en", "a", len(LONG)),
-        (5, " \t\n ", "de", "b", 4), (6, "Hello world, this is a line of text", "en", "a", 1), (7, "\x00 ▁ 日本語 😀 é", "fr", "c", 9), (None, "Hello world, this is a line of text", "en", "a", 1), (8, "x" * 100_000, "en", "d", 1),
+        (
+            1, "Hello world, this is a line of text", "en", "a", 1,
+        ), (2, None, "en", None, None), (3, "", None, "a", 0), (4, LONG, "en", "a", len(LONG)), (4, LONG, "en", "a", len(LONG)),
+        (5, " \t\n ", "de", "b", 4), (6, "Hello world, this is a line of text", "en", "a", 1), (7, "\x00 ▁ 日本語 😀 é", "fr", "c", 9), (
+            None, "Hello world, this is a line of text", "en", "a", 1,
+        ), (8, "x" * 100_000, "en", "d", 1),
     ]
     df = spark.createDataFrame(rows, DOCUMENTS)
     extra = [f.strip().rsplit(" ", 1) for f in CLASHING.split(", ")]

@@ -58,7 +58,9 @@ def test_equals_aligning_everything(planted):
         for k, b in items:
             x, y = D.words(b), D.words(t)
             ids: dict[str, int] = {}
-            s = D.align(np.array([ids.setdefault(w, len(ids)) for w in x]), np.array([ids.setdefault(w, len(ids)) for w in y]))[0] / (D.MATCH * len(x))
+            s = D.align(
+                np.array([ids.setdefault(w, len(ids)) for w in x]), np.array([ids.setdefault(w, len(ids)) for w in y]),
+            )[0] / (D.MATCH * len(x))
             if s >= D.MIN_SCORE:
                 expected[i, k] = s
     # a copy so edited that no run of three words is left has no seed; all others are found, with the full score
@@ -71,7 +73,9 @@ def test_equals_aligning_everything(planted):
 
 def test_blocks_give_the_same_rows(planted):
     docs, bench, _, _, _ = planted
-    rows = lambda **k: sorted(map(tuple, D.leaks(docs, bench, **k).select("doc_id", "item_id", "first_word", "end_word").collect()))
+    rows = lambda **k: sorted(
+        map(tuple, D.leaks(docs, bench, **k).select("doc_id", "item_id", "first_word", "end_word").collect())
+    )
     assert rows(block_words=60) == rows()
 
 
@@ -82,7 +86,13 @@ def test_an_item_that_has_leaked_everywhere_is_found(spark):
 
 
 def test_odd_and_empty_tables(spark):
-    bench = spark.createDataFrame([(1, "hello world this is a line of text"), (2, None), (3, ""), (4, "of text"), (None, "x y z"), (1, "hello world this is a line of text")], ITEMS)
+    bench = spark.createDataFrame(
+        [
+            (1, "hello world this is a line of text"), (2, None), (3, ""), (4, "of text"), (None, "x y z"),
+            (1, "hello world this is a line of text"),
+        ],
+        ITEMS,
+    )
     docs = odd_documents(spark)
     assert {r["doc_id"] for r in D.leaks(docs, bench).collect()} == {1, 6, None}
     clean = D.keep_clean(docs, bench)

@@ -16,11 +16,22 @@ P = "A paragraph of the article that is long enough to surge over the windows of
 @pytest.mark.parametrize(
     ("page", "text"),
     [
-        (None, ""), ("", ""), ("<html></html>", ""), ("<p>Just one.</p>", "Just one."), ("no markup at all, only text", "no markup at all, only text"),
-        (f"<nav><a href=x>Home</a></nav><article><h1>Title</h1><p>{P}</p><p>Tiny.</p></article><footer>&copy; us</footer>", f"Title {P} Tiny."),
-        (f"<div id=header>Site of ours</div><div><p>{P}</p><p>a &amp; b\n\t c&nbsp;d</p></div><div class='comments'><p>{P}</p></div>", f"{P} a & b c d"),
+        (None, ""), ("", ""), ("<html></html>", ""), ("<p>Just one.</p>", "Just one."), (
+            "no markup at all, only text", "no markup at all, only text",
+        ),
+        (
+            f"<nav><a href=x>Home</a></nav><article><h1>Title</h1><p>{P}</p><p>Tiny.</p></article><footer>&copy; us</footer>",
+            f"Title {P} Tiny.",
+        ),
+        (
+            f"<div id=header>Site of ours</div><div><p>{P}</p><p>a &amp; b\n\t c&nbsp;d</p></div><div class='comments'><p>{P}</p></div>",
+            f"{P} a & b c d",
+        ),
         (f"<script>var t='</p>';</script><style>p{{}}</style><!-- <p>x</p> --><p>{P}<br>next <b>bo</b>ld", f"{P} next bold"),
-        (f"<article><header><h1>Head</h1></header><p>{P}</p><aside>Related links</aside><form>Join <input></form><p>End &lt;ok&gt;</p></article>", f"Head {P} End <ok>"),
+        (
+            f"<article><header><h1>Head</h1></header><p>{P}</p><aside>Related links</aside><form>Join <input></form><p>End &lt;ok&gt;</p></article>",
+            f"Head {P} End <ok>",
+        ),
         (f"<ul><li><a href=1>one</a><li><a href=2>two</a></ul><p>{P}</p><p class=\"cookie-notice\">We use cookies.</p>", P),
         (f"<p>{P}</p><p>3 < 4 and 5 > 2</p><p", f"{P} 3 < 4 and 5 > 2"),
     ],
@@ -36,7 +47,10 @@ def test_pages(page, text):
         (f"<div class='content has-sidebar'><p>{P}</p></div>", P),
         (f"<div class='search-results'><main><p>{P}</p><div class=share>Tweet</div></main></div><p>After it all.</p>", P),
         (f"<div id=form-page><p>Say it.</p><article><p>{P}</p></article></div>", P),
-        (f"<article><p>{P}</p></article><div class=sidebar><article>Teaser</article></div><div class=comments><article>Me too</article></div>", P),
+        (
+            f"<article><p>{P}</p></article><div class=sidebar><article>Teaser</article></div><div class=comments><article>Me too</article></div>",
+            P,
+        ),
         (f"<article><div class='article-header'><h1>Title</h1></div><p>{P}</p></article>", f"Title {P}"),
         (f"<article><h2><a href=x>All of it a link</a></h2><p>{P}</p><p><a href=y>{P}</a></p></article>", f"All of it a link {P} {P}"),
         (f"<p>{P}</p><p><a href=y>Read this too</a></p><p>{P}</p>", f"{P} Read this too {P}"),
@@ -44,7 +58,10 @@ def test_pages(page, text):
         (f"<p>{P}</p><!-- <script> --><p>Still here.</p>", f"{P} Still here."),
         (f"<script>var a = '<!--';</script><p>{P}</p>", P),
         (f"<p>{P}</p><svg width=1 /><p>Still here.</p>", f"{P} Still here."),
-        (f"<p>{P}</p>" * 20 + "<nav>x</nav><div class=ad>y</div><ul><li><a href=1>1</a><li><a href=2>2</a><li><a href=3>3</a></ul>" + f"<p>{P}</p>", " ".join([P] * 21)),
+        (
+            f"<p>{P}</p>" * 20 + "<nav>x</nav><div class=ad>y</div><ul><li><a href=1>1</a><li><a href=2>2</a><li><a href=3>3</a></ul>" + f"<p>{P}</p>",
+            " ".join([P] * 21),
+        ),
     ],
 )
 def test_article_text_is_not_dropped(page, text):
@@ -61,7 +78,10 @@ def test_article_text_is_not_dropped(page, text):
         (f"<div class='content-with-sidebar menu-open'><p>{P}</p></div><p>And this.</p>", f"{P} And this."),
         (f"<style-guide><p>{P}</p></style-guide><object-card>And this one.</object-card>", f"{P} And this one."),
         (f"<form id=page><main><p>{P}</p><form><label>Mail</label></form></main></form>", P),
-        (f"<article><p>{P}</p>" + "<p><a href=x>Read this</a></p>" * 5 + "<p>End.</p></article>", " ".join([P, *["Read this"] * 5, "End."])),
+        (
+            f"<article><p>{P}</p>" + "<p><a href=x>Read this</a></p>" * 5 + "<p>End.</p></article>",
+            " ".join([P, *["Read this"] * 5, "End."]),
+        ),
         ("<article><p>Short.</p></article><div><p>" + P * 9 + "</p></div>", "Short."),
         (f"<div><p>{P}</p></div></div><div><div><p>&copy; us</p></div></div>", P),
         (f"<p>{P}</p><p style='display:none'>No</p><p hidden>No</p><p aria-hidden=true>No</p>", P),
@@ -128,14 +148,20 @@ def test_regions_against_the_plain_rule(lengths):
 
 
 def test_tables(spark):
-    pages = spark.createDataFrame([(1, "u", None, 1), (2, None, f"<p>{P}</p>", 2), (2, None, f"<p>{P}</p>", 2)], "page_id long, url string, html string, n_chars int")
+    pages = spark.createDataFrame(
+        [(1, "u", None, 1), (2, None, f"<p>{P}</p>", 2), (2, None, f"<p>{P}</p>", 2)],
+        "page_id long, url string, html string, n_chars int",
+    )
     rows = {r["page_id"]: r for r in H.extract(pages).collect()}
     assert rows[1]["text"] == "" and rows[1]["n_chars"] == 0 and rows[2]["n_chars"] == len(P)
     assert H.extract(pages.limit(0)).count() == 0
 
 
 def test_clashing_columns_and_repeated_pages(spark):
-    pages = spark.createDataFrame([(1, "u", f"<p>{P}</p>", "x", 5), (1, "u", f"<p>{P}</p>", "x", 5)], "page_id long, url string, html string, text string, n_chars long")
+    pages = spark.createDataFrame(
+        [(1, "u", f"<p>{P}</p>", "x", 5), (1, "u", f"<p>{P}</p>", "x", 5)],
+        "page_id long, url string, html string, text string, n_chars long",
+    )
     assert [(r["text"], r["n_chars"]) for r in H.extract(pages).collect()] == [(P, len(P))] * 2
 
 

@@ -72,7 +72,9 @@ def test_against_a_plain_twin():
     """N-grams, TF-IDF, FTRL and the softmax, written with dictionaries and loops over single features."""
     import math
 
-    texts = ["the cat and the dog", "der Hund und die Katze", "The THE the 12 dogs!", "die und der, das", "x", "eine Katze", "a dog is a dog"]
+    texts = [
+        "the cat and the dog", "der Hund und die Katze", "The THE the 12 dogs!", "die und der, das", "x", "eine Katze", "a dog is a dog",
+    ]
     ys = [0, 1, 0, 1, 0, 1, 0]
 
     def grams(text: str) -> dict[int, int]:
@@ -130,8 +132,14 @@ def test_all_planes_have_letters(spark):
 def test_stage_fills_languages_and_takes_only_the_wanted(spark):
     r = __import__("random").Random(1)
     words = {"en": "the and of to in is that for with on".split(), "de": "der die und das ist nicht mit auf ein zu".split()}
-    rows = [(i, " ".join(r.choices(words[y], k=20)), y if i % 5 else None, "s", 1, "kept", 0.5) for i in range(400) for y in (("en", "de")[i % 2],)]
+    rows = [
+        (
+            i, " ".join(r.choices(words[y], k=20)), y if i % 5 else None, "s", 1, "kept", 0.5,
+        ) for i in range(400) for y in (("en", "de")[i % 2],)
+    ]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, score double")
     kept = L.keep_identified(docs).collect()
-    assert len(kept) == 400 and all(x["lang"] == ("en", "de")[x["doc_id"] % 2] and x["lang_pred"] == "kept" and x["score"] == 0.5 for x in kept)
+    assert len(kept) == 400 and all(
+        x["lang"] == ("en", "de")[x["doc_id"] % 2] and x["lang_pred"] == "kept" and x["score"] == 0.5 for x in kept
+    )
     assert {x["doc_id"] % 2 for x in L.keep_identified(docs, wanted=("de",)).collect()} == {1}

@@ -119,7 +119,9 @@ def test_tables(spark):
     rows = {r["doc_id"]: r for r in M.digests(media).collect()}
     empty = b" " * 192
     for i in (2, 3):
-        assert (rows[i]["n_bytes"], rows[i]["payload_bytes"], rows[i]["payload_sha256"], rows[i]["tail_crc32"]) == (0, 192, hashlib.sha256(empty).hexdigest(), zlib.crc32(empty[-16:]))
+        assert (
+            rows[i]["n_bytes"], rows[i]["payload_bytes"], rows[i]["payload_sha256"], rows[i]["tail_crc32"],
+        ) == (0, 192, hashlib.sha256(empty).hexdigest(), zlib.crc32(empty[-16:]))
     assert rows[8]["n_bytes"] == 100_000 and rows[1]["feature"] == rows[6]["feature"]
     infos = M.probe(media.withColumnRenamed("n_bytes", "samples")).collect()
     assert len(infos) == 10 and all(r["crc_failed"] == 0 and len(r["offsets"]) == r["n_frames"] for r in infos)

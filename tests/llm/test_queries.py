@@ -16,11 +16,16 @@ COLUMNS = {
     "op6_token_counts": {"source", "lang", "tokenizer", "n_docs", "n_tokens"},
     "op7_simhash": {"doc_id", "fingerprint", "component_id"},
     "op8_line_dedup": {"doc_id", "n_lines", "n_dropped", "kept_sha256"},
-    "op9_mpeg_audio": {"doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "offsets", "duration_ms"},
+    "op9_mpeg_audio": {
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "offsets",
+        "duration_ms",
+    },
     "op10_language_id": {"doc_id", "held_out", "lang_pred", "score"},
 }
 #: Tables of which a query returns a row each.
-WHOLE = {"op4_html_text": "pages"} | dict.fromkeys(COLUMNS.keys() - {"op2_decontamination", "op4_html_text", "op6_token_counts"}, "documents")
+WHOLE = {"op4_html_text": "pages"} | dict.fromkeys(
+    COLUMNS.keys() - {"op2_decontamination", "op4_html_text", "op6_token_counts"}, "documents",
+)
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))

@@ -11,7 +11,11 @@ from tests.llm.helpers import no_documents, odd_documents
 
 
 def plain_fingerprint(text: str | None) -> int:
-    words = [w for w in "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").translate({9: " ", 10: " ", 11: " ", 12: " ", 13: " "}).split(" ") if w]
+    words = [
+        w for w in "".join(
+            chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""
+        ).translate({9: " ", 10: " ", 11: " ", 12: " ", 13: " "}).split(" ") if w
+    ]
     if not words:
         return 0
     shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
@@ -107,7 +111,11 @@ def test_cells_are_told_by_counts_and_hold_all_pairs_within_reach(spark):
         fps = [(x, x ^ sum(1 << b for b in r.sample(range(64), 4))) for x in (r.getrandbits(64) for _ in range(60))]
         rows = spark.createDataFrame([(_signed(f),) for pair in [*fps, (low, high)] for f in pair], "fp long")
         grid = simhash.grid_cells(rows, bands)
-        met = {frozenset((x["fp"], x["other"])) for x in grid.join(grid.withColumnRenamed("fp", "other"), "cell").where("fp < other").distinct().collect()}
+        met = {
+            frozenset((x["fp"], x["other"])) for x in grid.join(
+                grid.withColumnRenamed("fp", "other"), "cell",
+            ).where("fp < other").distinct().collect()
+        }
         assert {frozenset(map(_signed, pair)) for pair in [*fps, (low, high)]} <= met
     assert simhash.bands_for(0) == 8 and simhash.bands_for(10**6) == 8 and simhash.bands_for(2 * 10**6) == 9 and simhash.bands_for(10**12) == 12
 
@@ -121,7 +129,8 @@ def test_hubs_and_long_chains(spark):
     roots = {x["node"]: x["root"] for x in components(simhash.near_links(fps)).collect()}
     assert len({roots[_signed(f)] for f in [hub, *near]}) == 1 and len({roots[_signed(f)] for f in chain}) == 1
     assert roots[_signed(hub)] != roots[_signed(chain[0])]
-    docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'one text of many copies' ELSE concat('text ', id) END AS text")
+    docs = spark.range(3000).selectExpr("id AS doc_id", """CASE WHEN id % 3 = 0 THEN 'one text of many copies' ELSE concat('text ',
+        id) END AS text""")
     rows = simhash.near_duplicates(docs).collect()
     assert len(rows) == 3000 and {x["component_id"] for x in rows if x["doc_id"] % 3 == 0} == {0}
     assert {x["n_same"] for x in rows if x["doc_id"] % 3 == 0} == {1000}

@@ -24,7 +24,10 @@ def test_batches_equal_a_plain_model(spark):
     for batch in range(3):
         rows, model = [], {}
         for seq in range(60):
-            row = (rng.choice(["upsert", "upsert", "delete"]), seq, rng.randint(1, 15), rng.choice(["a", "b", None]), rng.choice(["en", "de"]), rng.choice(["t1", "t2"]), rng.randint(0, 50))
+            row = (
+                rng.choice(["upsert", "upsert", "delete"]), seq, rng.randint(1, 15), rng.choice(["a", "b", None]),
+                rng.choice(["en", "de"]), rng.choice(["t1", "t2"]), rng.randint(0, 50),
+            )
             rows.append(row)
             model[row[2], row[5]] = row
         for key, row in model.items():
@@ -46,7 +49,9 @@ def test_a_batch_that_failed_halfway_counts_for_nothing_and_can_be_repeated(spar
     r = rollup(spark)
     rows = spark.createDataFrame([("upsert", 0, 1, "a", "en", "t", 5)], CHANGES)
     r.commit("one", rows)
-    rows.selectExpr("doc_id", "source", "lang", "tokenizer", "1L as n_docs", "99L as n_tokens").write.parquet(f"{r.path}/attempts/dead/ledger")
+    rows.selectExpr(
+        "doc_id", "source", "lang", "tokenizer", "1L as n_docs", "99L as n_tokens",
+    ).write.parquet(f"{r.path}/attempts/dead/ledger")
     assert totals(r) == {("a", "en", "t"): (1, 5)}
     assert r.commit("two", spark.createDataFrame([("upsert", 0, 1, "a", "de", "t", 7)], CHANGES))
     assert totals(r) == {("a", "de", "t"): (1, 7)}
@@ -72,7 +77,9 @@ def test_two_writers_at_a_time(spark, monkeypatch):
     assert totals(r) == {("a", "en", "t"): (1, 11)}
     # the very batch that another writer commits meanwhile counts once
     other[:] = [("mine2", 3)]
-    monkeypatch.setattr(T.Rollup, "_publish", lambda self, number, entry: publish(self, number, entry) if entry["batch"] != "late" else False)
+    monkeypatch.setattr(
+        T.Rollup, "_publish", lambda self, number, entry: publish(self, number, entry) if entry["batch"] != "late" else False,
+    )
     monkeypatch.setattr(T, "MOST_TRIES", 2)
     with pytest.raises(RuntimeError):
         r.commit("late", one(1))
@@ -99,7 +106,12 @@ def test_snapshots_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(T, "SNAPSHOT_EVERY", 2)
     r = rollup(spark)
     for n in range(5):
-        r.commit(f"b{n}", spark.createDataFrame([("upsert", 0, n % 2, "a", "en", "t", n), ("delete" if n == 3 else "upsert", 0, 9, "b", "en", "t", 1)], CHANGES))
+        r.commit(
+            f"b{n}",
+            spark.createDataFrame(
+                [("upsert", 0, n % 2, "a", "en", "t", n), ("delete" if n == 3 else "upsert", 0, 9, "b", "en", "t", 1)], CHANGES,
+            ),
+        )
     assert totals(r) == {("a", "en", "t"): (2, 7), ("b", "en", "t"): (1, 1)}
     assert {(x["doc_id"], x["n_tokens"]) for x in r.current().collect()} == {(0, 4), (1, 3), (9, 1)}
     assert len(r.log()) > len(r.committed()) == 5 and r.log()[-1]["start"] > 1

@@ -23,7 +23,9 @@ def corpus(spark):
         text, toxic = r.choices(words, k=r.randint(5, 80)), int(r.random() < 0.25)
         if toxic:
             for w in r.choices(BAD, k=2):
-                w = r.choice([w, w.upper() + "!!", w.replace("o", "0").replace("e", "3"), w.replace("a", "@"), " ".join(w), w.replace("u", "uuuu")])
+                w = r.choice(
+                    [w, w.upper() + "!!", w.replace("o", "0").replace("e", "3"), w.replace("a", "@"), " ".join(w), w.replace("u", "uuuu")]
+                )
                 text.insert(r.randrange(len(text)), w)
         docs.append((i, " ".join(text)))
         labels.append((i, 1, toxic))
@@ -35,7 +37,9 @@ def test_held_out_documents_with_disguised_words(corpus):
     rows = T.toxicity(docs, labels).join(labels, "doc_id").collect()
     assert len(rows) == 700
     for r in rows:
-        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7)
+        assert r["held_out"] == (
+            zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1
+        ) and 0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7)
     held = [r for r in rows if r["held_out"]]
     toxic = [r["predicted"] for r in held if r["toxic"]]
     assert sum(toxic) / len(toxic) > 0.9 and not any(r["predicted"] for r in held if not r["toxic"])
@@ -94,7 +98,12 @@ def test_odd_and_empty_tables(spark, corpus):
 
 
 def test_disguises_reach_the_language_model():
-    text = " ".join(["you stupid idiot", "the idiot was stupid", "what an asshole", "they die", "a well known plan and good book", "tell all of them"] * 50)
+    text = " ".join(
+        [
+            "you stupid idiot", "the idiot was stupid", "what an asshole", "they die", "a well known plan and good book",
+            "tell all of them",
+        ] * 50
+    )
     x = np.append(0, T.encode(text).astype(np.int64))
     n = np.bincount(x[:-2] * T.CLASSES**2 + x[1:-1] * T.CLASSES + x[2:], minlength=T.CLASSES**3)
     restorer = T.Restorer(T.log_probabilities(n.reshape((T.CLASSES,) * 3)))
