@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import category, scalars as S
 from tallyweave.operators import invoices as inv
-from tallyweave.operators import pending
 from tallyweave.operators.ledger import merge
 from tallyweave.plans.fixtures import Views, canonical_sql, fiscal_sql, txn_type_sql
 from tallyweave.plans.registry import query

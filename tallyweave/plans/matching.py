@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions import scalars as S
-from tallyweave.functions.fuzzy import scored_pairs, token_set_ratio
+from tallyweave.functions.fuzzy import token_set_ratio
 from tallyweave.operators import clearing, fx, ledger, match, pending, split, state
 from tallyweave.operators.rangejoin import interval_join
 from tallyweave.plans.fixtures import Views
@@ -93,14 +93,19 @@ def jn_interval(v: Views):
     return match.candidates(billed(v), v.transactions).select("invoice_id", "txn_id")
 
 
-@query("SELECT a, b, vendor_score FROM vendor_scores", more="""names AS (SELECT DISTINCT upper(x.canonical_name) AS a,
-    upper(y.description_canonical) AS b FROM (SELECT DISTINCT canonical_name FROM vendors) x, (SELECT DISTINCT description_canonical
-    FROM transactions) y), """ + FUZZY)
+MET = """rated AS (SELECT canonical_name AS s, date_diff('day', DATE '1970-01-01', invoice_date) AS n FROM invoices JOIN vendors USING (vendor_id)
+        WHERE deleted_reason IS NULL),
+    asked AS (SELECT DISTINCT s, unnest(range(CAST(floor((n - 14) / 113.0) AS BIGINT), CAST(floor((n + 14) / 113.0) AS BIGINT) + 1)) AS bucket FROM rated),
+    there AS (SELECT DISTINCT description_canonical AS t, CAST(floor(date_diff('day', DATE '1970-01-01', booking_date) / 113.0) AS BIGINT) AS bucket
+        FROM transactions WHERE txn_type <> 'transfer' AND status <> 'reversed'),
+    names AS (SELECT DISTINCT upper(s) AS a, upper(t) AS b FROM asked JOIN there USING (bucket)), """
+
+
+@query("SELECT a, b, vendor_score FROM vendor_scores", more=MET + FUZZY)
 def sc_vendor(v: Views):
-    """Scores of all names against all descriptions: a stated set of names, some hundreds, against all."""
-    a = v.vendors.select(F.upper("canonical_name").alias("a")).distinct()
-    b = v.transactions.select(F.upper("description_canonical").alias("b")).distinct()
-    return scored_pairs(a.join(F.broadcast(b), F.lit(True)), "a", "b", "vendor_score")
+    """Scores of the names that come near one another in time."""
+    names = match.name_scores(billed(v), v.transactions)
+    return names.select(F.upper("supplier").alias("a"), F.upper("description").alias("b"), "vendor_score").distinct()
 
 
 @query(

@@ -77,15 +77,18 @@ def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 day"
 
 
 def upserts(
-    path_of: Callable[[], str], put_path: Callable[[str], None], merge: Callable[[DataFrame, DataFrame], DataFrame],
+    root: str, path_of: Callable[[], str], put_path: Callable[[str], None], merge: Callable[[DataFrame, DataFrame], DataFrame]
 ) -> Callable[[DataFrame, int], None]:
-    """A batch function that merges into a table: the merged rows go to a new folder, then the pointer moves."""
+    """A batch function that merges into a table: the merged rows go to the batch's own folder, then the pointer moves.
+
+    A batch that comes again is written anew where it failed halfway, and left alone where the pointer has moved.
+    """
 
     def run(rows: DataFrame, batch_id: int) -> None:
-        spark = rows.sparkSession
-        new = shared_path(spark, f"upsert-{batch_id}")
-        merge(spark.read.parquet(path_of()), rows).write.parquet(new)
-        put_path(new)
+        new = f"{root.rstrip('/')}/batch-{batch_id}"
+        if path_of() != new:
+            merge(rows.sparkSession.read.parquet(path_of()), rows).write.mode("overwrite").parquet(new)
+            put_path(new)
 
     return run
 
