@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -83,12 +83,16 @@ class Items:
     place: np.ndarray
     worth: np.ndarray | None = None  # of each key, by place
     total: np.ndarray | None = None  # of each item's seeds
+    short: dict[tuple[int, ...], list[int]] = field(default_factory=dict)  # items without an n-gram, by their words
 
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]]) -> Items:
         vocabulary: dict[str, int] = {}
         texts = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words(t)], np.int64) for _, t in rows]
         self = cls([i for i, _ in rows], vocabulary, texts, *(np.zeros(0, np.int64),) * 4)
+        for k, x in enumerate(texts):
+            if 0 < len(x) < N:
+                self.short.setdefault(tuple(x.tolist()), []).append(k)
         grams = [self.grams(x) for x in texts]
         key = np.concatenate([np.zeros(0, np.int64), *grams])
         item = np.concatenate([np.zeros(0, np.int64), *(np.full(len(g), k) for k, g in enumerate(grams))])
@@ -140,6 +144,8 @@ class Items:
     def leaks(self, text: str | None) -> list[tuple[int, float, int, int, int]]:
         """(item, score, first word, word after the last, seeds) of the best alignment with each item above MIN_SCORE."""
         x = self.numbers(text)
+        if len(x) < N:
+            return [(i, 1.0, 0, len(x), 0) for i in self.short.get(tuple(x.tolist()), [])]
         at, k = self.hits(x)
         if not len(at):
             return []
@@ -215,8 +221,8 @@ def leaks(
     """(doc_id, item_id, score, first_word, end_word, n_seeds) of every document and item that it holds a copy of.
 
     score is the alignment's score over that of a full match, MIN_SCORE to 1; first_word and end_word bound the copy,
-    counted in words of the document. Null and empty texts and items of fewer than N words have no row; a null doc_id
-    is kept. Items with equal texts each have their rows. A copy so edited that it holds hardly a run of N words of the
+    counted in words of the document. Null and empty texts have no row; a null doc_id is kept. An item of fewer than N
+    words, which a text may hold by chance, leaks into documents of just these words. Items with equal texts each have their rows. A copy so edited that it holds hardly a run of N words of the
     item has no stretch to align and isn't found.
     """
     found = None

@@ -383,7 +383,12 @@ def score(docs: DataFrame, model: Model, text: str = "text", restored: bool = Fa
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row."""
+    """(doc_id, held_out, score, predicted) of every row.
+
+    Null and empty texts have the score of a text without words. Of several labels of one id the toxic one counts;
+    null labels and labels of unknown ids count for nothing. Equal texts have equal scores; repeated rows stay, also
+    those of one id. Without labels of both kinds there is nothing to learn, and all scores are equal.
+    """
     model = train(docs, labels, text, doc_id)
     rows = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
     return score(rows, model).drop("text")

@@ -98,3 +98,10 @@ def test_odd_and_empty_tables(spark):
     clean = D.keep_clean(docs, bench)
     assert clean.columns == docs.columns and sorted(r["doc_id"] for r in clean.collect()) == [2, 3, 4, 4, 5, 7, 8]
     assert D.leaks(no_documents(spark), bench).count() == 0 and D.leaks(docs, bench.limit(0)).count() == 0
+
+
+def test_items_without_an_n_gram_leak_as_whole_texts(spark):
+    docs = spark.createDataFrame([(1, "Yes, sir!"), (2, "yes"), (3, "yes sir and so on"), (4, None), (5, ""), (1, "yes sir")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "yes sir"), (8, "Yes"), (9, ""), (10, None), (11, "yes sir"), (12, "yes sir and so on")], "item_id long, text string")
+    found = sorted((x["doc_id"], x["item_id"], x["score"], x["end_word"]) for x in D.leaks(docs, items).collect())
+    assert found == sorted([*[(1, i, 1.0, 2) for i in (7, 7, 11, 11)], (2, 8, 1.0, 1), (3, 12, 1.0, 5)])
