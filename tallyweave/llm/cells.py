@@ -70,13 +70,9 @@ def mixed(rows: DataFrame) -> DataFrame:
     return cut(rows.join(unlike, "cell").select("cell", "fp", "label", "major"))
 
 
-def across(rows: DataFrame, reach: Column | None = None, place: Column | None = None) -> DataFrame:
-    """Pairs (u, v) of mixed rows in one cell with unlike labels.
-
-    reach and place bound them: place is a number of a row, reach the numbers that a partner of it may have.
-    """
-    near = {} if place is None else {"at": F.explode(reach)}
-    other = rows.select("cell", F.col("fp").alias("v"), F.col("label").alias("v_label"), *(() if place is None else (place.alias("at"),)))
+def across(rows: DataFrame) -> DataFrame:
+    """Pairs (u, v) of mixed rows in one cell with unlike labels."""
+    other = rows.select("cell", F.col("fp").alias("v"), F.col("label").alias("v_label"))
     once = F.col("v_label").eqNullSafe(F.col("major")) | (F.col("fp") > F.col("v"))
-    met = rows.where("label <> major").withColumns(near).select("cell", "fp", "label", "major", *near).join(other, ["cell", *near])
+    met = rows.where("label <> major").join(other, "cell")
     return met.where((F.col("label") != F.col("v_label")) & once).select(F.col("fp").alias("u"), "v")

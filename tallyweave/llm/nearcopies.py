@@ -7,16 +7,15 @@ come from two signatures of the set:
 * 128 least shingle hashes in 32 bands of four, since texts of similarity 0.8 lie some ten bits apart, which no grid of
   64 bits reaches. Such texts share no band with probability (1 - 0.8^4)^32, which is 5e-8, and less above.
 
-Pairs that share a band are found as `cells` says. Of the rows that still have company of another label, shingles that no
-other such row has bound the size of a partner: with `own` of them, a set of n shingles overlaps another one by n - own
-at most, and to be four fifths of both together the other set can't have more than 1.25 n - 2.25 own. So rows meet only
-rows of a size in reach, which spares copies with many edits the comparison with a whole group. Every link is verified
-on the shingle sets themselves, so no text goes that isn't a near copy.
+Pairs that share a band are found as `cells` says: along each cell, with its hub, and where a cell still has several
+labels, among all its rows. Rows of a large group of near copies may share cells by the thousand and yet be less than
+four fifths alike, and no bound tells that beforehand. So this last step compares blocks of a cell inside tasks, where
+pairs are entries of a matrix and only links that join labels come out. Every link is verified on the shingle sets
+themselves, so no text goes that isn't a near copy.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +33,9 @@ SHARED, OF = 4, 5
 SEED = 42
 BANDS, ROWS = 32, 4
 ORDERS = 4
-#: Sizes of sets are told apart by steps of five per cent.
-STEP = math.log(1.05)
+#: Rows of a cell that are compared at once with as many others, and the entries of the matrix that does it.
+BLOCK = 1024
+MATRIX = 1 << 23
 _FACTORS, _TERMS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -125,18 +125,67 @@ def _by_fingerprint(classes: DataFrame) -> DataFrame:
     return same.union(links.join(a, "u").join(b, "v").select("u_head", "v_head")).where("u <> v")
 
 
-def _reach(rows: DataFrame, contents: DataFrame) -> DataFrame:
-    """rows with n, their number of shingles, and most, the largest number of a partner."""
-    mine = contents.join(rows.select("fp").distinct(), "fp", "left_semi")
-    own = mine.select("fp", F.explode("content").alias("shingle")).groupBy("shingle").agg(
-        F.min("fp").alias("fp"), F.count("*").alias("rows"),
-    )
-    own = own.where("rows = 1").groupBy("fp").agg(F.count("*").alias("own"))
-    sizes = mine.select("fp", F.size("content").alias("n")).join(own, "fp", "left").select(
-        "fp", "n", F.coalesce("own", F.lit(0)).alias("own"),
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share, as a matrix; shingles that a single set has are left out."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, at, times = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    row, at = row[times[at] > 1], column[at[times[at] > 1]]
+    shared = np.zeros((len(sets), len(sets)), np.int64)
+    step = max(1, MATRIX // max(1, len(sets)))
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        here = (at >= first) & (at < first + step)
+        part = np.zeros((len(sets), step), np.float32)  # sums of ones below 2^24 are exact
+        part[row[here], at[here] - first] = 1
+        shared += (part @ part.T).astype(np.int64)
+    return shared
+
+
+def joining(fps: list[int], labels: list[int], blocks: list[int], sets: list[np.ndarray], across: bool) -> list[tuple[int, int]]:
+    """Near copies among the rows that join unlike labels, no more than it takes; `across`: those of two blocks only."""
+    size = np.array([len(s) for s in sets], np.int64)
+    label, block = np.array(labels, np.int64), np.array(blocks, np.int64)
+    both = overlaps(sets)
+    fine = (both * OF >= (size[:, None] + size[None, :] - both) * SHARED) & (label[:, None] != label[None, :])
+    if across:
+        fine &= block[:, None] != block[None, :]
+    roots: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while roots.get(x, x) != x:
+            x = roots[x]
+        return x
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(fine))), strict=True):
+        x, y = find(labels[i]), find(labels[j])
+        if x != y:
+            roots[max(x, y)] = min(x, y)
+            out.append((fps[i], fps[j]))
+    return out
+
+
+def _within(rows: DataFrame, contents: DataFrame) -> DataFrame:
+    """Links (u, v) that join the unlike labels of near copies in one cell; rows: (cell, fp, label).
+
+    A cell is cut into blocks of some BLOCK rows, and each two blocks are compared in one task: their pairs are counted
+    there, by one product of matrices, and never become rows.
+    """
+    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda other: F.struct(F.least("block", other).alias("one"), F.greatest("block", other).alias("two")),
     )
-    most = F.floor((F.col("n") * OF - F.col("own") * (SHARED + OF)) / SHARED).cast("int")
-    return cut(rows.join(sizes.select("fp", "n", most.alias("most")), "fp"))
+    copies = dealt.select("cell", "fp", "label", "block", F.inline(meets)).join(contents, "fp")
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        fps, labels, blocks = (group[c].to_pylist() for c in ("fp", "label", "block"))
+        sets = [x.values.to_numpy() for x in group["content"]]
+        found = joining(fps, labels, blocks, sets, key[1].as_py() != key[2].as_py())
+        return pa.table({c: pa.array([x[k] for x in found], pa.int64()) for k, c in enumerate("uv")})
+
+    return copies.groupBy("cell", "one", "two").applyInArrow(run, "u long, v long")
 
 
 def _links(docs: DataFrame, classes: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
@@ -150,14 +199,8 @@ def _links(docs: DataFrame, classes: DataFrame, text: str, doc_id: str, width: i
     contents = cut(_contents(docs, classes.join(met, "fp", "left_semi").select("fp", "first_id"), text, doc_id, width))
     links = cut(_verified(tried, contents))
     more = cut(ordered(cells.to_hubs(cells.labelled(shared, components(links)), links)).join(tried, ["u", "v"], "left_anti"))
-    links, tried = cut(links.union(_verified(more, contents))), tried.union(more)
-    rows = _reach(cells.mixed(cells.labelled(shared, components(links))), contents)
-    place = lambda n: F.floor(F.log(n) / STEP).cast("int")
-    # a partner has n * SHARED / OF shingles at least and `most` at most; none has more than its own partners' bound
-    least = F.ceil(F.col("n") * SHARED / OF)
-    reach = F.when(least <= F.col("most"), F.sequence(place(least), place(F.col("most")))).otherwise(F.array().cast("array<int>"))
-    pairs = cells.across(rows, reach, place(F.greatest("n", F.lit(1))))
-    return links.union(_verified(ordered(pairs).join(tried, ["u", "v"], "left_anti"), contents))
+    links = cut(links.union(_verified(more, contents)))
+    return links.union(_within(cells.mixed(cells.labelled(shared, components(links))), contents))
 
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from tallyweave.llm import nearcopies
 from tests.llm.helpers import DOCUMENTS, no_documents, odd_documents
@@ -68,3 +70,33 @@ def test_odd_and_empty_tables(spark):
     kept = nearcopies.keep_first(odd_documents(spark)).collect()
     assert sorted(x["doc_id"] for x in kept) == [1, 2, 4, 4, 7, 8]
     assert nearcopies.keep_first(no_documents(spark)).count() == 0
+
+
+def test_joining_links_what_the_plain_rule_links():
+    r = random.Random(4)
+    for _ in range(20):
+        base = r.sample(range(10_000), 60)
+        sets = [np.unique(np.array([x if r.random() > 0.06 else r.randrange(10_000) for x in base], np.int64)) for _ in range(25)] + [np.zeros(0, np.int64)]
+        labels, blocks = [r.randrange(12) for _ in sets], [r.randrange(2) for _ in sets]
+        for across in (False, True):
+            found = nearcopies.joining(list(range(26)), labels, blocks, sets, across)
+            root = {x: x for x in labels}
+            for i in range(26):
+                for j in range(i):
+                    if (not across or blocks[i] != blocks[j]) and len(sets[i]) and len(sets[j]) and nearcopies.near(sets[i], sets[j]):
+                        x, y = sorted((root[labels[i]], root[labels[j]]))
+                        root = {k: x if v == y else v for k, v in root.items()}
+            got = {x: x for x in labels}
+            for i, j in found:
+                assert labels[i] != labels[j] and nearcopies.near(sets[i], sets[j]) and (not across or blocks[i] != blocks[j])
+                x, y = sorted((got[labels[i]], got[labels[j]]))
+                got = {k: x if v == y else v for k, v in got.items()}
+            assert got == root
+
+
+def test_blocks_lose_no_group(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BLOCK", 5)
+    monkeypatch.setattr(nearcopies, "MATRIX", 64)
+    texts = planted()[:150]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {x["doc_id"] for x in nearcopies.keep_first(docs).collect()} == plain_kept(texts)
