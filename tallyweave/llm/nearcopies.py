@@ -34,7 +34,7 @@ SEED = 42
 BANDS, ROWS = 32, 4
 ORDERS = 4
 #: Rows of a cell that are compared at once with as many others, and the entries of the matrix that does it.
-BLOCK = 1024
+BLOCK = 2048
 MATRIX = 1 << 23
 _FACTORS, _TERMS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -200,7 +200,9 @@ def _links(docs: DataFrame, classes: DataFrame, text: str, doc_id: str, width: i
     links = cut(_verified(tried, contents))
     more = cut(ordered(cells.to_hubs(cells.labelled(shared, components(links)), links)).join(tried, ["u", "v"], "left_anti"))
     links = cut(links.union(_verified(more, contents)))
-    return links.union(_within(cells.mixed(cells.labelled(shared, components(links))), contents))
+    # the rows of a cell of two have been tried already
+    fuller = shared.where("n > 2")
+    return links.union(_within(cells.mixed(cells.labelled(fuller, components(links))), contents))
 
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
