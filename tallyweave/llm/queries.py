@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.llm import decontam, htmltext, langid, linededup, mpegaudio, rendezvous, sentencepieces, simhash, tokencounts, toxicity
+from tallyweave.llm import (
+    collisions, decontam, filteraudit, htmltext, langid, linededup, mpegaudio, rendezvous, sentencepieces, simhash, tokencounts, toxicity,
+    turns,
+)
 from tallyweave.llm.common import shared_path
 
 
@@ -71,14 +74,61 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(_table(spark, sf_dir, "documents"))
 
 
+def op11_collision_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collisions.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.repaired(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_toxicity, op2_decontamination, op3_sentencepiece, op4_html_text, op5_sharding, op6_token_counts, op7_simhash, op8_line_dedup,
-        op9_mpeg_audio, op10_language_id,
+        op9_mpeg_audio, op10_language_id, op11_collision_search, op12_filter_audit, op13_turn_repair,
     )
 }
 
 ORACLES = {
+    "op12_filter_audit": r"""
+        WITH texts AS (
+            SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+                regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+        ), known AS (
+            SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS bad
+            FROM labels GROUP BY doc_id
+        ), failed AS (
+            SELECT part, len(words) < 100 AS a, 100 * len(list_distinct(words)) < 80 * len(words) AS b,
+                100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+                coalesce(min(doc_id) OVER (PARTITION BY text) < doc_id, false) AS e, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad
+            FROM texts LEFT JOIN known USING (doc_id)
+        ), counted AS (
+            SELECT part, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END,
+                CASE WHEN d THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS fails, good, bad, count(*) AS n
+            FROM failed GROUP BY ALL
+        ), letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')), orders AS (
+            SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+            WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+        ), steps AS (
+            SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step:step] AS f, filter_order[1:step - 1] AS before
+            FROM orders, range(1, 6) r(step)
+        ), told AS (
+            SELECT part, filter_order, step, f,
+                sum(CASE WHEN translate(fails, before, '') = fails AND NOT contains(fails, f) THEN n ELSE 0 END) AS kept,
+                sum(CASE WHEN translate(fails, before, '') = fails AND contains(fails, f) THEN n ELSE 0 END) AS removed,
+                sum(CASE WHEN translate(fails, before, '') <> fails AND contains(fails, f) THEN n ELSE 0 END) AS redundant,
+                sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+                sum(CASE WHEN translate(fails, before, '') = fails AND contains(fails, f) AND good = 1 THEN n ELSE 0 END) AS good_lost,
+                sum(CASE WHEN translate(fails, before, '') = fails AND contains(fails, f) AND bad = 1 THEN n ELSE 0 END) AS toxic_lost
+            FROM counted, steps GROUP BY ALL
+        )
+        SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+            CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+            CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM told""",
     "op5_sharding": """
         WITH RECURSIVE steps AS (
             SELECT i, i AS c, 0 AS k FROM range(256) r(i)

@@ -21,10 +21,19 @@ COLUMNS = {
         "duration_ms",
     },
     "op10_language_id": {"doc_id", "held_out", "lang_pred", "score"},
+    "op11_collision_search": {"query_id", "rank", "vec_id", "score"},
+    "op12_filter_audit": {
+        "part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley",
+    },
+    "op13_turn_repair": {
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256",
+    },
 }
 #: Tables of which a query returns a row each.
 WHOLE = {"op4_html_text": "pages"} | dict.fromkeys(
-    COLUMNS.keys() - {"op2_decontamination", "op4_html_text", "op6_token_counts"}, "documents",
+    COLUMNS.keys() - {
+        "op2_decontamination", "op4_html_text", "op6_token_counts", "op11_collision_search", "op12_filter_audit", "op13_turn_repair",
+    }, "documents",
 )
 
 
@@ -51,6 +60,6 @@ def test_against_sql(spark, duck, name):  # noqa: F811
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_tables(spark, tmp_path, name):
-    for table in ("documents", "labels", "benchmark", "pages"):
+    for table in ("documents", "labels", "benchmark", "pages", "embeddings", "conversations"):
         spark.read.parquet(f"{DIR}/{table}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{table}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
