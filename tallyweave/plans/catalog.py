@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyweave.plans import details, domain, matching, reports, updates  # noqa: F401
+from tallyweave.plans import details, domain, matching, reports, streams, updates  # noqa: F401
 from tallyweave.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -84,7 +84,7 @@ def billed(v: Views) -> DataFrame:
 
 def decisions(v: Views) -> DataFrame:
     invoices = billed(v)
-    names = match.name_scores(invoices, v.transactions)
+    names = match.likest_names(invoices, v.transactions)
     return match.decide(invoices, match.contenders(invoices, v.transactions, names), v.hints)
 
 
@@ -108,6 +108,15 @@ def sc_vendor(v: Views):
     return names.select(F.upper("supplier").alias("a"), F.upper("description").alias("b"), "vendor_score").distinct()
 
 
+@query("""SELECT a, b, vendor_score FROM (SELECT a, b, vendor_score, max(vendor_score) OVER (PARTITION BY a) AS top FROM vendor_scores)
+    WHERE top >= 0.95 AND vendor_score >= top - 0.2""", more=MET + FUZZY)
+def sc_vendor_likest(v: Views):
+    """Each supplier's likest names, through the index of words and letters; suppliers with no name of 0.95 are left out."""
+    return match.likest_names(billed(v), v.transactions).select(
+        F.upper("supplier").alias("a"), F.upper("description").alias("b"), "vendor_score",
+    ).distinct()
+
+
 @query(
     """SELECT state, count(*) AS n, CAST(sum(CASE WHEN demoted THEN 1 ELSE 0 END) AS BIGINT) AS demoted FROM decisions GROUP BY state""",
     more=SCORES,

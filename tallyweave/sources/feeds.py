@@ -172,3 +172,85 @@ def read_overrides(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode(F.from_json("value", "map<string,string>"))).select(
         F.lower("key").alias("key"), F.col("value").alias("category"),
     )
+
+
+def discover(spark: SparkSession, folder: str, most_bytes: int = FILE_BYTES, most_rows: int = FILE_ROWS) -> DataFrame:
+    """(name, path, length, n_rows, refused) of the CSV files in a folder, in order of their names.
+
+    The listing reads no file; files of too many bytes are refused ('too large', n_rows null) without being opened, as
+    their size is known from the listing too. Those of more rows than most_rows are refused as 'too many rows'.
+    """
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path", "length")
+    counted = _card_rows(spark, folder, most_bytes).groupBy(F.col("_metadata.file_path").alias("_path")).agg(F.count("*").alias("n_rows"))
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "file:/")  # noqa: E731  the two sources write local paths differently
+    both = listed.join(counted, plain(F.col("path")) == plain(F.col("_path")), "left")
+    large, long = F.col("length") > most_bytes, F.col("n_rows") > most_rows
+    return both.select(
+        F.element_at(F.split("path", "/"), -1).alias("name"), "path", "length", F.when(~large, F.coalesce("n_rows", F.lit(0))).alias("n_rows"),
+        F.when(large, "too large").when(long, "too many rows").alias("refused"),
+    ).orderBy("name")
+
+
+def _card_rows(spark: SparkSession, folder: str, most_bytes: int) -> DataFrame:
+    schema = ", ".join(f"`{c}` string" for c in CARD_COLUMNS)
+    options = {"header": True, "enforceSchema": False, "mode": "FAILFAST", "multiLine": True, "escape": '"', "pathGlobFilter": "*.csv"}
+    return spark.read.schema(schema).options(**options).csv(folder).where(F.col("_metadata.file_size") <= most_bytes)
+
+
+def read_accepted(spark: SparkSession, folder: str, most_bytes: int = FILE_BYTES, most_rows: int = FILE_ROWS) -> DataFrame:
+    """Raw rows, as read_card_csv has them, of the files that discover() doesn't refuse."""
+    raw = _card_rows(spark, folder, most_bytes)
+    raw = raw.select(*(f"`{c}`" for c in CARD_COLUMNS), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    long = raw.groupBy("file").agg(F.count("*").alias("n")).where(F.col("n") > most_rows)
+    return raw.join(long, "file", "left_anti")
+
+
+class MailStream:
+    """Landed pages of mail, a JSON message a line, as a stream: the checkpoint is the cursor of what has been taken.
+
+    A batch writes its messages and, as a side output, the lines that are no JSON objects, each to a folder of the
+    batch's own, which a batch that is sent again writes anew. So nothing comes twice and nothing is lost.
+    """
+
+    def __init__(self, root: str) -> None:
+        self.root = root.rstrip("/")
+
+    def take(self, spark: SparkSession, inbox: str, files: int = 100) -> None:
+        """Take what has landed in the inbox since the last time."""
+        lines = spark.readStream.schema("value string").option("maxFilesPerTrigger", files).text(inbox)
+        lines.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{self.root}/cursor").foreachBatch(self._batch).start().awaitTermination()
+
+    def _batch(self, lines: DataFrame, batch_id: int) -> None:
+        told = F.from_json("value", f"{MAIL}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})["_corrupt"]
+        wrong = told.isNotNull() & (F.trim("value") != "")
+        parse_mail(lines.where(~wrong)).write.mode("overwrite").parquet(f"{self.root}/messages/batch={batch_id}")
+        lines.where(wrong).select(F.col("value").alias("line")).write.mode("overwrite").parquet(f"{self.root}/corrupt/batch={batch_id}")
+
+    def messages(self, spark: SparkSession) -> DataFrame:
+        """All messages so far; of one id the latest."""
+        rows = spark.read.parquet(f"{self.root}/messages").drop("batch")
+        kept = [c for c in rows.columns if c != "msg_id"]
+        return rows.groupBy("msg_id").agg(F.max_by(F.struct(*kept), F.struct("received_at", "subject")).alias("m")).select("msg_id", "m.*")
+
+    def corrupt(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.root}/corrupt").select("line")
+
+
+def as_card_rows(ledger: DataFrame) -> DataFrame:
+    """Ledger rows in the columns of a card feed; the account stands in the extended details."""
+    filled = {
+        "Date": F.date_format("booking_date", "dd/MM/yyyy"), "Description": F.col("description_raw"), "Amount": F.col("amount").cast("string"),
+        "Extended Details": F.col("account"), "Reference": F.col("txn_id"),
+    }
+    return ledger.select(*(filled.get(c, F.lit(None).cast("string")).alias(c) for c in CARD_COLUMNS))
+
+
+def land_csv(rows: DataFrame, folder: str, name: str) -> None:
+    """Write rows as one CSV file of that name into a folder, as a bank's export: first beside it, then by renaming."""
+    spark, draft = rows.sparkSession, f"{folder}/.draft-{name}"
+    rows.coalesce(1).write.options(header=True, escape='"').csv(draft)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(draft).getFileSystem(spark._jsc.hadoopConfiguration())
+    made = files.globStatus(path(f"{draft}/part-*"))
+    files.rename(made[0].getPath(), path(f"{folder}/{name}"))
+    files.delete(path(draft), True)

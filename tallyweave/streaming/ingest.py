@@ -6,42 +6,80 @@ position, so there is no watermark table, and a run that fails halfway is repeat
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import contextlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
+from tallyweave.operators.store import shared_path
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir, which driver and executors share; on one machine a temporary folder may do."""
-    conf = spark.sparkContext.getConf()
-    root = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(root or tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def each_source(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """((source, outcome) of every source, the rows of those that could be read).
+@contextlib.contextmanager
+def _rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries that start in here keep their state in RocksDB, which has timers and holds more than memory does."""
+    before = spark.conf.get(STORE, None)
+    spark.conf.set(STORE, ROCKSDB)
+    try:
+        yield
+    finally:
+        spark.conf.unset(STORE) if before is None else spark.conf.set(STORE, before)
 
-    Each source is counted by itself, so that one that fails is named, as 'error:' and the kind of error, and the others
-    go on with 'ok:' and their rows.
+
+def each_source(
+    spark: SparkSession, sources: dict[str, Callable[[], DataFrame]], checkpoints: str | None = None,
+) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """((source, outcome) of every source, the new rows of those whose stream ended well).
+
+    Each source is a streaming query of its own with a checkpoint of its own (below `checkpoints`), and all run side by
+    side. One that can't be opened, or fails while it runs, is named as 'error:' and the kind of error; the others commit
+    what they have read, once: 'ok:' and the number of rows.
     """
+    root = checkpoints or shared_path(spark, "sources")
+    started: dict[str, tuple[StreamingQuery, str, DataFrame]] = {}
     outcomes, rows = [], {}
+    failed = lambda name, error: outcomes.append((name, f"error:{type(error).__name__}"))
+
+    def into(out: str) -> Callable[[DataFrame, int], None]:
+        """A batch that is sent again writes its own folder anew."""
+        return lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
     for name, read in sources.items():
         try:
-            found = read()
-            outcomes.append((name, f"ok:{found.count()}"))
-            rows[name] = found
+            stream, out = read(), shared_path(spark, "source")
+            writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{root}/{name}").foreachBatch(into(out))
+            started[name] = writer.start(), out, stream
         except Exception as error:  # whatever a source does, it doesn't stop the others
-            outcomes.append((name, f"error:{type(error).__name__}"))
+            failed(name, error)
+    for name, (query, out, stream) in started.items():
+        try:
+            query.awaitTermination()
+            path = spark._jvm.org.apache.hadoop.fs.Path(out)
+            none = not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)  # nothing was new
+            rows[name] = spark.createDataFrame([], stream.schema) if none else spark.read.schema(stream.schema).parquet(f"{out}/batch=*")
+            outcomes.append((name, f"ok:{rows[name].count()}"))
+        except Exception as error:
+            failed(name, error)
     return spark.createDataFrame(outcomes, "source string, outcome string"), rows
 
 
+def landed(rows: DataFrame, files: int, inbox: str | None = None) -> str:
+    """The folder to which rows are written as some files, as a feed would land them; a new one, or one more time `inbox`."""
+    inbox = inbox or shared_path(rows.sparkSession, "inbox")
+    rows.repartition(files).write.mode("append").parquet(inbox)
+    return inbox
+
+
+def folder_stream(spark: SparkSession, inbox: str, schema: str | None = None, files: int = 1) -> DataFrame:
+    """A folder of Parquet files as a stream, so many files a batch."""
+    source = spark.readStream.schema(schema or spark.read.parquet(inbox).schema).option("maxFilesPerTrigger", files)
+    return source.parquet(inbox)
+
+
 def table_stream(spark: SparkSession, sf_dir: str, table: str, files: int = 4) -> DataFrame:
     """A table's Parquet file or folder as a stream, a few files a batch."""
     schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
@@ -51,16 +89,18 @@ def table_stream(spark: SparkSession, sf_dir: str, table: str, files: int = 4) -
 
 def drain(
     stream: DataFrame, mode: str = "append", batch: Callable[[DataFrame, int], None] | None = None, checkpoint: str | None = None,
+    out: str | None = None,
 ) -> DataFrame | None:
     """Run a stream over what is there, into a Parquet table or through a function of each batch; the table's rows."""
     spark = stream.sparkSession
     at = checkpoint or shared_path(spark, "stream-checkpoint")
     writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", at)
-    if batch is not None:
-        writer.foreachBatch(batch).start().awaitTermination()
-        return None
-    out = shared_path(spark, "stream")
-    writer.format("parquet").start(out).awaitTermination()
+    with _rocksdb(spark):
+        if batch is not None:
+            writer.foreachBatch(batch).start().awaitTermination()
+            return None
+        out = out or shared_path(spark, "stream")
+        writer.format("parquet").start(out).awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -74,58 +114,3 @@ def windowed_counts(stream: DataFrame, time: str, key: str, width: str = "1 day"
     return stream.withWatermark(time, late).groupBy(F.window(time, width), key).agg(F.count("*").alias("n")).select(
         F.col("window.start").alias("start"), key, "n",
     )
-
-
-def upserts(
-    root: str, path_of: Callable[[], str], put_path: Callable[[str], None], merge: Callable[[DataFrame, DataFrame], DataFrame]
-) -> Callable[[DataFrame, int], None]:
-    """A batch function that merges into a table: the merged rows go to the batch's own folder, then the pointer moves.
-
-    A batch that comes again is written anew where it failed halfway, and left alone where the pointer has moved.
-    """
-
-    def run(rows: DataFrame, batch_id: int) -> None:
-        new = f"{root.rstrip('/')}/batch-{batch_id}"
-        if path_of() != new:
-            merge(rows.sparkSession.read.parquet(path_of()), rows).write.mode("overwrite").parquet(new)
-            put_path(new)
-
-    return run
-
-
-PENDING = "auth_id string, pending_txn_id string, settled_txn_id string, ambiguous boolean, first_seen date, outcome string"
-
-
-def pending_state(stream: DataFrame) -> DataFrame:
-    """The state of each authorisation after every batch that touches it: (auth_id, ..., outcome) as pending.resolve has it.
-
-    stream: (auth_id, txn_id, kind, seen date). The state is two ids with their dates and a flag; it is never dropped,
-    as a settlement counts whenever it comes. Staleness is a question about first_seen, not a reason to forget.
-    """
-
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending, settled, several = (None, None), (None, None), False
-        if state.exists:
-            a, b, c, d, several = state.get
-            pending, settled = (a, b), (c, d)
-        for frame in frames:
-            for txn, kind, seen in zip(frame["txn_id"], frame["kind"], frame["seen"].astype(str), strict=True):
-                if kind == "pending":
-                    several |= pending[1] not in (None, txn)
-                    pending = min(pending, (seen, txn)) if pending[0] else (seen, txn)
-                else:
-                    settled = min(settled, (seen, txn)) if settled[0] else (seen, txn)
-        state.update((*pending, *settled, several))
-        outcome = "no_pending" if not pending[0] else "pending" if not settled[0] else "merged"
-        first = pd.to_datetime(pending[0]).date() if pending[0] else None
-        yield pd.DataFrame(
-            {
-                "auth_id": [key[0]], "pending_txn_id": [pending[1]], "settled_txn_id": [settled[1]], "ambiguous": [several],
-                "first_seen": [first], "outcome": [outcome],
-            }
-        )
-
-    held = "p_seen string, p_txn string, s_seen string, s_txn string, several boolean"
-    return stream.groupBy("auth_id").applyInPandasWithState(update, PENDING, held, "update", GroupStateTimeout.NoTimeout)
-
-
