@@ -94,6 +94,66 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op13_turn_repair": r"""
+        WITH RECURSIVE bits AS (
+            SELECT i, i AS c, 0 AS k FROM range(256) r(i)
+            UNION ALL
+            SELECT i, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+        ), crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8), dealt AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(
+                    hex(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')), '..'), lambda x: CAST('0x' || x AS BIGINT))),
+                    lambda a, b: xor(a >> 8, t[xor(a % 256, b) + 1])), 4294967295) % 20 AS kind FROM conversations, crc
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE WHEN kind = 1 THEN ''
+                WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END))
+            FROM dealt WHERE kind <> 0
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS c FROM damaged
+        ), judged AS (
+            SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+                WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM placed
+        ), told AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+                count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+                count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id
+        ), costed AS (
+            SELECT *, fault IN ('blank', 'duplicate') AS must_go, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS e FROM judged
+        ), to_go AS (
+            SELECT conv_id, n AS j, [0, 10, 5, 0] AS v FROM told
+            UNION ALL
+            SELECT conv_id, j, [least(w[1], 5 + least(w[3], 5 + w[4])), least(w[2], 5 + least(w[3], 5 + w[4])), least(w[3], 5 + w[4]), least(w[4], 5 + w[3])]
+            FROM (SELECT g.conv_id, j - 1 AS j, CASE WHEN must_go THEN list_transform(v, lambda x: x + 2) ELSE [
+                    least(2 + v[1], e + 1 + v[3], CASE c WHEN 's' THEN e + v[2] WHEN 'u' THEN e + v[3] END),
+                    least(2 + v[2], e + 1 + v[3], CASE c WHEN 'u' THEN e + v[3] END), least(2 + v[3], e + 1 + v[4], CASE c WHEN 'a' THEN e + v[4] END),
+                    least(2 + v[4], e + 1 + v[3], CASE c WHEN 'u' THEN e + v[3] END)] END AS w
+                FROM to_go g JOIN costed r ON r.conv_id IS NOT DISTINCT FROM g.conv_id AND r.i = g.j)
+        ), walk AS (
+            SELECT conv_id, CAST(0 AS BIGINT) AS j, 1 AS s, '' AS audit, CAST([] AS VARCHAR[]) AS turns FROM told
+            UNION ALL
+            SELECT conv_id, CASE WHEN letter = 'I' THEN j ELSE j + 1 END, CASE letter WHEN 'D' THEN s WHEN 'K' THEN kept ELSE wanted END, audit || letter,
+                CASE letter WHEN 'D' THEN turns WHEN 'I' THEN list_append(turns, name || ':') WHEN 'K' THEN list_append(turns, role || ':' || text)
+                ELSE list_append(turns, name || ':' || text) END
+            FROM (SELECT *, CASE WHEN now[s] = 2 + after[s] THEN 'D' WHEN now[s] = 5 + now[wanted] THEN 'I' WHEN now[s] = e + after[kept] THEN 'K' ELSE 'R' END AS letter
+                FROM (SELECT k.*, g.v AS now, h.v AS after, role, text, e, CASE WHEN k.s = 3 THEN 4 ELSE 3 END AS wanted,
+                        CASE WHEN k.s = 3 THEN 'assistant' ELSE 'user' END AS name, CASE WHEN must_go THEN NULL WHEN c = 's' AND k.s = 1 THEN 2
+                        WHEN c = 'u' AND k.s <> 3 THEN 3 WHEN c = 'a' AND k.s = 3 THEN 4 END AS kept
+                    FROM walk k JOIN told m ON m.conv_id IS NOT DISTINCT FROM k.conv_id
+                    JOIN to_go g ON g.conv_id IS NOT DISTINCT FROM k.conv_id AND g.j = k.j
+                    LEFT JOIN to_go h ON h.conv_id IS NOT DISTINCT FROM k.conv_id AND h.j = k.j + 1
+                    LEFT JOIN costed r ON r.conv_id IS NOT DISTINCT FROM k.conv_id AND r.i = k.j + 1
+                    WHERE k.j < m.n OR g.v[k.s] > 0))
+        ), ended AS (
+            SELECT w.conv_id, g.v[1] AS cost, audit, sha256(array_to_string(turns, chr(10))) AS repaired_sha256
+            FROM walk w JOIN told m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND w.j = m.n AND w.s IN (1, 4)
+            JOIN to_go g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.j = 0
+        )
+        SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+            coalesce(illegal, 0) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit,
+            coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN told m ON m.conv_id IS NOT DISTINCT FROM a.conv_id
+        LEFT JOIN ended f ON f.conv_id IS NOT DISTINCT FROM a.conv_id""",
     "op12_filter_audit": r"""
         WITH texts AS (
             SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
