@@ -284,3 +284,8 @@ def like_prefix(c: Column, prefix: str) -> Column:
 
 def like_infix(c: Column, part: str) -> Column:
     return F.lower(c).contains(part.lower())
+
+
+def escape_like(text: Column) -> Column:
+    """text as a LIKE pattern that stands for itself: backslashes, percent signs and underscores are escaped."""
+    return F.regexp_replace(text, r"([\\%_])", r"\\$1")

@@ -44,22 +44,29 @@ def upsert_transactions(ledger: DataFrame, batch: DataFrame, order: list[Column]
 def link_refunds(ledger: DataFrame, lookback_days: int = LOOKBACK_DAYS) -> DataFrame:
     """(txn_id, purchase_id, category) of every refund: the latest earlier positive row of the same account and description.
 
-    Of rows of one day the smallest id counts. Each refund looks at its group's purchases through one ordered pass, not
-    at all of them: a merchant with very many rows costs no more than its sort.
+    Of rows of one day the smallest id counts. The days with a purchase are spread over the stretch of lookback_days that
+    each belongs to and the next one. A refund so has two stretches to look at, and a merchant with a long history is
+    split over its stretches. In a stretch a refund meets no purchases but their days, of which there are lookback_days.
     """
-    rows = ledger.where("txn_type = 'refund' OR amount > 0").select(
-        "txn_id", "account", "description_canonical", "booking_date", "amount", "txn_type", "category",
+    keys = ["account", "description_canonical"]
+    rows = ledger.where("txn_type = 'refund' OR amount > 0").select("txn_id", *keys, "booking_date", "amount", "txn_type", "category")
+    first = rows.where("amount > 0").groupBy(*keys, F.col("booking_date").alias("_day")).agg(F.min("txn_id").alias("purchase_id"))
+    number = lambda c: F.unix_date(F.col(c).cast("date"))
+    stretch = lambda c: F.floor(number(c) / (lookback_days + 1))
+    days = first.select(*keys, "_day", stretch("_day").alias("_stretch"))
+    # (1) of each day with a refund, the latest purchase day of its own stretch up to it; (2) the last one of the stretch before
+    marks = rows.where("txn_type = 'refund'").select(*keys, F.col("booking_date").alias("_asked"), stretch("booking_date").alias("_stretch")).distinct()
+    both = marks.select(*keys, "_stretch", F.col("_asked").alias("_at"), F.lit(None).cast("date").alias("_day")).unionByName(
+        days.select(*keys, "_stretch", F.col("_day").alias("_at"), "_day")
     )
-    # the last purchase up to a row's day: its date and, by a descending id, the smallest id of that date
-    seen = Window.partitionBy("account", "description_canonical").orderBy("booking_date").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    day = F.max(F.when(F.col("amount") > 0, F.col("booking_date"))).over(seen)
-    latest = rows.withColumn("_day", day)
-    refunds = latest.where("txn_type = 'refund'")
-    near = F.datediff("booking_date", "_day") <= lookback_days
-    first = rows.where("amount > 0").groupBy(
-        "account", "description_canonical", F.col("booking_date").alias("_day"),
-    ).agg(F.min("txn_id").alias("purchase_id"))
-    found = refunds.withColumn("_day", F.when(near, F.col("_day"))).join(first, ["account", "description_canonical", "_day"], "left")
+    upto = Window.partitionBy(*keys, "_stretch").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = both.withColumn("_own", F.max("_day").over(upto)).where("_day IS NULL").select(*keys, "_stretch", F.col("_at").alias("_asked"), "_own")
+    before = days.groupBy(*keys, (F.col("_stretch") + 1).alias("_stretch")).agg(F.max("_day").alias("_before"))
+    latest = own.join(before, [*keys, "_stretch"], "left").withColumn("_day", F.coalesce("_own", "_before"))
+    near = latest.where(F.datediff("_asked", "_day") <= lookback_days).join(first, [*keys, "_day"]).select(
+        *keys, F.col("_asked").alias("booking_date"), "purchase_id",
+    )
+    found = rows.where("txn_type = 'refund'").join(near, [*keys, "booking_date"], "left")
     return found.select(
         "txn_id", "purchase_id",
         F.when(F.col("purchase_id").isNull(), "orphan_refund").otherwise(F.coalesce("category", F.lit("refund_matched"))).alias("category"),

@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallyweave.functions import scalars as S
 from tallyweave.operators.ledger import merge
+from tallyweave.operators.store import written
 
 RETRIED = ("error", "no_attachment")
 STALE = "INTERVAL 1 HOUR"
@@ -185,15 +187,32 @@ def complete_runs(runs: DataFrame, done: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def running_sum(rows: DataFrame, key: str, order: list[str], value: str, to: str, kind: str = "decimal(38,2)") -> DataFrame:
+    """rows with the running sum of `value` along `order` within `key`, rows of equal order by what comes.
+
+    Rows are dealt out in ranges of (key, order), so a key with very many rows is in many tasks. The sum of a key's rows
+    in each range is one row; summed up over the ranges before, that is what each range starts from. There are no more
+    of these rows than ranges and keys, so they meet in windows by key.
+    """
+    dealt = written(
+        rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, *order).withColumn("_range", F.spark_partition_id())
+    )
+    sums = dealt.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_of")).agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy("_key").orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_key", "_of", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = dealt.withColumn("_own", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    both = own.join(starts, own[key].eqNullSafe(F.col("_key")) & (F.col("_range") == F.col("_of")))
+    return both.withColumn(to, (F.col("_start") + F.col("_own")).cast(kind)).select(*rows.columns, to)
+
+
 def spending(calls: DataFrame, run: str, order: list[str], cost: str, ceiling: str) -> DataFrame:
     """calls with `spent`, what their run has asked for up to each, and `granted`, whether that is within the ceiling.
 
-    A run stops at the first call that no longer fits, so those after it aren't granted either.
+    A run stops at the first call that no longer fits, so those after it aren't granted either. A call without a cost asks
+    for nothing.
     """
-    from pyspark.sql.window import Window
-
     if not float(ceiling) > 0:
         raise ValueError("the ceiling must be positive")
-    so_far = Window.partitionBy(run).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spent = F.sum(cost).over(so_far).cast("decimal(38,2)")
-    return calls.withColumn("spent", spent).withColumn("granted", F.col("spent") <= F.lit(ceiling).cast("decimal(18,2)"))
+    summed = running_sum(calls, run, order, cost, "spent")
+    return summed.withColumn("granted", F.col("spent") <= F.lit(ceiling).cast("decimal(18,2)"))

@@ -140,6 +140,22 @@ def recon_run(v: Views):
     return decisions(v)
 
 
+#: Another policy: weights, thresholds and the number of confirmations that a vendor needs.
+STRICT = match.Policy(vendor_weight="0.40", amount_weight="0.40", currency_weight="0.15", auto="0.95", suggested="0.60", confirmations=5)
+STRICT_SCORES = SCORES.replace("0.50 * vendor_score + 0.35 *", "0.40 * vendor_score + 0.40 *").replace("+ 0.10 * CAST(currency", "+ 0.15 * CAST(currency").replace(
+    "confirmed < 3 AND score >= 0.93", "confirmed < 5 AND score >= 0.95").replace("score >= 0.93", "score >= 0.95").replace("confirmed >= 3", "confirmed >= 5").replace(
+    "score >= 0.70 THEN", "score >= 0.60 THEN")
+
+
+@query("SELECT state, reason, count(*) AS n, sum(score) AS score FROM decisions GROUP BY state, reason", more=STRICT_SCORES)
+def mt_policy(v: Views):
+    """A run under another policy."""
+    invoices = billed(v)
+    pairs = match.contenders(invoices, v.transactions, match.likest_names(invoices, v.transactions, STRICT), STRICT)
+    decided = match.decide(invoices, pairs, v.hints, STRICT)
+    return decided.groupBy("state", "reason").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+
+
 ROW = "substr(sha256(fiscal_year || chr(0) || coalesce(invoice_id, '-') || chr(0) || coalesce(txn_id, '-') || chr(0) || 'full'), 1, 16)"
 SCRIPT_ROWS = f"""script AS (SELECT {ROW} AS row_id, *
     FROM (SELECT fiscal_year, invoice_id, txn_id, CASE WHEN match_score >= 0.6 THEN 'auto_matched'

@@ -471,11 +471,23 @@ def fn_money_str(v: Views):
 
 
 @query("""SELECT 'FY-' || y || '-' || lpad(CAST((y + 1) % 100 AS VARCHAR), 2, '0') AS label, CAST(date_diff('day', make_date(y, 3, 1),
-    make_date(y + 1, 3, 1)) AS INTEGER) AS days
-    FROM range(1994, 2003) r(y)""")
+    make_date(y + 1, 3, 1)) AS INTEGER) AS days FROM (SELECT unnest(range(min(fy), max(fy) + 1)) AS y
+    FROM (SELECT year(invoice_date) - CASE WHEN month(invoice_date) < 3 THEN 1 ELSE 0 END AS fy FROM invoices))""")
 def fn_fy_iter(v: Views):
-    """The fiscal years from one label to another, with their days."""
-    return S.fiscal_years(v.spark, "FY-1994-95", "FY-2002-03")
+    """The fiscal years from the first invoice's to the last one's, with their days."""
+    first, last = v.invoices.agg(F.min(S.fiscal_year(C("invoice_date"))), F.max(S.fiscal_year(C("invoice_date")))).first()
+    return S.fiscal_years(v.spark, first, last)
+
+
+@query(r"""SELECT p_partkey, replace(replace(replace(name, '\', '\\'), '%', '\%'), '_', '\_') AS pattern, true AS itself, contains(name, '%') AS other
+    FROM (SELECT p_partkey, replace(p_name, ' ', CASE p_partkey % 4 WHEN 0 THEN '_' WHEN 1 THEN '%' WHEN 2 THEN '\' ELSE ' ' END) AS name FROM part)""")
+def fn_escape_like(v: Views):
+    """Names with signs that LIKE reads, escaped: the pattern finds the name itself, and nothing where a sign is another letter."""
+    sign = F.get(F.array(*map(F.lit, ("_", "%", "\\", " "))), (C("p_partkey") % 4).cast("int"))
+    named = v.table("part").select("p_partkey", F.replace("p_name", F.lit(" "), sign).alias("name"))
+    told = named.withColumn("pattern", S.escape_like(C("name")))
+    moved = F.translate("name", "_\\", "xx")  # a percent sign stays
+    return told.select("p_partkey", "pattern", F.expr("name LIKE pattern").alias("itself"), (moved.eqNullSafe(C("name")) & C("name").contains("%")).alias("other"))
 
 
 @query("SELECT o_orderkey, (o_orderdate + INTERVAL 23 HOUR) AT TIME ZONE 'Europe/London' AT TIME ZONE 'UTC' AS at FROM orders")
