@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions import scalars as S
 from tallyweave.functions.fuzzy import token_set_ratio
-from tallyweave.operators import clearing, fx, ledger, match, pending, split, state
+from tallyweave.operators import clearing, fx, ledger, match, names, pending, split, state
 from tallyweave.operators.rangejoin import interval_join
 from tallyweave.plans.fixtures import Views
 from tallyweave.plans.registry import query
@@ -350,8 +350,11 @@ def jn_near_twins(v: Views):
     upper(y.canonical_name) AS b FROM (SELECT DISTINCT canonical_name FROM vendors) x, (SELECT DISTINCT canonical_name FROM vendors) y
     WHERE x.canonical_name < y.canonical_name), """ + FUZZY)
 def fn_token_set_ratio(v: Views):
-    a = v.vendors.select(F.upper("canonical_name").alias("a")).distinct()
-    b = F.broadcast(a.select(F.col("a").alias("b")))
-    return a.join(b, F.col("a") < F.col("b")).groupBy(
-        (token_set_ratio(F.col("a"), F.col("b")) >= 70).cast("bigint").alias("close")
-    ).agg(F.count("*").alias("n"))
+    """How many pairs of names are close: the index finds those that can be, and only these are worked out."""
+    every = v.vendors.select(F.upper("canonical_name").alias("name")).distinct()
+    one = lambda c: every.select(F.col("name").alias(c), F.lit(0).alias("_bucket"))
+    pairs = names.pairs_at(one("supplier"), one("description"), 0.70).where("supplier < description")
+    close = pairs.where(token_set_ratio(F.col("supplier"), F.col("description")) >= 70).agg(F.count("*").alias("close"))
+    total = every.agg((F.count("name") * (F.count("name") - 1) / 2).cast("bigint").alias("total"))
+    both = close.crossJoin(total)  # of one row each
+    return both.selectExpr("stack(2, 1L, close, 0L, total - close) AS (close, n)").where("n > 0")
