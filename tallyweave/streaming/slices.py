@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,12 @@ from tallyweave.operators.store import written
 REMEMBERED = 100
 
 
+def _value(folder: str) -> str:
+    """The slice that Spark's folder stands for: signs are written as hex, and '' under a name of its own."""
+    value = unquote(folder.removeprefix("_slice="))
+    return "" if value == "__HIVE_DEFAULT_PARTITION__" else value
+
+
 class Slices:
     def __init__(self, spark: SparkSession, path: str, schema: str, by: str) -> None:
         self.spark, self.path, self.schema, self.by = spark, path.rstrip("/"), schema, by
@@ -93,7 +100,7 @@ class Slices:
             fs, folder = self._file_system(f"{self.path}/{attempt}")
             made = [x.getPath().getName() for x in fs.listStatus(folder) if x.getPath().getName().startswith("_slice=")]
             slices = {name: p for name, p in held["slices"].items() if name not in {str(t) for t in touched}}
-            slices |= {name.removeprefix("_slice="): f"{attempt}/{name}" for name in made}
+            slices |= {_value(name): f"{attempt}/{name}" for name in made}
             entry = {"number": held["number"] + 1, "slices": slices, "batches": (held["batches"] + [batch])[-REMEMBERED:]}
             if self._publish(entry):
                 return True

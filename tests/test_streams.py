@@ -90,6 +90,14 @@ def test_only_touched_slices_are_written(spark, tmp_path):
     assert table.merge("three", frame([(4, "c", None)]), newest) and (4, "c", None) in held(table) and len(held(table)) == 5
 
 
+def test_odd_names_of_slices(spark, tmp_path):
+    table = Slices(spark, str(tmp_path / "table"), TABLE, "slice")
+    odd = ["a/b", "", "50%", "x=1", "é ü", "None", None, "a:b"]
+    for letter in "pq":
+        table.merge(letter, spark.createDataFrame([(k, letter, s) for k, s in enumerate(odd)], TABLE), newest)
+    assert held(table) == {(k, "q", s) for k, s in enumerate(odd)}
+
+
 def test_of_two_writers_one_starts_again(spark, tmp_path):
     mine, other = (Slices(spark, str(tmp_path / "table"), TABLE, "slice") for _ in range(2))
     frame = lambda rows: spark.createDataFrame(rows, TABLE)
