@@ -9,9 +9,11 @@ come from two signatures of the set:
 
 Pairs that share a band are found as `cells` says: along each cell, with its hub, and where a cell still has several
 labels, among all its rows. Rows of a large group of near copies may share cells by the thousand and yet be less than
-four fifths alike, and no bound tells that beforehand. So this last step compares blocks of a cell inside tasks, where
-pairs are entries of a matrix and only links that join labels come out. Every link is verified on the shingle sets
-themselves, so no text goes that isn't a near copy.
+four fifths alike, and no bound tells that beforehand. So this last step compares blocks of rows inside tasks, where
+pairs are entries of a matrix and only links that join labels come out. In a group of near copies most cells hold much
+the same rows, and a set would be sent once for each of its bands. So rows that cells connect, as long as they number no
+more than UNIT, are compared as one unit, to which each set is sent once; only beyond that the cells stand for themselves.
+Every link is verified on the shingle sets themselves, so no text goes that isn't a near copy.
 """
 
 from __future__ import annotations
@@ -33,8 +35,10 @@ SHARED, OF = 4, 5
 SEED = 42
 BANDS, ROWS = 32, 4
 ORDERS = 4
-#: Rows of a cell that are compared at once with as many others, and the entries of the matrix that does it.
-BLOCK = 2048
+#: Rows of a cell that are compared at once with as many others, their shingles, and the entries of the matrix that does it.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
+#: Rows that cells connect which are compared without regard to cells.
+UNIT = 16_384
 MATRIX = 1 << 23
 _FACTORS, _TERMS = np.random.Generator(np.random.PCG64(SEED)).integers(0, 1 << 63, (2, BANDS * ROWS, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -88,19 +92,25 @@ def _sets(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
 
 
 def _contents(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
-    """(fp, content) of the wanted (fp, first_id): the set's hashes in order, of one row of each."""
+    """(fp, content) of the wanted (fp, first_id): the set's hashes in order, of one row of each.
+
+    A class without any id is looked for among all rows without one, by its content, so that no row meets all of these.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text"))
-    rows = rows.join(wanted, F.col("_id").eqNullSafe(F.col("first_id"))).select("_text", "fp")
+    known = rows.join(wanted.where("first_id IS NOT NULL"), F.col("_id") == F.col("first_id")).select("_text", "fp")
+    unknown = rows.where("_id IS NULL").select("_text", F.lit(None).cast("long").alias("fp"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = ((fp, shingles(t, width)[0]) for t, fp in zip(*(c.to_pylist() for c in b.columns), strict=True))
-            found = [(fp, s.view(np.int64)) for fp, s in sets if _digest(s) == fp]
+            found = [(d, s.view(np.int64)) for fp, s in sets if (d := _digest(s)) == fp or fp is None]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f for f, _ in found], pa.int64()), pa.array([s for _, s in found], pa.list_(pa.int64()))], ["fp", "content"],
             )
 
-    return arrow_pass(rows, run, "fp long, content array<long>").dropDuplicates(["fp"])  # rows may share their id
+    made = lambda some: arrow_pass(some, run, "fp long, content array<long>")
+    nameless = made(unknown).join(wanted.where("first_id IS NULL").select("fp"), "fp", "left_semi")
+    return made(known).unionByName(nameless).dropDuplicates(["fp"])  # rows may share their id
 
 
 def _verified(pairs: DataFrame, contents: DataFrame) -> DataFrame:
@@ -168,10 +178,12 @@ def joining(fps: list[int], labels: list[int], blocks: list[int], sets: list[np.
 def _within(rows: DataFrame, contents: DataFrame) -> DataFrame:
     """Links (u, v) that join the unlike labels of near copies in one cell; rows: (cell, fp, label).
 
-    A cell is cut into blocks of some BLOCK rows, and each two blocks are compared in one task: their pairs are counted
-    there, by one product of matrices, and never become rows.
+    A cell is cut into blocks of some BLOCK rows and BLOCK_SHINGLES shingles, and each two blocks are compared in one task:
+    their pairs are counted there, by one product of matrices, and never become rows.
     """
-    sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    weighed = rows.join(contents.select("fp", F.size("content").alias("_size")), "fp")
+    blocks = F.greatest(F.count("*") / BLOCK, F.sum("_size") / BLOCK_SHINGLES)
+    sizes = weighed.groupBy("cell").agg(F.ceil(blocks).cast("int").alias("blocks"))
     dealt = rows.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     meets = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
@@ -188,6 +200,18 @@ def _within(rows: DataFrame, contents: DataFrame) -> DataFrame:
     return copies.groupBy("cell", "one", "two").applyInArrow(run, "u long, v long")
 
 
+def _units(rows: DataFrame) -> DataFrame:
+    """rows (cell, fp, label) with rows that cells connect under one cell, where they number UNIT at most, each once."""
+    heads = rows.groupBy("cell").agg(F.min("fp").alias("head"))
+    roots = components(rows.join(heads, "cell").select(F.col("fp").alias("u"), F.col("head").alias("v")))
+    few = roots.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") <= UNIT).select("root")
+    known = roots.join(few, "root").select(F.col("node").alias("fp"), "root")
+    placed = rows.join(known, "fp", "left")
+    # a unit's name can't be a cell's, as cells get even numbers here and units odd ones
+    name = F.when(F.col("root").isNull(), F.xxhash64("cell").bitwiseAND(F.lit(-2))).otherwise(F.xxhash64("root").bitwiseOR(F.lit(1)))
+    return placed.select(name.alias("cell"), "fp", "label").distinct()
+
+
 def _links(docs: DataFrame, classes: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
     """Links (u, v) between classes that join the same components as all near copies with a common band do."""
     shared = cells.in_company(classes.select(F.explode("bands").alias("cell"), "fp"))
@@ -202,7 +226,8 @@ def _links(docs: DataFrame, classes: DataFrame, text: str, doc_id: str, width: i
     links = cut(links.union(_verified(more, contents)))
     # the rows of a cell of two have been tried already
     fuller = shared.where("n > 2")
-    return links.union(_within(cells.mixed(cells.labelled(fuller, components(links))), contents))
+    left = cells.mixed(cells.labelled(fuller, components(links)))
+    return links.union(_within(cut(_units(left)), contents))
 
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from tallyweave.llm import nearcopies
@@ -94,9 +95,24 @@ def test_joining_links_what_the_plain_rule_links():
             assert got == root
 
 
-def test_blocks_lose_no_group(spark, monkeypatch):
+@pytest.mark.parametrize("unit", [0, 30, 100_000])
+def test_blocks_lose_no_group(spark, monkeypatch, unit):
+    """Whether rows are compared as units or cell by cell, and in blocks of few rows or few shingles."""
+    monkeypatch.setattr(nearcopies, "UNIT", unit)
     monkeypatch.setattr(nearcopies, "BLOCK", 5)
+    monkeypatch.setattr(nearcopies, "BLOCK_SHINGLES", 2000)
     monkeypatch.setattr(nearcopies, "MATRIX", 64)
     texts = planted()[:150]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {x["doc_id"] for x in nearcopies.keep_first(docs).collect()} == plain_kept(texts)
+
+
+def test_rows_without_ids_meet_no_more_often_than_others(spark):
+    """Contents of classes that have no id at all come from one pass over the rows without ids."""
+    texts = planted()[:60]
+    docs = spark.createDataFrame([(None, t) for t in texts] * 3, "doc_id long, text string")
+    found = nearcopies.groups(docs).collect()
+    assert len(found) == 180 and all(x["component_id"] is None for x in found)
+    some = spark.createDataFrame([(None, t) for t in texts] + [(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    kept = {x["doc_id"] for x in nearcopies.keep_first(some).collect()}
+    assert kept == plain_kept(texts)
