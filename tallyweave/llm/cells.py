@@ -44,6 +44,21 @@ def along(shared: DataFrame, order: Column) -> DataFrame:
     return ordered.select(F.col("fp").alias("u"), F.explode(F.array_distinct(F.array("head", "before"))).alias("v")).where("u <> v")
 
 
+def to_heads(shared: DataFrame) -> DataFrame:
+    """Pairs (u, v) of each row with its cell's head; repeats are left in."""
+    return shared.where("fp <> head").select(F.col("fp").alias("u"), F.col("head").alias("v"))
+
+
+def in_turn(rows: DataFrame, order: Column) -> DataFrame:
+    """Pairs (u, v) of each of the rows (cell, fp, label) with the row before it in order, where their labels are unlike."""
+    pieces = rows.groupBy("cell").agg(F.ceil(F.count("*") / PIECE).alias("pieces"))
+    placed = rows.join(pieces, "cell").withColumn("piece", F.pmod(F.xxhash64("fp"), F.col("pieces")))
+    before = F.lag(F.struct("fp", "label")).over(Window.partitionBy("cell", "piece").orderBy(order, "fp"))
+    return placed.withColumn("_before", before).where(F.col("_before.label") != F.col("label")).select(
+        F.col("fp").alias("u"), F.col("_before.fp").alias("v"),
+    )
+
+
 def labelled(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """(cell, fp, label) of shared; roots are (node, root) of the fps that have links."""
     return shared.select("cell", "fp").join(roots, F.col("fp") == F.col("node"), "left").select(

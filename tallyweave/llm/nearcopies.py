@@ -216,14 +216,18 @@ def _links(docs: DataFrame, classes: DataFrame, text: str, doc_id: str, width: i
     """Links (u, v) between classes that join the same components as all near copies with a common band do."""
     shared = cells.in_company(classes.select(F.explode("bands").alias("cell"), "fp"))
     ordered = lambda pairs: pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    # some orders that cells take turns in: a row meets several others, but not another one in each of its cells
-    order = F.xxhash64(F.pmod("cell", F.lit(ORDERS)), "fp")
-    tried = cut(ordered(cells.along(shared, order).union(_by_fingerprint(classes))))
+    tried = cut(ordered(cells.to_heads(shared).union(_by_fingerprint(classes))))
     met = tried.select(F.explode(F.array("u", "v")).alias("fp")).union(shared.select("fp")).distinct()
     contents = cut(_contents(docs, classes.join(met, "fp", "left_semi").select("fp", "first_id"), text, doc_id, width))
     links = cut(_verified(tried, contents))
-    more = cut(ordered(cells.to_hubs(cells.labelled(shared, components(links)), links)).join(tried, ["u", "v"], "left_anti"))
-    links = cut(links.union(_verified(more, contents)))
+    # each try looks only at cells whose rows the tries before it haven't joined: a pair sends two whole sets
+    # some orders that cells take turns in: a row meets several others, but not another one in each of its cells
+    order = F.xxhash64(F.pmod("cell", F.lit(ORDERS)), "fp")
+    for more in (lambda rows: cells.in_turn(rows, order), lambda rows: cells.to_hubs(rows.drop("major"), links)):
+        left = cells.mixed(cells.labelled(shared, components(links)))
+        fresh_pairs = cut(ordered(more(left)).join(tried, ["u", "v"], "left_anti"))
+        links = cut(links.union(_verified(fresh_pairs, contents)))
+        tried = tried.union(fresh_pairs)
     # the rows of a cell of two have been tried already
     fuller = shared.where("n > 2")
     left = cells.mixed(cells.labelled(fuller, components(links)))
