@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,10 +41,35 @@ def fresh(name: str) -> str:
     return f"{name}_{uuid.uuid4().hex}"
 
 
+#: Whether Spark deletes a query's shuffle files when the query ends; otherwise they wait for the driver's garbage collection.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Frames made in here leave no shuffle files behind when they have run. The session's setting is put back."""
+    before = spark.conf.get(TIDY, None)
+    spark.conf.set(TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(TIDY) if before is None else spark.conf.set(TIDY, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there; a lost executor costs no recomputation."""
+    """Write the rows to the shared folder and go on from there; a lost executor costs no recomputation.
+
+    Nothing needs the shuffles before the cut any more, and an iteration would pile up those of all its rounds.
+    """
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with _tidy(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
+
+
+def total(df: DataFrame, *sums: Column) -> tuple:
+    """The aggregates of the whole frame."""
+    with _tidy(df.sparkSession):
+        return tuple(df.agg(*sums).first())
 
 
 def arrow_pass(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -94,20 +120,20 @@ def components(links: DataFrame) -> DataFrame:
     )
 
     def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+        return total(e, F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)))
+
+    def pair(u: Column, v: Column) -> Column:
+        return F.struct(u.alias("u"), v.alias("v"))
 
+    u, v, m = F.col("u"), F.col("v"), F.col("m")
     before, after = None, state(edges)
     while after[0] and after != before:
-        both = edges.union(edges.select("v", "u"))
-        low = both.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m")).withColumn("m", F.least("m", "n"))
-        large = both.join(low, F.col("u") == F.col("n")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
-        small = large.join(low, F.col("u") == F.col("n"))
-        edges = cut(
-            small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .union(small.select("u", F.col("m").alias("v")))
-            .distinct()
-        )
+        both = edges.select(F.inline(F.array(pair(u, v), pair(v, u))))
+        low = both.groupBy(u.alias("n")).agg(F.min("v").alias("m")).withColumn("m", F.least("m", "n"))
+        large = both.join(low, u == F.col("n")).where("v > u").select(v.alias("u"), m.alias("v"))
+        low = large.groupBy(u.alias("n")).agg(F.min("v").alias("m"))
+        small = large.join(low, u == F.col("n"))
+        edges = cut(small.select(F.inline(F.array(pair(u, m), pair(v, m)))).where("u <> v").distinct())
         before, after = after, state(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

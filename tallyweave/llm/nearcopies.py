@@ -212,6 +212,11 @@ def _units(rows: DataFrame) -> DataFrame:
     return placed.select(name.alias("cell"), "fp", "label").distinct()
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (u, v) that join what (node, root) of earlier links and the new links do: stars, so few rounds are left to go."""
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links)
+
+
 def _links(docs: DataFrame, classes: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
     """Links (u, v) between classes that join the same components as all near copies with a common band do."""
     shared = cells.in_company(classes.select(F.explode("bands").alias("cell"), "fp"))
@@ -220,18 +225,18 @@ def _links(docs: DataFrame, classes: DataFrame, text: str, doc_id: str, width: i
     met = tried.select(F.explode(F.array("u", "v")).alias("fp")).union(shared.select("fp")).distinct()
     contents = cut(_contents(docs, classes.join(met, "fp", "left_semi").select("fp", "first_id"), text, doc_id, width))
     links = cut(_verified(tried, contents))
+    roots = components(links)
     # each try looks only at cells whose rows the tries before it haven't joined: a pair sends two whole sets
     # some orders that cells take turns in: a row meets several others, but not another one in each of its cells
     order = F.xxhash64(F.pmod("cell", F.lit(ORDERS)), "fp")
     for more in (lambda rows: cells.in_turn(rows, order), lambda rows: cells.to_hubs(rows.drop("major"), links)):
-        left = cells.mixed(cells.labelled(shared, components(links)))
+        left = cells.mixed(cells.labelled(shared, roots))
         fresh_pairs = cut(ordered(more(left)).join(tried, ["u", "v"], "left_anti"))
-        links = cut(links.union(_verified(fresh_pairs, contents)))
-        tried = tried.union(fresh_pairs)
+        found = cut(_verified(fresh_pairs, contents))
+        links, tried, roots = links.union(found), tried.union(fresh_pairs), components(_joined(roots, found))
     # the rows of a cell of two have been tried already
-    fuller = shared.where("n > 2")
-    left = cells.mixed(cells.labelled(fuller, components(links)))
-    return links.union(_within(cut(_units(left)), contents))
+    left = cells.mixed(cells.labelled(shared.where("n > 2"), roots))
+    return _joined(roots, _within(cut(_units(left)), contents))
 
 
 def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH) -> DataFrame:
