@@ -16,9 +16,11 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,12 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Units that a worker remembers.
 MEMO = 400_000
-#: Units of more bytes are segmented one by one.
+#: Units of more bytes are segmented one by one and not remembered.
 LONG = 64
-
-_UNITS = re.compile(rf"{MARK}| *[^ \n{MARK}]+| +|\n+")
+#: So many units, or characters of a long one, have their pieces looked up at once.
+BLOCK = 32_768
+#: Stands behind a unit; UTF-8 has no such byte.
+END = b"\xff"
 
 
 @dataclass
@@ -103,6 +107,7 @@ class Pieces:
         self.unknown = min(self.scores[list(self.pieces)], default=0.0) - UNKNOWN_PENALTY
         self.longest = max((len(p.encode()) for p in self.pieces.values()), default=0)
         self.raw = {i: p.replace(MARK, " ").encode() for i, p in self.pieces.items()} | {i: bytes([c]) for c, i in enumerate(self.bytes_)}
+        self.table = pa.array([self.raw.get(i, b"") for i in range(len(self.scores))], pa.large_binary())
         self.is_byte = np.zeros(len(self.scores), bool)
         self.is_byte[self.bytes_] = True
 
@@ -121,15 +126,6 @@ class Pieces:
         scores[text] = -np.log(rank) - np.log((1 / rank).sum())
         return cls({i: model.id_to_piece(i) for i in text}, scores, octets)
 
-    def _finish(self, unit: bytes, starts: list[int], ids: list[int], end: int) -> list[int]:
-        """Ids along the back pointers; -1 stands for a character in bytes."""
-        out = []
-        while end:
-            start, i = starts[end], ids[end]
-            out.append([self.bytes_[c] for c in unit[start:end]] if i < 0 else [i])
-            end = start
-        return [i for part in reversed(out) for i in part]
-
     def segment_one(self, unit: bytes) -> list[int]:
         """Viterbi over one unit, of any length. Of equal scores the first found stays: the longer last piece."""
         base, check, value, n = self.trie.base, self.trie.check, self.trie.value, len(unit)
@@ -151,86 +147,185 @@ class Pieces:
             e = min(n, s + width)
             if not covered and (x := best[s] + self.unknown) > best[e]:
                 best[e], starts[e], ids[e] = x, s, -1
-        return self._finish(unit, starts, ids, n)
+        out, end = [], n
+        while end:
+            start, i = starts[end], ids[end]
+            out.append([self.bytes_[c] for c in unit[start:end]] if i < 0 else [i])
+            end = start
+        return [i for part in reversed(out) for i in part]
 
     def segment(self, units: list[bytes]) -> list[list[int]]:
-        """Viterbi over many units at once, position by position; the same result as segment_one for each."""
-        out: list[list[int]] = [[]] * len(units)
-        by: dict[int, list[int]] = defaultdict(list)
-        for k, u in enumerate(units):
-            if len(u) > LONG:
-                out[k] = self.segment_one(u)
-            else:
-                by[-(-len(u) // 4) * 4].append(k)
-        for width, own in by.items():
-            for at in range(0, len(own), 8192):
-                some = own[at : at + 8192]
-                for k, ids in zip(some, self._block([units[k] for k in some], width), strict=True):
-                    out[k] = ids
-        return out
-
-    def _block(self, units: list[bytes], width: int) -> list[list[int]]:
-        base, check, value, n = self.trie.base, self.trie.check, self.trie.value, len(units)
-        size = np.array([len(u) for u in units])
-        text = np.frombuffer(b"".join(u.ljust(width, b"\0") for u in units), np.uint8).reshape(n, width)
-        best, starts, ids = np.full((n, width + 5), -np.inf), np.zeros((n, width + 5), np.int64), np.full((n, width + 5), -1, np.int64)
-        best[:, 0] = 0
-        for s in range(width):
-            rows = np.nonzero((size > s) & (best[:, s] > -np.inf) & (text[:, s] & 0xC0 != 0x80))[0]
-            if not len(rows):
-                continue
-            lead = text[rows, s]
-            chars = 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
-            covered, all_rows, all_chars = np.zeros(n, bool), rows, chars
-            node, depth = np.zeros(len(rows), np.int64), 0
-            while depth < self.longest and s + depth < width and len(rows):
-                after = base[node] + text[rows, s + depth].astype(np.int64)
-                ok = (check[after] == node) & (s + depth < size[rows])
-                rows, node, chars, depth = rows[ok], after[ok], chars[ok], depth + 1
-                i = value[node]
-                hit = i >= 0
-                r, i = rows[hit], i[hit]
-                covered[r[chars[hit] == depth]] = True
-                x = best[r, s] + self.scores[i]
-                better = x > best[r, s + depth]
-                r = r[better]
-                best[r, s + depth], starts[r, s + depth], ids[r, s + depth] = x[better], s, i[better]
-            bare = ~covered[all_rows]
-            r, e = all_rows[bare], np.minimum(s + all_chars[bare], size[all_rows[bare]])
-            x = best[r, s] + self.unknown
-            better = x > best[r, e]
-            r, e = r[better], e[better]
-            best[r, e], starts[r, e], ids[r, e] = x[better], s, -1
-        return [self._finish(u, a, b, len(u)) for u, a, b in zip(units, starts.tolist(), ids.tolist(), strict=True)]
+        """Viterbi over many units at once; the same result as segment_one for each."""
+        return [np.frombuffer(ids, "<i4").tolist() for ids in self.packed(units)]
+
+    def packed(self, units: list[bytes]) -> list[bytes]:
+        """What segment gives, each unit's ids as little-endian 32-bit numbers."""
+        short = [u for u in units if len(u) <= LONG]
+        found = chain.from_iterable(self._block(short[k : k + BLOCK]) for k in range(0, len(short), BLOCK))
+        return [next(found) if len(u) <= LONG else self._long(u) for u in units]
+
+    def _edges(self, text: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, id) of all pieces in text that start at the places `at`, id -1 for a character without a piece.
+
+        Units stand in text one after another, an END, which no piece holds, at each of the places `ends`.
+        """
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        lead = text[at]
+        chars = 1 + (lead >= 0xC0).astype(np.int64) + (lead >= 0xE0) + (lead >= 0xF0)
+        covered, own, node, depth, found = np.zeros(len(at), bool), np.arange(len(at)), np.zeros(len(at), np.int64), 0, []
+        while len(own) and depth < self.longest:
+            after = base[node] + text[at[own] + depth]
+            ok = check[after] == node
+            own, node, depth = own[ok], after[ok], depth + 1
+            i = value[node]
+            hit = i >= 0
+            who, i = own[hit], i[hit]
+            covered[who[chars[who] == depth]] = True
+            found.append((at[who], at[who] + depth, i))
+        bare = ~covered
+        starts = at[bare]
+        found.append((starts, np.minimum(starts + chars[bare], ends[np.searchsorted(ends, starts)]), np.full(len(starts), -1, np.int32)))
+        return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+    def _written(self, text: np.ndarray, starts: np.ndarray, lasts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of edges on best paths, those of -1 spelt in byte pieces; and how many each edge gives."""
+        many = np.where(ids < 0, lasts - starts, 1)
+        out = np.repeat(ids, many).astype("<i4")
+        spelt = np.nonzero(out < 0)[0]
+        places = np.repeat(starts - (np.cumsum(many) - many), many)[spelt] + spelt
+        out[spelt] = np.array(self.bytes_, "<i4")[text[places]]
+        return out, many
+
+    def _block(self, units: list[bytes]) -> list[bytes]:
+        """Short units: step by step, all edges that start as far into their unit at once."""
+        text = np.frombuffer(END.join(units) + END, np.uint8)
+        ends = np.nonzero(text == END[0])[0]
+        firsts = np.concatenate([[0], ends[:-1] + 1])
+        at = np.nonzero((text & 0xC0 != 0x80) & (text != END[0]))[0]
+        starts, lasts, ids = self._edges(text, at, ends)
+        far = (np.arange(len(text)) - np.repeat(firsts, ends - firsts + 1)).astype(np.uint16)[starts]
+        order = np.argsort(far, kind="stable")
+        starts, lasts, ids = starts[order], lasts[order], ids[order]
+        gains = np.where(ids < 0, self.unknown, self.scores[ids])
+        best, edge = np.full(len(text), -np.inf), np.full(len(text), -1, np.int64)
+        best[firsts] = 0
+        steps = np.concatenate([[0], np.cumsum(np.bincount(far))]).tolist()
+        for lo, hi in pairwise(steps):
+            x, to = best[starts[lo:hi]] + gains[lo:hi], lasts[lo:hi]
+            better = np.nonzero(x > best[to])[0]
+            to = to[better]
+            best[to], edge[to] = x[better], better + lo
+        on_path, now = np.zeros(len(text), bool), ends[ends > firsts]
+        while len(now):
+            on_path[now] = True
+            now = starts[edge[now]]
+            now = now[edge[now] >= 0]
+        path = np.nonzero(on_path)[0]
+        taken = edge[path]
+        out, many = self._written(text, starts[taken], lasts[taken], ids[taken])
+        # a unit's ids end where those of its last edge do
+        cuts = (4 * np.concatenate([[0], np.cumsum(many)])[np.cumsum(on_path)[ends]]).tolist()
+        raw = out.tobytes()
+        return [raw[a:b] for a, b in pairwise([0, *cuts])]
+
+    def _long(self, unit: bytes) -> bytes:
+        """One long unit: edges for a stretch of it at once, then one after another."""
+        text, n = np.frombuffer(unit + END, np.uint8), len(unit)
+        best, came, ids = array("d", [-np.inf]) * (n + 1), array("q", [0]) * (n + 1), array("i", [-1]) * (n + 1)
+        best[0], ends = 0.0, np.array([n])
+        heads = np.nonzero(text[:n] & 0xC0 != 0x80)[0]
+        for k in range(0, len(heads), BLOCK):
+            starts, lasts, own = self._edges(text, heads[k : k + BLOCK], ends)
+            order = np.argsort(starts, kind="stable")
+            gains = np.where(own < 0, self.unknown, self.scores[own])
+            for s, e, i, gain in zip(*(x[order].tolist() for x in (starts, lasts, own, gains)), strict=True):
+                if (x := best[s] + gain) > best[e]:
+                    best[e], came[e], ids[e] = x, s, i
+        path = [n]
+        while came[path[-1]]:
+            path.append(came[path[-1]])
+        lasts = np.array(path[::-1])
+        return self._written(text, np.frombuffer(came, np.int64)[lasts], lasts, np.frombuffer(ids, np.int32)[lasts])[0].tobytes()
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; unknown and control ids stand for nothing."""
         raw = b"".join(self.raw.get(i, b"") for i in ids)
         return raw.removeprefix(b" ").decode("utf-8", "replace")
 
+    def decode_all(self, lists: pa.ListArray) -> list[str]:
+        """What decode gives for each list of ids, none of them null."""
+        taken = self.table.take(lists.values)
+        _, ends, data = taken.buffers()
+        raw = data.to_pybytes() if data else b""
+        ends = np.frombuffer(ends, np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+        return [raw[a:b].removeprefix(b" ").decode("utf-8", "replace") for a, b in pairwise(ends[lists.offsets.to_numpy()].tolist())]
+
 
 @dataclass
 class Encoder:
     pieces: Pieces
-    memo: dict[str, np.ndarray] = field(default_factory=dict)
+    #: The ids of units, as in Pieces.packed.
+    memo: dict[bytes, bytes] = field(default_factory=dict)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; none for a null or empty one. A mark that the text itself holds is written in bytes."""
-        units = [_UNITS.findall(" " + t) if t else [] for t in texts]
-        new = list({u for own in units for u in own} - self.memo.keys())
+        lists = self.lists(texts)
+        ids = lists.values.to_numpy()
+        return [ids[a:b] for a, b in pairwise(lists.offsets.to_numpy().tolist())]
+
+    def lists(self, texts: list[str | None]) -> pa.ListArray:
+        """What encode gives, in one array."""
+        raw = [b" " + t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        at, text = np.cumsum([0, *map(len, raw)]), b"".join(raw)
+        cuts = np.append(_unit_starts(text, at), len(text))
+        units = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(text)]).dictionary_encode()
+        ids = self._packed(units.dictionary.to_pylist())
+        taken = _lists(ids).take(units.indices)
+        ends = taken.offsets.to_numpy()[np.searchsorted(cuts[:-1], at)]
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), taken.values)
+
+    def _packed(self, units: list[bytes]) -> list[bytes]:
+        """The ids of each of these units, all different; short ones are remembered."""
+        own = MARK.encode()
+        out = [self.memo.get(u) for u in units]
+        new = [k for k, ids in enumerate(out) if ids is None]
+        marked = [units[k].replace(b" ", own) for k in new]
+        found = self.pieces.packed(marked)
         if len(self.memo) + len(new) > MEMO:
             # those remembered first are mostly the frequent ones: the others go
             late = list(self.memo)[len(self.memo) // 4 :]
             for u in late:
                 del self.memo[u]
-            new = list({u for own in units for u in own} - self.memo.keys())
-        plain = [u for u in new if u != MARK]
-        marked = [u.replace(" ", MARK).encode("utf-8", "surrogatepass") for u in plain]
-        for u, ids in zip(plain, self.pieces.segment(marked), strict=True):
-            self.memo[u] = np.array(ids, np.int32)
-        self.memo[MARK] = np.array([self.pieces.bytes_[c] for c in MARK.encode()], np.int32)
-        none = np.zeros(0, np.int32)
-        return [np.concatenate([self.memo[u] for u in own]) if own else none for own in units]
+        for k, m, ids in zip(new, marked, found, strict=True):
+            out[k] = np.array([self.pieces.bytes_[c] for c in own], "<i4").tobytes() if units[k] == own else ids
+            # a text without spaces is one unit: remembered, such texts would fill the memory
+            if len(m) <= LONG:
+                self.memo[units[k]] = out[k]
+        return out
+
+
+def _unit_starts(text: bytes, at: np.ndarray) -> np.ndarray:
+    """Where the units of the texts that begin at the places `at` begin: a mark; spaces with what follows up to the next
+    space, line end or mark; or line ends."""
+    c = np.frombuffer(text, np.uint8)
+    space, line, mark = c == 0x20, c == 0x0A, np.zeros(len(c), bool)
+    own = MARK.encode()
+    k = text.find(own)
+    while k >= 0:
+        mark[k : k + len(own)] = True
+        k = text.find(own, k + len(own))
+    stops = line | mark
+    starts = np.zeros(len(c) + 1, bool)
+    starts[1:-1] = (space[1:] & ~space[:-1]) | (line[1:] & ~line[:-1]) | (stops[:-1] & ~stops[1:])
+    starts[:-1] |= mark & (c == own[0])
+    starts[at] = True
+    return np.nonzero(starts[:-1])[0]
+
+
+def _lists(packed: list[bytes]) -> pa.ListArray:
+    """A list of ids for each."""
+    ids = pa.array(np.frombuffer(b"".join(packed), "<i4"), pa.int32())
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, packed)]) // 4, pa.int32()), ids)
 
 
 def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
@@ -243,7 +338,7 @@ def encode(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
         encoder = Encoder(shared.value)
         for b in batches:
             yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(encoder.encode(b.column(at_text).to_pylist()), pa.list_(pa.int32()))], [*names, "piece_ids"],
+                [*b.columns, encoder.lists(b.column(at_text).to_pylist())], [*names, "piece_ids"],
             )
 
     return arrow_pass(docs, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", piece_ids array<int>")
@@ -278,18 +373,23 @@ def digests(docs: DataFrame, pieces: Pieces, text: str = "text", doc_id: str = "
         encoder, scores = Encoder(p), np.where(np.isfinite(p.scores), p.scores, 0.0)
         for b in batches:
             texts = b.column(1).to_pylist()
-            cols: list[list] = [[], [], [], [], [], [], []]
-            for t, ids in zip(texts, encoder.encode(texts), strict=True):
-                decoded = p.decode(ids.tolist())
+            lists = encoder.lists(texts)
+            at, ids = lists.offsets.to_numpy(), lists.values.to_numpy()
+            in_bytes, gains, raw = np.concatenate([[0], np.cumsum(p.is_byte[ids])]), scores[ids], memoryview(ids.astype("<i4").tobytes())
+            cols: list[list] = [[], [], [], []]
+            for t, decoded, (lo, hi) in zip(texts, p.decode_all(lists), pairwise(at.tolist()), strict=True):
                 row = (
-                    ids, len(ids), int(p.is_byte[ids].sum()), round(float(scores[ids].sum()), 6), zlib.crc32(ids.astype("<i4").tobytes()),
+                    round(float(gains[lo:hi].sum()), 6), zlib.crc32(raw[4 * lo : 4 * hi]),
                     hashlib.sha256(decoded.encode("utf-8", "surrogatepass")).hexdigest(), decoded == (t or ""),
                 )
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            kinds = [pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string(), pa.bool_()]
+            kinds = [pa.float64(), pa.int64(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))],
+                [
+                    b.column(0), lists, pa.array(np.diff(at), pa.int64()), pa.array(np.diff(in_bytes[at]), pa.int64()),
+                    *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)),
+                ],
                 ["doc_id", "piece_ids", "n_pieces", "n_byte_pieces", "log_score", "ids_crc32", "decoded_sha256", "round_trip"],
             )
 

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import math
 import random
+import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -80,3 +82,58 @@ def test_tables(spark, pieces):
     both = P.decode(P.encode(odd_documents(spark), pieces), pieces).collect()
     assert {r["doc_id"]: r["decoded"] for r in both}[4] == LONG
     assert P.digests(no_documents(spark), pieces).count() == 0
+
+
+def test_any_units_as_one_by_one(pieces):
+    r = random.Random(5)
+    texts = ["".join(r.choices("aeinrst hz日é😀ก\x00▁\n  ", k=r.choice([0, 1, 2, 5, 30, 300]))) for _ in range(300)]
+    texts += ["▁▁", " ", "  ", "\n", "a▁", "▁ a", "\n\n▁\n b", " ▁", "日" * 300, "ab" * 200 + " " * 100, None]
+    own = [pieces.bytes_[c] for c in "▁".encode()]
+
+    def plain(text):
+        units = re.findall(r"▁| *[^ \n▁]+| +|\n+", " " + text) if text else []
+        return [i for u in units for i in (own if u == "▁" else pieces.segment_one(u.replace(" ", "▁").encode()))]
+
+    encoder = P.Encoder(pieces)
+    for some in (texts[:7], texts, texts[::-1], []):
+        assert [ids.tolist() for ids in encoder.encode(some)] == [plain(t) for t in some]
+        assert pieces.decode_all(encoder.lists(some)) == [t or "" for t in some]
+
+
+def test_long_units_are_cut_in_stretches(pieces, monkeypatch):
+    unit = "".join(random.Random(6).choices("aeinrstz日é😀", k=900)).encode()
+    monkeypatch.setattr(P, "BLOCK", 7)
+    assert pieces.segment([unit, b"", unit[:1], unit])[::3] == [pieces.segment_one(unit)] * 2
+
+
+def test_a_vocabulary_without_pieces_writes_bytes():
+    p = P.Pieces({}, P.np.full(256, -P.np.inf), list(range(256)))
+    assert P.Encoder(p).encode(["a é"])[0].tolist() == list("▁a▁é".encode())
+
+
+def test_the_memo_is_bounded_in_bytes_too(pieces, monkeypatch):
+    encoder = P.Encoder(pieces)
+    texts = [f"{k}" + "日本" * 200 for k in range(50)]
+    assert len(encoder.encode(texts)) == 50 and max(map(len, encoder.memo), default=0) <= P.LONG
+    monkeypatch.setattr(P, "MEMO", 100)
+    for k in range(20):
+        words = [f"w{k}x{j}" for j in range(40)]
+        assert pieces.decode_all(encoder.lists(words)) == words and len(encoder.memo) <= 101
+
+
+def test_cost_of_units_met_before(pieces):
+    """CPU time of texts whose units a worker remembers, against that of splitting the same texts by a regular expression."""
+    r = random.Random(7)
+    syllables = [a + b for a in "bcdfghklmnprstvw" for b in ("a", "e", "i", "o", "u", "en", "ar", "is")]
+    words = ["".join(r.choices(syllables, k=r.randint(1, 4))) for _ in range(60_000)]
+    texts = [" ".join(r.choices(words, k=300)) for _ in range(1000)]
+    encoder = P.Encoder(pieces)
+    encoder.encode(words)
+
+    def seconds(work):
+        start = time.process_time()
+        work()
+        return time.process_time() - start
+
+    split = min(seconds(lambda: [re.findall(r"▁| *[^ \n▁]+| +|\n+", " " + t) for t in texts]) for _ in range(5))
+    assert min(seconds(lambda: encoder.encode(texts)) for _ in range(5)) < 2.5 * split
